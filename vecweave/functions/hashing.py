@@ -7,6 +7,7 @@ is nothing to shuffle, however long or frequent any text is.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,13 +92,18 @@ def hashed_vectors(texts: Column, dimension: int) -> Column:
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for piece in _pieces(batch, dimension):
+                started = time.perf_counter()
                 digests = piece.flatten()
                 missing = digests.is_null()
                 vectors = _vectors(digests, dimension)
                 error = pc.if_else(missing, "text is null", pa.scalar(None, pa.string()))
                 if missing.true_count:
                     vectors = pc.if_else(missing, pa.scalar(None, vectors.type), vectors)
-                outcomes = pa.StructArray.from_arrays([vectors, error], ["embedding", "error"])
+                millis = (time.perf_counter() - started) * 1000 / max(len(digests), 1)
+                outcomes = pa.StructArray.from_arrays(
+                    [vectors, error, pa.array(np.full(len(digests), millis))],
+                    ["embedding", "error", "millis"],
+                )
                 yield _lists(_lengths(piece), outcomes)
 
     return embed.asNondeterministic()(F.transform(texts, token_digests))

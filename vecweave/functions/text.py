@@ -27,6 +27,11 @@ def truncate_utf8(text: Column, max_bytes: int = MAX_INPUT_BYTES) -> Column:
     return F.when(F.octet_length(text) > max_bytes, cut).otherwise(text)
 
 
+def truncate_all(texts: Column, max_bytes: int = MAX_INPUT_BYTES) -> Column:
+    """``truncate_utf8`` for every element of an array."""
+    return F.transform(texts, lambda text: truncate_utf8(text, max_bytes))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda token: token != "")

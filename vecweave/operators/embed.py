@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import truncate_utf8
+from vecweave.functions.text import truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
 
@@ -27,7 +27,7 @@ def with_outcomes(
     name: str = "outcomes",
 ) -> DataFrame:
     """Add an array of outcomes for an array of texts. Every row stays whole and in place, so regrouping is free."""
-    cut = F.transform(texts, lambda text: truncate_utf8(text, embedder.max_bytes))
+    cut = truncate_all(texts, embedder.max_bytes)
     return spread_calls(df, embedder).withColumn(
         name, embedder.outcomes(cut, batch_size, on_error)
     )

@@ -149,7 +149,11 @@ class CallableEmbedder:
         each row is cut into calls of its own size."""
         check_scope(on_error)
         run, open_model, call = self._run, self.open_model, self.call
-        kind = pa.list_(pa.struct([("embedding", pa.list_(pa.float32())), ("error", pa.string())]))
+        kind = pa.list_(
+            pa.struct(
+                [("embedding", pa.list_(pa.float32())), ("error", pa.string()), ("millis", pa.float64())]
+            )
+        )
 
         def model():
             return call if open_model is None else open_model()
@@ -180,7 +184,7 @@ class CallableEmbedder:
     def _run(self, model, texts: list, size: int, on_error: str) -> list:
         """Outcomes of ``texts``, sent in calls of ``size``. Null texts are not sent."""
         check_batch_size(size)
-        outcomes = [{"embedding": None, "error": "text is null"}] * len(texts)
+        outcomes = [{"error": "text is null", "millis": 0.0}] * len(texts)
         given = [place for place, text in enumerate(texts) if text is not None]
         for start in range(0, len(given), size):
             places = given[start : start + size]
@@ -189,7 +193,9 @@ class CallableEmbedder:
         return outcomes
 
     def _call(self, model, texts: list[str], on_error: str) -> list:
+        started = time.perf_counter()
         request = {"model": self.name, "input": texts, "input_type": self.input_type}
+        failure = None
         try:
             vectors = call_with_retry(
                 lambda: vectors_in_order(model(request), len(texts)),
@@ -203,6 +209,6 @@ class CallableEmbedder:
             if on_error == "row" and len(texts) > 1:
                 # One bad text must not cost its neighbours their vectors.
                 return [o for text in texts for o in self._call(model, [text], on_error)]
-            reason = str(error) or type(error).__name__
-            return [{"embedding": None, "error": reason}] * len(texts)
-        return [{"embedding": vector, "error": None} for vector in vectors]
+            vectors, failure = [None] * len(texts), str(error) or type(error).__name__
+        millis = (time.perf_counter() - started) * 1000 / len(texts)
+        return [{"embedding": vector, "error": failure, "millis": millis} for vector in vectors]

@@ -19,6 +19,6 @@ EMBEDDING_EVENT = (
     f"struct<headers: {HEADERS}, metadata: {METADATA}, source_id: string, repo_name: string, "
     f"chunks: array<{EMBEDDED_CHUNK}>, model: string, timestamp: string>"
 )
-# What an embedder says about one text: a vector, or the reason there is none.
-OUTCOME = "struct<embedding: array<float>, error: string>"
+# What an embedder says about one text: a vector, or the reason there is none; and its share of the time taken.
+OUTCOME = "struct<embedding: array<float>, error: string, millis: double>"
 FAILED_CHUNK = "struct<id: string, pos: int, error: string>"
