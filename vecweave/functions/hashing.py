@@ -25,8 +25,8 @@ _DIGITS = 9
 _BLOCK_CELLS = 4_000_000
 
 
-def token_digests(text: Column) -> Column:
-    return F.transform(tokens(text), lambda token: F.substring(F.md5(token), 1, _DIGITS))
+def token_digests(text: str) -> str:
+    return f"transform({tokens(text)}, token -> substring(md5(token), 1, {_DIGITS}))"
 
 
 def _signed_cells(digests: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +85,8 @@ def _pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
         start = end
 
 
-def hashed_vectors(texts: Column, dimension: int) -> Column:
-    """array<string> -> array of outcomes, one per text. A null text has no vector."""
+def hashed_vectors(texts: str, dimension: int) -> Column:
+    """SQL of an array<string> -> array of outcomes, one per text. A null text has no vector."""
 
     @F.arrow_udf(f"array<{OUTCOME}>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -106,11 +106,12 @@ def hashed_vectors(texts: Column, dimension: int) -> Column:
                 )
                 yield _lists(_lengths(piece), outcomes)
 
-    return embed.asNondeterministic()(F.transform(texts, token_digests))
+    digests = f"transform({texts}, text -> {token_digests('text')})"
+    return embed.asNondeterministic()(F.expr(digests))
 
 
-def hashed_weights(text: Column, dimension: int) -> Column:
-    """string -> array<int>: the sums before scaling, for inspection."""
+def hashed_weights(text: str, dimension: int) -> Column:
+    """SQL of a string -> array<int>: the sums before scaling, for inspection."""
 
     @F.arrow_udf("array<int>")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -121,4 +122,4 @@ def hashed_weights(text: Column, dimension: int) -> Column:
                 sums = _weights(piece, dimension).astype(np.int32)
                 yield _lists(np.full(len(piece), dimension), pa.array(sums.ravel()))
 
-    return weigh.asNondeterministic()(token_digests(text))
+    return weigh.asNondeterministic()(F.expr(token_digests(text)))

@@ -2,45 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from vecweave.functions.text import rfc3339
 
 
-def key_uuid(key: Column) -> Column:
+def key_uuid(key: str) -> str:
     """UUID text (version 8, custom) made from ``key``, so a re-run gives the same id."""
-    digest = F.sha2(key, 256)
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("8"), F.substring(digest, 14, 3)),
-        F.concat(F.lit("8"), F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
+    digest = f"sha2({key}, 256)"
+    return (
+        f"concat(substring({digest}, 1, 8), '-', substring({digest}, 9, 4), '-8', substring({digest}, 14, 3), "
+        f"'-8', substring({digest}, 18, 3), '-', substring({digest}, 21, 12))"
     )
 
 
 def make_headers(
-    key: Column,
-    event_type: Column,
-    source_service: Column,
-    now: Column | None = None,
-    correlation_id: Column | None = None,
-    trace_id: Column | None = None,
-) -> Column:
+    key: str,
+    event_type: str,
+    source_service: str,
+    now: str = "current_timestamp()",
+    correlation_id: str = "CAST(NULL AS STRING)",
+    trace_id: str = "CAST(NULL AS STRING)",
+) -> str:
     """Headers of a new event; the id follows from ``key``."""
-    absent = F.lit(None).cast("string")
-    return F.struct(
-        key_uuid(key).alias("event_id"),
-        event_type.alias("event_type"),
-        rfc3339(F.current_timestamp() if now is None else now).alias("timestamp"),
-        source_service.alias("source_service"),
-        (absent if correlation_id is None else correlation_id).alias("correlation_id"),
-        (absent if trace_id is None else trace_id).alias("trace_id"),
+    return (
+        f"named_struct('event_id', {key_uuid(key)}, 'event_type', {event_type}, 'timestamp', {rfc3339(now)}, "
+        f"'source_service', {source_service}, 'correlation_id', {correlation_id}, 'trace_id', {trace_id})"
     )
 
 
-def correlation_id(headers: Column) -> Column:
+def correlation_id(headers: str = "headers") -> str:
     """The id that ties log lines and events together: the given one, or the event's own."""
-    return F.coalesce(headers["correlation_id"], headers["event_id"])
+    return f"coalesce({headers}.correlation_id, {headers}.event_id)"

@@ -2,55 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from vecweave.constants import MAX_INPUT_BYTES
 
 _DAY_MICROS = 86_400_000_000
 
 
-def truncate_utf8(text: Column, max_bytes: int = MAX_INPUT_BYTES) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def truncate_utf8(text: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
     """Longest prefix of ``text`` that fits ``max_bytes`` UTF-8 bytes and ends on a character boundary."""
     if max_bytes < 0:
         raise ValueError("max_bytes must not be negative")
-    raw = text.cast("binary")
-
-    def splits_character(end: int) -> Column:
-        return F.hex(F.substring(raw, end + 1, 1)).between("80", "BF")
-
+    raw = f"CAST({text} AS BINARY)"
     # A character has at most three continuation bytes, so the boundary is at most three bytes back.
-    end = F.lit(max(max_bytes - 3, 0))
-    for candidate in range(max(max_bytes - 2, 0), max_bytes + 1):
-        end = F.when(~splits_character(candidate), F.lit(candidate)).otherwise(end)
-    cut = raw.substr(F.lit(1), end).cast("string")
-    return F.when(F.octet_length(text) > max_bytes, cut).otherwise(text)
+    last = max(max_bytes - 3, 0)
+    cases = " ".join(
+        f"WHEN hex(substring({raw}, {end + 1}, 1)) NOT BETWEEN '80' AND 'BF' THEN {end}"
+        for end in range(max_bytes, last, -1)
+    )
+    end = f"CASE {cases} ELSE {last} END" if cases else str(last)
+    cut = f"CAST(substring({raw}, 1, {end}) AS STRING)"
+    return f"CASE WHEN octet_length({text}) <= {max_bytes} THEN {text} ELSE {cut} END"
 
 
-def truncate_all(texts: Column, max_bytes: int = MAX_INPUT_BYTES) -> Column:
+def truncate_all(texts: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
     """``truncate_utf8`` for every element of an array."""
-    return F.transform(texts, lambda text: truncate_utf8(text, max_bytes))
+    return f"transform({texts}, text -> {truncate_utf8('text', max_bytes)})"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda token: token != "")
+def tokens(text: str) -> str:
+    """Lower-cased runs of letters and digits, as an array."""
+    return f"filter(split(lower({text}), r'[^\\p{{L}}\\p{{N}}]+'), token -> token != '')"
 
 
-def rfc3339(moment: Column) -> Column:
+def rfc3339(moment: str) -> str:
     """UTC text of a timestamp with six fraction digits, whatever the session time zone is."""
-    micros = F.unix_micros(moment)
-    second = F.floor(F.pmod(micros, F.lit(_DAY_MICROS)) / 1_000_000)
-    return F.format_string(
-        "%sT%02d:%02d:%02d.%06d+00:00",
-        F.date_from_unix_date(F.floor(micros / _DAY_MICROS).cast("int")).cast("string"),
-        F.floor(second / 3600),
-        F.floor(second / 60) % 60,
-        second % 60,
-        F.pmod(micros, F.lit(1_000_000)),
+    micros = f"unix_micros({moment})"
+    second = f"(pmod({micros}, {_DAY_MICROS}) div 1000000)"
+    day = f"CAST(date_from_unix_date(CAST(floor({micros} / {_DAY_MICROS}) AS INT)) AS STRING)"
+    return (
+        f"format_string('%sT%02d:%02d:%02d.%06d+00:00', {day}, {second} div 3600, {second} div 60 % 60, "
+        f"{second} % 60, pmod({micros}, 1000000))"
     )
 
 
-def text_key(model: Column, text: Column, max_bytes: int = MAX_INPUT_BYTES) -> Column:
+def text_key(model: str, text: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
     """Key under which the vector of a text is reused: same model and same text as the model sees it."""
-    return F.sha2(F.concat_ws("\n", model, truncate_utf8(text, max_bytes)), 256)
+    return f"sha2(concat_ws('\\n', {quoted(model)}, {truncate_utf8(text, max_bytes)}), 256)"

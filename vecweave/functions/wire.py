@@ -2,48 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-_REST_OF_TEXT = 2_147_483_647
-
-
-def encode_embedding_event(
-    headers: Column,
-    metadata: Column,
-    source_id: Column,
-    repo_name: Column,
-    chunks: Column,
-    model: Column,
-    timestamp: Column,
-) -> Column:
-    """Absent optional fields are left out, except ``repo_name``, which is written as null."""
-    head = F.to_json(
-        F.struct(headers.alias("headers"), metadata.alias("metadata"), source_id.alias("source_id"))
-    )
-    middle = F.to_json(F.struct(repo_name.alias("repo_name")), {"ignoreNullFields": "false"})
-    tail = F.to_json(
-        F.struct(chunks.alias("chunks"), model.alias("model"), timestamp.alias("timestamp"))
-    )
+from vecweave.functions.text import quoted
+
+
+def encode_embedding_event(event: str = "") -> str:
+    """JSON of an event held in columns (or in the struct ``event``). Absent optional fields are left out, except
+    ``repo_name``, which is written as null: it is rendered by itself, and the parts are joined without their outer
+    braces."""
+    at = f"{event}." if event else ""
+
+    def part(*names: str) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {at}{name}" for name in names) + ")"
 
-    repo = middle.substr(F.lit(2), F.length(middle) - 2)
-    return F.concat(
-        head.substr(F.lit(1), F.length(head) - 1),
-        F.lit(","),
-        repo,
-        F.lit(","),
-        F.substring(tail, 2, _REST_OF_TEXT),
+    head = f"to_json({part('headers', 'metadata', 'source_id')})"
+    repo = f"to_json({part('repo_name')}, map('ignoreNullFields', 'false'))"
+    tail = f"to_json({part('chunks', 'model', 'timestamp')})"
+    return (
+        f"concat(substring({head}, 1, length({head}) - 1), ',', "
+        f"substring({repo}, 2, length({repo}) - 2), ',', substring({tail}, 2))"
     )
 
 
-def dead_letter(topic: Column, failed_at_ms: Column, error: Column, event: Column) -> Column:
-    """Envelope of a message that could not be sent."""
-    return F.to_json(
-        F.struct(
-            topic.alias("failedTopic"),
-            failed_at_ms.alias("failedAt"),
-            error.alias("error"),
-            event.alias("event"),
-        ),
-        {"ignoreNullFields": "false"},
+def dead_letter(topic: str, error: str, event: str, failed_at: str = "current_timestamp()") -> str:
+    """Envelope of a message that could not be sent; all but ``topic`` are SQL expressions."""
+    return (
+        f"to_json(named_struct('failedTopic', {quoted(topic)}, 'failedAt', unix_millis({failed_at}), "
+        f"'error', {error}, 'event', {event}), map('ignoreNullFields', 'false'))"
     )

@@ -21,8 +21,7 @@ ROWS_PER_SPLIT = 1_000_000
 
 
 def keyed_rows(rows: DataFrame, embedder: Embedder, row_id: str, text: str = "text") -> DataFrame:
-    key = text_key(F.lit(embedder.name), F.col(text), embedder.max_bytes)
-    return rows.select(row_id, key.alias("key"))
+    return rows.selectExpr(row_id, f"{text_key(embedder.name, text, embedder.max_bytes)} AS key")
 
 
 def count_keys(keyed: DataFrame, row_id: str) -> DataFrame:

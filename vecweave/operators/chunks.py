@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import rfc3339
+from vecweave.functions.text import quoted, rfc3339
 from vecweave.operators.embed import with_outcomes
 from vecweave.operators.embedders import Embedder
 
@@ -19,7 +19,9 @@ def explode_chunks(events: DataFrame) -> DataFrame:
     )
 
 
-def assemble_events(rows: DataFrame, key: list[str], model: Column, now: Column) -> DataFrame:
+def assemble_events(
+    rows: DataFrame, key: list[str], model: str, now: str = "current_timestamp()"
+) -> DataFrame:
     """Regroup embedded chunk rows to events, chunks in order of ``pos``.
 
     For chunk rows that were stored as a table. ``key`` must tell messages apart; event ids may repeat. Group size is
@@ -39,8 +41,8 @@ def assemble_events(rows: DataFrame, key: list[str], model: Column, now: Column)
             *key,
             *carried,
             F.transform("_chunks", lambda c: c.dropFields("pos")).alias("chunks"),
-            model.alias("model"),
-            rfc3339(now).alias("timestamp"),
+            F.lit(model).alias("model"),
+            F.expr(rfc3339(now)).alias("timestamp"),
         )
     )
 
@@ -48,7 +50,7 @@ def assemble_events(rows: DataFrame, key: list[str], model: Column, now: Column)
 def embed_events(
     events: DataFrame,
     embedder: Embedder,
-    now: Column | None = None,
+    now: str = "current_timestamp()",
     batch_size: int = DEFAULT_BATCH_SIZE,
     on_error: str = "row",
 ) -> DataFrame:
@@ -58,40 +60,27 @@ def embed_events(
     columns pass unchanged. ``chunks_in`` keeps the count before. An event may end up with no chunks: see
     :func:`publishable`.
     """
-    df = with_outcomes(
-        events, F.col("chunks.content"), embedder, batch_size, on_error, "_outcomes"
+    df = with_outcomes(events, "chunks.content", embedder, batch_size, on_error, "_outcomes")
+    model = quoted(embedder.name)
+    joined = (
+        "zip_with(chunks, _outcomes, (chunk, outcome) -> named_struct('chunk', chunk, 'outcome', outcome))"
     )
-    positions = F.transform("chunks", lambda _, pos: pos)
-    joined = F.arrays_zip(
-        F.col("chunks").alias("chunk"), F.col("_outcomes").alias("outcome"), positions.alias("pos")
+    embedded = (
+        "named_struct('id', item.chunk.id, 'file_id', item.chunk.file_id, 'chunk_type', item.chunk.chunk_type, "
+        "'language', item.chunk.language, 'embedding', item.outcome.embedding, "
+        f"'model', {model}, 'dimension', CAST(size(item.outcome.embedding) AS BIGINT))"
     )
-
-    def embedded_chunk(item: Column) -> Column:
-        chunk, vector = item["chunk"], item["outcome"]["embedding"]
-        return F.struct(
-            *[chunk[name].alias(name) for name in ("id", "file_id", "chunk_type", "language")],
-            vector.alias("embedding"),
-            F.lit(embedder.name).alias("model"),
-            F.size(vector).cast("bigint").alias("dimension"),
-        )
-
-    def failed_chunk(item: Column) -> Column:
-        return F.struct(
-            item["chunk"]["id"].alias("id"),
-            item["pos"].alias("pos"),
-            item["outcome"]["error"].alias("error"),
-        )
-
-    worked = F.filter(joined, lambda item: item["outcome"]["error"].isNull())
-    missed = F.filter(joined, lambda item: item["outcome"]["error"].isNotNull())
-    carried = [c for c in events.columns if c not in ("chunks", "timestamp")]
-    return df.select(
-        *carried,
-        F.transform(worked, embedded_chunk).alias("chunks"),
-        F.transform(missed, failed_chunk).alias("failed"),
-        F.size("chunks").cast("bigint").alias("chunks_in"),
-        F.lit(embedder.name).alias("model"),
-        rfc3339(F.current_timestamp() if now is None else now).alias("timestamp"),
+    failed = (
+        f"transform({joined}, (item, pos) -> "
+        "named_struct('id', item.chunk.id, 'pos', pos, 'error', item.outcome.error))"
+    )
+    return df.selectExpr(
+        *[c for c in events.columns if c not in ("chunks", "timestamp")],
+        f"transform(filter({joined}, item -> item.outcome.error IS NULL), item -> {embedded}) AS chunks",
+        f"filter({failed}, item -> item.error IS NOT NULL) AS failed",
+        "CAST(size(chunks) AS BIGINT) AS chunks_in",
+        f"{model} AS model",
+        f"{rfc3339(now)} AS timestamp",
     )
 
 

@@ -6,79 +6,82 @@ what the message format forbids (a number where text belongs, a negative or frac
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE, MAX_UINT32
-
-_HEADER_FIELDS = (
-    "event_id",
-    "event_type",
-    "timestamp",
-    "source_service",
-    "correlation_id",
-    "trace_id",
-)
-_METADATA_FIELDS = ("retry_count", "original_event_id", "user_id", "tenant_id")
-_CHUNK_FIELDS = (
-    "id",
-    "file_id",
-    "chunk_type",
-    "content",
-    "language",
-    "start_line",
-    "end_line",
-    "confidence",
-    "quality_score",
-)
-_EVENT_FIELDS = ("headers", "metadata", "source_id", "repo_name", "chunks", "timestamp")
-_REQUEST_FIELDS = ("texts", "model", "batch_size")
-
-
-def _open(names: tuple[str, ...]) -> str:
+from vecweave.functions.text import quoted
+
+# Fields and their rules: what the JSON value must be. A leading "?" lets it be absent or null.
+_HEADERS = {
+    "event_id": "text",
+    "event_type": "text",
+    "timestamp": "text",
+    "source_service": "text",
+    "correlation_id": "?text",
+    "trace_id": "?text",
+}
+_METADATA = {
+    "retry_count": "counter",
+    "original_event_id": "?text",
+    "user_id": "?text",
+    "tenant_id": "?text",
+}
+_CHUNK = {
+    "id": "text",
+    "file_id": "text",
+    "chunk_type": "text",
+    "content": "text",
+    "language": "?text",
+    "start_line": "?uint32",
+    "end_line": "?uint32",
+    "confidence": "?number",
+    "quality_score": "?number",
+}
+_EVENT = ("headers", "metadata", "source_id", "repo_name", "chunks", "timestamp")
+_REQUEST = ("texts", "model", "batch_size")
+_TYPES = {"text": "string", "counter": "bigint", "uint32": "bigint", "number": "float"}
+
+
+def _open(names) -> str:
+    """Type of an object whose fields are still variants."""
     return "struct<" + ", ".join(f"{name}: variant" for name in names) + ">"
 
 
-def _kind(value: Column) -> Column:
-    """Type name of a variant; 'ABSENT' if the field is not there, 'VOID' if it is a JSON null."""
-    return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
-
-
-def _as(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
-
-
-def _text(value: Column) -> Column:
-    return _kind(value) == "STRING"
-
+def _get(value: str, kind: str) -> str:
+    return f"try_variant_get({value}, '$', '{kind}')"
 
-def _optional_text(value: Column) -> Column:
-    return _kind(value).isin("ABSENT", "VOID", "STRING")
 
-
-def _uint32(value: Column) -> Column:
-    return (_kind(value) == "BIGINT") & F.coalesce(
-        _as(value, "bigint").between(0, MAX_UINT32), F.lit(False)
-    )
-
-
-def _optional_uint32(value: Column) -> Column:
-    return _kind(value).isin("ABSENT", "VOID") | _uint32(value)
+def _kind(value: str) -> str:
+    """Type name of a variant; 'ABSENT' if the field is not there, 'VOID' if it is a JSON null."""
+    return f"coalesce(schema_of_variant({value}), 'ABSENT')"
 
 
-def _optional_number(value: Column) -> Column:
-    kind = _kind(value)
-    return kind.isin("ABSENT", "VOID", "BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+def _obeys(value: str, rule: str) -> str:
+    """Condition, never null."""
+    kind, count = _kind(value), _get(value, "bigint")
+    if rule.startswith("?"):
+        return f"({kind} IN ('ABSENT', 'VOID') OR {_obeys(value, rule[1:])})"
+    if rule == "text":
+        return f"{kind} = 'STRING'"
+    if rule == "uint32":
+        return f"({kind} = 'BIGINT' AND coalesce({count} BETWEEN 0 AND {MAX_UINT32}, false))"
+    if rule == "counter":
+        return f"({kind} = 'ABSENT' OR {_obeys(value, 'uint32')})"
+    return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
 
 
-def _every(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left & right, conditions)
+def _all_obey(struct: str, rules: dict[str, str]) -> str:
+    fields = [_obeys(f"{struct}.{name}", rule) for name, rule in rules.items()]
+    return " AND ".join([f"{struct} IS NOT NULL", *fields])
 
 
-def _first_reason(checks: list[tuple[Column, str]]) -> Column:
-    return F.coalesce(*[F.when(~passed, F.lit(reason)) for passed, reason in checks])
+def _typed(struct: str, rules: dict[str, str]) -> str:
+    fields = []
+    for name, rule in rules.items():
+        field = _get(f"{struct}.{name}", _TYPES[rule.lstrip("?")])
+        fields.append(f"'{name}', " + (f"coalesce({field}, 0)" if rule == "counter" else field))
+    return f"named_struct({', '.join(fields)})"
 
 
 def _parsed(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFrame:
@@ -87,38 +90,36 @@ def _parsed(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFrame:
     The parser stops after the first value and ignores what follows. So the message is put into an array with a
     digest of itself behind it: the digest comes back as second and last element only if nothing else was there.
     """
-    text = F.try_validate_utf8(F.col(value).cast("string"))
-    df = df.withColumn("_text", text).withColumn("_digest", F.sha2(F.col("_text"), 256))
-    wrapped = F.concat(F.lit("["), F.col("_text"), F.lit(',"'), F.col("_digest"), F.lit('"]'))
-    df = df.withColumn("_pair", _as(F.try_parse_json(wrapped), "array<variant>"))
-    df = df.withColumn(
-        "_whole",
-        F.coalesce(
-            (F.size("_pair") == 2) & (_as(F.col("_pair")[1], "string") == F.col("_digest")),
-            F.lit(False),
-        ),
+    pair = _get("try_parse_json(concat('[', _text, ',\"', _digest, '\"]'))", "array<variant>")
+    whole = f"coalesce(size(_pair) = 2 AND {_get('_pair[1]', 'string')} = _digest, false)"
+    return (
+        df.withColumn("_text", F.expr(f"try_validate_utf8(CAST({value} AS STRING))"))
+        .withColumn("_digest", F.expr("sha2(_text, 256)"))
+        .withColumn("_pair", F.expr(pair))
+        .withColumn("_whole", F.expr(whole))
+        .withColumn("_top", F.expr(f"CASE WHEN _whole THEN {_get('_pair[0]', _open(fields))} END"))
     )
-    return df.withColumn(
-        "_top", F.when(F.col("_whole"), _as(F.col("_pair")[0], _open(fields)))
-    ).drop("_digest", "_pair")
 
 
-def _message_checks(df: DataFrame, value: str) -> list[tuple[Column, str]]:
-    return [
-        (F.col(value).isNotNull(), "empty payload"),
-        (F.col("_text").isNotNull(), "not UTF-8"),
-        (F.col("_whole"), "not one JSON value"),
-        (F.col("_top").isNotNull(), "not an object"),
+def _judged(
+    df: DataFrame, value: str, keep: list[str], rules: list[tuple[str, str]], fields: dict[str, str]
+) -> DataFrame:
+    """One output row per message: kept columns, ``reject_reason``, fields. The generator keeps later filters on
+    the reason above the parsing, which would otherwise be done once for the filter and again for the values."""
+    rules = [
+        (f"{value} IS NOT NULL", "empty payload"),
+        ("_text IS NOT NULL", "not UTF-8"),
+        ("_whole", "not one JSON value"),
+        ("_top IS NOT NULL", "not an object"),
+        *rules,
     ]
-
-
-def _emit(df: DataFrame, keep: list[str], reason: Column, fields: list[Column]) -> DataFrame:
-    """One output row per message. The generator keeps later filters on ``reject_reason`` above the parsing, which
-    would otherwise be done once for the filter and again for the values."""
-    df = df.withColumn("reject_reason", reason)
-    accepted = F.col("reject_reason").isNull()
-    values = [F.when(accepted, field).alias(name) for name, field in fields]
-    return df.select(*keep, F.inline(F.array(F.struct("reject_reason", *values))))
+    cases = " ".join(f"WHEN NOT ({rule}) THEN {quoted(reason)}" for rule, reason in rules)
+    df = df.withColumn("reject_reason", F.expr(f"CASE {cases} END"))
+    values = "".join(
+        f", CASE WHEN reject_reason IS NULL THEN {field} END AS {name}"
+        for name, field in fields.items()
+    )
+    return df.selectExpr(*keep, f"inline(array(struct(reject_reason{values})))")
 
 
 def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
@@ -127,114 +128,59 @@ def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
     Keeps every input row and column and adds ``reject_reason`` and the event fields. A message that breaks a rule
     anywhere has a reason and no fields; see :func:`valid_events` and :func:`rejected_messages`.
     """
-    keep = df.columns
-    df = _parsed(df, value, _EVENT_FIELDS)
-    top = F.col("_top")
-    df = (
-        df.withColumn("_headers", _as(top["headers"], _open(_HEADER_FIELDS)))
-        .withColumn("_metadata", _as(top["metadata"], _open(_METADATA_FIELDS)))
-        .withColumn("_chunks", _as(top["chunks"], f"array<{_open(_CHUNK_FIELDS)}>"))
+    opened = _parsed(df, value, _EVENT).withColumns(
+        {
+            "_headers": F.expr(_get("_top.headers", _open(_HEADERS))),
+            "_metadata": F.expr(_get("_top.metadata", _open(_METADATA))),
+            "_chunks": F.expr(_get("_top.chunks", f"array<{_open(_CHUNK)}>")),
+        }
     )
-    headers, metadata, chunks = F.col("_headers"), F.col("_metadata"), F.col("_chunks")
-
-    def good_chunk(chunk: Column) -> Column:
-        return _every(
-            [_text(chunk[name]) for name in ("id", "file_id", "chunk_type", "content")]
-            + [_optional_text(chunk["language"])]
-            + [_optional_uint32(chunk[name]) for name in ("start_line", "end_line")]
-            + [_optional_number(chunk[name]) for name in ("confidence", "quality_score")]
-        )
-
-    retry_count = metadata["retry_count"]
-    reason = _first_reason(
-        _message_checks(df, value)
-        + [
-            (
-                _every(
-                    [headers.isNotNull()]
-                    + [_text(headers[name]) for name in _HEADER_FIELDS[:4]]
-                    + [_optional_text(headers[name]) for name in _HEADER_FIELDS[4:]]
-                ),
-                "bad headers",
-            ),
-            (
-                (_kind(top["metadata"]) == "ABSENT")
-                | _every(
-                    [
-                        metadata.isNotNull(),
-                        (_kind(retry_count) == "ABSENT") | _uint32(retry_count),
-                    ]
-                    + [_optional_text(metadata[name]) for name in _METADATA_FIELDS[1:]]
-                ),
-                "bad metadata",
-            ),
-            (_text(top["source_id"]), "bad source_id"),
-            (_optional_text(top["repo_name"]), "bad repo_name"),
-            (chunks.isNotNull() & F.forall(chunks, good_chunk), "bad chunks"),
-            (_text(top["timestamp"]), "bad timestamp"),
-        ]
-    )
-
-    def typed(struct: Column, kinds: dict[str, str]) -> list[Column]:
-        return [_as(struct[name], kind).alias(name) for name, kind in kinds.items()]
-
-    texts = dict.fromkeys(_METADATA_FIELDS[1:], "string")
-    chunk_kinds = dict.fromkeys(_CHUNK_FIELDS, "string") | {
-        "start_line": "bigint",
-        "end_line": "bigint",
-        "confidence": "float",
-        "quality_score": "float",
+    rules = [
+        (_all_obey("_headers", _HEADERS), "bad headers"),
+        (
+            f"{_kind('_top.metadata')} = 'ABSENT' OR ({_all_obey('_metadata', _METADATA)})",
+            "bad metadata",
+        ),
+        (_obeys("_top.source_id", "text"), "bad source_id"),
+        (_obeys("_top.repo_name", "?text"), "bad repo_name"),
+        (
+            f"_chunks IS NOT NULL AND forall(_chunks, chunk -> {_all_obey('chunk', _CHUNK)})",
+            "bad chunks",
+        ),
+        (_obeys("_top.timestamp", "text"), "bad timestamp"),
+    ]
+    fields = {
+        "headers": _typed("_headers", _HEADERS),
+        "metadata": _typed("_metadata", _METADATA),
+        "source_id": _get("_top.source_id", "string"),
+        "repo_name": _get("_top.repo_name", "string"),
+        "chunks": f"transform(_chunks, chunk -> {_typed('chunk', _CHUNK)})",
+        "timestamp": _get("_top.timestamp", "string"),
     }
-    return _emit(
-        df,
-        keep,
-        reason,
-        [
-            ("headers", F.struct(*typed(headers, dict.fromkeys(_HEADER_FIELDS, "string")))),
-            (
-                "metadata",
-                F.struct(
-                    F.coalesce(_as(retry_count, "bigint"), F.lit(0)).alias("retry_count"),
-                    *typed(metadata, texts),
-                ),
-            ),
-            ("source_id", _as(top["source_id"], "string")),
-            ("repo_name", _as(top["repo_name"], "string")),
-            ("chunks", F.transform(chunks, lambda chunk: F.struct(*typed(chunk, chunk_kinds)))),
-            ("timestamp", _as(top["timestamp"], "string")),
-        ],
-    )
+    return _judged(opened, value, df.columns, rules, fields)
 
 
 def decode_requests(df: DataFrame, value: str = "value") -> DataFrame:
     """Decode batch requests {texts, model, batch_size?}; an absent batch size becomes the default."""
-    keep = df.columns
-    df = _parsed(df, value, _REQUEST_FIELDS)
-    top = F.col("_top")
-    df = df.withColumn("_texts", _as(top["texts"], "array<variant>"))
-    size = top["batch_size"]
-    # Unsigned and machine-wide in the message format; here anything a bigint holds.
-    good_size = _kind(size).isin("ABSENT", "VOID") | (
-        (_kind(size) == "BIGINT") & F.coalesce(_as(size, "bigint") >= 0, F.lit(False))
-    )
-    reason = _first_reason(
-        _message_checks(df, value)
-        + [
-            (F.col("_texts").isNotNull() & F.forall("_texts", _text), "bad texts"),
-            (_text(top["model"]), "bad model"),
-            (good_size, "bad batch_size"),
-        ]
-    )
-    return _emit(
-        df,
-        keep,
-        reason,
-        [
-            ("texts", F.transform("_texts", lambda text: _as(text, "string"))),
-            ("model", _as(top["model"], "string")),
-            ("batch_size", F.coalesce(_as(size, "bigint"), F.lit(DEFAULT_BATCH_SIZE))),
-        ],
+    opened = _parsed(df, value, _REQUEST).withColumn(
+        "_texts", F.expr(_get("_top.texts", "array<variant>"))
     )
+    size, kind = _get("_top.batch_size", "bigint"), _kind("_top.batch_size")
+    rules = [
+        (f"_texts IS NOT NULL AND forall(_texts, text -> {_obeys('text', 'text')})", "bad texts"),
+        (_obeys("_top.model", "text"), "bad model"),
+        # The size is unsigned and as wide as the machine; here, whatever a bigint holds.
+        (
+            f"{kind} IN ('ABSENT', 'VOID') OR ({kind} = 'BIGINT' AND coalesce({size} >= 0, false))",
+            "bad batch_size",
+        ),
+    ]
+    fields = {
+        "texts": f"transform(_texts, text -> {_get('text', 'string')})",
+        "model": _get("_top.model", "string"),
+        "batch_size": f"coalesce({size}, {DEFAULT_BATCH_SIZE})",
+    }
+    return _judged(opened, value, df.columns, rules, fields)
 
 
 def valid_events(decoded: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import truncate_all
+from vecweave.functions.text import quoted, truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
 
@@ -20,13 +20,14 @@ def spread_calls(df: DataFrame, embedder: Embedder) -> DataFrame:
 
 def with_outcomes(
     df: DataFrame,
-    texts: Column,
+    texts: str,
     embedder: Embedder,
-    batch_size: int | Column = DEFAULT_BATCH_SIZE,
+    batch_size: int | str = DEFAULT_BATCH_SIZE,
     on_error: str = "row",
     name: str = "outcomes",
 ) -> DataFrame:
-    """Add an array of outcomes for an array of texts. Every row stays whole and in place, so regrouping is free."""
+    """Add an array of outcomes for an array of texts (a SQL expression). Every row stays whole and in place, so
+    regrouping is free."""
     cut = truncate_all(texts, embedder.max_bytes)
     return spread_calls(df, embedder).withColumn(
         name, embedder.outcomes(cut, batch_size, on_error)
@@ -45,14 +46,13 @@ def embed_rows(
     Rows whose text failed stay, with an error and no vector; see :func:`embedded` and :func:`failures`. Empty
     texts are embedded like any other.
     """
-    df = with_outcomes(df, F.array(F.col(text)), embedder, batch_size, on_error, "_outcomes")
-    outcome = F.col("_outcomes")[0]
-    return df.select(
+    df = with_outcomes(df, f"array({text})", embedder, batch_size, on_error, "_outcomes")
+    return df.selectExpr(
         *[c for c in df.columns if c != "_outcomes"],
-        outcome["embedding"].alias("embedding"),
-        F.lit(embedder.name).alias("model"),
-        F.size(outcome["embedding"]).cast("bigint").alias("dimension"),
-        outcome["error"].alias("error"),
+        "_outcomes[0].embedding AS embedding",
+        f"{quoted(embedder.name)} AS model",
+        "CAST(size(_outcomes[0].embedding) AS BIGINT) AS dimension",
+        "_outcomes[0].error AS error",
     )
 
 
@@ -109,24 +109,19 @@ def embed_batches(batches: DataFrame, embedder: Embedder, on_error: str = "batch
     Later batches still come after a failed one. Other columns are kept. Works on streams.
     """
     check_scope(on_error)
-    size = F.greatest(F.size("texts"), F.lit(1))
-    df = with_outcomes(batches, F.col("texts"), embedder, size, on_error, "_outcomes")
-    errors = F.filter(F.col("_outcomes.error"), lambda error: error.isNotNull())
-    return df.select(
+    size = "greatest(size(texts), 1)"
+    df = with_outcomes(batches, "texts", embedder, size, on_error, "_outcomes")
+    error = "get(filter(_outcomes.error, error -> error IS NOT NULL), 0)"
+    return df.selectExpr(
         *[c for c in df.columns if c not in ("_outcomes", "texts")],
-        F.when(F.size(errors) == 0, F.col("_outcomes.embedding")).alias("embeddings"),
-        F.when(F.size(errors) > 0, errors[0]).alias("error"),
+        f"CASE WHEN {error} IS NULL THEN _outcomes.embedding END AS embeddings",
+        f"{error} AS error",
     )
 
 
-def reorder_by_index(data: Column) -> Column:
-    """Vectors of a model answer array<struct<index, embedding>>, in index order."""
-    return F.transform(
-        F.array_sort(
-            data,
-            lambda left, right: F.when(left["index"] < right["index"], -1)
-            .when(left["index"] > right["index"], 1)
-            .otherwise(0),
-        ),
-        lambda item: item["embedding"],
+def reorder_by_index(data: str) -> str:
+    """SQL of the vectors of a model answer array<struct<index, embedding>>, in index order."""
+    return (
+        f"transform(array_sort({data}, (a, b) -> CASE WHEN a.index < b.index THEN -1 WHEN a.index > b.index THEN 1 "
+        "ELSE 0 END), item -> item.embedding)"
     )

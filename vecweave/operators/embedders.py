@@ -1,7 +1,7 @@
 """Embedders: what turns texts into vectors.
 
 An embedder has a name, a declared dimension, an input limit in bytes and a limit of parallel calls, and turns an
-``array<string>`` column into an array of outcomes (vector or error) of the same length and order.
+``array<string>`` expression into an array of outcomes (vector or error) of the same length and order.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class Embedder(Protocol):
     max_parallel: int | None
 
     def outcomes(
-        self, texts: Column, batch_size: int | Column = DEFAULT_BATCH_SIZE, on_error: str = "row"
+        self, texts: str, batch_size: int | str = DEFAULT_BATCH_SIZE, on_error: str = "row"
     ) -> Column: ...
 
 
@@ -63,7 +63,7 @@ class HashingEmbedder:
     max_parallel: int | None = None
 
     def outcomes(
-        self, texts: Column, batch_size: int | Column = DEFAULT_BATCH_SIZE, on_error: str = "row"
+        self, texts: str, batch_size: int | str = DEFAULT_BATCH_SIZE, on_error: str = "row"
     ) -> Column:
         check_scope(on_error)
         return hashed_vectors(texts, self.dimension)
@@ -143,10 +143,10 @@ class CallableEmbedder:
             raise ValueError("attempts must be at least 1")
 
     def outcomes(
-        self, texts: Column, batch_size: int | Column = DEFAULT_BATCH_SIZE, on_error: str = "row"
+        self, texts: str, batch_size: int | str = DEFAULT_BATCH_SIZE, on_error: str = "row"
     ) -> Column:
-        """With a number as ``batch_size``, calls are filled with the texts of neighbouring rows; with a column,
-        each row is cut into calls of its own size."""
+        """With a number as ``batch_size``, calls are filled with the texts of neighbouring rows; with an
+        expression, each row is cut into calls of its own size."""
         check_scope(on_error)
         run, open_model, call = self._run, self.open_model, self.call
         kind = pa.list_(
@@ -158,7 +158,7 @@ class CallableEmbedder:
         def model():
             return call if open_model is None else open_model()
 
-        if isinstance(batch_size, Column):
+        if isinstance(batch_size, str):
 
             @F.arrow_udf(f"array<{OUTCOME}>")
             def embed_rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -167,7 +167,7 @@ class CallableEmbedder:
                     rows = zip(batch.to_pylist(), sizes.to_pylist())
                     yield pa.array([run(opened, row or [], size, on_error) for row, size in rows], kind)
 
-            return embed_rows.asNondeterministic()(texts, batch_size)
+            return embed_rows.asNondeterministic()(F.expr(texts), F.expr(batch_size))
 
         check_batch_size(batch_size)
 
@@ -179,7 +179,7 @@ class CallableEmbedder:
                 flat = iter(run(opened, [text for row in rows for text in row], batch_size, on_error))
                 yield pa.array([[next(flat) for _ in row] for row in rows], kind)
 
-        return embed_together.asNondeterministic()(texts)
+        return embed_together.asNondeterministic()(F.expr(texts))
 
     def _run(self, model, texts: list, size: int, on_error: str) -> list:
         """Outcomes of ``texts``, sent in calls of ``size``. Null texts are not sent."""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import truncate_all
-from vecweave.operators.embed import spread_calls
+from vecweave.functions.text import quoted
+from vecweave.operators.embed import with_outcomes
 from vecweave.operators.embedders import Embedder
 
 
@@ -47,50 +47,41 @@ def embed_requests(
     names = [embedder.name for embedder in embedders]
     if len(set(names)) < len(names):
         raise ValueError("embedders must have different names")
-    model = F.coalesce(F.col("model"), F.lit(default.name))
-    size = F.coalesce(F.col("batch_size"), F.lit(DEFAULT_BATCH_SIZE))
-    serving = F.when(model.isin(names), model)
-    if not strict:
-        serving = F.coalesce(serving, F.lit(default.name))
+    known = ", ".join(quoted(name) for name in names)
+    fallback = "NULL" if strict else quoted(default.name)
     others = [c for c in requests.columns if c not in ("texts", "model", "batch_size")]
-    df = requests.select(
+    df = requests.selectExpr(
         *others,
-        F.coalesce(F.col("texts"), F.array().cast("array<string>")).alias("_texts"),
-        model.alias("model"),
-        size.alias("_size"),
-        F.when(size > 0, serving).alias("_serving"),
+        "coalesce(texts, CAST(array() AS ARRAY<STRING>)) AS _texts",
+        f"coalesce(model, {quoted(default.name)}) AS model",
+        f"coalesce(batch_size, {DEFAULT_BATCH_SIZE}) AS _size",
+    ).selectExpr(
+        "*",
+        f"CASE WHEN _size > 0 THEN CASE WHEN model IN ({known}) THEN model ELSE {fallback} END END AS _serving",
     )
     for place, embedder in enumerate(embedders):
         # Each embedder sees its own requests; the others are empty lists to it.
-        mine = F.when(F.col("_serving") == embedder.name, F.col("_texts")).otherwise(
-            F.array().cast("array<string>")
+        mine = f"filter(_texts, text -> _serving = {quoted(embedder.name)})"
+        df = with_outcomes(df, mine, embedder, "greatest(_size, 1)", "batch", f"_outcomes_{place}")
+    outcomes = ", ".join(f"_outcomes_{place}" for place in range(len(embedders)))
+    declared = " ".join(f"WHEN {quoted(e.name)} THEN {e.dimension}" for e in embedders)
+    return (
+        df.withColumn("_outcomes", F.expr(f"concat({outcomes})"))
+        .withColumn(
+            "error",
+            F.expr(
+                "CASE WHEN _size < 1 THEN 'batch_size must be at least 1' "
+                "WHEN _serving IS NULL THEN 'model not found' "
+                "ELSE get(filter(_outcomes.error, error -> error IS NOT NULL), 0) END"
+            ),
         )
-        cut = truncate_all(mine, embedder.max_bytes)
-        sizes = F.greatest(F.col("_size"), F.lit(1))
-        df = spread_calls(df, embedder).withColumn(
-            f"_outcomes_{place}", embedder.outcomes(cut, sizes, "batch")
+        .selectExpr(
+            *others,
+            "CASE WHEN error IS NULL THEN _outcomes.embedding END AS embeddings",
+            "model",
+            f"CASE WHEN error IS NULL THEN CAST(CASE _serving {declared} END AS BIGINT) END AS dimension",
+            "CAST(aggregate(_outcomes.millis, 0D, (a, b) -> a + b) AS BIGINT) AS processing_time_ms",
+            "CASE WHEN error IS NULL THEN CAST(size(_outcomes) AS BIGINT) END AS total_texts",
+            "error",
         )
-    outcomes = F.concat(*[F.col(f"_outcomes_{place}") for place in range(len(embedders))])
-    df = df.withColumn("_outcomes", outcomes)
-    errors = F.filter(F.col("_outcomes.error"), lambda error: error.isNotNull())
-    error = (
-        F.when(F.col("_size") < 1, "batch_size must be at least 1")
-        .when(F.col("_serving").isNull(), "model not found")
-        .when(F.size(errors) > 0, errors[0])
-    )
-    declared = F.lit(default.dimension)
-    for embedder in embedders:
-        declared = F.when(F.col("_serving") == embedder.name, embedder.dimension).otherwise(declared)
-    df = df.withColumn("error", error)
-    answered = F.col("error").isNull()
-    return df.select(
-        *others,
-        F.when(answered, F.col("_outcomes.embedding")).alias("embeddings"),
-        "model",
-        F.when(answered, declared).cast("bigint").alias("dimension"),
-        F.floor(F.aggregate(F.col("_outcomes.millis"), F.lit(0.0), lambda a, b: a + b)).alias(
-            "processing_time_ms"
-        ),
-        F.when(answered, F.size("_outcomes")).cast("bigint").alias("total_texts"),
-        "error",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.functions.hashing import hashed_weights
@@ -40,6 +40,7 @@ from vecweave.operators.search import text_search, vector_topk
 from vecweave.plans.embedding import PUBLISHED, process_messages
 from vecweave.plans.tables import (
     checksum,
+    checksum_all,
     chunk_events,
     damaged_messages,
     event_messages,
@@ -54,8 +55,7 @@ DIMENSION = 64
 EMBEDDER = HashingEmbedder(DIMENSION)
 
 
-def _now() -> Column:
-    return F.timestamp_micros(F.lit(1_704_164_645_000_000))
+NOW = "timestamp_micros(1704164645000000)"
 
 
 def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -84,13 +84,13 @@ def _local_model(name: str, function) -> CallableEmbedder:
 
 
 def truncate_utf8_query(spark: SparkSession, folder: str) -> DataFrame:
-    short, tight = truncate_utf8(F.col("text")), truncate_utf8(F.col("text"), 101)
-    return _documents(spark, folder, "doc_id", "text").select(
+    short, tight = truncate_utf8("text"), truncate_utf8("text", 101)
+    return _documents(spark, folder, "doc_id", "text").selectExpr(
         "doc_id",
-        F.octet_length(short).cast("bigint").alias("n_bytes"),
-        F.md5(short).alias("digest"),
-        F.octet_length(tight).cast("bigint").alias("n_bytes_101"),
-        F.md5(tight).alias("digest_101"),
+        f"CAST(octet_length({short}) AS BIGINT) AS n_bytes",
+        f"md5({short}) AS digest",
+        f"CAST(octet_length({tight}) AS BIGINT) AS n_bytes_101",
+        f"md5({tight}) AS digest_101",
     )
 
 
@@ -129,21 +129,20 @@ def correlation_id_query(spark: SparkSession, folder: str) -> DataFrame:
     events = valid_events(decode_events(event_messages(_documents(spark, folder))))
     return events.select(
         F.col("headers.event_id").alias("event_id"),
-        correlation_id(F.col("headers")).alias("correlation_id"),
+        F.expr(correlation_id()).alias("correlation_id"),
     )
 
 
 def make_headers_query(spark: SparkSession, folder: str) -> DataFrame:
     headers = make_headers(
-        F.concat_ws("/", "source", "doc_id"),
-        F.lit("embedding.generated"),
-        F.col("source"),
-        _now(),
-        F.nullif(F.col("lang"), F.lit("en")),
+        "concat_ws('/', source, doc_id)",
+        "'embedding.generated'",
+        "source",
+        NOW,
+        "nullif(lang, 'en')",
     )
-    return _documents(spark, folder, "doc_id", "source", "lang").select(
-        "doc_id", headers.alias("h")
-    ).select("doc_id", "h.*")
+    documents = _documents(spark, folder, "doc_id", "source", "lang")
+    return documents.selectExpr("doc_id", f"{headers} AS h").select("doc_id", "h.*")
 
 
 def _model_of_language() -> Column:
@@ -171,24 +170,22 @@ def batch_plan_query(spark: SparkSession, folder: str) -> DataFrame:
 def batch_response(spark: SparkSession, folder: str) -> DataFrame:
     requests = decode_requests(request_messages(_documents(spark, folder))).drop("value")
     answers = embed_requests(requests, [EMBEDDER])
-    marks = F.transform("embeddings", lambda vector, place: checksum(vector) * (place + 1))
     return answers.select(
         "request_id",
         "model",
         "dimension",
         "total_texts",
-        F.aggregate(marks, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("mark"),
+        F.expr(checksum_all("embeddings")).alias("mark"),
         "error",
     )
 
 
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
     batches = numbered_batches(_documents(spark, folder, "doc_id", "text"), "text", "doc_id")
-    marks = F.transform("embeddings", lambda vector, place: checksum(vector) * (place + 1))
     return embed_batches(batches, EMBEDDER).select(
         "batch_no",
         F.size("embeddings").cast("bigint").alias("n_texts"),
-        F.aggregate(marks, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("mark"),
+        F.expr(checksum_all("embeddings")).alias("mark"),
     )
 
 
@@ -227,7 +224,7 @@ def reorder_by_index_query(spark: SparkSession, folder: str) -> DataFrame:
         .select("conv_id", "answer_no", F.col("items.item").alias("data"))
     )
     vectors = answers.select(
-        "conv_id", "answer_no", F.posexplode(reorder_by_index(F.col("data"))).alias("pos", "vector")
+        "conv_id", "answer_no", F.posexplode(F.expr(reorder_by_index("data"))).alias("pos", "vector")
     )
     return vectors.select(
         "conv_id",
@@ -239,7 +236,7 @@ def reorder_by_index_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_hash_weights(spark: SparkSession, folder: str) -> DataFrame:
-    weights = hashed_weights(truncate_utf8(F.col("text")), DIMENSION)
+    weights = hashed_weights(truncate_utf8("text"), DIMENSION)
     return (
         _documents(spark, folder, "doc_id", "text")
         .select("doc_id", weights.alias("weights"))
@@ -274,7 +271,6 @@ def embed_callable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_report(events: DataFrame) -> DataFrame:
-    marks = F.transform("chunks", lambda chunk, place: checksum(chunk["embedding"]) * (place + 1))
     return events.select(
         F.col("headers.event_id").alias("event_id"),
         F.col("headers.event_type").alias("event_type"),
@@ -283,7 +279,7 @@ def _event_report(events: DataFrame) -> DataFrame:
         "repo_name",
         F.array_join("chunks.id", ",").alias("ids"),
         F.array_max("chunks.dimension").alias("dimension"),
-        F.aggregate(marks, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("mark"),
+        F.expr(checksum_all("chunks.embedding")).alias("mark"),
         "model",
         "timestamp",
     )
@@ -291,20 +287,20 @@ def _event_report(events: DataFrame) -> DataFrame:
 
 def embedding_events(spark: SparkSession, folder: str) -> DataFrame:
     events = valid_events(decode_events(event_messages(_documents(spark, folder))))
-    return _event_report(publishable(embed_events(events, EMBEDDER, _now())))
+    return _event_report(publishable(embed_events(events, EMBEDDER, NOW)))
 
 
 def assemble_events_query(spark: SparkSession, folder: str) -> DataFrame:
     events = valid_events(decode_events(event_messages(_documents(spark, folder))))
     rows = embedded(embed_rows(explode_chunks(events), EMBEDDER, "content"))
     rows = rows.withColumn("event_id", F.col("headers.event_id"))
-    return _event_report(assemble_events(rows, ["event_id"], F.lit(EMBEDDER.name), _now()))
+    return _event_report(assemble_events(rows, ["event_id"], EMBEDDER.name, NOW))
 
 
 def _partly_embedded(spark: SparkSession, folder: str) -> DataFrame:
-    content = F.concat_ws(":", "lang", "text")
+    content = "concat_ws(':', lang, text)"
     events = valid_events(decode_events(event_messages(_documents(spark, folder), content)))
-    return embed_events(events, _local_model("no-english", _refuse_english), _now())
+    return embed_events(events, _local_model("no-english", _refuse_english), NOW)
 
 
 def partial_failure(spark: SparkSession, folder: str) -> DataFrame:
@@ -323,7 +319,7 @@ def run_metrics_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def encode_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     events = valid_events(decode_events(event_messages(_documents(spark, folder))))
-    messages = encode_events(publishable(embed_events(events, EMBEDDER, _now())))
+    messages = encode_events(publishable(embed_events(events, EMBEDDER, NOW)))
     says = F.col("value").contains
     read = messages.select(
         "key",
@@ -331,9 +327,6 @@ def encode_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         (says('"language":null') | says('"correlation_id":null')).alias("says_other_null"),
         F.from_json("value", EMBEDDING_EVENT).alias("event"),
     )
-    marks = F.transform(
-        "event.chunks", lambda chunk, place: checksum(chunk["embedding"]) * (place + 1)
-    )
     return read.select(
         "key",
         "says_no_repo",
@@ -343,7 +336,7 @@ def encode_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event.repo_name").alias("repo_name"),
         F.array_join("event.chunks.id", ",").alias("ids"),
         F.array_join("event.chunks.language", ",", "-").alias("languages"),
-        F.aggregate(marks, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("mark"),
+        F.expr(checksum_all("event.chunks.embedding")).alias("mark"),
         F.col("event.timestamp").alias("timestamp"),
     )
 
@@ -353,7 +346,7 @@ def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
         F.col("source").alias("key"), F.col("text").alias("value")
     )
     _, too_large = split_oversize(messages, 2000)
-    letters = dead_letters(too_large, "embedding.generated", F.lit("too large"), _now())
+    letters = dead_letters(too_large, "embedding.generated", "'too large'", NOW)
     fields = "failedTopic string, failedAt bigint, error string, event string"
     return letters.select("key", F.from_json("value", fields).alias("letter")).select(
         "key",
@@ -366,7 +359,7 @@ def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
 
 def message_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     processed = process_messages(
-        damaged_messages(_documents(spark, folder)), EMBEDDER, _now()
+        damaged_messages(_documents(spark, folder)), EMBEDDER, NOW
     )
     return processed.groupBy("outcome", "error").agg(
         F.count("*").alias("messages"),
@@ -416,8 +409,8 @@ def _cache(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of the labelled documents, as an earlier run would have left them."""
     labelled = table(spark, folder, "labels").select("doc_id").distinct()
     known = _documents(spark, folder, "doc_id", "text").join(labelled, "doc_id", "left_semi")
-    key = text_key(F.lit(EMBEDDER.name), F.col("text"))
-    first = known.select("doc_id", key.alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    key = text_key(EMBEDDER.name, "text")
+    first = known.selectExpr("doc_id", f"{key} AS key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = known.join(first, "doc_id")
     return embedded(embed_rows(texts, EMBEDDER)).select("key", "model", "embedding")
 
@@ -430,7 +423,7 @@ def cache_misses_query(spark: SparkSession, folder: str) -> DataFrame:
 def cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder, "doc_id", "text")
     rows, _ = embed_with_cache(documents, _cache(spark, folder), EMBEDDER, "doc_id")
-    return rows.select("doc_id", "key", checksum(F.col("embedding")).alias("mark"))
+    return rows.select("doc_id", "key", F.expr(checksum("embedding")).alias("mark"))
 
 
 def vector_table_latest(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE, EMBEDDING_TOPIC, MAX_MESSAGE_BYTES
@@ -17,7 +17,7 @@ PUBLISHED, DEAD_LETTER, REJECTED, EMPTY = "published", "dead_letter", "rejected"
 def process_messages(
     messages: DataFrame,
     embedder: Embedder,
-    now: Column | None = None,
+    now: str = "current_timestamp()",
     topic: str = EMBEDDING_TOPIC,
     max_bytes: int = MAX_MESSAGE_BYTES,
     batch_size: int = DEFAULT_BATCH_SIZE,
@@ -30,47 +30,33 @@ def process_messages(
     the envelope), ``rejected`` (undecodable; ``value`` is the message as it came), ``empty`` (no vectors, nothing to
     send). The whole flow is narrow: a message never leaves its partition, so no source or event can become hot.
     """
-    moment = F.current_timestamp() if now is None else now
     decoded = decode_events(messages.select(value), value)
     # Rejected messages have no chunks; they pass the embedder as empty lists.
     chunks = F.coalesce(F.col("chunks"), F.array().cast(decoded.schema["chunks"].dataType))
     events = embed_events(
-        decoded.withColumn("chunks", chunks), embedder, moment, batch_size, on_error
+        decoded.withColumn("chunks", chunks), embedder, now, batch_size, on_error
     )
-    encoded = encode_embedding_event(
-        F.col("headers"),
-        F.col("metadata"),
-        F.col("source_id"),
-        F.col("repo_name"),
-        F.col("chunks"),
-        F.col("model"),
-        F.col("timestamp"),
+    events = events.withColumn("vectors_out", F.size("chunks").cast("bigint")).withColumn(
+        "_event", F.expr(f"CASE WHEN vectors_out > 0 THEN {encode_embedding_event()} END")
     )
-    events = events.withColumn("vectors_out", F.size("chunks").cast("bigint"))
-    events = events.withColumn("_event", F.when(F.col("vectors_out") > 0, encoded))
-    outcome = (
+    events = events.withColumn(
+        "outcome",
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("vectors_out") == 0, EMPTY)
         .when(F.octet_length("_event") > max_bytes, DEAD_LETTER)
-        .otherwise(PUBLISHED)
+        .otherwise(PUBLISHED),
     )
-    too_large = F.concat(F.lit("message of more than "), F.lit(max_bytes), F.lit(" bytes"))
-    events = events.withColumn("outcome", outcome)
-    return events.select(
+    too_large = f"'message of more than {max_bytes} bytes'"
+    return events.selectExpr(
         "outcome",
-        F.col("source_id").alias("key"),
-        F.when(F.col("outcome") == PUBLISHED, F.col("_event"))
-        .when(
-            F.col("outcome") == DEAD_LETTER,
-            dead_letter(F.lit(topic), F.unix_millis(moment), too_large, F.col("_event")),
-        )
-        .when(F.col("outcome") == REJECTED, F.col(value).cast("string"))
-        .alias("value"),
-        F.when(F.col("outcome") == REJECTED, F.col("reject_reason"))
-        .when(F.col("outcome") == DEAD_LETTER, too_large)
-        .alias("error"),
+        "source_id AS key",
+        f"""CASE outcome WHEN '{PUBLISHED}' THEN _event
+            WHEN '{DEAD_LETTER}' THEN {dead_letter(topic, too_large, '_event', now)}
+            WHEN '{REJECTED}' THEN CAST({value} AS STRING) END AS value""",
+        f"""CASE outcome WHEN '{REJECTED}' THEN reject_reason
+            WHEN '{DEAD_LETTER}' THEN {too_large} END AS error""",
         "source_id",
-        F.col("headers.event_id").alias("event_id"),
+        "headers.event_id AS event_id",
         "chunks_in",
         "vectors_out",
         "failed",

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.schemas import METADATA
+from vecweave.schemas import CHUNK, METADATA
 
 # Documents per event and per request are bounded by the width of an id range, never by how many share a source.
 EVENT_RANGE = 100
 REQUEST_RANGE = 1000
 EVENT_TIME = "2024-01-01T00:00:00+00:00"
+_CHUNK_FIELDS = (
+    "struct(item.id, item.file_id, item.chunk_type, item.content, item.language, item.start_line, item.end_line, "
+    "item.confidence, item.quality_score)"
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,50 +25,31 @@ def _bucket(width: int) -> Column:
     return F.floor(F.col("doc_id") / width)
 
 
-def chunk_events(documents: DataFrame, content: Column | None = None) -> DataFrame:
+def chunk_events(documents: DataFrame, content: str = "text") -> DataFrame:
     """Documents of one source and id range as the chunks of one event, in order of doc_id."""
-    bucket = F.col("bucket")
-    absent = F.lit(None).cast("string")
-    chunk = F.struct(
-        "doc_id",
-        F.col("doc_id").cast("string").alias("id"),
-        F.col("source").alias("file_id"),
-        F.lit("document").alias("chunk_type"),
-        (F.col("text") if content is None else content).alias("content"),
-        F.nullif(F.col("lang"), F.lit("fr")).alias("language"),
-        F.lit(1).cast("bigint").alias("start_line"),
-        absent.cast("bigint").alias("end_line"),
-        F.lit(0.5).cast("float").alias("confidence"),
-        absent.cast("float").alias("quality_score"),
+    grouped = documents.groupBy("source", F.expr(f"doc_id div {EVENT_RANGE}").alias("bucket")).agg(
+        F.expr(
+            f"""array_sort(collect_list(named_struct(
+                'doc_id', doc_id, 'id', CAST(doc_id AS STRING), 'file_id', source, 'chunk_type', 'document',
+                'content', {content}, 'language', nullif(lang, 'fr'), 'start_line', 1L,
+                'end_line', CAST(NULL AS BIGINT), 'confidence', 0.5F, 'quality_score', CAST(NULL AS FLOAT))))"""
+        ).alias("items")
     )
-    grouped = documents.groupBy("source", _bucket(EVENT_RANGE).alias("bucket")).agg(
-        F.array_sort(F.collect_list(chunk)).alias("items")
-    )
-    return grouped.select(
-        F.struct(
-            F.concat_ws("-", "source", "bucket").alias("event_id"),
-            F.lit("chunks.raw").alias("event_type"),
-            F.lit(EVENT_TIME).alias("timestamp"),
-            F.lit("loader").alias("source_service"),
-            F.when(bucket % 2 == 0, F.concat(F.lit("corr-"), F.col("source"))).alias(
-                "correlation_id"
-            ),
-            absent.alias("trace_id"),
-        ).alias("headers"),
-        F.when(
-            bucket % 3 > 0,
-            F.struct((bucket % 3).alias("retry_count"), absent, absent, absent).cast(METADATA),
-        ).alias("metadata"),
-        F.col("source").alias("source_id"),
-        F.when(F.col("source").rlike("[13579]$"), F.concat(F.lit("repo-"), F.col("source"))).alias(
-            "repo_name"
-        ),
-        F.transform("items", lambda item: item.dropFields("doc_id")).alias("chunks"),
-        F.lit(EVENT_TIME).alias("timestamp"),
+    return grouped.selectExpr(
+        f"""named_struct('event_id', concat_ws('-', source, bucket), 'event_type', 'chunks.raw',
+            'timestamp', '{EVENT_TIME}', 'source_service', 'loader',
+            'correlation_id', CASE WHEN bucket % 2 = 0 THEN concat('corr-', source) END,
+            'trace_id', CAST(NULL AS STRING)) AS headers""",
+        f"""CASE WHEN bucket % 3 > 0
+            THEN CAST(named_struct('a', bucket % 3, 'b', NULL, 'c', NULL, 'd', NULL) AS {METADATA}) END AS metadata""",
+        "source AS source_id",
+        "CASE WHEN source RLIKE '[13579]$' THEN concat('repo-', source) END AS repo_name",
+        f"CAST(transform(items, item -> {_CHUNK_FIELDS}) AS ARRAY<{CHUNK}>) AS chunks",
+        f"'{EVENT_TIME}' AS timestamp",
     )
 
 
-def event_messages(documents: DataFrame, content: Column | None = None) -> DataFrame:
+def event_messages(documents: DataFrame, content: str = "text") -> DataFrame:
     """The same events as JSON messages; absent fields are left out."""
     events = chunk_events(documents, content)
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
@@ -125,10 +110,13 @@ def request_messages(documents: DataFrame) -> DataFrame:
     )
 
 
-def checksum(embedding: Column) -> Column:
+def checksum(embedding: str) -> str:
     """A whole number that depends on every component of a vector and its place."""
-    millionths = F.transform(
-        embedding,
-        lambda x, place: F.round(x.cast("double") * 1_000_000).cast("bigint") * (place + 1),
-    )
-    return F.aggregate(millionths, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    millionths = f"transform({embedding}, (x, place) -> CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) * (place + 1))"
+    return f"aggregate({millionths}, 0L, (total, x) -> total + x)"
+
+
+def checksum_all(embeddings: str) -> str:
+    """The same for a list of vectors."""
+    marks = f"transform({embeddings}, (vector, at) -> {checksum('vector')} * (at + 1))"
+    return f"aggregate({marks}, 0L, (total, x) -> total + x)"

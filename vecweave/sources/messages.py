@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.constants import CHUNK_TOPIC, EMBEDDING_TOPIC, MAX_MESSAGE_BYTES
@@ -50,21 +50,10 @@ def read_chunk_events(
     return messages
 
 
-def encode_events(events: DataFrame, key: Column | None = None) -> DataFrame:
+def encode_events(events: DataFrame, key: str = "source_id") -> DataFrame:
     """Embedded events as ``key`` and ``value``. The key is the source unless given; a constant one would send
     every message to the same partition of the topic."""
-    value = encode_embedding_event(
-        F.col("headers"),
-        F.col("metadata"),
-        F.col("source_id"),
-        F.col("repo_name"),
-        F.col("chunks"),
-        F.col("model"),
-        F.col("timestamp"),
-    )
-    return events.select(
-        (F.col("source_id") if key is None else key).alias("key"), value.alias("value")
-    )
+    return events.selectExpr(f"{key} AS key", f"{encode_embedding_event()} AS value")
 
 
 def split_oversize(
@@ -76,12 +65,11 @@ def split_oversize(
 
 
 def dead_letters(
-    messages: DataFrame, topic: str, error: Column, failed_at: Column | None = None
+    messages: DataFrame, topic: str, error: str, failed_at: str = "current_timestamp()"
 ) -> DataFrame:
-    """Envelopes for messages that could not be sent to ``topic``; the event in them is its JSON text."""
-    moment = F.unix_millis(F.current_timestamp() if failed_at is None else failed_at)
-    envelope = dead_letter(F.lit(topic), moment, error, F.col("value"))
-    return messages.select("key", envelope.alias("value"))
+    """Envelopes for messages that could not be sent to ``topic``; the event in them is its JSON text. ``error`` is a
+    SQL expression."""
+    return messages.selectExpr("key", f"{dead_letter(topic, error, 'value', failed_at)} AS value")
 
 
 def write_messages(
