@@ -45,10 +45,10 @@ from vecweave.plans.tables import (
     damaged_messages,
     event_messages,
     request_messages,
-    table,
 )
 from vecweave.schemas import EMBEDDING_EVENT
 from vecweave.sources.messages import dead_letters, encode_events, split_oversize
+from vecweave.sources.tables import read_table, spread
 from vecweave.sources.vectors import latest_vectors
 
 DIMENSION = 64
@@ -58,9 +58,17 @@ EMBEDDER = HashingEmbedder(DIMENSION)
 NOW = "timestamp_micros(1704164645000000)"
 
 
+def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return read_table(spark, f"{folder}/{name}.parquet", *columns)
+
+
 def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return documents.select(*columns) if columns else documents
+    return _table(spark, folder, "documents", *columns)
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, shared among the cores for embedding."""
+    return spread(_documents(spark, folder, "doc_id", "text"))
 
 
 def _text_sizes(texts: list[str]) -> list[list[float]]:
@@ -106,7 +114,7 @@ def explode_chunks_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_valid(spark: SparkSession, folder: str) -> DataFrame:
-    events = valid_events(decode_events(damaged_messages(_documents(spark, folder))))
+    events = valid_events(decode_events(damaged_messages(spread(_documents(spark, folder)))))
     return events.select(
         "doc_id",
         "source_id",
@@ -118,7 +126,7 @@ def decode_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    decoded = decode_events(damaged_messages(_documents(spark, folder)))
+    decoded = decode_events(damaged_messages(spread(_documents(spark, folder))))
     return rejected_messages(decoded).groupBy("reject_reason").agg(
         F.count("*").alias("messages"),
         F.count("value").alias("with_payload"),
@@ -190,7 +198,7 @@ def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_batches_filled(spark: SparkSession, folder: str) -> DataFrame:
-    batches = filled_batches(_documents(spark, folder, "text"), "text")
+    batches = filled_batches(_texts(spark, folder), "text")
     done = embed_batches(batches, _local_model("sizes", _text_sizes))
     return done.agg(
         F.sum(F.size("embeddings")).cast("bigint").alias("n_texts"),
@@ -218,7 +226,7 @@ def reorder_by_index_query(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     answers = (
-        table(spark, folder, "conversations")
+        _table(spark, folder, "conversations")
         .groupBy("conv_id", F.floor(F.col("turn") / 32).alias("answer_no"))
         .agg(F.sort_array(F.collect_list(F.struct(F.md5("text").alias("shuffled"), item.alias("item")))).alias("items"))
         .select("conv_id", "answer_no", F.col("items.item").alias("data"))
@@ -238,7 +246,7 @@ def reorder_by_index_query(spark: SparkSession, folder: str) -> DataFrame:
 def embed_hash_weights(spark: SparkSession, folder: str) -> DataFrame:
     weights = hashed_weights(truncate_utf8("text"), DIMENSION)
     return (
-        _documents(spark, folder, "doc_id", "text")
+        _texts(spark, folder)
         .select("doc_id", weights.alias("weights"))
         .select("doc_id", F.posexplode("weights").alias("dim", "weight"))
         .filter("weight != 0")
@@ -247,7 +255,7 @@ def embed_hash_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embed_hash_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = embedded(embed_rows(_documents(spark, folder, "doc_id", "text"), EMBEDDER))
+    rows = embedded(embed_rows(_texts(spark, folder), EMBEDDER))
     return rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
         "doc_id",
         F.col("dim").cast("bigint").alias("dim"),
@@ -257,7 +265,7 @@ def embed_hash_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_callable(spark: SparkSession, folder: str) -> DataFrame:
     rows = embed_rows(
-        _documents(spark, folder, "doc_id", "text"), _local_model("sizes", _text_sizes)
+        _texts(spark, folder), _local_model("sizes", _text_sizes)
     )
     return embedded(rows).select(
         "doc_id",
@@ -359,7 +367,7 @@ def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
 
 def message_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     processed = process_messages(
-        damaged_messages(_documents(spark, folder)), EMBEDDER, NOW
+        damaged_messages(spread(_documents(spark, folder))), EMBEDDER, NOW
     )
     return processed.groupBy("outcome", "error").agg(
         F.count("*").alias("messages"),
@@ -376,7 +384,7 @@ def dedup_events_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return _table(spark, folder, "embeddings").select("vec_id", "embedding")
 
 
 def vector_topk_query(spark: SparkSession, folder: str) -> DataFrame:
@@ -398,17 +406,17 @@ def vector_topk_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_search_query(spark: SparkSession, folder: str) -> DataFrame:
-    documents = _documents(spark, folder, "doc_id", "text")
+    documents = _texts(spark, folder)
     vectors = embedded(embed_rows(documents, EMBEDDER)).withColumnRenamed("doc_id", "vec_id")
-    texts = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    texts = _table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
     found = text_search(texts, vectors, EMBEDDER, 10)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _cache(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of the labelled documents, as an earlier run would have left them."""
-    labelled = table(spark, folder, "labels").select("doc_id").distinct()
-    known = _documents(spark, folder, "doc_id", "text").join(labelled, "doc_id", "left_semi")
+    labelled = _table(spark, folder, "labels").select("doc_id").distinct()
+    known = _texts(spark, folder).join(labelled, "doc_id", "left_semi")
     key = text_key(EMBEDDER.name, "text")
     first = known.selectExpr("doc_id", f"{key} AS key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = known.join(first, "doc_id")
@@ -416,18 +424,18 @@ def _cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cache_misses_query(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = keyed_rows(_documents(spark, folder, "doc_id", "text"), EMBEDDER, "doc_id")
+    keyed = keyed_rows(_texts(spark, folder), EMBEDDER, "doc_id")
     return cache_misses(count_keys(keyed, "doc_id"), _cache(spark, folder))
 
 
 def cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    documents = _documents(spark, folder, "doc_id", "text")
+    documents = _texts(spark, folder)
     rows, _ = embed_with_cache(documents, _cache(spark, folder), EMBEDDER, "doc_id")
     return rows.select("doc_id", "key", F.expr(checksum("embedding")).alias("mark"))
 
 
 def vector_table_latest(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "conversations").select(
+    vectors = _table(spark, folder, "conversations").select(
         F.col("role").alias("model"),
         F.col("conv_id").alias("id"),
         F.col("turn").alias("version"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.schemas import CHUNK, METADATA
@@ -17,14 +17,6 @@ _CHUNK_FIELDS = (
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def _bucket(width: int) -> Column:
-    return F.floor(F.col("doc_id") / width)
-
-
 def chunk_events(documents: DataFrame, content: str = "text") -> DataFrame:
     """Documents of one source and id range as the chunks of one event, in order of doc_id."""
     grouped = documents.groupBy("source", F.expr(f"doc_id div {EVENT_RANGE}").alias("bucket")).agg(
@@ -57,45 +49,37 @@ def event_messages(documents: DataFrame, content: str = "text") -> DataFrame:
 
 def damaged_messages(documents: DataFrame) -> DataFrame:
     """One message per document, most of them broken in a way told by doc_id: doc_id, value."""
-    text = F.to_json(F.struct(F.col("text").alias("content"), F.col("lang").alias("language")))
-    kind = F.col("doc_id") % 12
-
-    def damage(number: int, broken: str, sound: str) -> Column:
-        return F.when(kind == number, F.lit(broken)).otherwise(F.lit(sound))
-
-    chunk = F.concat(
-        F.lit('{"id":"'),
-        F.col("doc_id"),
-        F.lit('","file_id":"'),
-        F.col("source"),
-        F.lit('","chunk_type":"document","start_line":'),
-        damage(4, "-1", "1"),
-        F.lit(","),
-        F.substring(text, 2, 2_147_483_647),
-    )
-    value = F.concat(
-        F.lit('{"headers":{'),
+    kind = "doc_id % 12"
+
+    def damage(number: int, broken: str, sound: str) -> str:
+        return f"CASE {kind} WHEN {number} THEN '{broken}' ELSE '{sound}' END"
+
+    parts = [
+        "'{\"headers\":{'",
         damage(7, "", '"event_id":"e",'),
-        F.lit('"event_type":"t","timestamp":"now","source_service":"loader"},'),
-        F.when(kind == 1, F.lit('"metadata":null,'))
-        .when(kind == 6, F.lit('"metadata":{"retry_count":1.5},'))
-        .when(kind == 10, F.lit(""))
-        .otherwise(F.lit('"metadata":{"retry_count":2},')),
+        "'\"event_type\":\"t\",\"timestamp\":\"now\",\"source_service\":\"loader\"},'",
+        f"""CASE {kind} WHEN 1 THEN '"metadata":null,' WHEN 6 THEN '"metadata":{{"retry_count":1.5}},'
+            WHEN 10 THEN '' ELSE '"metadata":{{"retry_count":2}},' END""",
         damage(3, '"source_id":7,', '"source_id":"s",'),
         damage(9, '"source_id":"again",', ""),
         damage(11, '"unknown":{"a":[1,2]},', ""),
-        F.lit('"chunks":['),
-        chunk,
-        F.lit('],"timestamp":"now"'),
+        "'\"chunks\":[{\"id\":\"', doc_id, '\",\"file_id\":\"', source",
+        "'\",\"chunk_type\":\"document\",\"start_line\":'",
+        damage(4, "-1", "1"),
+        "','",
+        "substring(to_json(named_struct('content', text, 'language', lang)), 2)",
+        "'],\"timestamp\":\"now\"'",
         damage(8, "", "}"),
         damage(2, " and more", ""),
+    ]
+    return documents.selectExpr(
+        "doc_id", f"CASE WHEN {kind} <> 5 THEN concat({', '.join(parts)}) END AS value"
     )
-    return documents.select("doc_id", F.when(kind != 5, value).alias("value"))
 
 
 def request_messages(documents: DataFrame) -> DataFrame:
     """Batch requests, one per source and id range; every other source leaves the batch size out."""
-    grouped = documents.groupBy("source", _bucket(REQUEST_RANGE).alias("bucket")).agg(
+    grouped = documents.groupBy("source", F.expr(f"doc_id div {REQUEST_RANGE}").alias("bucket")).agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("items")
     )
     return grouped.select(
