@@ -1,0 +1,130 @@
+"""Hand-made messages and what the format says of them."""
+
+import json
+
+from vecweave.operators.decode import decode_events, decode_requests, rejected_messages, valid_events
+
+HEADERS = {"event_id": "e", "event_type": "t", "timestamp": "x", "source_service": "s"}
+CHUNK = {"id": "1", "file_id": "f", "chunk_type": "function", "content": "häagen \"dazs\"\n"}
+EVENT = {"headers": HEADERS, "metadata": {}, "source_id": "s", "chunks": [CHUNK], "timestamp": "t"}
+
+
+def event(**changes):
+    made = {**EVENT, **changes}
+    return json.dumps({k: v for k, v in made.items() if v != "absent"}, ensure_ascii=False)
+
+
+def with_chunk(**changes):
+    chunk = {k: v for k, v in {**CHUNK, **changes}.items() if v != "absent"}
+    return event(chunks=[CHUNK, chunk])
+
+
+FULL = event(
+    headers={**HEADERS, "correlation_id": "c", "trace_id": "tr"},
+    metadata={"retry_count": 3, "original_event_id": "o", "user_id": "u", "tenant_id": "te"},
+    repo_name="r",
+    chunks=[{**CHUNK, "language": "rust", "start_line": 1, "end_line": 2, "confidence": 0.5, "quality_score": 1e-1}],
+)
+VALID = [
+    FULL,
+    event(metadata="absent"),
+    event(metadata={}),
+    event(repo_name=None),
+    event(unknown={"a": [1]}),
+    event(chunks=[]),
+    with_chunk(start_line=4294967295),
+    with_chunk(start_line=None),
+    with_chunk(confidence=1),
+    with_chunk(language=None),
+    with_chunk(content=""),
+    " \n" + event() + "\t ",
+]
+REJECTED = [
+    (event(metadata=None), "bad metadata"),
+    (event(metadata=3), "bad metadata"),
+    (event(metadata={"retry_count": -1}), "bad metadata"),
+    (event(metadata={"retry_count": None}), "bad metadata"),
+    (event(metadata={"user_id": 4}), "bad metadata"),
+    (event(chunks="absent"), "bad chunks"),
+    (event(chunks=None), "bad chunks"),
+    (event(chunks=5), "bad chunks"),
+    (event(chunks=[CHUNK, None]), "bad chunks"),
+    (event(chunks=[7]), "bad chunks"),
+    (with_chunk(id="absent"), "bad chunks"),
+    (with_chunk(id=None), "bad chunks"),
+    (with_chunk(id=1), "bad chunks"),
+    (with_chunk(start_line=-1), "bad chunks"),
+    (with_chunk(start_line=1.0), "bad chunks"),
+    (with_chunk(start_line=4294967296), "bad chunks"),
+    (with_chunk(end_line=10**30), "bad chunks"),
+    (with_chunk(confidence="1"), "bad chunks"),
+    (with_chunk(language=True), "bad chunks"),
+    (event(headers={**HEADERS, "event_id": 5}), "bad headers"),
+    (event(headers="absent"), "bad headers"),
+    (event(headers=[]), "bad headers"),
+    (event(source_id=None), "bad source_id"),
+    (event(repo_name=1), "bad repo_name"),
+    (event(timestamp=20240101), "bad timestamp"),
+    (event()[:-1] + ', "source_id": "again"}', "not one JSON value"),
+    (event() + " x", "not one JSON value"),
+    (event() + "] x", "not one JSON value"),
+    (event() + "} x", "not one JSON value"),
+    (event() + ",{}", "not one JSON value"),
+    (event() + ',"y":2', "not one JSON value"),
+    (event() + event(), "not one JSON value"),
+    (event()[:-2], "not one JSON value"),
+    ("", "not one JSON value"),
+    ("[" + event() + "]", "not an object"),
+    ("null", "not an object"),
+    ('"text"', "not an object"),
+    (None, "empty payload"),
+]
+
+
+def test_verdicts(spark):
+    cases = [(v, None) for v in VALID] + REJECTED
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "at int, value string")
+    got = {row["at"]: row["reject_reason"] for row in decode_events(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [reason for _, reason in cases]
+    assert valid_events(decode_events(df)).count() == len(VALID)
+    assert rejected_messages(decode_events(df)).count() == len(REJECTED)
+
+
+def test_values(spark):
+    df = spark.createDataFrame([(FULL.encode(),), (event(metadata="absent").encode(),)], "value binary")
+    full, plain = valid_events(decode_events(df)).collect()
+    assert full["headers"]["trace_id"] == "tr" and full["metadata"]["tenant_id"] == "te"
+    assert full["metadata"]["retry_count"] == 3 and full["repo_name"] == "r"
+    chunk = full["chunks"][0].asDict()
+    assert chunk["content"] == CHUNK["content"] and chunk["language"] == "rust"
+    assert (chunk["start_line"], chunk["end_line"], chunk["confidence"]) == (1, 2, 0.5)
+    assert plain["metadata"]["retry_count"] == 0 and plain["metadata"]["user_id"] is None
+    assert plain["repo_name"] is None and plain["chunks"][0]["start_line"] is None
+
+
+def test_bytes_that_are_not_text(spark):
+    df = spark.createDataFrame([(b'{"a":"\xff"}',)], "value binary")
+    assert decode_events(df).first()["reject_reason"] == "not UTF-8"
+
+
+def test_requests(spark):
+    cases = [
+        ('{"texts":["a","b"],"model":"m"}', None, 32),
+        ('{"texts":[],"model":"m","batch_size":7}', None, 7),
+        ('{"texts":["a"],"model":"m","batch_size":null}', None, 32),
+        ('{"texts":["a",null],"model":"m"}', "bad texts", None),
+        ('{"texts":"a","model":"m"}', "bad texts", None),
+        ('{"texts":["a"]}', "bad model", None),
+        ('{"texts":["a"],"model":"m","batch_size":-1}', "bad batch_size", None),
+        ('{"texts":["a"],"model":"m","batch_size":1.5}', "bad batch_size", None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "at int, value string")
+    got = sorted(decode_requests(df).collect())
+    assert [(r["reject_reason"], r["batch_size"]) for r in got] == [(c[1], c[2]) for c in cases]
+
+
+def test_each_message_is_parsed_once(spark):
+    df = spark.createDataFrame([(FULL,)], "value string")
+    plan = valid_events(decode_events(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert "Exchange" not in plan

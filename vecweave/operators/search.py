@@ -89,7 +89,7 @@ def _scan(queries: DataFrame, head: pa.Table, vectors: DataFrame, k: int) -> Dat
     head = head.combine_chunks()
     query_ids = head.column(0).to_pylist()
     points = _unit_rows(head.column(1).chunk(0)) if query_ids else np.zeros((0, 1))
-    id_type = pa.array(query_ids[:1] or [None]).type
+    id_type = head.schema.field(0).type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
@@ -106,7 +106,7 @@ def _scan(queries: DataFrame, head: pa.Table, vectors: DataFrame, k: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([query_ids[q] for q in best["query"]], id_type),
-                    pa.array(best["id"], vector_type),
+                    pa.array(list(best["id"]), vector_type),
                     pa.array(best["score"]),
                 ],
                 names=["query_id", "vec_id", "score"],
@@ -142,7 +142,7 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int) -> D
         asked, stored = asked.combine_chunks(), stored.combine_chunks()
         query_ids, vector_ids = asked.column("query_id"), stored.column("vec_id")
         if len(query_ids) == 0 or len(vector_ids) == 0:
-            best = pd.DataFrame({"query": [], "id": [], "score": []}, dtype=np.int64)
+            best = pd.DataFrame({"query": [], "id": [], "score": []})
         else:
             best = _block_topk(
                 _unit_rows(asked.column("embedding").chunk(0)),
@@ -152,8 +152,8 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int) -> D
             )
         return pa.table(
             {
-                "query_id": query_ids.take(pa.array(best["query"], pa.int64())),
-                "vec_id": pa.array(best["id"], vector_ids.type),
+                "query_id": query_ids.take(pa.array(list(best["query"]), pa.int64())),
+                "vec_id": pa.array(list(best["id"]), vector_ids.type),
                 "score": pa.array(best["score"], pa.float64()),
             }
         )
