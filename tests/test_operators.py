@@ -15,7 +15,7 @@ from vecweave.operators.embed import (
 )
 from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, ModelCallError, from_function
 from vecweave.operators.metrics import run_metrics
-from vecweave.operators.models import models_table, route_models
+from vecweave.operators.models import broadcast_if_small, models_table, route_models
 from vecweave.operators.requests import batch_plan, embed_requests
 from vecweave.schemas import CHUNK, HEADERS, METADATA
 from vecweave.sources.vectors import append_vectors, latest_vectors, read_vectors
@@ -165,6 +165,12 @@ def test_model_routing(spark):
     assert [r["id"] for r in strict.filter("error IS NOT NULL").collect()] == [2]
 
 
+def test_long_model_lists_are_not_broadcast(spark):
+    models = spark.range(100).selectExpr("CAST(id AS STRING) AS model")
+    assert "strategy=broadcast" in broadcast_if_small(models, 100)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in broadcast_if_small(models, 99)._jdf.queryExecution().analyzed().toString()
+
+
 def test_first_by_key_thins_out_before_the_shuffle(spark):
     df = spark.range(0, 1000, 1, 4).selectExpr("IF(id % 3 = 0, 0, id) AS key", "id")
     first = first_by_key(df, ["key"], [F.col("id").desc()])

@@ -188,6 +188,17 @@ def batch_response(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def embed_single(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a request of its own."""
+    requests = _texts(spark, folder).selectExpr(
+        "doc_id", "array(text) AS texts", "CAST(NULL AS STRING) AS model", "1 AS batch_size"
+    )
+    answers = embed_requests(requests, [EMBEDDER])
+    return answers.select(
+        "doc_id", "model", F.expr(checksum("embeddings[0]")).alias("mark"), "total_texts"
+    )
+
+
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
     batches = numbered_batches(_documents(spark, folder, "doc_id", "text"), "text", "doc_id")
     return embed_batches(batches, EMBEDDER).select(
@@ -457,6 +468,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_routing": model_routing,
     "batch_plan": batch_plan_query,
     "batch_response": batch_response,
+    "embed_single": embed_single,
     "stream_batches": stream_batches,
     "stream_batches_filled": stream_batches_filled,
     "batch_failures": batch_failures,

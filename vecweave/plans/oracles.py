@@ -137,6 +137,9 @@ ORACLES: dict[str, str] = {
         SELECT request_id, 'model-' || source AS model, CAST(64 AS BIGINT) AS dimension, count(*) AS total_texts,
                {_EVENT_MARK}, CAST(NULL AS VARCHAR) AS error
         FROM requests JOIN marks ON marks.id = doc_id GROUP BY request_id, source""",
+    "embed_single": f"""
+        WITH {_HASHED_DOCUMENTS}
+        SELECT id AS doc_id, 'feature-hashing' AS model, mark, CAST(1 AS BIGINT) AS total_texts FROM marks""",
     "stream_batches": f"""
         WITH {_HASHED_DOCUMENTS}
         SELECT id // 32 AS batch_no, count(*) AS n_texts, CAST(sum(mark * (id % 32 + 1)) AS BIGINT) AS mark
