@@ -59,5 +59,5 @@ def test_tokens_and_quoting(spark):
     row = spark.range(1).selectExpr(
         f"{tokens(quoted('Été, 12x--It\'s ½\\n'))} AS words", f"{key_uuid(quoted('k'))} AS id"
     ).first()
-    assert row["words"] == ["été", "12x", "it", "s", "½", "n"]
+    assert row["words"] == ["été", "12x", "it", "s", "½", ""]
     assert len(row["id"]) == 36 and row["id"][14] == "8"

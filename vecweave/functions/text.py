@@ -34,8 +34,8 @@ def truncate_all(texts: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
 
 
 def tokens(text: str) -> str:
-    """Lower-cased runs of letters and digits, as an array."""
-    return f"filter(split(lower({text}), r'[^\\p{{L}}\\p{{N}}]+'), token -> token != '')"
+    """Lower-cased runs of letters and digits, as an array; the first and last may be empty."""
+    return f"split(lower({text}), r'[^\\p{{L}}\\p{{N}}]+')"
 
 
 def rfc3339(moment: str) -> str:
