@@ -69,9 +69,13 @@ def test_all_chunks_failed_means_nothing_to_send(spark):
     assert (row["outcome"], row["chunks_in"], row["vectors_out"], len(row["failed"])) == ("empty", 2, 0, 2)
 
 
-def test_large_messages_become_dead_letters(spark):
-    row = process_messages(messages(spark, event()), HashingEmbedder(4), NOW, topic="out", max_bytes=100).first()
+@pytest.mark.parametrize("dimension, written", [(4, True), (64, False)])
+def test_large_messages_become_dead_letters(spark, dimension, written):
+    embedder = HashingEmbedder(dimension)
+    row = process_messages(messages(spark, event()), embedder, NOW, topic="out", max_bytes=100).first()
     letter = json.loads(row["value"])
+    # Not even written down if the numbers alone are too many; the message itself is kept instead.
+    assert ("dimension" in letter["event"]) == written
     assert row["outcome"] == "dead_letter" and letter["failedTopic"] == "out" and letter["failedAt"] == 1500
     assert letter["error"] == row["error"] == "message of more than 100 bytes"
     assert json.loads(letter["event"])["source_id"] == "s"

@@ -12,6 +12,11 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def column(name: str) -> str:
+    """A column name as SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def truncate_utf8(text: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
     """Longest prefix of ``text`` that fits ``max_bytes`` UTF-8 bytes and ends on a character boundary."""
     if max_bytes < 0:

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import quoted, rfc3339
+from vecweave.functions.text import column, quoted, rfc3339
 from vecweave.operators.embed import with_outcomes
 from vecweave.operators.embedders import Embedder
 
 
 def explode_chunks(events: DataFrame) -> DataFrame:
     """One row per chunk with its position; an event without chunks gives none."""
-    others = [c for c in events.columns if c != "chunks"]
+    others = [column(c) for c in events.columns if c != "chunks"]
     return events.select(*others, F.posexplode("chunks").alias("pos", "chunk")).select(
         *others, "pos", "chunk.*"
     )
@@ -75,7 +75,7 @@ def embed_events(
         "named_struct('id', item.chunk.id, 'pos', pos, 'error', item.outcome.error))"
     )
     return df.selectExpr(
-        *[c for c in events.columns if c not in ("chunks", "timestamp")],
+        *[column(c) for c in events.columns if c not in ("chunks", "timestamp")],
         f"transform(filter({joined}, item -> item.outcome.error IS NULL), item -> {embedded}) AS chunks",
         f"filter({failed}, item -> item.error IS NOT NULL) AS failed",
         "CAST(size(chunks) AS BIGINT) AS chunks_in",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE, MAX_UINT32
-from vecweave.functions.text import quoted
+from vecweave.functions.text import column, quoted
 
 # Fields and their rules: what the JSON value must be. A leading "?" lets it be absent or null.
 _HEADERS = {
@@ -119,7 +119,7 @@ def _judged(
         f", CASE WHEN reject_reason IS NULL THEN {field} END AS {name}"
         for name, field in fields.items()
     )
-    return df.selectExpr(*keep, f"inline(array(struct(reject_reason{values})))")
+    return df.selectExpr(*map(column, keep), f"inline(array(struct(reject_reason{values})))")
 
 
 def decode_events(df: DataFrame, value: str = "value") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import quoted, truncate_all
+from vecweave.functions.text import column, quoted, truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
 
@@ -41,14 +41,14 @@ def embed_rows(
     batch_size: int = DEFAULT_BATCH_SIZE,
     on_error: str = "row",
 ) -> DataFrame:
-    """Embed one text per row: adds ``embedding``, ``model``, ``dimension`` (the real length) and ``error``.
+    """Embed one text per row (``text`` is a column or a SQL expression): adds ``embedding``, ``model``, ``dimension`` (the real length) and ``error``.
 
     Rows whose text failed stay, with an error and no vector; see :func:`embedded` and :func:`failures`. Empty
     texts are embedded like any other.
     """
     df = with_outcomes(df, f"array({text})", embedder, batch_size, on_error, "_outcomes")
     return df.selectExpr(
-        *[c for c in df.columns if c != "_outcomes"],
+        *[column(c) for c in df.columns if c != "_outcomes"],
         "_outcomes[0].embedding AS embedding",
         f"{quoted(embedder.name)} AS model",
         "CAST(size(_outcomes[0].embedding) AS BIGINT) AS dimension",
@@ -113,7 +113,7 @@ def embed_batches(batches: DataFrame, embedder: Embedder, on_error: str = "batch
     df = with_outcomes(batches, "texts", embedder, size, on_error, "_outcomes")
     error = "get(filter(_outcomes.error, error -> error IS NOT NULL), 0)"
     return df.selectExpr(
-        *[c for c in df.columns if c not in ("_outcomes", "texts")],
+        *[column(c) for c in df.columns if c not in ("_outcomes", "texts")],
         f"CASE WHEN {error} IS NULL THEN _outcomes.embedding END AS embeddings",
         f"{error} AS error",
     )

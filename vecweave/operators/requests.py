@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import quoted
+from vecweave.functions.text import column, quoted
 from vecweave.operators.embed import with_outcomes
 from vecweave.operators.embedders import Embedder
 
@@ -18,7 +18,7 @@ def batch_plan(requests: DataFrame) -> DataFrame:
     size = F.coalesce(F.col("batch_size"), F.lit(DEFAULT_BATCH_SIZE))
     total = F.size("texts")
     batches = F.ceil(total / F.when(size > 0, size))
-    others = [c for c in requests.columns if c not in ("texts", "batch_size")]
+    others = [column(c) for c in requests.columns if c not in ("texts", "batch_size")]
     return requests.select(
         *others,
         size.cast("bigint").alias("batch_size"),
@@ -49,7 +49,7 @@ def embed_requests(
         raise ValueError("embedders must have different names")
     known = ", ".join(quoted(name) for name in names)
     fallback = "NULL" if strict else quoted(default.name)
-    others = [c for c in requests.columns if c not in ("texts", "model", "batch_size")]
+    others = [column(c) for c in requests.columns if c not in ("texts", "model", "batch_size")]
     df = requests.selectExpr(
         *others,
         "coalesce(texts, CAST(array() AS ARRAY<STRING>)) AS _texts",

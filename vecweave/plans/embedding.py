@@ -27,7 +27,7 @@ def process_messages(
     """Chunk-event messages to embedding-event messages, one row per message and nothing lost.
 
     ``outcome`` says where a row goes: ``published`` (``value`` is the event), ``dead_letter`` (too large; ``value`` is
-    the envelope), ``rejected`` (undecodable; ``value`` is the message as it came), ``empty`` (no vectors, nothing to
+    the envelope, holding the event or, if that is too large even to be written down, the message it came from), ``rejected`` (undecodable; ``value`` is the message as it came), ``empty`` (no vectors, nothing to
     send). The whole flow is narrow: a message never leaves its partition, so no source or event can become hot.
     """
     decoded = decode_events(messages.select(value), value)
@@ -36,22 +36,28 @@ def process_messages(
     events = embed_events(
         decoded.withColumn("chunks", chunks), embedder, now, batch_size, on_error
     )
+    # A number takes at least four bytes of JSON; what is too large by that alone is not encoded at all, as its text
+    # could be hundreds of times the limit.
+    least = "aggregate(chunks, 0L, (total, chunk) -> total + chunk.dimension) * 4"
     events = events.withColumn("vectors_out", F.size("chunks").cast("bigint")).withColumn(
-        "_event", F.expr(f"CASE WHEN vectors_out > 0 THEN {encode_embedding_event()} END")
+        "_event",
+        F.expr(
+            f"CASE WHEN vectors_out > 0 AND {least} <= {max_bytes} THEN {encode_embedding_event()} END"
+        ),
     )
     events = events.withColumn(
         "outcome",
         F.when(F.col("reject_reason").isNotNull(), REJECTED)
         .when(F.col("vectors_out") == 0, EMPTY)
-        .when(F.octet_length("_event") > max_bytes, DEAD_LETTER)
-        .otherwise(PUBLISHED),
+        .when(F.octet_length("_event") <= max_bytes, PUBLISHED)
+        .otherwise(DEAD_LETTER),
     )
     too_large = f"'message of more than {max_bytes} bytes'"
     return events.selectExpr(
         "outcome",
         "source_id AS key",
         f"""CASE outcome WHEN '{PUBLISHED}' THEN _event
-            WHEN '{DEAD_LETTER}' THEN {dead_letter(topic, too_large, '_event', now)}
+            WHEN '{DEAD_LETTER}' THEN {dead_letter(topic, too_large, f'coalesce(_event, CAST({value} AS STRING))', now)}
             WHEN '{REJECTED}' THEN CAST({value} AS STRING) END AS value""",
         f"""CASE outcome WHEN '{REJECTED}' THEN reject_reason
             WHEN '{DEAD_LETTER}' THEN {too_large} END AS error""",
