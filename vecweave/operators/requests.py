@@ -34,6 +34,22 @@ def batch_plan(requests: DataFrame) -> DataFrame:
     )
 
 
+def request_rows(requests: DataFrame) -> DataFrame:
+    """One row per text with its position, for requests too large to be answered in one row: embed them with
+    ``embed_rows`` and count them with :func:`request_totals`."""
+    others = [column(c) for c in requests.columns if c not in ("texts", "batch_size")]
+    return requests.selectExpr(*others, "posexplode(texts) AS (pos, text)")
+
+
+def request_totals(rows: DataFrame, request: list[str]) -> DataFrame:
+    """Vectors, failed texts and an error, if any, per request of embedded :func:`request_rows`."""
+    return rows.groupBy(*request).agg(
+        F.count("embedding").alias("total_texts"),
+        F.count("error").alias("failed_texts"),
+        F.max("error").alias("error"),
+    )
+
+
 def embed_requests(
     requests: DataFrame, embedders: Sequence[Embedder], strict: bool = False
 ) -> DataFrame:

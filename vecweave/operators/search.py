@@ -115,15 +115,12 @@ def _scan(queries: DataFrame, head: pa.Table, vectors: DataFrame, k: int) -> Dat
     return vectors.mapInArrow(scan, schema)
 
 
-def _blocks(df: DataFrame, block_bytes: int) -> int:
-    size = df.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
-    return max(1, -(-size["cells"] * 8 // block_bytes))
-
-
-def _grid(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int) -> DataFrame:
+def _grid(queries: DataFrame, vectors: DataFrame, k: int, rows_per_block: int) -> DataFrame:
     """Both sides are cut into blocks by a hash of their id, and each pair of blocks meets in one task. Ids are
     unique, so blocks are even, whatever the vectors are."""
-    query_blocks, vector_blocks = _blocks(queries, block_bytes), _blocks(vectors, block_bytes)
+    query_blocks, vector_blocks = (
+        max(1, -(-side.count() // rows_per_block)) for side in (queries, vectors)
+    )
 
     def own(id_column: str, blocks: int):
         return F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
@@ -182,15 +179,14 @@ def vector_topk(
         raise ValueError("k must be at least 1")
     queries = queries.select("query_id", "embedding").filter("embedding is not null")
     vectors = vectors.select("vec_id", "embedding").filter("embedding is not null")
-    best = None
-    if max_broadcast_bytes > 0:
-        widest = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-        most = max(1, max_broadcast_bytes // (8 * widest))
-        head = queries.limit(most + 1).toArrow()
-        if len(head) <= most:
-            best = _scan(queries, head, vectors, k)
-    if best is None:
-        best = _grid(queries, vectors, k, block_bytes)
+    first = queries.select(F.size("embedding")).first()
+    row_bytes = 8 * max(1, first[0] if first else 1)
+    most = max_broadcast_bytes // row_bytes
+    head = queries.limit(most + 1).toArrow() if most else None
+    if head is not None and len(head) <= most:
+        best = _scan(queries, head, vectors, k)
+    else:
+        best = _grid(queries, vectors, k, max(1, block_bytes // row_bytes))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

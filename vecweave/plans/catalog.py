@@ -35,7 +35,12 @@ from vecweave.operators.embedders import (
 )
 from vecweave.operators.metrics import run_metrics
 from vecweave.operators.models import list_models, route_models
-from vecweave.operators.requests import batch_plan, embed_requests
+from vecweave.operators.requests import (
+    batch_plan,
+    embed_requests,
+    request_rows,
+    request_totals,
+)
 from vecweave.operators.search import text_search, vector_topk
 from vecweave.plans.embedding import PUBLISHED, process_messages
 from vecweave.plans.tables import (
@@ -188,6 +193,13 @@ def batch_response(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def request_totals_query(spark: SparkSession, folder: str) -> DataFrame:
+    requests = decode_requests(request_messages(_documents(spark, folder))).drop("value")
+    rows = request_rows(requests.select("request_id", "texts"))
+    model = _local_model("no-addresses", _refuse_addresses)
+    return request_totals(embed_rows(rows, model), ["request_id"])
+
+
 def embed_single(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a request of its own."""
     requests = _texts(spark, folder).selectExpr(
@@ -468,6 +480,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_routing": model_routing,
     "batch_plan": batch_plan_query,
     "batch_response": batch_response,
+    "request_totals": request_totals_query,
     "embed_single": embed_single,
     "stream_batches": stream_batches,
     "stream_batches_filled": stream_batches_filled,

@@ -137,6 +137,12 @@ ORACLES: dict[str, str] = {
         SELECT request_id, 'model-' || source AS model, CAST(64 AS BIGINT) AS dimension, count(*) AS total_texts,
                {_EVENT_MARK}, CAST(NULL AS VARCHAR) AS error
         FROM requests JOIN marks ON marks.id = doc_id GROUP BY request_id, source""",
+    "request_totals": f"""
+        WITH cut AS (SELECT source || '-' || (doc_id // 1000) AS request_id,
+                            contains({_cut('text', 7500)}, '@') AS failed FROM documents)
+        SELECT request_id, count(*) FILTER (NOT failed) AS total_texts, count(*) FILTER (failed) AS failed_texts,
+               CASE WHEN bool_or(failed) THEN 'model returned 400: address in text' END AS error
+        FROM cut GROUP BY request_id""",
     "embed_single": f"""
         WITH {_HASHED_DOCUMENTS}
         SELECT id AS doc_id, 'feature-hashing' AS model, mark, CAST(1 AS BIGINT) AS total_texts FROM marks""",
