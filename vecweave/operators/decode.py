@@ -38,8 +38,6 @@ _CHUNK = {
     "confidence": "?number",
     "quality_score": "?number",
 }
-_EVENT = ("headers", "metadata", "source_id", "repo_name", "chunks", "timestamp")
-_REQUEST = ("texts", "model", "batch_size")
 _TYPES = {"text": "string", "counter": "bigint", "uint32": "bigint", "number": "float"}
 
 
@@ -48,8 +46,8 @@ def _open(names) -> str:
     return "struct<" + ", ".join(f"{name}: variant" for name in names) + ">"
 
 
-def _get(value: str, kind: str) -> str:
-    return f"try_variant_get({value}, '$', '{kind}')"
+def _get(value: str, kind: str, path: str = "") -> str:
+    return f"try_variant_get({value}, '${path}', '{kind}')"
 
 
 def _kind(value: str) -> str:
@@ -84,20 +82,23 @@ def _typed(struct: str, rules: dict[str, str]) -> str:
     return f"named_struct({', '.join(fields)})"
 
 
-def _parsed(df: DataFrame, value: str, fields: tuple[str, ...]) -> DataFrame:
-    """Add ``_text``, ``_whole`` (exactly one JSON value was read) and ``_top`` (its fields as variants).
+def _parsed(df: DataFrame, value: str, small_fields: list[str]) -> DataFrame:
+    """Add ``_text``, ``_json``, ``_whole`` (exactly one JSON value was read) and ``_top``, the small fields as variants.
+    Large fields are to be taken from ``_json`` directly, as every step in between copies them.
 
     The parser stops after the first value and ignores what follows. So the message is put into an array with a
-    digest of itself behind it: the digest comes back as second and last element only if nothing else was there.
+    digest of itself behind it: the digest comes back as the second element only if nothing else was there.
     """
-    pair = _get("try_parse_json(concat('[', _text, ',\"', _digest, '\"]'))", "array<variant>")
-    whole = f"coalesce(size(_pair) = 2 AND {_get('_pair[1]', 'string')} = _digest, false)"
     return (
         df.withColumn("_text", F.expr(f"try_validate_utf8(CAST({value} AS STRING))"))
         .withColumn("_digest", F.expr("sha2(_text, 256)"))
-        .withColumn("_pair", F.expr(pair))
-        .withColumn("_whole", F.expr(whole))
-        .withColumn("_top", F.expr(f"CASE WHEN _whole THEN {_get('_pair[0]', _open(fields))} END"))
+        .withColumn("_json", F.expr("try_parse_json(concat('[', _text, ',\"', _digest, '\"]'))"))
+        .withColumns(
+            {
+                "_whole": F.expr(f"coalesce({_get('_json', 'string', '[1]')} = _digest, false)"),
+                "_top": F.expr(_get("_json", _open(small_fields), "[0]")),
+            }
+        )
     )
 
 
@@ -128,11 +129,11 @@ def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
     Keeps every input row and column and adds ``reject_reason`` and the event fields. A message that breaks a rule
     anywhere has a reason and no fields; see :func:`valid_events` and :func:`rejected_messages`.
     """
-    opened = _parsed(df, value, _EVENT).withColumns(
+    opened = _parsed(df, value, ["metadata", "source_id", "repo_name", "timestamp"]).withColumns(
         {
-            "_headers": F.expr(_get("_top.headers", _open(_HEADERS))),
-            "_metadata": F.expr(_get("_top.metadata", _open(_METADATA))),
-            "_chunks": F.expr(_get("_top.chunks", f"array<{_open(_CHUNK)}>")),
+            "_headers": F.expr(_get("_json", _open(_HEADERS), "[0].headers")),
+            "_metadata": F.expr(_get("_json", _open(_METADATA), "[0].metadata")),
+            "_chunks": F.expr(_get("_json", f"array<{_open(_CHUNK)}>", "[0].chunks")),
         }
     )
     rules = [
@@ -162,8 +163,8 @@ def decode_events(df: DataFrame, value: str = "value") -> DataFrame:
 
 def decode_requests(df: DataFrame, value: str = "value") -> DataFrame:
     """Decode batch requests {texts, model, batch_size?}; an absent batch size becomes the default."""
-    opened = _parsed(df, value, _REQUEST).withColumn(
-        "_texts", F.expr(_get("_top.texts", "array<variant>"))
+    opened = _parsed(df, value, ["model", "batch_size"]).withColumn(
+        "_texts", F.expr(_get("_json", "array<variant>", "[0].texts"))
     )
     size, kind = _get("_top.batch_size", "bigint"), _kind("_top.batch_size")
     rules = [
