@@ -223,9 +223,11 @@ def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
 def stream_batches_filled(spark: SparkSession, folder: str) -> DataFrame:
     batches = filled_batches(_texts(spark, folder), "text")
     done = embed_batches(batches, _local_model("sizes", _text_sizes))
+    n_bytes = "aggregate(embeddings, 0L, (total, vector) -> total + CAST(vector[0] AS BIGINT))"
     return done.agg(
         F.sum(F.size("embeddings")).cast("bigint").alias("n_texts"),
-        F.max(F.size("embeddings")).cast("bigint").alias("largest_batch"),
+        F.sum(F.expr(n_bytes)).alias("n_bytes"),
+        F.count_if(F.size("embeddings") > 32).alias("too_large"),
         F.count("error").alias("failed_batches"),
     )
 

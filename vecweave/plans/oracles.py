@@ -150,8 +150,9 @@ ORACLES: dict[str, str] = {
         WITH {_HASHED_DOCUMENTS}
         SELECT id // 32 AS batch_no, count(*) AS n_texts, CAST(sum(mark * (id % 32 + 1)) AS BIGINT) AS mark
         FROM marks GROUP BY id // 32""",
-    "stream_batches_filled": """
-        SELECT count(*) AS n_texts, least(count(*), 32) AS largest_batch, CAST(0 AS BIGINT) AS failed_batches
+    "stream_batches_filled": f"""
+        SELECT count(*) AS n_texts, CAST(sum(strlen({_cut('text', 7500)})) AS BIGINT) AS n_bytes,
+               CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS failed_batches
         FROM documents""",
     "batch_failures": f"""
         WITH cut AS (SELECT doc_id, {_cut('text', 7500)} AS text FROM documents),
