@@ -1,5 +1,6 @@
 """Model calls: retry, order, failure scope. Fakes count on the driver; the same code runs in tasks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def test_what_may_pass():
 
 def test_order_and_length_of_answers():
     data = [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]
-    assert vectors_in_order({"data": data}, 2) == [[1.0], [2.0]]
+    assert [vector.tolist() for vector in vectors_in_order({"data": data}, 2)] == [[1.0], [2.0]]
     with pytest.raises(ValueError, match="2 vectors for 3 texts"):
         vectors_in_order({"data": data}, 3)
 
@@ -113,6 +114,22 @@ def test_fail_scope_stops_the_job(spark):
         rows.collect()
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64, list])
+def test_kinds_of_vectors(spark, kind):
+    def function(texts):
+        return [v if kind is list else np.array(v, dtype=kind) for v in lengths(texts)]
+
+    rows = embedded(embed_rows(table(spark, ["a", "bb"], 1), local(from_function(function))))
+    assert sorted(r["embedding"] for r in rows.collect()) == [[1.0, 1.0], [2.0, 1.0]]
+
+
+@pytest.mark.parametrize("bad", [None, "text", [[1.0]], 3.0])
+def test_what_is_not_a_vector_is_an_error(spark, bad):
+    call = from_function(lambda texts: [bad if text == "x" else [1.0] for text in texts])
+    rows = embed_rows(table(spark, ["a", "x", "b"], 1), local(call))
+    assert [r["id"] for r in failures(rows).collect()] == [1] and embedded(rows).count() == 2
+
+
 def test_short_answer_is_an_error(spark):
     call = from_function(lambda texts: lengths(texts)[1:])
     rows = embed_rows(table(spark, ["a", "b"], 1), local(call), on_error="batch")

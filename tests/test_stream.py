@@ -64,6 +64,29 @@ def test_failed_batch_is_done_again_over_its_own_folder(spark, tmp_path):
     assert published(read_outcome(spark, sink, "published")) == published(whole)
 
 
+def test_outcomes_are_sent_on(spark, tmp_path):
+    source, sink, checkpoint, out, dead = (str(tmp_path / n) for n in ("source", "sink", "checkpoint", "out", "dead"))
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    write(event_messages(documents), source)
+    sizes = process_messages(event_messages(documents), EMBEDDER, NOW).selectExpr("octet_length(value) AS n")
+    limit = int(sizes.approxQuantile("n", [0.5], 0.0)[0])
+    run_stream(
+        stream(spark, source),
+        EMBEDDER,
+        sink,
+        checkpoint,
+        send={"published": ("json", {"path": out}), "dead_letter": ("json", {"path": dead})},
+        now=NOW,
+        max_bytes=limit,
+    ).awaitTermination()
+    sent, letters = spark.read.json(out), spark.read.json(dead)
+    assert sent.count() > 0 and letters.count() > 0
+    assert sent.count() + letters.count() == sizes.count()
+    assert published(sent) == published(read_outcome(spark, sink, "published"))
+    assert sent.filter(F.octet_length("value") > limit).count() == 0
+    assert letters.filter("get_json_object(value, '$.failedTopic') = 'embedding.generated'").count() == letters.count()
+
+
 def test_repeated_events_pass_once(spark, tmp_path):
     rows = [
         (n, f"2024-01-01 00:00:0{n % 10}", json.dumps({"headers": {"event_id": e}, "n": n}) if e else None)

@@ -9,9 +9,11 @@ CALL_ATTEMPTS = 3
 CALL_FIRST_WAIT_SECONDS = 1.5
 TOO_MANY_REQUESTS = 429
 MAX_MESSAGE_BYTES = 10_485_760
+PUBLISH_ATTEMPTS = 3
+PUBLISH_FIRST_WAIT_MS = 500
+PUBLISH_LAST_WAIT_MS = 2000
 MAX_UINT32 = 4_294_967_295
 INPUT_TYPE = "query"
 CHUNK_TOPIC = "chunks.raw"
 EMBEDDING_TOPIC = "embedding.generated"
-CONSTANT_MESSAGE_KEY = "event"
 # --------------------------------------------------------------------------

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vecweave.functions.arrow import lengths_of, lists
 from vecweave.functions.text import tokens
 from vecweave.schemas import OUTCOME
 
@@ -39,19 +40,9 @@ def _signed_cells(words: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarr
     return cells[at], signs[at]
 
 
-def _lengths(lists: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-
-
-def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
-    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
-
-
 def _weights(words: pa.Array, dimension: int) -> np.ndarray:
     """Dense sums, one row per list of tokens."""
-    rows = np.repeat(np.arange(len(words)), _lengths(words))
+    rows = np.repeat(np.arange(len(words)), lengths_of(words))
     cells, signs = _signed_cells(words.flatten(), dimension)
     sums = np.bincount(rows * dimension + cells, weights=signs, minlength=len(words) * dimension)
     return sums.reshape(len(words), dimension)
@@ -67,12 +58,12 @@ def _vectors(words: pa.Array, dimension: int) -> pa.Array:
         norms[norms == 0] = 1
         blocks.append(pa.array((sums / norms).astype(np.float32).ravel()))
     flat = pa.concat_arrays(blocks) if blocks else pa.array([], pa.float32())
-    return _lists(np.full(len(words), dimension), flat)
+    return lists(np.full(len(words), dimension), flat)
 
 
 def _pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
     """Cut a batch of text lists so that one piece makes about one dense block."""
-    lengths = np.cumsum(_lengths(batch) * dimension)
+    lengths = np.cumsum(lengths_of(batch) * dimension)
     start = 0
     while start < len(batch):
         done = lengths[start - 1] if start else 0
@@ -101,7 +92,7 @@ def hashed_vectors(texts: str, dimension: int) -> Column:
                     [vectors, error, pa.array(np.full(len(words), millis))],
                     ["embedding", "error", "millis"],
                 )
-                yield _lists(_lengths(piece), outcomes)
+                yield lists(lengths_of(piece), outcomes)
 
     return embed.asNondeterministic()(F.expr(f"transform({texts}, text -> {tokens('text')})"))
 
@@ -116,6 +107,6 @@ def hashed_weights(text: str, dimension: int) -> Column:
             for start in range(0, len(batch), step):
                 piece = batch.slice(start, step)
                 sums = _weights(piece, dimension).astype(np.int32)
-                yield _lists(np.full(len(piece), dimension), pa.array(sums.ravel()))
+                yield lists(np.full(len(piece), dimension), pa.array(sums.ravel()))
 
     return weigh.asNondeterministic()(F.expr(tokens(text)))

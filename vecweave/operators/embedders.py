@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column
@@ -25,6 +26,7 @@ from vecweave.constants import (
     MAX_PARALLEL_CALLS,
     TOO_MANY_REQUESTS,
 )
+from vecweave.functions.arrow import lengths_of, lists, outcome_array
 from vecweave.functions.hashing import hashed_vectors
 from vecweave.schemas import OUTCOME
 
@@ -98,12 +100,15 @@ def call_with_retry(
     raise ValueError("attempts must be at least 1")
 
 
-def vectors_in_order(response: dict, expected: int) -> list:
+def vectors_in_order(response: dict, expected: int) -> list[np.ndarray]:
     """Vectors of a response {data: [{embedding, index}]}, in the order of the texts."""
     data = sorted(response["data"], key=lambda item: item["index"])
     if len(data) != expected:
         raise ValueError(f"model returned {len(data)} vectors for {expected} texts")
-    return [item["embedding"] for item in data]
+    vectors = [np.asarray(item["embedding"], dtype=np.float32) for item in data]
+    if any(vector.ndim != 1 for vector in vectors):
+        raise ValueError("an embedding must be a list of numbers")
+    return vectors
 
 
 def from_function(function: Callable[[list[str]], list]) -> Callable[[dict], dict]:
@@ -149,23 +154,24 @@ class CallableEmbedder:
         expression, each row is cut into calls of its own size."""
         check_scope(on_error)
         run, open_model, call = self._run, self.open_model, self.call
-        kind = pa.list_(
-            pa.struct(
-                [("embedding", pa.list_(pa.float32())), ("error", pa.string()), ("millis", pa.float64())]
-            )
-        )
 
         def model():
             return call if open_model is None else open_model()
 
+        def nested(batch: pa.Array, found: list) -> pa.Array:
+            vectors, errors, millis = zip(*found) if found else ((), (), ())
+            return lists(lengths_of(batch), outcome_array(vectors, errors, millis))
+
         if isinstance(batch_size, str):
 
             @F.arrow_udf(f"array<{OUTCOME}>")
             def embed_rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                 opened = model()
                 for batch, sizes in batches:
-                    rows = zip(batch.to_pylist(), sizes.to_pylist())
-                    yield pa.array([run(opened, row or [], size, on_error) for row, size in rows], kind)
+                    found = []
+                    for row, size in zip(batch.to_pylist(), sizes.to_pylist()):
+                        found += run(opened, row or [], size, on_error)
+                    yield nested(batch, found)
 
             return embed_rows.asNondeterministic()(F.expr(texts), F.expr(batch_size))
 
@@ -175,24 +181,22 @@ class CallableEmbedder:
         def embed_together(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             opened = model()
             for batch in batches:
-                rows = [row or [] for row in batch.to_pylist()]
-                flat = iter(run(opened, [text for row in rows for text in row], batch_size, on_error))
-                yield pa.array([[next(flat) for _ in row] for row in rows], kind)
+                yield nested(batch, run(opened, batch.flatten().to_pylist(), batch_size, on_error))
 
         return embed_together.asNondeterministic()(F.expr(texts))
 
-    def _run(self, model, texts: list, size: int, on_error: str) -> list:
-        """Outcomes of ``texts``, sent in calls of ``size``. Null texts are not sent."""
+    def _run(self, model, texts: list, size: int, on_error: str) -> list[tuple]:
+        """(vector, error, milliseconds) for each text, sent in calls of ``size``. Null texts are not sent."""
         check_batch_size(size)
-        outcomes = [{"error": "text is null", "millis": 0.0}] * len(texts)
+        found = [(None, "text is null", 0.0)] * len(texts)
         given = [place for place, text in enumerate(texts) if text is not None]
         for start in range(0, len(given), size):
             places = given[start : start + size]
             for place, outcome in zip(places, self._call(model, [texts[p] for p in places], on_error)):
-                outcomes[place] = outcome
-        return outcomes
+                found[place] = outcome
+        return found
 
-    def _call(self, model, texts: list[str], on_error: str) -> list:
+    def _call(self, model, texts: list[str], on_error: str) -> list[tuple]:
         started = time.perf_counter()
         request = {"model": self.name, "input": texts, "input_type": self.input_type}
         failure = None
@@ -211,4 +215,4 @@ class CallableEmbedder:
                 return [o for text in texts for o in self._call(model, [text], on_error)]
             vectors, failure = [None] * len(texts), str(error) or type(error).__name__
         millis = (time.perf_counter() - started) * 1000 / len(texts)
-        return [{"embedding": vector, "error": failure, "millis": millis} for vector in vectors]
+        return [(vector, failure, millis) for vector in vectors]

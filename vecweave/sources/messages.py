@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.constants import CHUNK_TOPIC, EMBEDDING_TOPIC, MAX_MESSAGE_BYTES
+from vecweave.constants import (
+    CHUNK_TOPIC,
+    EMBEDDING_TOPIC,
+    MAX_MESSAGE_BYTES,
+    PUBLISH_ATTEMPTS,
+    PUBLISH_FIRST_WAIT_MS,
+    PUBLISH_LAST_WAIT_MS,
+)
 from vecweave.functions.wire import dead_letter, encode_embedding_event
 
 
@@ -20,7 +27,8 @@ def kafka_source(servers: str, topic: str = CHUNK_TOPIC, **options: str) -> dict
 
 
 def kafka_sink(servers: str, topic: str = EMBEDDING_TOPIC, **options: str) -> dict[str, str]:
-    """Options to write ``key`` and ``value`` to a topic, in batches of one megabyte or 50 ms."""
+    """Options to write ``key`` and ``value`` to a topic, in batches of one megabyte or 50 ms; a failed send is tried
+    again with growing waits."""
     return {
         "kafka.bootstrap.servers": servers,
         "topic": topic,
@@ -28,6 +36,9 @@ def kafka_sink(servers: str, topic: str = EMBEDDING_TOPIC, **options: str) -> di
         "kafka.batch.size": str(1 << 20),
         "kafka.linger.ms": "50",
         "kafka.enable.idempotence": "true",
+        "kafka.retries": str(PUBLISH_ATTEMPTS - 1),
+        "kafka.retry.backoff.ms": str(PUBLISH_FIRST_WAIT_MS),
+        "kafka.retry.backoff.max.ms": str(PUBLISH_LAST_WAIT_MS),
         **options,
     }
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecweave.operators.embedders import Embedder
 from vecweave.operators.metrics import run_metrics
 from vecweave.plans.embedding import REJECTED, process_messages
+from vecweave.sources.messages import write_messages
 
 
 def drop_repeats(stream: DataFrame, window: str, received: str, salt: str | None = None) -> DataFrame:
@@ -38,11 +39,15 @@ def run_stream(
     received: str = "received",
     salt: str | None = None,
     trigger: dict | None = None,
+    send: dict[str, tuple[str, dict[str, str]]] | None = None,
     **options,
 ) -> StreamingQuery:
     """Start the stream. Each micro-batch goes through ``process_messages`` and is written to
     ``sink_path/messages/batch_id=N/outcome=...``. Tried again after a failure, it overwrites its own folder, so a
     restart adds nothing twice. Counts per source are in ``sink_path/metrics``. The checkpoint keeps the position.
+
+    ``send`` also passes ``key`` and ``value`` of an outcome on to another sink, as {outcome: (format, options)}, for
+    example published events and dead letters to their topics. A batch that is tried again is sent again.
     """
     if dedup_window is not None:
         stream = drop_repeats(stream, dedup_window, received, salt)
@@ -55,6 +60,9 @@ def run_stream(
         written = batch.sparkSession.read.schema(processed.schema).parquet(target)
         counted = run_metrics(written.filter(F.col("outcome") != REJECTED))
         counted.write.mode("overwrite").parquet(f"{sink_path}/metrics/batch_id={batch_id}")
+        for outcome, (fmt, sink_options) in (send or {}).items():
+            chosen = written.filter(F.col("outcome") == outcome).select("key", "value")
+            write_messages(chosen, fmt, sink_options)
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
