@@ -14,8 +14,9 @@ from vecweave.operators.embed import (
     reorder_by_index,
 )
 from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, ModelCallError, from_function
+from vecweave.operators.joins import broadcast_if_small
 from vecweave.operators.metrics import run_metrics
-from vecweave.operators.models import broadcast_if_small, models_table, route_models
+from vecweave.operators.models import models_table, route_models
 from vecweave.operators.requests import batch_plan, embed_requests
 from vecweave.schemas import CHUNK, HEADERS, METADATA
 from vecweave.sources.vectors import append_vectors, latest_vectors, read_vectors

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from vecweave.functions.text import text_key
 from vecweave.operators.embed import embed_rows
 from vecweave.operators.embedders import Embedder
+from vecweave.operators.joins import broadcast_if_small
 from vecweave.sources.storage import materialize
 
 # A key with more rows than this is split. At most (all rows / this) keys can be, so their list is safe to broadcast:
 # for 10^12 rows, 10^6 keys of under 100 bytes.
 ROWS_PER_SPLIT = 1_000_000
+# Up to this many missing texts (ids and keys, some 100 MB) are looked up without moving the rows.
+MAX_BROADCAST_MISSES = 500_000
 
 
 def keyed_rows(rows: DataFrame, embedder: Embedder, row_id: str, text: str = "text") -> DataFrame:
@@ -75,8 +78,10 @@ def embed_with_cache(
     """
     keyed = materialize(keyed_rows(rows, embedder, row_id, text))
     counted = count_keys(keyed, row_id)
-    missing = cache_misses(counted, cache).select(row_id, "key")
-    texts = rows.select(row_id, text).join(missing, row_id)
+    missing = materialize(cache_misses(counted, cache).select(row_id, "key"))
+    texts = rows.select(row_id, text).join(
+        broadcast_if_small(missing, MAX_BROADCAST_MISSES), row_id
+    )
     fresh = materialize(
         embed_rows(texts, embedder, text, on_error=on_error)
         .filter("error is null")

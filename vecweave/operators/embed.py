@@ -67,7 +67,8 @@ def failures(rows: DataFrame) -> DataFrame:
 def numbered_batches(
     df: DataFrame, text: str, position: str, batch_size: int = DEFAULT_BATCH_SIZE
 ) -> DataFrame:
-    """Cut a table into batches by a gap-free position: ``batch_no``, ``texts`` in order. Groups are of fixed size."""
+    """Cut a table into batches by a unique position without gaps: ``batch_no``, ``texts`` in order. So every group has
+    ``batch_size`` rows, but for the last."""
     check_batch_size(batch_size)
     return (
         df.groupBy(F.floor(F.col(position) / batch_size).alias("batch_no"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vecweave.constants import DECLARED_DIMENSION, MAX_INPUT_BYTES
 from vecweave.operators.embedders import Embedder
+from vecweave.operators.joins import broadcast_if_small
 
 # Names and two numbers per model: a few megabytes at most.
 MAX_BROADCAST_MODELS = 50_000
@@ -31,19 +32,13 @@ def list_models(named: DataFrame, model: str = "model") -> DataFrame:
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_MODELS) -> DataFrame:
-    """Mark ``df`` for broadcasting if it has at most ``max_rows`` rows; otherwise leave the join to Spark, which
-    splits hot keys at run time."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def route_models(df: DataFrame, models: DataFrame, default: str, strict: bool = False) -> DataFrame:
     """Fill in the default model and look the name up. Unknown names are accepted with the declared limits, or,
     if ``strict``, get an ``error``. A default that most rows use stays spread out: the list of models is broadcast,
     after a check of its size."""
     named = df.withColumn("model", F.coalesce(F.col("model"), F.lit(default)))
     models = models.withColumn("_known", F.lit(True))
-    joined = named.join(broadcast_if_small(models), "model", "left")
+    joined = named.join(broadcast_if_small(models, MAX_BROADCAST_MODELS), "model", "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     if strict:
         joined = joined.withColumn("error", F.when(~known, F.lit("model not found")))

@@ -53,6 +53,7 @@ from vecweave.plans.tables import (
 )
 from vecweave.schemas import EMBEDDING_EVENT
 from vecweave.sources.messages import dead_letters, encode_events, split_oversize
+from vecweave.sources.storage import materialize
 from vecweave.sources.tables import read_table, spread
 from vecweave.sources.vectors import latest_vectors
 
@@ -439,13 +440,13 @@ def text_search_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the labelled documents, as an earlier run would have left them."""
+    """Vectors of the labelled documents: a table as an earlier run would have left it."""
     labelled = _table(spark, folder, "labels").select("doc_id").distinct()
     known = _texts(spark, folder).join(labelled, "doc_id", "left_semi")
     key = text_key(EMBEDDER.name, "text")
     first = known.selectExpr("doc_id", f"{key} AS key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = known.join(first, "doc_id")
-    return embedded(embed_rows(texts, EMBEDDER)).select("key", "model", "embedding")
+    return materialize(embedded(embed_rows(texts, EMBEDDER)).select("key", "model", "embedding"))
 
 
 def cache_misses_query(spark: SparkSession, folder: str) -> DataFrame:
