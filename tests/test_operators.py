@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecweave.operators.chunks import assemble_events, embed_events, explode_chunks, publishable
-from vecweave.operators.dedup import first_by_key
+from vecweave.operators.dedup import dedup_events, first_by_key
 from vecweave.operators.embed import (
     embed_batches,
     embed_rows,
@@ -182,6 +182,24 @@ def test_first_by_key_thins_out_before_the_shuffle(spark):
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
 
 
+@pytest.mark.parametrize("order", [["at"], ["part", "at"]])
+def test_repeated_events(spark, order):
+    # One id holds a third of all events, another is null, most are alone.
+    df = spark.range(0, 600, 1, 4).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('e', id) END AS event_id",
+        "id AS at",
+        "id % 4 AS part",
+        "repeat('payload', 10) AS payload",
+    )
+    few, many = dedup_events(df, order), dedup_events(df, order, max_broadcast=1)
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+    assert few.filter("event_id = 'hot'").count() == 1 and few.filter("event_id IS NULL").count() == 1
+    assert few.filter("event_id = 'hot'").first()["at"] == 0
+    assert few.count() == 2 + df.filter("event_id LIKE 'e%'").count()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_vector_table(spark, tmp_path):
     path = str(tmp_path / "vectors")
     schema = "id int, model string, embedding array<float>, version long"

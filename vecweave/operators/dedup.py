@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecweave.sources.storage import materialize
+
+# Up to this many repeated ids (some 50 MB) are looked up without moving the events.
+MAX_BROADCAST_REPEATS = 500_000
+
 
 def first_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """First row per key. Spark keeps only the first row per key of every task before the shuffle, so a key that
@@ -13,6 +18,27 @@ def first_by_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_row", F.row_number().over(window)).filter("_row = 1").drop("_row")
 
 
-def dedup_events(events: DataFrame, order: list[Column], event_id: str = "event_id") -> DataFrame:
-    """Suppress repeated events: the first one counts."""
-    return first_by_key(events, [event_id], order)
+def dedup_events(
+    events: DataFrame,
+    order: list[str],
+    event_id: str = "event_id",
+    max_broadcast: int = MAX_BROADCAST_REPEATS,
+) -> DataFrame:
+    """Suppress repeated events: of equal ids the first in ``order`` stays, where id and order tell rows apart.
+
+    Ids are counted first, over the id and order columns alone. If few ids repeat, however often each does, events
+    stay where they are and the later ones are dropped; otherwise the events themselves are ranked.
+    """
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    repeated = materialize(
+        events.groupBy(F.col(event_id).alias("_id"))
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_copies"))
+        .filter("_copies > 1")
+    )
+    if repeated.count() > max_broadcast:
+        return first_by_key(events, [event_id], [F.col(column) for column in order])
+    return (
+        events.join(F.broadcast(repeated), F.col(event_id).eqNullSafe(F.col("_id")), "left")
+        .filter(F.col("_copies").isNull() | place.eqNullSafe(F.col("_first")))
+        .drop("_id", "_first", "_copies")
+    )

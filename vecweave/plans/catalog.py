@@ -402,11 +402,20 @@ def message_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def dedup_events_query(spark: SparkSession, folder: str) -> DataFrame:
-    events = _documents(spark, folder, "doc_id", "text").select(
+def _repeated_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as events; equal texts make equal event ids."""
+    return _documents(spark, folder, "doc_id", "text").select(
         F.md5("text").alias("event_id"), "doc_id"
     )
-    return dedup_events(events, [F.col("doc_id")])
+
+
+def dedup_events_query(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_events(_repeated_events(spark, folder), ["doc_id"])
+
+
+def dedup_events_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The way taken when very many ids repeat."""
+    return dedup_events(_repeated_events(spark, folder), ["doc_id"], max_broadcast=0)
 
 
 def _stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,6 +509,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dlq_envelope": dlq_envelope,
     "message_outcomes": message_outcomes,
     "dedup_events": dedup_events_query,
+    "dedup_events_ranked": dedup_events_ranked,
     "vector_topk": vector_topk_query,
     "vector_topk_grid": vector_topk_grid,
     "text_search": text_search_query,

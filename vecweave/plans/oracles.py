@@ -85,6 +85,8 @@ _TOPK = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
     SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10"""
 
+_FIRST_EVENTS = "SELECT md5(text) AS event_id, min(doc_id) AS doc_id FROM documents GROUP BY 1"
+
 _KEY = f"sha256('feature-hashing' || chr(10) || {_cut('text', 7500)})"
 
 ORACLES: dict[str, str] = {
@@ -211,7 +213,8 @@ ORACLES: dict[str, str] = {
                count(*) AS messages, count(*) FILTER (reason IS NULL) AS chunks_in,
                count(*) FILTER (reason IS NULL) AS vectors_out
         FROM damage GROUP BY reason""",
-    "dedup_events": "SELECT md5(text) AS event_id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "dedup_events": _FIRST_EVENTS,
+    "dedup_events_ranked": _FIRST_EVENTS,
     "vector_topk": _TOPK,
     "vector_topk_grid": _TOPK,
     "text_search": f"""
