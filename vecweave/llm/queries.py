@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from vecweave.llm.html_text import op9_html_text
+from vecweave.llm.line_dedup import LINE_DEDUP_SQL, op10_line_dedup
+from vecweave.llm.separators import op5_token_counts
+from vecweave.llm.simhash import op2_simhash
 from vecweave.llm.token_files import op3_token_files
 
-QUERIES = {"op3_token_files": op3_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_token_files": op3_token_files,
+    "op5_token_counts": op5_token_counts,
+    "op2_simhash": op2_simhash,
+    "op9_html_text": op9_html_text,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}

@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = rf"^(?P<core>[{_LETTERS}]+)(?P<tail>[.,;:!?]*)$"
 # Texts are encoded in slices of about this many bytes.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 # Words kept with their ids as long as a Python worker lives (some 100 MB); later new words are encoded each time.
-MAX_KEPT_WORDS = 400_000
+MAX_KEPT_WORDS = 300_000
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
