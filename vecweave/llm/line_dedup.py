@@ -36,7 +36,7 @@ FILTER_KEYS = 1 << 20
 # A null id counts as the smallest of all.
 _NO_ID = "-9223372036854775808L"
 _LINES = r"split(coalesce({text}, ''), '\n', -1)"
-_TRIM = r"' \t\n\u000b\f\r'"
+_TRIM = r"' \t\n\u000b\u000c\r'"
 _KEY = (
     "translate(trim(BOTH " + _TRIM + " FROM line), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
