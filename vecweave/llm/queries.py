@@ -6,6 +6,8 @@ from vecweave.llm.html_text import op9_html_text
 from vecweave.llm.language import op8_language_id
 from vecweave.llm.line_dedup import LINE_DEDUP_SQL, op10_line_dedup
 from vecweave.llm.mixing import MIXING_SQL, op7_mixing
+from vecweave.llm.neighbours import op4_near_vectors
+from vecweave.llm.packing import op6_packing
 from vecweave.llm.quality import op1_quality_rules
 from vecweave.llm.separators import op5_token_counts
 from vecweave.llm.simhash import op2_simhash
@@ -14,8 +16,10 @@ from vecweave.llm.token_files import op3_token_files
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_near_vectors": op4_near_vectors,
     "op5_token_counts": op5_token_counts,
     "op2_simhash": op2_simhash,
+    "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
