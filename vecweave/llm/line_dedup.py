@@ -30,7 +30,6 @@ from vecweave.sources.storage import materialize
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
-SHARDS = 256
 # Keys in one filter; a shard with more has several (each 4 MB at most).
 FILTER_KEYS = 1 << 20
 # A null id counts as the smallest of all.
@@ -51,7 +50,7 @@ def line_references(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    shards: int = SHARDS,
+    shards: int = 1,
     min_chars: int = MIN_KEY_CHARS,
 ) -> DataFrame:
     """(shard, key, doc_id, lines): for each key of at least ``min_chars`` code points of a document, how many lines have
@@ -201,7 +200,9 @@ class LineIndex:
         return _stream(self.filters, keys, self.shards).mapInArrow(remove, "shard int, filter binary")
 
 
-def new_index(spark: SparkSession, shards: int = SHARDS, min_chars: int = MIN_KEY_CHARS) -> LineIndex:
+def new_index(spark: SparkSession, shards: int | None = None, min_chars: int = MIN_KEY_CHARS) -> LineIndex:
+    """An empty index; without ``shards``, it has as many as the session has shuffle partitions."""
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = "struct<a: bigint, b: bigint>"
     references = spark.createDataFrame([], f"shard int, key {key}, doc_id bigint, lines bigint")
     return LineIndex(references, spark.createDataFrame([], "shard int, filter binary"), shards, min_chars)
