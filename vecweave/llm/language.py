@@ -103,13 +103,15 @@ class LanguageModel:
 
     def _table(self, automaton) -> np.ndarray:
         """Moves by (state, symbol), as twice the place of the next state's row, plus one if a phrase ends. Where there
-        is no way on, a new phrase begins with the symbol."""
+        is no way on, a new phrase begins with the symbol; a symbol that the sample lacks is a phrase by itself."""
         start, symbol, to, states = automaton
         width = self.nothing + 1
-        table = np.full((states, width), -1, np.int32)
+        alone = states * 2 * width  # the row after the automaton's: no way leads on
+        table = np.full((states + 1, width), -1, np.int32)
         table[start, symbol] = to * (2 * width)
-        begin = np.where(table[0] < 0, 0, table[0])
+        begin = np.where(table[0] < 0, alone, table[0])
         table = np.where(table < 0, begin + 1, table).astype(np.int32)
+        table[0] = begin  # at the start of a text no phrase ends
         table[:, self.nothing] = 0
         return table.ravel()
 

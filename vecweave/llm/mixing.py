@@ -17,8 +17,6 @@ from vecweave.sources.storage import materialize
 SEED = 17
 EPOCHS = 1.0
 POWER = 0.5
-# A larger rate has no Poisson number in double precision.
-MAX_RATE = 700
 # The table of rates is sent to every task up to so many bytes; a larger one is joined by a shuffle.
 MAX_BROADCAST_BYTES = 16 << 20
 _PLACES = 1 << 52
@@ -60,11 +58,7 @@ def source_rates(
         "rows",
         F.expr(f"CASE WHEN all_weight > 0 THEN weight / all_weight * all_size * {epochs!r}D / size ELSE 0D END").alias("rate"),
     )
-    rates = materialize(rates)
-    largest = rates.agg(F.max("rate")).first()[0]
-    if largest is not None and largest > MAX_RATE:
-        raise ValueError(f"a source would be repeated {largest:.0f} times; at most {MAX_RATE} are possible")
-    return rates
+    return materialize(rates)
 
 
 def mix(
@@ -86,15 +80,19 @@ def mix(
     """
     rates = source_rates(docs, weights, source, text, epochs, power)
     name, rows, rate, cdf, copies, copy, order = fresh_names(docs, 7)
-    # Chances of at most 0, 1, 2, ... copies, to where the rest is below what a double can tell from one.
-    most = "CAST(ceil(rate + 12 * sqrt(rate)) AS INT) + 20"
-    term = "named_struct('chance', exp(-rate), 'all', array(exp(-rate)))"
+    # Chances of at most k copies for all k that a double can tell from never and always, as shares of their sum: so
+    # large rates have no number too small to be told from zero.
+    least = "greatest(0L, CAST(floor(rate - 12 * sqrt(rate)) AS BIGINT) - 20L)"
+    most = "CAST(ceil(rate + 12 * sqrt(rate)) AS BIGINT) + 20L"
     following = "state.chance * rate / k"
     table = (
-        f"aggregate(sequence(1, {most}), {term}, (state, k) -> named_struct('chance', {following}, "
-        f"'all', concat(state.all, array(element_at(state.all, -1) + {following}))), state -> state.all)"
+        f"transform(array(aggregate(sequence({least} + 1L, {most}), named_struct('chance', 1D, 'all', array(1D)), "
+        f"(state, k) -> named_struct('chance', {following}, 'all', array_append(state.all, element_at(state.all, -1) + {following})), "
+        "state -> state.all)), sums -> transform(sums, sum -> sum / element_at(sums, -1)))[0]"
+    )
+    rates = rates.select(
+        F.col("source").alias(name), F.col("rows").alias(rows), F.expr(least).alias(rate), F.expr(table).alias(cdf)
     )
-    rates = rates.select(F.col("source").alias(name), F.col("rows").alias(rows), F.expr(table).alias(cdf))
     key = F.col(f"`{source}`")
     bytes_ = rates.agg(F.sum(F.expr(f"coalesce(octet_length(CAST({name} AS STRING)), 0) + 8 * size({cdf}) + 32"))).first()[0]
     if (bytes_ or 0) <= MAX_BROADCAST_BYTES:
@@ -106,7 +104,7 @@ def mix(
         by_key = rates.withColumn(none, F.to_json(F.struct(F.col(name).alias("s")))).drop(name)
         joined = split_join(keyed, by_key, none, rows).drop(none)
     identity = f"coalesce(CAST(`{doc_id}` AS STRING), '')"
-    chosen = joined.withColumn(copies, F.expr(f"size(filter({cdf}, chance -> chance <= {_place(repr(str(seed)), identity)}))"))
+    chosen = joined.withColumn(copies, F.expr(f"{rate} + size(filter({cdf}, chance -> chance <= {_place(repr(str(seed)), identity)}))"))
     copied = chosen.filter(F.col(copies) > 0).withColumn(
         copy, F.explode(F.expr(f"sequence(0L, CAST({copies} - 1 AS BIGINT))"))
     )

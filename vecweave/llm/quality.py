@@ -197,6 +197,8 @@ def learn_rules(
     rows = materialize(labelled.filter("bad IS NOT NULL").selectExpr(*features, "bad", f"pmod(fold, 3) < {GROW_SHARE} AS grow"))
     cuts = _cuts(rows, features)
     rules: list[Rule] = []
+    if not any(cuts.values()):
+        return DecisionList(())
     while len(rules) < max_rules:
         covered = " OR ".join(f"({rule_sql(r)})" for r in rules) or "false"
         rest = rows.filter(f"NOT coalesce({covered}, false)")
