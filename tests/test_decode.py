@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from vecweave.operators.decode import decode_events, decode_requests, rejected_messages, valid_events
 
 HEADERS = {"event_id": "e", "event_type": "t", "timestamp": "x", "source_service": "s"}
@@ -126,5 +128,49 @@ def test_requests(spark):
 def test_each_message_is_parsed_once(spark):
     df = spark.createDataFrame([(FULL,)], "value string")
     plan = valid_events(decode_events(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parseJson") == 1
+    assert plan.count("maxStringLen") == 1
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        (r"\ud800", "half of a surrogate pair"),
+        (r"\uDC00 x", "half of a surrogate pair"),
+        (r"\ud83d\ud83d\ude00", "half of a surrogate pair"),
+        (r"\\\ud83dx", "half of a surrogate pair"),
+        (r"\ud83d\ude00", None),
+        (r"\\ud83d", None),
+    ],
+)
+def test_surrogates(spark, text, reason):
+    value = event(chunks=[{**CHUNK, "content": "@@"}]).replace("@@", text)
+    assert text in value
+    df = spark.createDataFrame([(value,)], "value string")
+    assert decode_events(df).first()["reject_reason"] == reason
+
+
+@pytest.mark.parametrize(
+    "change, reason",
+    [
+        ({"start_line": "-0"}, "a count of minus zero"),
+        ({"confidence": "1e400"}, "bad chunks"),
+        ({"confidence": "-1e400"}, "bad chunks"),
+        ({"confidence": "-0"}, None),
+        ({"confidence": "1e30"}, None),
+    ],
+)
+def test_numbers_without_a_value(spark, change, reason):
+    (name, number) = next(iter(change.items()))
+    value = event(chunks=[{**CHUNK, name: 12345}]).replace("12345", number)
+    df = spark.createDataFrame([(value,)], "value string")
+    assert decode_events(df).first()["reject_reason"] == reason
+
+
+def test_long_content_is_whole(spark):
+    """Longer than the parser's own limit for a string."""
+    n = 25_000_000
+    value = event(chunks=[{**CHUNK, "content": "@@"}])
+    df = spark.createDataFrame([(value,)], "value string").selectExpr(f"replace(value, '@@', repeat('x', {n})) AS value")
+    row = decode_events(df).selectExpr("reject_reason", "length(chunks[0].content) AS n").first()
+    assert tuple(row) == (None, n)

@@ -52,7 +52,7 @@ def test_no_second_attempt(error):
 
 def test_what_may_pass():
     assert all(map(is_retryable, [ModelCallError(429), ModelCallError(500), ConnectionError(), TimeoutError()]))
-    assert not any(map(is_retryable, [ModelCallError(404), ValueError()]))
+    assert not any(map(is_retryable, [ModelCallError(404), ValueError(), FileNotFoundError(), OSError()]))
 
 
 def test_order_and_length_of_answers():
@@ -155,7 +155,7 @@ def test_model_is_opened_in_the_task(spark):
         weight = 3.0
         return from_function(lambda texts: [[weight * len(text)] for text in texts])
 
-    embedder = CallableEmbedder("m", 1, open_model=open_model, max_parallel=2)
+    embedder = CallableEmbedder("m", 1, open_model=open_model)
     assert embedded(embed_rows(table(spark, ["ab"]), embedder)).first()["embedding"] == [6.0]
 
 
@@ -169,10 +169,58 @@ def test_vectors_do_not_depend_on_partitions_or_batch_size(spark):
     assert len(seen) == 2
 
 
-def test_parallel_calls_are_capped_by_partitions(spark):
+@pytest.mark.parametrize("partitions", [3, 50])
+def test_partitions_follow_the_data(spark, partitions):
     embedder = CallableEmbedder("m", 2, call=from_function(lengths))
-    rows = embed_rows(spark.range(100).select(F.col("id").cast("string").alias("text")), embedder)
-    assert rows.rdd.getNumPartitions() == 16
+    texts = spark.range(0, 100, 1, partitions).select(F.col("id").cast("string").alias("text"))
+    assert embed_rows(texts, embedder).rdd.getNumPartitions() == partitions
+
+
+def test_parallel_calls_are_capped_by_task_slots(spark):
+    texts = table(spark, ["a"])
+    with pytest.raises(ValueError, match="runs 8 tasks at a time and m allows 7 calls"):
+        embed_rows(texts, CallableEmbedder("m", 2, call=from_function(lengths), max_parallel=7))
+    assert embed_rows(texts, CallableEmbedder("m", 2, call=from_function(lengths), max_parallel=8)).count() == 1
+
+
+def test_an_outage_is_not_multiplied(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def down(request):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4()}", "w").close()
+        raise ModelCallError(503, "down")
+
+    rows = embed_rows(table(spark, ["a"] * 32, 1), local(down))
+    assert {r["error"] for r in failures(rows).collect()} == {"model returned 503: down"}
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_retry_rule_is_an_argument():
+    flaky = Flaky(KeyError("odd client"))
+    assert call_with_retry(flaky, 3, 0.1, flaky.waits.append, lambda error: isinstance(error, KeyError)) == "ok"
+
+
+def test_null_text_stops_the_job_in_scope_fail(spark):
+    for embedder in (HashingEmbedder(8), local(from_function(lengths))):
+        with pytest.raises(Exception, match="text is null"):
+            embed_rows(table(spark, ["a", None]), embedder, on_error="fail").collect()
+
+
+@pytest.mark.parametrize("number", [float("nan"), float("inf")])
+def test_numbers_that_are_not_finite_are_errors(spark, number):
+    call = from_function(lambda texts: [[number] if text == "x" else [1.0] for text in texts])
+    rows = embed_rows(table(spark, ["a", "x", "b"], 1), local(call))
+    assert [(r["id"], r["error"]) for r in failures(rows).collect()] == [(1, "an embedding must hold finite numbers")]
+    assert embedded(rows).count() == 2
+
+
+def test_offsets_do_not_wrap():
+    from vecweave.functions.arrow import lists
+
+    with pytest.raises(OverflowError):
+        lists(np.array([1 << 30] * 3), None)
 
 
 def test_bad_arguments(spark):

@@ -10,11 +10,12 @@ from vecweave.operators.embed import (
     embed_rows,
     embedded,
     filled_batches,
-    numbered_batches,
+    check_positions,
+    embed_numbered,
     reorder_by_index,
 )
 from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, ModelCallError, from_function
-from vecweave.operators.joins import broadcast_if_small
+from vecweave.operators.joins import broadcast_if_small, size_in_bytes
 from vecweave.operators.metrics import run_metrics
 from vecweave.operators.models import models_table, route_models
 from vecweave.operators.requests import batch_plan, embed_requests
@@ -28,6 +29,7 @@ def lengths(texts):
     return [[float(len(text))] for text in texts]
 
 
+NUMBERS = CallableEmbedder("numbers", 1, call=from_function(lambda texts: [[float(t)] for t in texts]))
 LENGTHS = CallableEmbedder("lengths", 7, call=from_function(lengths), max_parallel=None)
 
 
@@ -85,15 +87,39 @@ def test_events_are_embedded_without_shuffle(spark):
 @pytest.mark.parametrize("count, sizes", [(0, []), (1, [1]), (32, [32]), (33, [32, 1]), (70, [32, 32, 6])])
 def test_batches(spark, count, sizes):
     texts = spark.range(0, count, 1, 3).selectExpr("id", "CAST(id AS STRING) AS text")
-    batches = numbered_batches(texts, "text", "id").orderBy("batch_no").collect()
-    assert [len(b["texts"]) for b in batches] == sizes
-    assert [int(t) for b in batches for t in b["texts"]] == list(range(count))
-    filled = filled_batches(texts.coalesce(1), "text").collect()
+    done = embed_numbered(texts, "text", "id", NUMBERS)
+    batches = done.orderBy("batch_no").collect()
+    assert [len(b["embeddings"]) for b in batches] == sizes
+    assert [int(v[0]) for b in batches for v in b["embeddings"]] == list(range(count))
+    filled = filled_batches(texts.coalesce(1), "text", row_id="id").collect()
     assert [len(b["texts"]) for b in filled] == sizes
+    assert [i for b in filled for i in b["ids"]] == [int(t) for b in filled for t in b["texts"]] == list(range(count))
     requests = spark.createDataFrame([(1, ["t"] * count, None)], "id int, texts array<string>, batch_size int")
     assert [r["texts_in_batch"] for r in batch_plan(requests).orderBy("batch_no").collect()] == sizes
 
 
+@pytest.mark.parametrize("positions", [[1, 2], [0, 2], [0, 0], [-1, 0], [0, None]])
+def test_positions_must_have_no_gaps(spark, positions):
+    df = spark.createDataFrame([(p, "x") for p in positions], "id int, text string")
+    with pytest.raises(ValueError):
+        check_positions(df, "id")
+
+
+def test_numbered_batches_move_no_text(spark):
+    texts = spark.range(0, 100, 1, 3).selectExpr("id", "CAST(id AS STRING) AS text")
+    plan = embed_numbered(texts, "text", "id", NUMBERS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("ArrowEvalPython")
+
+
+def test_several_embedders_are_one_stage(spark):
+    three = [CallableEmbedder(name, 1, call=from_function(lambda texts: [[1.0] for _ in texts])) for name in "abc"]
+    df = spark.createDataFrame([(1, ["x"], name, None) for name in "abc"], "id int, texts array<string>, model string, batch_size int")
+    answers = embed_requests(df, three)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    assert answers.filter("total_texts = 1").count() == 3
+
+
 def test_filled_batches_ignore_arrow_batch_size(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -107,7 +133,7 @@ def test_filled_batches_ignore_arrow_batch_size(spark):
 
 def test_later_batches_come_after_a_failed_one(spark):
     texts = spark.createDataFrame([(i, "bad" if i == 1 else "x") for i in range(5)], "id long, text string")
-    done = embed_batches(numbered_batches(texts, "text", "id", 2), LENGTHS).orderBy("batch_no").collect()
+    done = embed_numbered(texts, "text", "id", LENGTHS, 2).orderBy("batch_no").collect()
     assert [(r["embeddings"], r["error"]) for r in done] == [
         (None, "model returned 400: refused"),
         ([[1.0], [1.0]], None),
@@ -160,6 +186,7 @@ def test_requests_for_unknown_models_can_be_refused(spark):
 def test_model_routing(spark):
     models = models_table(spark, [LENGTHS, HashingEmbedder(8, "hash")])
     df = spark.createDataFrame([(0, None), (1, "hash"), (2, "other")], "id int, model string")
+    models = models.union(models)  # a repeated name multiplies no rows
     got = [tuple(r) for r in route_models(df, models, "lengths").select("id", "model", "known", "dimension").orderBy("id").collect()]
     assert got == [(0, "lengths", True, 7), (1, "hash", True, 8), (2, "other", False, 1024)]
     strict = route_models(df, models, "lengths", strict=True)
@@ -168,8 +195,9 @@ def test_model_routing(spark):
 
 def test_long_model_lists_are_not_broadcast(spark):
     models = spark.range(100).selectExpr("CAST(id AS STRING) AS model")
-    assert "strategy=broadcast" in broadcast_if_small(models, 100)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" not in broadcast_if_small(models, 99)._jdf.queryExecution().analyzed().toString()
+    size = size_in_bytes(models)
+    assert "strategy=broadcast" in broadcast_if_small(models, size)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in broadcast_if_small(models, size - 1)._jdf.queryExecution().analyzed().toString()
 
 
 def test_first_by_key_thins_out_before_the_shuffle(spark):
@@ -191,13 +219,22 @@ def test_repeated_events(spark, order):
         "id % 4 AS part",
         "repeat('payload', 10) AS payload",
     )
-    few, many = dedup_events(df, order), dedup_events(df, order, max_broadcast=1)
+    few, many = dedup_events(df, order), dedup_events(df, order, max_broadcast_bytes=0)
     assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
     assert few.filter("event_id = 'hot'").count() == 1 and few.filter("event_id IS NULL").count() == 1
     assert few.filter("event_id = 'hot'").first()["at"] == 0
     assert few.count() == 2 + df.filter("event_id LIKE 'e%'").count()
     plan = few._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_repeated_events_with_ties_and_nulls(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("b", 2, "x"), ("b", None, "y"), ("c", 1, "z"), ("c", 1, "z"), ("d", 5, "w")]
+    df = spark.createDataFrame(rows, "event_id string, at int, payload string")
+    few, many = dedup_events(df, ["at"]), dedup_events(df, ["at"], max_broadcast_bytes=0)
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str)
+    got = {r["event_id"]: (r["at"], r["payload"]) for r in few.collect()}
+    assert few.count() == 4 and got["b"] == (None, "y") and got["c"] == (1, "z")
 
 
 def test_vector_table(spark, tmp_path):

@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from vecweave.operators.embedders import HashingEmbedder
+from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, from_function
 from vecweave.operators.embed import embed_rows, embedded
-from vecweave.operators.search import text_search, vector_topk
+from vecweave.operators.search import text_search, unusable_vectors, vector_topk
 
 
 def brute_force(queries, vectors, k):
@@ -36,7 +36,7 @@ def data(seed, copies=0):
     return queries + [(20, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0])], vectors
 
 
-WAYS = {"broadcast": {}, "grid": {"max_broadcast_bytes": 0, "block_bytes": 2000}, "one block": {"max_broadcast_bytes": 0}}
+WAYS = {"one block": {}, "blocks": {"max_broadcast_bytes": 800}}
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -65,12 +65,33 @@ def test_no_pair_join_in_the_plan(spark):
         assert "WindowGroupLimit" in plan
 
 
-def test_large_query_sets_take_the_grid(spark):
-    asked, stored = frames(spark, *data(2))
-    plan = vector_topk(asked, stored, 3, max_broadcast_bytes=8 * 6 * 20)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInArrow" in plan
-    plan = vector_topk(asked, stored, 3, max_broadcast_bytes=8 * 6 * 21)._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInArrow" not in plan
+@pytest.mark.parametrize("way", WAYS)
+def test_vectors_that_cannot_be_compared_are_left_out(spark, way):
+    nan, inf = float("nan"), float("inf")
+    bad = [(2, [nan, 1.0]), (3, [1.0, inf]), (4, [None, 1.0]), (5, None)]
+    asked, stored = frames(spark, [(0, [1.0, 1.0]), (1, [nan, 1.0]), (6, [3e30, 3e30])], [(0, [1.0, 1.0]), (1, [1.0, 0.0]), *bad])
+    found = {tuple(r) for r in vector_topk(asked, stored.coalesce(1), 1, **WAYS[way]).collect()}
+    assert found == {(0, 0, 1.0, 1), (6, 0, 1.0, 1)}
+    assert {r["vec_id"] for r in unusable_vectors(stored).collect()} == {2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_each_query_text_is_sent_once(spark, tmp_path, way):
+    folder = str(tmp_path)
+
+    def noting(texts):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as file:
+            file.write("\n".join(texts))
+        return [[float(len(text)), 1.0] for text in texts]
+
+    embedder = CallableEmbedder("noting", 2, call=from_function(noting))
+    texts = spark.range(40).selectExpr("CAST(id AS INT) AS query_id", "concat('text ', id) AS text")
+    stored = spark.createDataFrame([(0, [1.0, 1.0]), (1, [8.0, 1.0])], "vec_id int, embedding array<float>")
+    assert text_search(texts, stored, embedder, 1, **WAYS[way]).count() == 40
+    sent = [line for path in tmp_path.iterdir() for line in path.read_text().splitlines()]
+    assert len(sent) == 40
 
 
 def test_lengths_must_agree(spark):

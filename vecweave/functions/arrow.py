@@ -16,8 +16,10 @@ def lengths_of(lists: pa.Array) -> np.ndarray:
 
 def lists(lengths: np.ndarray, values: pa.Array, missing: np.ndarray | None = None) -> pa.ListArray:
     """``values`` cut into lists of the given lengths; null where ``missing``."""
-    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
+    ends = np.cumsum(lengths, dtype=np.int64)
+    if len(ends) and ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"{ends[-1]} values do not fit one array of lists")
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
     mask = None if missing is None else pa.array(missing)
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 

@@ -61,8 +61,8 @@ def _vectors(words: pa.Array, dimension: int) -> pa.Array:
     return lists(np.full(len(words), dimension), flat)
 
 
-def _pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
-    """Cut a batch of text lists so that one piece makes about one dense block."""
+def pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
+    """Cut a batch of text lists so that the vectors of one piece make about one dense block."""
     lengths = np.cumsum(lengths_of(batch) * dimension)
     start = 0
     while start < len(batch):
@@ -73,16 +73,19 @@ def _pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
         start = end
 
 
-def hashed_vectors(texts: str, dimension: int) -> Column:
-    """SQL of an array<string> -> array of outcomes, one per text. A null text has no vector."""
+def hashed_vectors(texts: str, dimension: int, refuse_null: bool = False) -> Column:
+    """SQL of an array<string> -> array of outcomes, one per text. A null text has no vector, or, with ``refuse_null``,
+    stops the job."""
 
     @F.arrow_udf(f"array<{OUTCOME}>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for piece in _pieces(batch, dimension):
+            for piece in pieces(batch, dimension):
                 started = time.perf_counter()
                 words = piece.flatten()
                 missing = words.is_null()
+                if refuse_null and missing.true_count:
+                    raise ValueError("text is null")
                 vectors = _vectors(words, dimension)
                 error = pc.if_else(missing, "text is null", pa.scalar(None, pa.string()))
                 if missing.true_count:

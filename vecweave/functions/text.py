@@ -55,5 +55,7 @@ def rfc3339(moment: str) -> str:
 
 
 def text_key(model: str, text: str, max_bytes: int = MAX_INPUT_BYTES) -> str:
-    """Key under which the vector of a text is reused: same model and same text as the model sees it."""
-    return f"sha2(concat_ws('\\n', {quoted(model)}, {truncate_utf8(text, max_bytes)}), 256)"
+    """Key under which the vector of a text is reused: same model and same text as the model sees it. The length of the
+    model's name comes first, so no name can run into a text."""
+    head = quoted(f"{len(model)}\n{model}\n")
+    return f"sha2(concat({head}, {truncate_utf8(text, max_bytes)}), 256)"

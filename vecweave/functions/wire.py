@@ -23,6 +23,15 @@ def encode_embedding_event(event: str = "") -> str:
     )
 
 
+def message_pointer(message: str) -> str:
+    """What a dead letter says of an event that is too large to be sent: where it came from and the digest and size of
+    the message it was made of, which is kept. Always a few hundred bytes."""
+    return (
+        f"to_json(named_struct('source_id_sha256', sha2(source_id, 256), 'event_id_sha256', sha2(headers.event_id, 256), "
+        f"'message_sha256', sha2(CAST({message} AS BINARY), 256), 'message_bytes', octet_length({message})))"
+    )
+
+
 def dead_letter(topic: str, error: str, event: str, failed_at: str = "current_timestamp()") -> str:
     """Envelope of a message that could not be sent; all but ``topic`` are SQL expressions."""
     return (

@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from vecweave.functions.text import text_key
 from vecweave.operators.embed import embed_rows
 from vecweave.operators.embedders import Embedder
-from vecweave.operators.joins import broadcast_if_small
+from vecweave.operators.joins import MAX_BROADCAST_BYTES, broadcast_if_small, size_in_bytes
 from vecweave.sources.storage import materialize
 
 # A key with more rows than this is split. At most (all rows / this) keys can be, so their list is safe to broadcast:
 # for 10^12 rows, 10^6 keys of under 100 bytes.
 ROWS_PER_SPLIT = 1_000_000
-# Up to this many missing texts (ids and keys, some 100 MB) are looked up without moving the rows.
-MAX_BROADCAST_MISSES = 500_000
 
 
 def keyed_rows(rows: DataFrame, embedder: Embedder, row_id: str, text: str = "text") -> DataFrame:
@@ -62,6 +60,18 @@ def join_vectors(
     return rows.join(vectors, ["key", "split"], "left").drop("split")
 
 
+def _rows_to_embed(rows: DataFrame, keyed: DataFrame, missing: DataFrame, row_id: str, max_bytes: int) -> DataFrame:
+    """The rows that stand for missing keys. Texts stay where they are if either these rows or all others are few enough
+    for a list of their ids to be sent to every task; the choice does not change the rows."""
+    wanted = missing.select(row_id)
+    if size_in_bytes(wanted) <= max_bytes:
+        return rows.join(F.broadcast(wanted), row_id, "left_semi")
+    others = materialize(keyed.join(wanted, row_id, "left_anti").select(row_id))
+    if size_in_bytes(others) <= max_bytes:
+        return rows.join(F.broadcast(others), row_id, "left_anti")
+    return rows.join(wanted, row_id, "left_semi")
+
+
 def embed_with_cache(
     rows: DataFrame,
     cache: DataFrame,
@@ -70,6 +80,7 @@ def embed_with_cache(
     text: str = "text",
     on_error: str = "row",
     rows_per_split: int = ROWS_PER_SPLIT,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (row id, key, embedding) for every row, and the new cache entries to append.
 
@@ -77,15 +88,17 @@ def embed_with_cache(
     the model is called once per missing text.
     """
     keyed = materialize(keyed_rows(rows, embedder, row_id, text))
-    counted = count_keys(keyed, row_id)
+    counted = materialize(count_keys(keyed, row_id))
     missing = materialize(cache_misses(counted, cache).select(row_id, "key"))
-    texts = rows.select(row_id, text).join(
-        broadcast_if_small(missing, MAX_BROADCAST_MISSES), row_id
+    texts = _rows_to_embed(rows.select(row_id, text), keyed, missing, row_id, max_broadcast_bytes).withColumn(
+        "key", F.expr(text_key(embedder.name, text, embedder.max_bytes))
     )
     fresh = materialize(
         embed_rows(texts, embedder, text, on_error=on_error)
         .filter("error is null")
         .select("key", "model", "embedding")
     )
-    known = cache.select("key", "model", "embedding").unionByName(fresh)
+    # Of the cache, only vectors that are wanted take part in what follows.
+    wanted = broadcast_if_small(materialize(counted.join(missing, "key", "left_anti").select("key")), max_broadcast_bytes)
+    known = cache.select("key", "model", "embedding").join(wanted, "key", "left_semi").unionByName(fresh)
     return join_vectors(keyed, counted, known, row_id, rows_per_split), fresh

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from vecweave.constants import DEFAULT_BATCH_SIZE, MAX_UINT32
 from vecweave.functions.text import column, quoted
 
+# The parser's own limit for one string is far lower; what remains is the largest size of a variant (128 MiB).
+MAX_STRING_CHARS = 2_000_000_000
+MAX_TEXT_BYTES = 134_000_000
+# One half of an escaped surrogate pair without the other. Such a text has no UTF-8 form.
+_LONE_SURROGATE = (
+    r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})"
+    r"|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+)
+# A counting field written as minus zero, which is no unsigned number.
+_MINUS_ZERO = r'(?<!\\)"(?:retry_count|start_line|end_line)"\s*:\s*-0\s*[,}]'
+
 # Fields and their rules: what the JSON value must be. A leading "?" lets it be absent or null.
 _HEADERS = {
     "event_id": "text",
@@ -66,7 +77,8 @@ def _obeys(value: str, rule: str) -> str:
         return f"({kind} = 'BIGINT' AND coalesce({count} BETWEEN 0 AND {MAX_UINT32}, false))"
     if rule == "counter":
         return f"({kind} = 'ABSENT' OR {_obeys(value, 'uint32')})"
-    return f"({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL'))"
+    finite = f"coalesce(abs({_get(value, 'double')}) < double('Infinity'), false)"
+    return f"(({kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL')) AND {finite})"
 
 
 def _all_obey(struct: str, rules: dict[str, str]) -> str:
@@ -92,7 +104,13 @@ def _parsed(df: DataFrame, value: str, small_fields: list[str]) -> DataFrame:
     return (
         df.withColumn("_text", F.expr(f"try_validate_utf8(CAST({value} AS STRING))"))
         .withColumn("_digest", F.expr("sha2(_text, 256)"))
-        .withColumn("_json", F.expr("try_parse_json(concat('[', _text, ',\"', _digest, '\"]'))"))
+        .withColumn(
+            "_json",
+            F.expr(
+                f"CASE WHEN octet_length(_text) <= {MAX_TEXT_BYTES} THEN from_json(concat('[', _text, ',\"', _digest, "
+                f"'\"]'), 'variant', map('maxStringLen', '{MAX_STRING_CHARS}')) END"
+            ),
+        )
         .withColumns(
             {
                 "_whole": F.expr(f"coalesce({_get('_json', 'string', '[1]')} = _digest, false)"),
@@ -110,8 +128,11 @@ def _judged(
     rules = [
         (f"{value} IS NOT NULL", "empty payload"),
         ("_text IS NOT NULL", "not UTF-8"),
+        (f"octet_length(_text) <= {MAX_TEXT_BYTES}", f"more than {MAX_TEXT_BYTES} bytes"),
         ("_whole", "not one JSON value"),
         ("_top IS NOT NULL", "not an object"),
+        (f"NOT (contains(_text, r'\\u') AND _text RLIKE r'{_LONE_SURROGATE}')", "half of a surrogate pair"),
+        (f"NOT (contains(_text, '-0') AND _text RLIKE r'{_MINUS_ZERO}')", "a count of minus zero"),
         *rules,
     ]
     cases = " ".join(f"WHEN NOT ({rule}) THEN {quoted(reason)}" for rule, reason in rules)

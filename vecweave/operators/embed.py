@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
@@ -13,9 +13,21 @@ from vecweave.functions.text import column, quoted, truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
 
-def spread_calls(df: DataFrame, embedder: Embedder) -> DataFrame:
-    """As many partitions as the model may be called at one time. Without a limit nothing moves."""
-    return df if embedder.max_parallel is None else df.repartition(embedder.max_parallel)
+def check_parallel_calls(spark: SparkSession, embedder: Embedder) -> None:
+    """Tasks call the model one text batch at a time, so an executor makes as many calls at once as it has task slots.
+
+    The limit of a model is kept by the slots of the session, never by moving rows into few partitions: partitions follow
+    the data, and a lost task repeats little.
+    """
+    master = spark.sparkContext.master
+    # Of a local session, and of a cluster that does not say how many cores an executor has, the default is the best guess.
+    cores = spark.sparkContext.defaultParallelism if master.startswith("local[") else int(spark.conf.get("spark.executor.cores", "1"))
+    slots = max(1, cores // int(spark.conf.get("spark.task.cpus", "1")))
+    if embedder.max_parallel is not None and slots > embedder.max_parallel:
+        raise ValueError(
+            f"an executor runs {slots} tasks at a time and {embedder.name} allows {embedder.max_parallel} calls: set "
+            "spark.executor.cores or spark.task.cpus, or raise max_parallel"
+        )
 
 
 def with_outcomes(
@@ -28,10 +40,9 @@ def with_outcomes(
 ) -> DataFrame:
     """Add an array of outcomes for an array of texts (a SQL expression). Every row stays whole and in place, so
     regrouping is free."""
+    check_parallel_calls(df.sparkSession, embedder)
     cut = truncate_all(texts, embedder.max_bytes)
-    return spread_calls(df, embedder).withColumn(
-        name, embedder.outcomes(cut, batch_size, on_error)
-    )
+    return df.withColumn(name, embedder.outcomes(cut, batch_size, on_error))
 
 
 def embed_rows(
@@ -64,44 +75,78 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("error").isNotNull()).drop("embedding", "dimension")
 
 
-def numbered_batches(
-    df: DataFrame, text: str, position: str, batch_size: int = DEFAULT_BATCH_SIZE
+def check_positions(df: DataFrame, position: str) -> None:
+    """Positions must be 0, 1, 2, ... without gaps or repeats; one pass over that column."""
+    found = df.agg(
+        F.count("*").alias("rows"),
+        F.min(position).alias("least"),
+        F.max(position).alias("most"),
+        F.count_distinct(position).alias("different"),
+    ).first()
+    if found["rows"] and (found["least"], found["most"] + 1, found["different"]) != (0, found["rows"], found["rows"]):
+        raise ValueError(f"{position} must number the rows from 0 without gaps or repeats: {found.asDict()}")
+
+
+def embed_numbered(
+    df: DataFrame,
+    text: str,
+    position: str,
+    embedder: Embedder,
+    batch_size: int = DEFAULT_BATCH_SIZE,
+    check: bool = True,
 ) -> DataFrame:
-    """Cut a table into batches by a unique position without gaps: ``batch_no``, ``texts`` in order. So every group has
-    ``batch_size`` rows, but for the last."""
+    """Embed a table in batches by a unique position without gaps: ``batch_no``, ``embeddings`` in order or an ``error``
+    for the whole batch. Every batch has ``batch_size`` texts, but for the last.
+
+    Texts are embedded where they are, in calls of neighbouring rows; only vectors move to their batch. ``check`` makes
+    sure of the positions.
+    """
     check_batch_size(batch_size)
-    return (
-        df.groupBy(F.floor(F.col(position) / batch_size).alias("batch_no"))
-        .agg(F.array_sort(F.collect_list(F.struct(position, text))).alias("_items"))
-        .select("batch_no", F.col(f"_items.{text}").alias("texts"))
+    if check:
+        check_positions(df, position)
+    rows = embed_rows(df.select(position, text), embedder, text, batch_size)
+    grouped = rows.groupBy(F.floor(F.col(position) / batch_size).alias("batch_no")).agg(
+        F.array_sort(F.collect_list(F.struct(position, "embedding"))).alias("_items"), F.max("error").alias("error")
+    )
+    return grouped.select(
+        "batch_no", F.when(F.col("error").isNull(), F.col("_items.embedding")).alias("embeddings"), "error"
     )
 
 
-def filled_batches(df: DataFrame, text: str, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+def filled_batches(
+    df: DataFrame, text: str, batch_size: int = DEFAULT_BATCH_SIZE, row_id: str | None = None
+) -> DataFrame:
     """Cut every partition into batches of ``batch_size`` as the rows come; only its last may be short.
 
-    Works on streams, where a batch is filled from one micro-batch, and shuffles nothing.
+    ``row_id`` carries a column along as ``ids``, in the order of ``texts``. Works on streams, where a batch is filled
+    from one micro-batch, and shuffles nothing.
     """
     check_batch_size(batch_size)
+    chosen = df.select(*([F.col(row_id).alias("ids")] if row_id else []), F.col(text).alias("texts"))
+    names = chosen.columns
+    schema = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in chosen.schema)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[str | None] = []
+        kept: list[pa.RecordBatch] = []
 
-        def batch_of(texts: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([texts], pa.list_(pa.string()))], names=["texts"]
-            )
+        def cut(rows: pa.RecordBatch) -> pa.RecordBatch:
+            offsets = pa.array([*range(0, rows.num_rows, batch_size), rows.num_rows], pa.int32())
+            columns = [pa.ListArray.from_arrays(offsets, column) for column in rows.columns]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            kept += batch.column(0).to_pylist()
-            whole = len(kept) - len(kept) % batch_size
-            for start in range(0, whole, batch_size):
-                yield batch_of(kept[start : start + batch_size])
-            kept = kept[whole:]
-        if kept:
-            yield batch_of(kept)
-
-    return df.select(text).mapInArrow(fill, "texts array<string>")
+            kept.append(batch)
+            size = sum(one.num_rows for one in kept)
+            if size < batch_size:
+                continue
+            rows = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            whole = size - size % batch_size
+            yield cut(rows.slice(0, whole))
+            kept = [rows.slice(whole)] if whole < size else []
+        if kept and (rest := pa.Table.from_batches(kept).combine_chunks().to_batches()):
+            yield cut(rest[0])
+
+    return chosen.mapInArrow(fill, schema)
 
 
 def embed_batches(batches: DataFrame, embedder: Embedder, on_error: str = "batch") -> DataFrame:

@@ -7,7 +7,7 @@ An embedder has a name, a declared dimension, an input limit in bytes and a limi
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -27,7 +27,7 @@ from vecweave.constants import (
     TOO_MANY_REQUESTS,
 )
 from vecweave.functions.arrow import lengths_of, lists, outcome_array
-from vecweave.functions.hashing import hashed_vectors
+from vecweave.functions.hashing import hashed_vectors, pieces
 from vecweave.schemas import OUTCOME
 
 # How far a failed call reaches: the job, the batch of texts in the call, or single texts.
@@ -68,7 +68,7 @@ class HashingEmbedder:
         self, texts: str, batch_size: int | str = DEFAULT_BATCH_SIZE, on_error: str = "row"
     ) -> Column:
         check_scope(on_error)
-        return hashed_vectors(texts, self.dimension)
+        return hashed_vectors(texts, self.dimension, refuse_null=on_error == "fail")
 
 
 class ModelCallError(Exception):
@@ -80,21 +80,25 @@ class ModelCallError(Exception):
 
 
 def is_retryable(error: Exception) -> bool:
-    """Server errors, rate limits and transport errors may pass; anything else will not."""
+    """Server errors, rate limits and transport errors may pass; other statuses, bad answers and missing files will not."""
     if isinstance(error, ModelCallError):
         return error.status >= 500 or error.status == TOO_MANY_REQUESTS
-    return isinstance(error, OSError)
+    return isinstance(error, (ConnectionError, TimeoutError))
 
 
 def call_with_retry(
-    call: Callable[[], Any], attempts: int, first_wait: float, sleep: Callable[[float], None] = time.sleep
+    call: Callable[[], Any],
+    attempts: int,
+    first_wait: float,
+    sleep: Callable[[float], None] = time.sleep,
+    retryable: Callable[[Exception], bool] = is_retryable,
 ) -> Any:
     """Call until it works, at most ``attempts`` times, waiting twice as long each time."""
     for left in reversed(range(attempts)):
         try:
             return call()
         except Exception as error:
-            if left == 0 or not is_retryable(error):
+            if left == 0 or not retryable(error):
                 raise
             sleep(first_wait * 2 ** (attempts - 1 - left))
     raise ValueError("attempts must be at least 1")
@@ -108,6 +112,8 @@ def vectors_in_order(response: dict, expected: int) -> list[np.ndarray]:
     vectors = [np.asarray(item["embedding"], dtype=np.float32) for item in data]
     if any(vector.ndim != 1 for vector in vectors):
         raise ValueError("an embedding must be a list of numbers")
+    if not all(np.isfinite(vector).all() for vector in vectors):
+        raise ValueError("an embedding must hold finite numbers")
     return vectors
 
 
@@ -126,8 +132,8 @@ class CallableEmbedder:
     """Any model behind a function from request {model, input, input_type} to response {data}.
 
     ``call`` is sent to the workers; give ``open_model`` instead to make the function there, once per task (for a
-    client or a loaded model). ``max_parallel`` is the number of tasks, and so of calls at one time; ``None`` leaves
-    the partitioning alone, for models that run on the executors.
+    client or a loaded model). A task makes one call at a time, so an executor makes as many as it has task slots;
+    ``max_parallel`` is the most that it may have, and ``None`` sets no limit. ``retryable`` tells errors that may pass.
     """
 
     name: str
@@ -140,6 +146,7 @@ class CallableEmbedder:
     first_wait: float = CALL_FIRST_WAIT_SECONDS
     input_type: str = INPUT_TYPE
     sleep: Callable[[float], None] = field(default=time.sleep)
+    retryable: Callable[[Exception], bool] = field(default=is_retryable)
 
     def __post_init__(self):
         if (self.call is None) == (self.open_model is None):
@@ -153,7 +160,7 @@ class CallableEmbedder:
         """With a number as ``batch_size``, calls are filled with the texts of neighbouring rows; with an
         expression, each row is cut into calls of its own size."""
         check_scope(on_error)
-        run, open_model, call = self._run, self.open_model, self.call
+        run, open_model, call, dimension = self._run, self.open_model, self.call, self.dimension
 
         def model():
             return call if open_model is None else open_model()
@@ -169,9 +176,13 @@ class CallableEmbedder:
                 opened = model()
                 for batch, sizes in batches:
                     found = []
-                    for row, size in zip(batch.to_pylist(), sizes.to_pylist()):
-                        found += run(opened, row or [], size, on_error)
-                    yield nested(batch, found)
+                    at = 0
+                    for piece in pieces(batch, dimension):
+                        found = []
+                        for row, size in zip(piece.to_pylist(), sizes.slice(at, len(piece)).to_pylist()):
+                            found += run(opened, row or [], size, on_error)
+                        at += len(piece)
+                        yield nested(piece, found)
 
             return embed_rows.asNondeterministic()(F.expr(texts), F.expr(batch_size))
 
@@ -181,13 +192,16 @@ class CallableEmbedder:
         def embed_together(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             opened = model()
             for batch in batches:
-                yield nested(batch, run(opened, batch.flatten().to_pylist(), batch_size, on_error))
+                for piece in pieces(batch, dimension):
+                    yield nested(piece, run(opened, piece.flatten().to_pylist(), batch_size, on_error))
 
         return embed_together.asNondeterministic()(F.expr(texts))
 
     def _run(self, model, texts: list, size: int, on_error: str) -> list[tuple]:
         """(vector, error, milliseconds) for each text, sent in calls of ``size``. Null texts are not sent."""
         check_batch_size(size)
+        if on_error == "fail" and None in texts:
+            raise ValueError("text is null")
         found = [(None, "text is null", 0.0)] * len(texts)
         given = [place for place, text in enumerate(texts) if text is not None]
         for start in range(0, len(given), size):
@@ -206,13 +220,46 @@ class CallableEmbedder:
                 self.attempts,
                 self.first_wait,
                 self.sleep,
+                self.retryable,
             )
         except Exception as error:
             if on_error == "fail":
                 raise
-            if on_error == "row" and len(texts) > 1:
-                # One bad text must not cost its neighbours their vectors.
+            if on_error == "row" and len(texts) > 1 and not self.retryable(error):
+                # One bad text must not cost its neighbours their vectors. An outage is not the fault of any: the texts
+                # have had their attempts together.
                 return [o for text in texts for o in self._call(model, [text], on_error)]
             vectors, failure = [None] * len(texts), str(error) or type(error).__name__
         millis = (time.perf_counter() - started) * 1000 / len(texts)
         return [(vector, failure, millis) for vector in vectors]
+
+
+def outcomes_by_name(
+    embedders: Sequence[CallableEmbedder], texts: str, batch_size: str, name: str, on_error: str = "batch"
+) -> Column:
+    """Outcomes of rows that are for different models: ``name`` is the SQL of the model of a row; a row of another name
+    has no outcomes. One Python stage serves all models; each is opened when its first row comes."""
+    check_scope(on_error)
+    served = {embedder.name: embedder for embedder in embedders}
+    dimension = max(embedder.dimension for embedder in embedders)
+
+    @F.arrow_udf(f"array<{OUTCOME}>")
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        opened: dict[str, Any] = {}
+        for batch, sizes, names in batches:
+            at = 0
+            for piece in pieces(batch, dimension):
+                found, lengths = [], []
+                of_piece = slice(at, at + len(piece))
+                at += len(piece)
+                for row, size, chosen in zip(piece.to_pylist(), sizes[of_piece].to_pylist(), names[of_piece].to_pylist()):
+                    embedder = served.get(chosen)
+                    lengths.append(len(row) if embedder and row else 0)
+                    if lengths[-1]:
+                        if chosen not in opened:
+                            opened[chosen] = embedder.open_model() if embedder.call is None else embedder.call
+                        found += embedder._run(opened[chosen], row, size, on_error)
+                vectors, errors, millis = zip(*found) if found else ((), (), ())
+                yield lists(np.array(lengths, np.int64), outcome_array(vectors, errors, millis))
+
+    return embed.asNondeterministic()(F.expr(texts), F.expr(batch_size), F.expr(name))

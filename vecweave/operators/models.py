@@ -11,9 +11,6 @@ from vecweave.constants import DECLARED_DIMENSION, MAX_INPUT_BYTES
 from vecweave.operators.embedders import Embedder
 from vecweave.operators.joins import broadcast_if_small
 
-# Names and two numbers per model: a few megabytes at most.
-MAX_BROADCAST_MODELS = 50_000
-
 
 def models_table(spark: SparkSession, embedders: Iterable[Embedder]) -> DataFrame:
     """One row per model: name, declared dimension, input limit."""
@@ -34,11 +31,12 @@ def list_models(named: DataFrame, model: str = "model") -> DataFrame:
 
 def route_models(df: DataFrame, models: DataFrame, default: str, strict: bool = False) -> DataFrame:
     """Fill in the default model and look the name up. Unknown names are accepted with the declared limits, or,
-    if ``strict``, get an ``error``. A default that most rows use stays spread out: the list of models is broadcast,
-    after a check of its size."""
+    if ``strict``, get an ``error``. A name that ``models`` repeats counts once, with its smallest limits. A default that
+    most rows use stays spread out: the list of models is broadcast, after a check of its bytes."""
     named = df.withColumn("model", F.coalesce(F.col("model"), F.lit(default)))
+    models = models.groupBy("model").agg(*[F.min(c).alias(c) for c in models.columns if c != "model"])
     models = models.withColumn("_known", F.lit(True))
-    joined = named.join(broadcast_if_small(models, MAX_BROADCAST_MODELS), "model", "left")
+    joined = named.join(broadcast_if_small(models), "model", "left")
     known = F.coalesce(F.col("_known"), F.lit(False))
     if strict:
         joined = joined.withColumn("error", F.when(~known, F.lit("model not found")))

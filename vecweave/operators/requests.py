@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
-from vecweave.functions.text import column, quoted
-from vecweave.operators.embed import with_outcomes
-from vecweave.operators.embedders import Embedder
+from vecweave.functions.text import column, quoted, truncate_all
+from vecweave.operators.embed import check_parallel_calls
+from vecweave.operators.embedders import CallableEmbedder, Embedder, outcomes_by_name
 
 
 def batch_plan(requests: DataFrame) -> DataFrame:
@@ -75,11 +75,20 @@ def embed_requests(
         "*",
         f"CASE WHEN _size > 0 THEN CASE WHEN model IN ({known}) THEN model ELSE {fallback} END END AS _serving",
     )
-    for place, embedder in enumerate(embedders):
-        # Each embedder sees its own requests; the others are empty lists to it.
-        mine = f"filter(_texts, text -> _serving = {quoted(embedder.name)})"
-        df = with_outcomes(df, mine, embedder, "greatest(_size, 1)", "batch", f"_outcomes_{place}")
-    outcomes = ", ".join(f"_outcomes_{place}" for place in range(len(embedders)))
+    # No row moves. Callables share one Python stage; other embedders see their own requests, the others as empty lists.
+    answers, called = {}, [e for e in embedders if isinstance(e, CallableEmbedder)]
+    for embedder in embedders:
+        check_parallel_calls(requests.sparkSession, embedder)
+        if embedder not in called:
+            mine = truncate_all(f"filter(_texts, text -> _serving = {quoted(embedder.name)})", embedder.max_bytes)
+            answers[f"_outcomes_{len(answers)}"] = embedder.outcomes(mine, "greatest(_size, 1)", "batch")
+    if called:
+        cut = " ".join(f"WHEN {quoted(e.name)} THEN {truncate_all('_texts', e.max_bytes)}" for e in called)
+        answers[f"_outcomes_{len(answers)}"] = outcomes_by_name(
+            called, f"CASE _serving {cut} ELSE CAST(array() AS ARRAY<STRING>) END", "greatest(_size, 1)", "_serving"
+        )
+    df = df.withColumns(answers)
+    outcomes = ", ".join(answers)
     declared = " ".join(f"WHEN {quoted(e.name)} THEN {e.dimension}" for e in embedders)
     return (
         df.withColumn("_outcomes", F.expr(f"concat({outcomes})"))

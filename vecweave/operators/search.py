@@ -8,6 +8,7 @@ block, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from vecweave.operators.embed import embed_rows, embedded
 from vecweave.operators.embedders import Embedder
+from vecweave.sources.storage import materialize
 
 SCORE_DIGITS = 9
-# Largest set of query vectors given to every task, and size of one block when the set is larger.
+# Query vectors given to every task at a time, with what their ids take.
 MAX_BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 64 << 20
 _SCORE_CELLS = 4_000_000
 _SLACK = 1e-8
 
@@ -34,11 +35,26 @@ def _unit_rows(vectors: pa.Array) -> np.ndarray:
         raise ValueError("vectors of one search must have the same length")
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = values.reshape(count, -1)
+    # Large components would overflow when squared.
+    largest = np.abs(rows).max(axis=1, keepdims=True, initial=0)
+    rows = rows / np.where(largest > 0, largest, 1)
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1
     return rows / norms
 
 
+def usable_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector can be compared: not null, and every component a finite number."""
+    finite = f"forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    return df.filter(f"{vector} IS NOT NULL AND {finite}")
+
+
+def unusable_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The other rows: what a search leaves out."""
+    finite = f"forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+    return df.filter(f"NOT coalesce({vector} IS NOT NULL AND {finite}, false)")
+
+
 def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     ranked = candidates.sort_values(["query", "score", "id"], ascending=[True, False, True])
     return ranked.groupby("query", sort=False).head(k)
@@ -115,78 +131,39 @@ def _scan(queries: DataFrame, head: pa.Table, vectors: DataFrame, k: int) -> Dat
     return vectors.mapInArrow(scan, schema)
 
 
-def _grid(queries: DataFrame, vectors: DataFrame, k: int, rows_per_block: int) -> DataFrame:
-    """Both sides are cut into blocks by a hash of their id, and each pair of blocks meets in one task. Ids are
-    unique, so blocks are even, whatever the vectors are."""
-    query_blocks, vector_blocks = (
-        max(1, -(-side.count() // rows_per_block)) for side in (queries, vectors)
-    )
-
-    def own(id_column: str, blocks: int):
-        return F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = queries.withColumn("_q", own("query_id", query_blocks)).withColumn(
-        "_v", every(vector_blocks)
-    )
-    right = vectors.withColumn("_v", own("vec_id", vector_blocks)).withColumn(
-        "_q", every(query_blocks)
-    )
-
-    def meet(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        asked, stored = asked.combine_chunks(), stored.combine_chunks()
-        query_ids, vector_ids = asked.column("query_id"), stored.column("vec_id")
-        if len(query_ids) == 0 or len(vector_ids) == 0:
-            best = pd.DataFrame({"query": [], "id": [], "score": []})
-        else:
-            best = _block_topk(
-                _unit_rows(asked.column("embedding").chunk(0)),
-                _unit_rows(stored.column("embedding").chunk(0)),
-                _id_values(vector_ids),
-                k,
-            )
-        return pa.table(
-            {
-                "query_id": query_ids.take(pa.array(list(best["query"]), pa.int64())),
-                "vec_id": pa.array(list(best["id"]), vector_ids.type),
-                "score": pa.array(best["score"], pa.float64()),
-            }
-        )
-
-    return (
-        left.groupBy("_q", "_v")
-        .cogroup(right.groupBy("_q", "_v"))
-        .applyInArrow(meet, _result_schema(queries, vectors))
-    )
-
-
 def vector_topk(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 10,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The ``k`` vectors most similar to each query: query_id, vec_id, score, rank.
 
-    ``queries`` has columns query_id, embedding; ``vectors`` has vec_id, embedding; ids are unique. If all queries fit
-    ``max_broadcast_bytes`` (tried with a bounded read), they go to every task; otherwise blocks meet in a grid. Both
-    ways are exact.
+    ``queries`` has columns query_id, embedding; ``vectors`` has vec_id, embedding; ids are unique. Vectors and queries
+    that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`.
+
+    Queries are written down once and counted in the written table. A block of them, of ``max_broadcast_bytes`` at most,
+    goes to every task, and the vectors are scanned once for each block, where they are: neither side is copied. Every
+    task passes on its best ``k`` per query, which are thinned out once more before the last ranking.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = queries.select("query_id", "embedding").filter("embedding is not null")
-    vectors = vectors.select("vec_id", "embedding").filter("embedding is not null")
-    first = queries.select(F.size("embedding")).first()
-    row_bytes = 8 * max(1, first[0] if first else 1)
-    most = max_broadcast_bytes // row_bytes
-    head = queries.limit(most + 1).toArrow() if most else None
-    if head is not None and len(head) <= most:
-        best = _scan(queries, head, vectors, k)
+    queries = materialize(usable_vectors(queries.select("query_id", "embedding")))
+    vectors = usable_vectors(vectors.select("vec_id", "embedding"))
+    id_bytes = F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64
+    size = queries.agg(F.sum(F.size("embedding") * 8 + id_bytes)).first()[0] or 0
+    blocks = -(-size // max(1, max_broadcast_bytes)) or 1
+    if blocks == 1:
+        best = _scan(queries, queries.toArrow(), vectors, k)
     else:
-        best = _grid(queries, vectors, k, max(1, block_bytes // row_bytes))
+        # The driver holds one block at a time; what it finds is written before the next. Twice as many blocks as the
+        # size asks for leave room for blocks of uneven size.
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        found = [
+            materialize(_scan(queries, queries.filter(block == number).toArrow(), vectors, k))
+            for number in range(2 * blocks)
+        ]
+        best = reduce(DataFrame.union, found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -198,7 +175,8 @@ def text_search(
     k: int = 10,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Search by text: ``texts`` has query_id, text. If ``vectors`` has a model column, only the embedder's rows count."""
+    """Search by text: ``texts`` has query_id, text. If ``vectors`` has a model column, only the embedder's rows count.
+    Each text is sent to the model once: the queries are written down before they are used."""
     if "model" in vectors.columns:
         vectors = vectors.filter(F.col("model") == embedder.name)
     asked = embedded(embed_rows(texts.select("query_id", "text"), embedder))

@@ -16,9 +16,13 @@ from vecweave.constants import (
 from vecweave.functions.wire import dead_letter, encode_embedding_event
 
 
-def kafka_source(servers: str, topic: str = CHUNK_TOPIC, **options: str) -> dict[str, str]:
-    """Options to read a topic from its beginning. Needs the public Kafka connector on the class path."""
+def kafka_source(
+    servers: str, max_offsets_per_trigger: int, topic: str = CHUNK_TOPIC, **options: str
+) -> dict[str, str]:
+    """Options to read a topic from its beginning, at most so many messages in a micro-batch: the backlog of a topic is
+    not one batch. Needs the public Kafka connector on the class path."""
     return {
+        "maxOffsetsPerTrigger": str(max_offsets_per_trigger),
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",

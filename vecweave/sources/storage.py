@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. A local session without one gets a temporary folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="vecweave-"))
-    return context.getCheckpointDir()
+    """The folder named in ``spark.checkpoint.dir``, which all executors and the driver must reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where everything is written that this application needs on the way."""
+    return f"{shared_folder(spark).rstrip('/')}/vecweave-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    """An unused place in the folder of this application."""
+    return f"{run_folder(spark)}/{uuid.uuid4()}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and go on from the written table: nothing is computed twice, and lost executors cost only
-    reading. The table stays until the shared folder is cleaned."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/vecweave-{uuid.uuid4()}"
+    reading. The table stays until :func:`remove_intermediate`."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediate(spark: SparkSession) -> bool:
+    """Remove what this application has written on the way. Frames that read it can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
