@@ -21,10 +21,10 @@ from vecweave.operators.decode import decode_events, decode_requests, rejected_m
 from vecweave.operators.dedup import dedup_events
 from vecweave.operators.embed import (
     embed_batches,
+    embed_numbered,
     embed_rows,
     embedded,
     filled_batches,
-    numbered_batches,
     reorder_by_index,
 )
 from vecweave.operators.embedders import (
@@ -53,9 +53,10 @@ from vecweave.plans.tables import (
 )
 from vecweave.schemas import EMBEDDING_EVENT
 from vecweave.sources.messages import dead_letters, encode_events, split_oversize
-from vecweave.sources.storage import materialize
+from vecweave.sources.storage import materialize, new_path
 from vecweave.sources.tables import read_table, spread
-from vecweave.sources.vectors import latest_vectors
+from vecweave.sources.vectors import append_vectors, latest_vectors, read_vectors
+from vecweave.streaming.run import run_stream
 
 DIMENSION = 64
 EMBEDDER = HashingEmbedder(DIMENSION)
@@ -159,7 +160,7 @@ def make_headers_query(spark: SparkSession, folder: str) -> DataFrame:
     return documents.selectExpr("doc_id", f"{headers} AS h").select("doc_id", "h.*")
 
 
-def _model_of_language() -> Column:
+def _model_of_language():
     return F.concat(F.lit("model-"), F.col("lang"))
 
 
@@ -213,8 +214,8 @@ def embed_single(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
-    batches = numbered_batches(_documents(spark, folder, "doc_id", "text"), "text", "doc_id")
-    return embed_batches(batches, EMBEDDER).select(
+    documents = _documents(spark, folder, "doc_id", "text")
+    return embed_numbered(documents, "text", "doc_id", EMBEDDER).select(
         "batch_no",
         F.size("embeddings").cast("bigint").alias("n_texts"),
         F.expr(checksum_all("embeddings")).alias("mark"),
@@ -234,8 +235,8 @@ def stream_batches_filled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_failures(spark: SparkSession, folder: str) -> DataFrame:
-    batches = numbered_batches(_documents(spark, folder, "doc_id", "text"), "text", "doc_id")
-    done = embed_batches(batches, _local_model("no-addresses", _refuse_addresses))
+    documents = _documents(spark, folder, "doc_id", "text")
+    done = embed_numbered(documents, "text", "doc_id", _local_model("no-addresses", _refuse_addresses))
     return done.select(
         "batch_no",
         F.coalesce(F.size("embeddings"), F.lit(0)).cast("bigint").alias("n_texts"),
@@ -304,8 +305,9 @@ def embed_callable(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _event_report(events: DataFrame) -> DataFrame:
+def _event_report(events: DataFrame, *others: str) -> DataFrame:
     return events.select(
+        *others,
         F.col("headers.event_id").alias("event_id"),
         F.col("headers.event_type").alias("event_type"),
         F.col("metadata.retry_count").alias("retry_count"),
@@ -325,10 +327,11 @@ def embedding_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assemble_events_query(spark: SparkSession, folder: str) -> DataFrame:
-    events = valid_events(decode_events(event_messages(_documents(spark, folder))))
-    rows = embedded(embed_rows(explode_chunks(events), EMBEDDER, "content"))
+    """Every event comes twice; a message is told by its event and the number of its copy."""
+    messages = event_messages(_documents(spark, folder)).withColumn("copy", F.explode(F.expr("array(0L, 1L)")))
+    rows = embedded(embed_rows(explode_chunks(valid_events(decode_events(messages))), EMBEDDER, "content"))
     rows = rows.withColumn("event_id", F.col("headers.event_id"))
-    return _event_report(assemble_events(rows, ["event_id"], EMBEDDER.name, NOW))
+    return _event_report(assemble_events(rows, ["event_id", "copy"], EMBEDDER.name, NOW), "copy")
 
 
 def _partly_embedded(spark: SparkSession, folder: str) -> DataFrame:
@@ -403,19 +406,25 @@ def message_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _repeated_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as events; equal texts make equal event ids."""
+    """Documents as events, each twice; equal texts make equal event ids, and places tie or are null."""
     return _documents(spark, folder, "doc_id", "text").select(
-        F.md5("text").alias("event_id"), "doc_id"
+        F.md5("text").alias("event_id"),
+        F.expr("nullif(doc_id % 5, 0)").alias("place"),
+        F.explode(F.expr("array(0, 1)")).alias("copy"),
     )
 
 
+def _first_places(first: DataFrame) -> DataFrame:
+    return first.groupBy("event_id", "place").agg(F.count("*").alias("rows"))
+
+
 def dedup_events_query(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup_events(_repeated_events(spark, folder), ["doc_id"])
+    return _first_places(dedup_events(_repeated_events(spark, folder), ["place"]))
 
 
 def dedup_events_ranked(spark: SparkSession, folder: str) -> DataFrame:
     """The way taken when very many ids repeat."""
-    return dedup_events(_repeated_events(spark, folder), ["doc_id"], max_broadcast=0)
+    return _first_places(dedup_events(_repeated_events(spark, folder), ["place"], max_broadcast_bytes=0))
 
 
 def _stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -434,8 +443,7 @@ def vector_topk_grid(spark: SparkSession, folder: str) -> DataFrame:
         vectors.withColumnRenamed("vec_id", "query_id"),
         vectors,
         10,
-        max_broadcast_bytes=0,
-        block_bytes=128 << 10,
+        max_broadcast_bytes=48 << 10,
     )
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -481,6 +489,90 @@ def vector_table_latest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _flaky_sizes():
+    """A model that is down whenever a batch comes for the first time."""
+    seen = set()
+
+    def sizes(texts: list[str]) -> list[list[float]]:
+        if tuple(texts) not in seen:
+            seen.add(tuple(texts))
+            raise ModelCallError(503, "down")
+        return _text_sizes(texts)
+
+    return from_function(sizes)
+
+
+def retried_calls(spark: SparkSession, folder: str) -> DataFrame:
+    model = CallableEmbedder("flaky", 3, open_model=_flaky_sizes, max_parallel=None, first_wait=0.0)
+    rows = embedded(embed_rows(_texts(spark, folder), model))
+    return rows.select(
+        "doc_id", F.col("embedding")[0].cast("bigint").alias("n_bytes"), F.col("embedding")[1].cast("bigint").alias("n_chars")
+    )
+
+
+def empty_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests without texts, and requests with an empty text."""
+    requests = _texts(spark, folder).selectExpr(
+        "doc_id",
+        "CASE WHEN doc_id % 3 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array('', text) END AS texts",
+        "CAST(NULL AS STRING) AS model",
+        "CAST(NULL AS INT) AS batch_size",
+    )
+    answers = embed_requests(requests, [_local_model("sizes", _text_sizes)])
+    sizes = "array_join(transform(embeddings, x -> CAST(CAST(x[0] AS BIGINT) AS STRING)), ',')"
+    return answers.select("doc_id", "total_texts", F.expr(sizes).alias("n_bytes"))
+
+
+def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{folder}/documents.parquet"
+    # As a pattern: a stream source takes a single file by no other name.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+def stream_unbounded(spark: SparkSession, folder: str) -> DataFrame:
+    batches = filled_batches(_document_stream(spark, folder), "text", row_id="doc_id")
+    done = embed_batches(batches, _local_model("sizes", _text_sizes))
+    target = new_path(spark)
+    query = (
+        done.writeStream.format("parquet")
+        .option("path", f"{target}/out")
+        .option("checkpointLocation", f"{target}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    pairs = spark.read.schema(done.schema).parquet(f"{target}/out").select(F.explode(F.arrays_zip("ids", "embeddings")).alias("x"))
+    return pairs.select(
+        F.col("x.ids").alias("doc_id"), F.col("x.embeddings")[0].cast("bigint").alias("n_bytes")
+    )
+
+
+def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of documents as a stream, published to the shared folder and read back."""
+    target = new_path(spark)
+    stream = damaged_messages(_document_stream(spark, folder))
+    run_stream(stream, EMBEDDER, f"{target}/out", f"{target}/checkpoint", now=NOW).awaitTermination()
+    written = spark.read.parquet(f"{target}/out/messages")
+    return written.groupBy("outcome", "error").agg(
+        F.count("*").alias("messages"),
+        F.sum("vectors_out").alias("vectors_out"),
+        F.sum(F.when(F.col("outcome") == PUBLISHED, F.get_json_object("value", "$.chunks[0].id")).cast("bigint")).alias("sum_of_ids"),
+    )
+
+
+def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors stored by model, read back for one of them, and searched."""
+    path = new_path(spark)
+    vectors = _table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.col("label") % 2).alias("model"), "embedding", F.lit(1).alias("version")
+    )
+    append_vectors(vectors.withColumn("version", F.lit(0)).withColumn("embedding", F.reverse("embedding")), path)
+    append_vectors(vectors, path)
+    stored = read_vectors(spark, path, "m0").select(F.col("id").alias("vec_id"), "embedding")
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vector_topk(asked, stored, 5).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_utf8": truncate_utf8_query,
     "explode_chunks": explode_chunks_query,
@@ -516,4 +608,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_misses": cache_misses_query,
     "cache_reuse": cache_reuse,
     "vector_table_latest": vector_table_latest,
+    "retried_calls": retried_calls,
+    "empty_texts": empty_texts,
+    "stream_unbounded": stream_unbounded,
+    "stream_outcomes": stream_outcomes,
+    "stored_vector_search": stored_vector_search,
 }

@@ -85,9 +85,13 @@ _TOPK = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
     SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10"""
 
-_FIRST_EVENTS = "SELECT md5(text) AS event_id, min(doc_id) AS doc_id FROM documents GROUP BY 1"
+# Nulls come first; every event is there twice.
+_FIRST_EVENTS = """
+    SELECT md5(text) AS event_id, CASE WHEN bool_or(doc_id % 5 = 0) THEN NULL ELSE min(doc_id % 5) END AS place,
+           CAST(1 AS BIGINT) AS rows
+    FROM documents GROUP BY 1"""
 
-_KEY = f"sha256('feature-hashing' || chr(10) || {_cut('text', 7500)})"
+_KEY = f"sha256('15' || chr(10) || 'feature-hashing' || chr(10) || {_cut('text', 7500)})"
 
 ORACLES: dict[str, str] = {
     "truncate_utf8": f"""
@@ -181,7 +185,7 @@ ORACLES: dict[str, str] = {
                CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS n_spaces
         FROM cut""",
     "embedding_events": _EVENT_REPORT,
-    "assemble_events": _EVENT_REPORT,
+    "assemble_events": f"SELECT r.*, c.copy FROM ({_EVENT_REPORT}) r CROSS JOIN (VALUES (0::BIGINT), (1::BIGINT)) c(copy)",
     "partial_failure": f"""
         WITH {_CHUNKS}
         SELECT event_id, count(*) AS chunks_in,
@@ -236,4 +240,27 @@ ORACLES: dict[str, str] = {
     "vector_table_latest": """
         SELECT role AS model, conv_id AS id, max(turn) AS version, CAST(arg_max(strlen(text), turn) AS BIGINT) AS n_bytes
         FROM conversations GROUP BY role, conv_id""",
+    "retried_calls": f"""
+        SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes,
+               CAST(length({_cut('text', 7500)}) AS BIGINT) AS n_chars
+        FROM documents""",
+    "empty_texts": f"""
+        SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS BIGINT) AS total_texts,
+               CASE WHEN doc_id % 3 = 0 THEN '' ELSE '0,' || strlen({_cut('text', 7500)}) END AS n_bytes
+        FROM documents""",
+    "stream_unbounded": f"SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes FROM documents",
+    "stream_outcomes": f"""
+        WITH {_DAMAGE}
+        SELECT CASE WHEN reason IS NULL THEN 'published' ELSE 'rejected' END AS outcome, reason AS error,
+               count(*) AS messages, count(*) FILTER (reason IS NULL) AS vectors_out,
+               CAST(sum(doc_id) FILTER (reason IS NULL) AS BIGINT) AS sum_of_ids
+        FROM damage GROUP BY ALL""",
+    "stored_vector_search": """
+        WITH vectors AS (SELECT vec_id, embedding, label FROM embeddings),
+        asked AS (SELECT vec_id AS query_id, embedding, label FROM vectors WHERE vec_id % 20 = 0),
+        pairs AS (SELECT q.query_id, v.vec_id,
+                         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS score
+                  FROM asked q JOIN vectors v ON v.label % 2 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+        SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 5""",
 }
