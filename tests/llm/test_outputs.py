@@ -1,9 +1,11 @@
 """Registered queries against brute force or SQL, on whole tables."""
 
+import hashlib
 import html
 import re
 import zlib
 from collections import Counter, defaultdict
+from math import exp
 
 import duckdb
 import numpy as np
@@ -110,3 +112,114 @@ def test_html_text(spark):
         text = html.unescape(re.sub(r"<(br|/?p|/?h1)>", " ", article).replace("<b>", "").replace("</b>", ""))
         assert got.text[page_id] == " ".join(text.split())
         assert got.n_chars[page_id] == len(got.text[page_id])
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_quality_rules(spark, documents):
+    got = rows(spark, "op1_quality_rules").set_index("doc_id")
+    assert len(got) == len(documents)
+    for d, text in zip(documents.doc_id, documents.text):
+        words = WORD.findall(text or "")
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        count = Counter(windows)
+        covered = {k for i, w in enumerate(windows) if count[w] > 1 for k in (i, i + 1, i + 2)}
+        lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+        want = (
+            len(words),
+            sum(map(len, words)),
+            sum(c in "#*$%&|<>" for c in text or ""),
+            len(lines) - len(set(lines)),
+            len(covered),
+        )
+        row = got.loc[d]
+        assert tuple(row[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]]) == want
+        assert row.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        assert not (row.base_failed and row.kept)
+
+
+def test_near_vectors(spark):
+    got = rows(spark, "op4_near_vectors").set_index("vec_id")
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '{FOLDER}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    unit = np.array([v for _, v in table])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    ids = [i for i, _ in table]
+    assert got.n_links.to_dict() == dict(zip(ids, links.sum(axis=1)))
+    pairs = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(links))]
+    assert got.component_id.to_dict() == linked(pairs, ids)
+
+
+def check_pieces(pieces, ids_of, copies):
+    """Every id of every copy of a document lies in one piece, and sequences have no holes."""
+    found, filled = defaultdict(list), defaultdict(int)
+    for p in sorted(pieces.itertuples(), key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == filled[p.sequence_id]
+        filled[p.sequence_id] += p.length
+        ids = ids_of[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == crc(ids[p.start : p.start + p.length])
+        found[p.doc_id] += range(p.start, p.start + p.length)
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in filled.values())
+    short = sum(n < 2048 for n in filled.values())
+    for d, ids in ids_of.items():
+        assert sorted(found.pop(d, [])) == sorted(list(range(len(ids))) * copies[d])
+    assert not found
+    return short, len(filled)
+
+
+def test_packing(spark, token_ids):
+    short, sequences = check_pieces(rows(spark, "op6_packing"), token_ids, dict.fromkeys(token_ids, 1))
+    assert sequences > 50 and short <= 11 * 8
+
+
+def test_language(spark, documents):
+    got = rows(spark, "op8_language_id").merge(documents[["doc_id", "lang", "text"]], on="doc_id")
+    assert list(got.held_out) == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got.doc_id]
+    assert got.score.between(0, 1).all()
+    held = got[got.held_out & (got.lang_pred != "und")]
+    assert (held.lang == held.lang_pred).mean() > 0.95
+    assert all((p == "und") == (not any(map(str.isalpha, t or ""))) for p, t in zip(got.lang_pred, got.text))
+
+
+def test_pipeline(spark, documents):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from vecweave.llm.settings import END_ID, WORD_TOKENIZER
+
+    texts = {d: t for d, t in zip(documents.doc_id, documents.text) if any(map(str.isalpha, t or ""))}
+    sources = dict(zip(documents.doc_id, documents.source))
+    # Lines.
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for d, text in texts.items():
+        for line in text.split("\n"):
+            holders[key(line)].add(d)
+    gone = lambda d, k: len(k) >= 20 and len(holders[k]) >= 3 and d < max(holders[k])
+    texts = {d: "\n".join(x for x in t.split("\n") if not gone(d, key(x))) for d, t in texts.items()}
+    # Near-duplicates.
+    prints = {d: fingerprint(t) for d, t in texts.items()}
+    ids = list(prints)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    texts = {d: texts[d] for d, root in linked(pairs, ids).items() if root == d}
+    # Copies.
+    size = Counter()
+    for d, t in texts.items():
+        size[sources[d]] += len(t) + 1
+    weight = {s: n**0.5 for s, n in size.items()}
+    rate = {s: weight[s] / sum(weight.values()) * sum(size.values()) / n for s, n in size.items()}
+    copies = {}
+    for d in texts:
+        place = int(hashlib.md5(f"17|{d}".encode()).hexdigest()[:13], 16) / 2**52
+        chance, below, n = exp(-rate[sources[d]]), 0.0, 0
+        while below + chance <= place:
+            below, n = below + chance, n + 1
+            chance *= rate[sources[d]] / n
+        copies[d] = n
+    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+    found = tokenizer.encode_batch(list(texts.values()), add_special_tokens=False)
+    token_ids = {d: [*one.ids, END_ID] for d, one in zip(texts, found)}
+    check_pieces(corpus_pipeline.run(spark, FOLDER).toPandas(), token_ids, copies)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
