@@ -114,3 +114,13 @@ def test_names_of_models_do_not_run_into_texts(spark):
     one, other = text_key("m", "'n\\nx'"), text_key("m\nn", "'x'")
     row = spark.range(1).selectExpr(f"{one} AS one", f"{other} AS other").first()
     assert row["one"] != row["other"]
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from vecweave.sources.storage import remove_intermediate, run_folder
+
+    assert materialize(spark.range(3)).count() == 3
+    assert Path(run_folder(spark)).is_dir()
+    assert remove_intermediate(spark) and not Path(run_folder(spark)).exists()

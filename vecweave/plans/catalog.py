@@ -34,7 +34,7 @@ from vecweave.operators.embedders import (
     from_function,
 )
 from vecweave.operators.metrics import run_metrics
-from vecweave.operators.models import list_models, route_models
+from vecweave.operators.models import list_models, models_table, route_models
 from vecweave.operators.requests import (
     batch_plan,
     embed_requests,
@@ -49,6 +49,7 @@ from vecweave.plans.tables import (
     chunk_events,
     damaged_messages,
     event_messages,
+    odd_sized_messages,
     request_messages,
 )
 from vecweave.schemas import EMBEDDING_EVENT
@@ -172,7 +173,7 @@ def model_routing(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder, "doc_id", "lang").withColumn(
         "model", F.when(F.col("lang") != "en", _model_of_language())
     )
-    models = list_models(documents.filter(F.col("lang") != "fr"))
+    models = list_models(documents.filter(F.col("lang") != "fr")).unionByName(models_table(spark, [EMBEDDER]))
     routed = route_models(documents, models, "model-es")
     return routed.select("doc_id", "model", "known", "dimension", "max_bytes")
 
@@ -395,9 +396,10 @@ def dlq_envelope(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def message_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    processed = process_messages(
-        damaged_messages(spread(_documents(spark, folder))), EMBEDDER, NOW
-    )
+    """Damaged messages, and some without chunks and some whose event is too large to send."""
+    documents = spread(_documents(spark, folder))
+    messages = damaged_messages(documents).unionByName(odd_sized_messages(documents))
+    processed = process_messages(messages, EMBEDDER, NOW, max_bytes=10_000)
     return processed.groupBy("outcome", "error").agg(
         F.count("*").alias("messages"),
         F.sum("chunks_in").alias("chunks_in"),

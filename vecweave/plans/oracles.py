@@ -216,7 +216,10 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN reason IS NULL THEN 'published' ELSE 'rejected' END AS outcome, reason AS error,
                count(*) AS messages, count(*) FILTER (reason IS NULL) AS chunks_in,
                count(*) FILTER (reason IS NULL) AS vectors_out
-        FROM damage GROUP BY reason""",
+        FROM damage GROUP BY reason
+        UNION ALL SELECT 'empty', NULL, count(*), 0, 0 FROM documents WHERE doc_id % 7 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'dead_letter', 'message of more than 10000 bytes', count(*), count(*), count(*)
+        FROM documents WHERE doc_id % 11 = 0 HAVING count(*) > 0""",
     "dedup_events": _FIRST_EVENTS,
     "dedup_events_ranked": _FIRST_EVENTS,
     "vector_topk": _TOPK,

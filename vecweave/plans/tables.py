@@ -77,6 +77,20 @@ def damaged_messages(documents: DataFrame) -> DataFrame:
     )
 
 
+def odd_sized_messages(documents: DataFrame) -> DataFrame:
+    """Sound messages: without chunks for every seventh document, with a name of 20,000 letters for every eleventh."""
+    head = (
+        """'{"headers":{"event_id":"e","event_type":"t","timestamp":"now","source_service":"loader"},"source_id":"s",'"""
+    )
+    chunk = """'"chunks":[{"id":"1","file_id":"f","chunk_type":"document","content":"short"}],"timestamp":"now"}'"""
+    empty = f"""CASE WHEN doc_id % 7 = 0 THEN concat({head}, '"chunks":[],"timestamp":"now"}}') END"""
+    large = (
+        f"""CASE WHEN doc_id % 11 = 0 THEN concat({head}, '"repo_name":"', repeat('r', 20000), '",', {chunk}) END"""
+    )
+    made = documents.selectExpr("doc_id", f"explode(array({empty}, {large})) AS value")
+    return made.filter("value IS NOT NULL")
+
+
 def request_messages(documents: DataFrame) -> DataFrame:
     """Batch requests, one per source and id range; every other source leaves the batch size out."""
     grouped = documents.groupBy("source", F.expr(f"doc_id div {REQUEST_RANGE}").alias("bucket")).agg(
