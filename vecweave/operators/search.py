@@ -156,13 +156,15 @@ def vector_topk(
     if blocks == 1:
         best = _scan(queries, queries.toArrow(), vectors, k)
     else:
-        # The driver holds one block at a time; what it finds is written before the next. Twice as many blocks as the
-        # size asks for leave room for blocks of uneven size.
+        # The driver holds blocks of MAX_BROADCAST_BYTES at a time; what they find is written before the next. Twice as
+        # many blocks as the size asks for leave room for blocks of uneven size.
         block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        found = [
-            materialize(_scan(queries, queries.filter(block == number).toArrow(), vectors, k))
-            for number in range(2 * blocks)
-        ]
+        at_once = max(1, MAX_BROADCAST_BYTES // max(1, max_broadcast_bytes))
+        found = []
+        for first in range(0, 2 * blocks, at_once):
+            numbers = range(first, min(first + at_once, 2 * blocks))
+            scans = [_scan(queries, queries.filter(block == n).toArrow(), vectors, k) for n in numbers]
+            found.append(materialize(reduce(DataFrame.union, scans)))
         best = reduce(DataFrame.union, found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -445,7 +445,7 @@ def vector_topk_grid(spark: SparkSession, folder: str) -> DataFrame:
         vectors.withColumnRenamed("vec_id", "query_id"),
         vectors,
         10,
-        max_broadcast_bytes=48 << 10,
+        max_broadcast_bytes=256 << 10,
     )
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
