@@ -66,7 +66,7 @@ def test_quality_of_odd_rows(spark, odd, none):
 
 
 def test_quality_rules_are_learned(spark):
-    rows = [(i, ("good words " * 0) + " ".join(f"w{i}x{j}" for j in range(60)) + (" ###" * 40 if i % 5 == 0 else ""), int(i % 5 > 0)) for i in range(300)]
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)) + (" ###" * 40 if i % 5 == 0 else ""), int(i % 5 > 0)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
     judged, rules = quality_rules(docs.drop("quality"), docs.drop("text"))
     assert len(rules.rules) >= 1
@@ -237,13 +237,14 @@ def test_extraction_of_odd_pages(spark):
         (4, "u", f"<body><header>Site</header><div class='cookie-notice'>We use, cookies, a lot, here.</div><div id=main><p>{body}<p>Short &lt;end&gt;.</div><div id='comments'><p>{body}</div><aside>{body}</aside><form><p>{body}</form>"),
         (5, "u", f"<script>var a='<p>{body}</p>';</script><style>p{{}}</style><article><h1>Title</h1><p>{body}</article><footer>{body}"),
         (5, "u", "<p>" * 5000 + "deep"),
+        (8, "u", f"<div class='layout with-sidebar'><div class='postBody'><p>{body}</div><div class=rightSidebar><p>{body}</div></div><section class='user-replies'><article class='comment'>{body}</article></section>"),
         (6, "u", "<div>" * 3000 + body + "</div>" * 10),
     ]
     table = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("text", F.lit("old"))
     rows = extract(table).collect()
     got = [r.text for r in rows]
     whole = " ".join(body.split())
-    assert got == ["", "", "no markup & nothing", f"{whole} Short <end>.", f"Title {whole}", "deep", whole]
+    assert got == ["", "", "no markup & nothing", f"{whole} Short <end>.", f"Title {whole}", "deep", whole, whole]
     assert [r.n_chars for r in rows] == [len(t) for t in got]
     assert extract(table.filter("false")).count() == 0
 

@@ -32,14 +32,16 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("article section div main body table ul ol dl blockquote td th html".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OTHER_WORDS = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising adverting banner banners breadcrumb breadcrumbs byline "
+    "ad ads adbox adsense advert adverts advertisement advertising adverting banner banners breadcrumb breadcrumbs "
     "comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus donate feedback footer "
     "footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification "
-    "notifications overlay pager pagination paywall popup promo promos promoted promotion recommended related replies "
+    "notifications pager pagination paywall popup promo promos promoted promotion recommended related replies "
     "reply respond rss share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe "
-    "subscription tagcloud toolbar tooltip topbar warning widget widgets".split()
+    "subscription tagcloud toolbar topbar".split()
 )
 ARTICLES = frozenset(("article", "main"))
+# What an article element may be instead of the article.
+OTHER_ARTICLES = frozenset("comment comments related replies reply promo sponsored teaser".split())
 # Points.
 MIN_PARAGRAPH_CHARS = 25
 CHARS_PER_POINT = 100
@@ -51,6 +53,8 @@ MIN_SIBLING_CHARS = 80
 MAX_SIBLING_LINKS = 0.25
 
 _WORD = r"[a-z]+"
+# A page "with a sidebar" is not one.
+_ABOUT_OTHERS = r"\b(?:has|no|with|without)[-_ ]+[a-z]+"
 _HIDDEN = r"display\s*:\s*none|visibility\s*:\s*hidden"
 
 
@@ -71,8 +75,9 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     """Whether an element is not part of an article, by its tag and attributes."""
     if tag in NOT_TEXT:
         return True
-    if tag in ("html", "body") or tag in ARTICLES:
+    if tag in ("html", "body"):
         return False
+    words = OTHER_ARTICLES if tag in ARTICLES else OTHER_WORDS
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -82,8 +87,8 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name in ("class", "id") and value:
             # Words are cut at case changes, too: "siteFooter".
-            split = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not OTHER_WORDS.isdisjoint(re.findall(_WORD, split)):
+            split = re.sub(_ABOUT_OTHERS, " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            if not words.isdisjoint(re.findall(_WORD, split)):
                 return True
     return False
 

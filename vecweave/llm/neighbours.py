@@ -173,9 +173,8 @@ def _merged(lists: DataFrame) -> DataFrame:
 
 def _round(vectors: DataFrame, lists: DataFrame, size: int, round_: int) -> DataFrame:
     """What vectors find in the lists of those they are listed with."""
-    entries = lists.select("id", F.explode("near").alias("near"), F.element_at("score", -1).alias("worst"))
     own = lists.select(F.col("id").alias("pivot"), F.explode("near").alias("id"))
-    others = entries.select(F.col("near").alias("pivot"), "id")
+    others = own.select(F.col("id").alias("pivot"), F.col("pivot").alias("id"))
     member = own.union(others).union(lists.select(F.col("id").alias("pivot"), "id")).distinct()
     known = vectors.select("id", "bytes").join(
         lists.select("id", F.expr(f"if(size(near) < {LIST}, CAST(-2 AS FLOAT), element_at(score, -1))").alias("worst")),
