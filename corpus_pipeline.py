@@ -20,29 +20,43 @@ from vecweave.llm.simhash import one_of_each_group
 from vecweave.sources.storage import materialize
 
 
+# Texts go to Python in batches of this size in the whole session: half a dozen copies of a batch are alive at a time, in
+# Spark's buffers and in Python, for every task of an executor, and Spark keeps its buffers from stage to stage.
+BATCH_BYTES = "8m"
+
+
+def _prepared(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts and texts without a letter go."""
+    _prepared(spark)
     return drop_undecided(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that later documents hold, too. A document whose lines all go stays, empty."""
+    _prepared(spark)
     left = dedup_lines(docs)
     return left.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    _prepared(spark)
     return one_of_each_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by the weight of their source, in shuffled order."""
+    _prepared(spark)
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 ids, with the ids."""
+    _prepared(spark)
     return pack(docs, WORD_TOKENIZER, END_ID)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key with more rows than this is split before it meets the one row of the other side. At most (all rows / this)
@@ -14,6 +15,19 @@ ROWS_PER_SPLIT = 200_000
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "16m"):
+    """Arrow batches of at most ``size`` for what is run inside, whatever the session has: half a dozen copies of a batch
+    are alive at a time, in Spark's buffers and in Python. The session has its own setting again afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh_names(df: DataFrame, count: int = 1) -> list[str]:
     """Column names that ``df`` does not have, whatever its own are called."""
     taken = {c.lower() for c in df.columns}

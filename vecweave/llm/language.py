@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecweave.llm.frames import fresh_names
-from vecweave.llm.words import slices
+from vecweave.llm.words import give_back_memory, slices
 
 # Bounds of the sample that is learned from: rows per language, and code points of a row. A language's automaton is made
 # of at most their product.
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 300
 ROW = 512
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 UNDECIDED = "und"
 # The least remainder of a document's hash that is not learned from, and what it is a remainder of.
 HELD_OUT, FOLDS = 2, 4
@@ -220,6 +220,7 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
             found, score = model.predict(part.to_pylist())
             names += found
             scores.append(score)
+        give_back_memory()
         scores = np.concatenate(scores) if scores else np.zeros(0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 

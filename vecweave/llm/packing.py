@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm.words import WordTokenizer, slices, with_end
+from vecweave.llm.frames import small_batches
+from vecweave.llm.words import WordTokenizer, give_back_memory, slices, with_end
 from vecweave.sources.storage import materialize
 
 WINDOW = 2048
@@ -43,8 +44,8 @@ def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         for batch in batches:
             for first, texts in slices(batch.column(1)):
                 ids, offsets = with_end(*tokenizer.encode(texts), end_id)
-                wide = ids.astype(np.uint64)
-                hashes = mix[(wide[1:] ^ (wide[:-1] << np.uint64(1))) & np.uint64(len(mix) - 1)]
+                pairs = ids[1:].astype(np.uint32) ^ (ids[:-1].astype(np.uint32) << np.uint32(1))
+                hashes = mix[pairs & np.uint32(len(mix) - 1)]
                 out: dict[str, list] = {n: [] for n in ("doc_id", "row", "start", "doc_tokens", "near", "ids")}
                 for i, doc in enumerate(batch.column(0).slice(first, len(texts)).to_pylist()):
                     a, b = int(offsets[i]), int(offsets[i + 1])
@@ -55,6 +56,8 @@ def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
                             out[name].append(value)
                     row += 1
                 yield pa.RecordBatch.from_pydict(out, schema)
+                del ids, pairs, hashes, out
+                give_back_memory()
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("near", pa.int64()), ("ids", pa.binary())]
@@ -170,8 +173,9 @@ def pack(
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     width = WordTokenizer(tokenizer_path).dtype.itemsize
-    parts = materialize(encode_parts(docs, tokenizer_path, end_id, doc_id, text))
-    weights, mean = token_statistics(parts, width)
+    with small_batches(docs.sparkSession):
+        parts = materialize(encode_parts(docs, tokenizer_path, end_id, doc_id, text))
+        weights, mean = token_statistics(parts, width)
     shared = parts.sparkSession.sparkContext.broadcast((weights, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +196,17 @@ def pack(
                 for name, value in zip(out, values):
                     out[name].append(value)
             sequences += pieces[-1][3] + 1
+            give_back_memory()
             return pa.RecordBatch.from_pydict(out, schema)
 
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                held.append(row)
-                size += len(row[3]) // width
-                if size >= shard_tokens:
-                    yield packed()
-                    held, size = [], 0
+            for first in range(0, batch.num_rows, 200):
+                for row in zip(*(column.to_pylist() for column in batch.slice(first, 200).columns)):
+                    held.append(row)
+                    size += len(row[3]) // width
+                    if size >= shard_tokens:
+                        yield packed()
+                        held, size = [], 0
         if held:
             yield packed()
 

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecweave.llm.files import NewFile, little, new_folder, read_range
-from vecweave.llm.words import WordTokenizer, slices, with_end
+from vecweave.llm.frames import small_batches
+from vecweave.llm.words import WordTokenizer, give_back_memory, slices, with_end
 from vecweave.sources.storage import materialize
 
 # Ids in a block (2 or 4 MB), and in a file that is written.
@@ -71,13 +72,15 @@ def write_flat_files(
                 if n_ids >= max_file_tokens:
                     yield ended()
                     made, file = made + 1, None
+                give_back_memory()
         if file is not None:
             yield ended()
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    written = materialize(
-        rows.mapInArrow(write, "path string, n_ids long, width int, ordinal long, doc_id long")
-    )
+    with small_batches(docs.sparkSession):
+        written = materialize(
+            rows.mapInArrow(write, "path string, n_ids long, width int, ordinal long, doc_id long")
+        )
     files = written.filter("ordinal is null").select("path", "n_ids", "width")
     return files, written.filter("ordinal is not null").select("path", "ordinal", "doc_id")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from vecweave.llm.components import components
-from vecweave.llm.frames import fresh_names, split_join
+from vecweave.llm.frames import fresh_names, small_batches, split_join
 from vecweave.sources.storage import materialize
 
 SHINGLE_WORDS = 4
@@ -116,14 +116,17 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     their rows, null only if none of them has one. Texts without words share the fingerprint zero. Rows that share an id
     are rows of their own. An empty table gives an empty result; other columns do not matter.
     """
-    rows = materialize(_fingerprints(docs, doc_id, text).drop("digest"))
+    with small_batches(docs.sparkSession):
+        rows = materialize(_fingerprints(docs, doc_id, text).drop("digest"))
     return _with_components(rows).select("doc_id", "fingerprint", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, where a null id comes last;
     of rows that share id and group, the one whose text has the smallest hash, and any of those that are equal."""
-    found = _with_components(materialize(_fingerprints(docs, doc_id, text)))
+    with small_batches(docs.sparkSession):
+        rows = materialize(_fingerprints(docs, doc_id, text))
+    found = _with_components(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     did, digest = fresh_names(docs, 2)
     keep = found.groupBy("root").agg(first).select(

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecweave.llm.elias_fano import EliasFano
+from vecweave.llm.frames import small_batches
 from vecweave.llm.files import NewFile, little, new_folder, read_all, read_range
-from vecweave.llm.words import WordTokenizer, slices, with_end
+from vecweave.llm.words import WordTokenizer, give_back_memory, slices, with_end
 from vecweave.sources.storage import materialize
 
 MAGIC = b"VWTOKEN1"
@@ -132,6 +133,7 @@ def write_token_files(
                     if shard.n_tokens >= max_shard_tokens or start < len(texts):
                         yield ended()
                         made, shard = made + 1, None
+                give_back_memory()
         if shard is not None:
             yield ended()
 
@@ -139,7 +141,8 @@ def write_token_files(
         [("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
     )
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(write, MANIFEST))
+    with small_batches(docs.sparkSession):
+        return materialize(ordered.mapInArrow(write, MANIFEST))
 
 
 def shard_tasks(manifest: DataFrame) -> DataFrame:

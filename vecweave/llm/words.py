@@ -6,6 +6,7 @@ and the ids of the texts are gathered from those of the words.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from array import array
 from types import ModuleType
@@ -18,9 +19,9 @@ import pyarrow.compute as pc
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = rf"^(?P<core>[{_LETTERS}]+)(?P<tail>[.,;:!?]*)$"
 # Texts are encoded in slices of about this many bytes.
-SLICE_BYTES = 8 << 20
-# Words kept with their ids as long as a Python worker lives (some 100 MB); later new words are encoded each time.
-MAX_KEPT_WORDS = 300_000
+SLICE_BYTES = 4 << 20
+# Words kept with their ids as long as a Python worker lives (some 40 MB); later new words are encoded each time.
+MAX_KEPT_WORDS = 200_000
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
@@ -50,6 +51,15 @@ def worker_memory() -> dict:
     return sys.modules.setdefault("_vecweave_worker", ModuleType("_vecweave_worker")).__dict__
 
 
+def give_back_memory() -> None:
+    """Hand memory that is free back to the system: a Python worker outlives its tasks, and what it keeps adds up with
+    what Spark holds beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 class WordTokenizer:
     """A byte-pair tokenizer of the ``tokenizers`` library whose words end at white space.
 
