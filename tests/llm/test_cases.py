@@ -163,6 +163,43 @@ def test_dense_group_of_vectors(spark):
     assert all(got[i][1] == 60 for i in range(60, 150))
 
 
+def brute_force(rows):
+    """(n_links, component_id) by id."""
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = unit @ unit.T >= 0.95
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[j] for j in np.flatnonzero(line)) for line in links]
+    return {rows[i][0]: (int(links[i].sum()) - 1, rows[root[i]][0]) for i in range(len(rows))}
+
+
+def test_failed_audits_of_vectors_are_acted_on(spark, monkeypatch):
+    """Descent ends when few entries are new; a graph without its links is not what is returned."""
+    import vecweave.llm.neighbours as module
+
+    random = np.random.default_rng(2)
+    base = np.repeat(random.standard_normal((40, 16)), 3, axis=0)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base + 0.05 * random.standard_normal(base.shape))]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    rounds, audits = [], []
+    plain_round, plain_audit = module._round, module._audit
+    monkeypatch.setattr(module, "_round", lambda *a: rounds.append(a[-1]) or plain_round(*a))
+    monkeypatch.setattr(module, "_audit", lambda *a: audits.append(plain_audit(*a)) or audits[-1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(table).collect()}
+    assert got == brute_force(rows) and len(audits) == 1 and len(rounds) < module.MAX_ROUNDS
+    # Lists of far vectors only at first: the audit fails, and new planes and further rounds follow.
+    plain_first, plain_settled = module._first_lists, module._settled
+    monkeypatch.setattr(module, "_first_lists", lambda v, size, count, n: plain_first(v, size, count, n).filter("id < 0" if n == 0 else "true"))
+    audits.clear()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(table).collect()}
+    assert got == brute_force(rows) and len(audits) == 2 and audits[0] < module.MIN_RECALL
+    # No list ever has anything.
+    monkeypatch.setattr(module, "_settled", lambda *a: plain_settled(*a).filter("id < 0"))
+    with pytest.raises(RuntimeError, match="links"):
+        similar_vectors(table)
+
+
 def test_packing_of_odd_rows(odd, none):
     rows = pack(odd, WORD_TOKENIZER, END_ID, window=64, shard_tokens=2000).collect()
     by_sequence = {}

@@ -36,6 +36,8 @@ SETTLED = 0.01
 # The audit: so many vectors at most are compared with all.
 AUDIT_VECTORS = 256
 MIN_RECALL = 0.97
+# After a failed audit descent goes on with new planes; so many audits at most.
+MAX_AUDITS = 3
 # What bytes and single precision may be off by.
 SLACK = 0.02
 COUNT_BLOCK = 1024
@@ -203,6 +205,24 @@ def _round(vectors: DataFrame, lists: DataFrame, size: int, round_: int) -> Data
     return meeting.repartition("pivot").sortWithinPartitions("pivot", mixed).mapInArrow(meet, _LISTS)
 
 
+def _gained(before: DataFrame, after: DataFrame) -> int:
+    """Entries of the lists ``after`` that the same vectors' lists ``before`` do not have."""
+    both = after.select("id", "near").join(before.select("id", F.col("near").alias("old")), "id", "left")
+    new = F.size(F.array_except("near", F.coalesce("old", F.array().cast("array<bigint>"))))
+    return both.agg(F.sum(new)).first()[0] or 0
+
+
+def _settled(vectors: DataFrame, lists: DataFrame, size: int, count: int, first: int) -> DataFrame:
+    """Lists after rounds of descent, numbered from ``first``: until few entries are new, or there were ``MAX_ROUNDS``."""
+    for round_ in range(first + 1, first + MAX_ROUNDS + 1):
+        merged = materialize(_merged(lists.union(_round(vectors, lists, size, round_))))
+        gained = _gained(lists, merged)
+        lists = merged
+        if gained <= SETTLED * LIST * count:
+            break
+    return lists
+
+
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs (a, b) whose cosine in double precision reaches the threshold."""
     values = vectors.select("id", "vector")
@@ -340,20 +360,18 @@ def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     )
     count = vectors.count()
     lists = materialize(_merged(_first_lists(vectors, size, count, 0)))
-    links = joined = saturated = None
-    for round_ in range(1, MAX_ROUNDS + 1):
-        found = materialize(_round(vectors, lists, size, round_))
-        gained = found.agg(F.sum(F.size("near"))).first()[0] or 0
-        lists = materialize(_merged(lists.union(found)))
-        if gained > SETTLED * LIST * count and round_ < MAX_ROUNDS:
-            continue
+    for audit in range(MAX_AUDITS):
+        if audit:
+            lists = materialize(_merged(lists.union(_first_lists(vectors, size, count, audit))))
+        lists = _settled(vectors, lists, size, count, audit * MAX_ROUNDS)
         links = materialize(_scored(_pairs(lists), vectors))
         joined = materialize(components(links, "a", "b"))
         degree = links.select("a").union(links.select("b")).groupBy("a").count().filter(F.col("count") >= LIST)
         saturated = materialize(joined.join(degree, F.col("vertex") == F.col("a")).select("component").distinct())
         if _audit(vectors, links, saturated, joined) >= MIN_RECALL:
             break
-        lists = materialize(_merged(lists.union(_first_lists(vectors, size, count, round_))))
+    else:
+        raise RuntimeError(f"the graph lacks more than {1 - MIN_RECALL:.0%} of the links after {MAX_AUDITS} audits")
 
     whole = joined.join(saturated, "component", "left_semi").select(F.col("vertex").alias("id"), "component")
     copies = vectors.select("id", "copies")
