@@ -196,8 +196,32 @@ def test_failed_audits_of_vectors_are_acted_on(spark, monkeypatch):
     assert got == brute_force(rows) and len(audits) == 2 and audits[0] < module.MIN_RECALL
     # No list ever has anything.
     monkeypatch.setattr(module, "_settled", lambda *a: plain_settled(*a).filter("id < 0"))
-    with pytest.raises(RuntimeError, match="links"):
-        similar_vectors(table)
+    monkeypatch.setattr(module, "COUNT_BLOCK", 50)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(table).collect()}
+    assert got == brute_force(rows)
+
+
+def test_tight_groups_of_vectors_linked_across(spark, monkeypatch):
+    """Lists are full of links inside a group; there are as many out of it."""
+    import vecweave.llm.neighbours as module
+
+    random = np.random.default_rng(3)
+    far = random.standard_normal((30, 16))
+    one, way = random.standard_normal((2, 16))
+    one /= np.linalg.norm(one)
+    way -= (way @ one) * one
+    way /= np.linalg.norm(way)
+    # Two groups and a single vector, each within reach of the one before only.
+    middles = np.repeat([one * np.cos(t) + way * np.sin(t) for t in (0, 0.25, 0.5)], [40, 30, 1], axis=0)
+    base = np.concatenate([far / np.linalg.norm(far, axis=1)[:, None], middles])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base + 0.004 * random.standard_normal(base.shape))]
+    want = brute_force(rows)
+    assert {want[i] for i in range(30, 70)} == {(69, 30)} and {want[i] for i in range(70, 100)} == {(70, 30)} and want[100] == (30, 30)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for name, value in (("COUNT_BLOCK", 20), ("VISITORS", 16), ("MIDDLE_BYTES", 300)):
+        monkeypatch.setattr(module, name, value)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(table).collect()}
+    assert got == want
 
 
 def test_packing_of_odd_rows(odd, none):

@@ -5,14 +5,17 @@ several random planes. A round then looks at each vector and all that have it in
 meet each other, and whoever finds a nearer one puts it in its list. Rounds go on until lists settle and a bounded sample
 of vectors, compared with all others, finds the links of its own in the graph.
 
-Lists have a fixed length. A list full of links is saturated: there may be more. Its component, the vectors that links
-join, is then counted whole, block by block, and only numbers leave the blocks. Vectors are compared in one byte a
-component on the way; links are verified in double precision. Equal vectors are one from the start.
+Lists have a fixed length. A list full of what may be links is saturated: there may be more. Its component, the vectors
+that links join, is then compared with all vectors, inside and outside: cells of the component with every vector that the
+angle to the middle of the cell does not rule out. Only numbers and joins of components leave the cells. If audits keep
+failing, all vectors are compared in this way. Vectors are compared in one byte a component on the way; links are
+verified in double precision. Equal vectors are one from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,11 @@ MAX_AUDITS = 3
 # What bytes and single precision may be off by.
 SLACK = 0.02
 COUNT_BLOCK = 1024
+# Vectors that meet a cell in one task, and bytes of middles of cells that go to every task at a time.
+VISITORS = 4096
+MIDDLE_BYTES = 32 << 20
+_ANGLE_SLACK = 1e-6
+_SCORE_CELLS = 2_000_000
 SEED = 5
 
 
@@ -243,12 +251,23 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return near.select(F.least("id", "x.near").alias("a"), F.greatest("id", "x.near").alias("b")).distinct()
 
 
-def _audit(vectors: DataFrame, links: DataFrame, saturated: DataFrame, joined: DataFrame) -> float:
+def _saturated(lists: DataFrame, links: DataFrame, joined: DataFrame) -> DataFrame:
+    """(id, root) of the vectors whose list is full of what may be links, and of all that links join them with."""
+    least = f"size(near) >= {LIST} AND element_at(score, -1) >= {THRESHOLD - SLACK}D"
+    degree = links.select("a").union(links.select("b")).groupBy("a").count().filter(F.col("count") >= LIST)
+    full = lists.filter(least).select("id").union(degree.select("a")).distinct()
+    rooted = materialize(full.join(joined.toDF("id", "root"), "id", "left"))
+    inside = joined.toDF("id", "root").join(rooted.select("root").distinct(), "root", "left_semi").select("id", "root")
+    return inside.union(rooted.filter("root IS NULL").select("id", F.col("id").alias("root")))
+
+
+def _audit(vectors: DataFrame, links: DataFrame, saturated: DataFrame) -> float:
     """The share of its links that a bounded sample finds in the graph, compared with all vectors.
 
-    A link also counts as found if both ends are in one component that is counted whole.
+    Links of saturated vectors do not count: all of theirs are found later.
     """
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDIT_VECTORS).select("id", "vector").collect()
+    loose = vectors.join(saturated.select("id"), "id", "left_anti")
+    sample = loose.orderBy(F.xxhash64("id", F.lit(SEED))).limit(AUDIT_VECTORS).select("id", "vector").collect()
     if not sample:
         return 1.0
     ids = np.array([row["id"] for row in sample])
@@ -263,50 +282,125 @@ def _audit(vectors: DataFrame, links: DataFrame, saturated: DataFrame, joined: D
             x, y = np.nonzero((scores >= THRESHOLD) & (others[:, None] != ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others[x], ids[y])), pa.array(np.maximum(others[x], ids[y]))], ["a", "b"])
 
-    true = vectors.select("id", "vector").mapInArrow(compare, "a long, b long").distinct()
-    whole = joined.join(saturated, "component", "left_semi").select("vertex", "component")
+    true = loose.select("id", "vector").mapInArrow(compare, "a long, b long").distinct()
     found = (
         true.join(links.select("a", "b", F.lit(1).alias("linked")), ["a", "b"], "left")
-        .join(whole.toDF("a", "of_a"), "a", "left")
-        .join(whole.toDF("b", "of_b"), "b", "left")
-        .agg(F.count("*").alias("all"), F.sum(F.expr("CAST(linked IS NOT NULL OR coalesce(of_a = of_b, false) AS INT)")).alias("found"))
+        .agg(F.count("*").alias("all"), F.count("linked").alias("found"))
         .first()
     )
     return found["found"] / found["all"] if found["all"] else 1.0
 
 
-def _counted_whole(vectors: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, n): links of the members of components (id, component, copies), counted block against block. What leaves a
-    block is a number per vector."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / COUNT_BLOCK).alias("blocks"))
-    placed = members.join(sizes, "component").join(vectors.select("id", "vector"), "id").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks"))
+def _cells(members: DataFrame) -> DataFrame:
+    """(id, cell) of members (id, root): a cell has about ``COUNT_BLOCK`` members of a root at most."""
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / COUNT_BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    return members.join(sizes, "root").select("id", F.xxhash64("root", block).alias("cell"))
+
+
+def _all_cells(vectors: DataFrame, count: int) -> DataFrame:
+    """(id, cell) of all vectors."""
+    return vectors.select("id", F.pmod(F.xxhash64("id"), F.lit(-(-count // COUNT_BLOCK))).alias("cell"))
+
+
+def _visits(known: DataFrame, size: int) -> DataFrame:
+    """(id, cell) of every vector and every cell in which it may have a link."""
+
+    def middle(table: pa.Table) -> pa.Table:
+        rows = _unit(_floats(table["vector"].combine_chunks()))
+        centre = _unit(rows.sum(axis=0, keepdims=True))
+        widest = np.arccos(np.clip(rows @ centre[0], -1, 1)).max()
+        return pa.table({"cell": table["cell"][:1], "middle": [centre[0].tolist()], "widest": [widest]})
+
+    held = known.filter("cell IS NOT NULL").select("cell", "vector")
+    cells = materialize(held.groupBy("cell").applyInArrow(middle, "cell long, middle array<double>, widest double"))
+    parts = -(-cells.count() * (size * 8 + 16) // MIDDLE_BYTES)
+    found = []
+    for part in range(parts):
+        some = cells.filter(F.pmod(F.xxhash64("cell"), F.lit(parts)) == part).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        limit = np.arccos(THRESHOLD) + some["widest"].to_numpy() + _ANGLE_SLACK
+        # No angle is beyond half a turn.
+        least = np.where(limit < np.pi, np.cos(np.minimum(limit, np.pi)), -2)
+        shared = known.sparkSession.sparkContext.broadcast((some["cell"].to_numpy(), _floats(some["middle"].combine_chunks()), least))
+
+        def visit(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            cells, middles, least = shared.value
+            step = max(1, _SCORE_CELLS // len(cells))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    rows = batch.slice(start, step)
+                    x, y = np.nonzero(_unit(_floats(rows["vector"])) @ middles.T >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows["id"].to_numpy()[x]), pa.array(cells[y])], ["id", "cell"])
+
+        found.append(materialize(known.select("id", "vector").mapInArrow(visit, "id long, cell long")))
+    return reduce(DataFrame.union, found)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the edges between a and b, few that join the same."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+        p, q = find(x), find(y)
+        if p != q:
+            root[p] = q
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
+
+
+def _compared(vectors: DataFrame, joined: DataFrame, dealt: DataFrame, size: int) -> DataFrame:
+    """All links with an end in the cells of ``dealt`` (id, cell): rows (id, n) add up to the links of members, and to
+    those that other vectors have with members; rows (a, b) are roots that links join."""
+    known = materialize(
+        vectors.select("id", "copies", "vector")
+        .join(joined.toDF("id", "root"), "id", "left")
+        .join(dealt, "id", "left")
+        .withColumn("root", F.coalesce("root", "id"))
     )
-    # Each block goes to every pair of blocks it is in.
-    sent = placed.select(
-        "component", "id", "copies", "vector", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    ).select(
-        F.struct("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).alias("pair"),
-        (F.col("block") > F.col("other")).alias("right"),
-        (F.col("block") == F.col("other")).alias("same"),
-        "id", "copies", "vector",
+    visits = materialize(_visits(known, size))
+    # A cell with many visitors is dealt over several tasks.
+    parts = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("parts"))
+    columns = ["id", "root", "copies", "vector"]
+    coming = (
+        visits.join(parts, "cell")
+        .select("id", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        .join(known.select(*columns, F.col("cell").isNotNull().alias("inside")), "id")
+        .select("cell", "part", *columns, "inside", F.lit(False).alias("owner"))
     )
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+    owners = known.join(parts, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *columns,
+        F.lit(True).alias("inside"), F.lit(True).alias("owner"),
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        owner = table["owner"].to_numpy()
+        counted = ~table["inside"].to_numpy()[~owner]  # members are counted in their own cells
+        ids, root, copies = (table[c].to_numpy() for c in ("id", "root", "copies"))
         rows = _unit(_floats(table["vector"].combine_chunks()))
-        right = table["right"].to_numpy()
-        left = ~right
-        if table["same"][0].as_py():
-            near = rows @ rows.T >= THRESHOLD
-            np.fill_diagonal(near, False)
-            return pa.table({"id": ids, "n": near @ copies})
-        near = rows[left] @ rows[right].T >= THRESHOLD
+        near = rows[~owner] @ rows[owner].T >= THRESHOLD
+        near &= ids[~owner][:, None] != ids[owner]
+        x, y = np.nonzero(near & (root[~owner][:, None] != root[owner]))
+        a, b = _forest(root[~owner][x], root[owner][y])
+        n = np.concatenate([near.T @ copies[~owner], near[counted] @ copies[owner]])
+        of = np.concatenate([ids[owner], ids[~owner][counted]])
         return pa.table(
-            {"id": np.concatenate([ids[left], ids[right]]), "n": np.concatenate([near @ copies[right], near.T @ copies[left]])}
+            {
+                "id": pa.array(of.tolist() + [None] * len(a), pa.int64()), "n": pa.array(n.tolist() + [0] * len(a), pa.int64()),
+                "a": pa.array([None] * len(of) + a, pa.int64()), "b": pa.array([None] * len(of) + b, pa.int64()),
+            }
         )
 
-    return sent.groupBy("pair").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return materialize(coming.union(owners).groupBy("cell", "part").applyInArrow(compare, "id long, n long, a long, b long"))
 
 
 def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -366,26 +460,33 @@ def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
         lists = _settled(vectors, lists, size, count, audit * MAX_ROUNDS)
         links = materialize(_scored(_pairs(lists), vectors))
         joined = materialize(components(links, "a", "b"))
-        degree = links.select("a").union(links.select("b")).groupBy("a").count().filter(F.col("count") >= LIST)
-        saturated = materialize(joined.join(degree, F.col("vertex") == F.col("a")).select("component").distinct())
-        if _audit(vectors, links, saturated, joined) >= MIN_RECALL:
+        saturated = materialize(_saturated(lists, links, joined))
+        if _audit(vectors, links, saturated) >= MIN_RECALL:
+            whole = saturated.select("id")
+            dealt = None if saturated.isEmpty() else _cells(saturated)
             break
     else:
-        raise RuntimeError(f"the graph lacks more than {1 - MIN_RECALL:.0%} of the links after {MAX_AUDITS} audits")
+        whole = vectors.select("id")
+        dealt = _all_cells(vectors, count)
 
-    whole = joined.join(saturated, "component", "left_semi").select(F.col("vertex").alias("id"), "component")
     copies = vectors.select("id", "copies")
-    many = _counted_whole(vectors, whole.join(copies, "id"))
-    few = (
+    n_links = (
         links.select("a", "b").union(links.select("b", "a")).toDF("id", "other")
-        .join(whole.select("id"), "id", "left_anti")
+        .join(whole, "id", "left_anti")
+        .join(whole.toDF("other"), "other", "left_anti")
         .join(copies.toDF("other", "other_copies"), "other")
-        .groupBy("id").agg(F.sum("other_copies").alias("n"))
+        .select("id", F.col("other_copies").alias("n"))
     )
+    if dealt is not None:
+        compared = _compared(vectors, joined, dealt, size)
+        n_links = n_links.union(compared.filter("id IS NOT NULL").select("id", "n"))
+        edges = materialize(joined.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(compared.filter("a IS NOT NULL").select("a", "b")))
+        joined = materialize(components(edges, "a", "b"))
+    n_links = n_links.groupBy("id").agg(F.sum("n").alias("n"))
     rooted = materialize(
         vectors.select("id", "key_a", "key_b", "least", "copies")
         .join(joined.toDF("id", "root"), "id", "left")
-        .join(many.union(few), "id", "left")
+        .join(n_links, "id", "left")
         .withColumn("root", F.coalesce("root", "id"))
         .withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     )
