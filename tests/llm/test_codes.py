@@ -56,3 +56,19 @@ def test_words_are_encoded_as_whole_texts(texts):
     ids, offsets = with_end(*tokenizer.encode(pa.array(texts, pa.string())), 1)
     want = [tokenizer.whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def test_words_are_kept_apart_by_the_meaning_of_special_names():
+    """Both ways in one process: the names of special tokens are tokens in one, plain text in the other."""
+    from tokenizers import Tokenizer
+
+    from vecweave.llm.settings import SPECIAL_END_ID
+
+    texts = ["stop <|endoftext|> here", "<|startoftext|> again", "plain words", "a<|endoftext|>b"]
+    for plain in (False, True, False):
+        whole = Tokenizer.from_file(WORD_TOKENIZER)
+        whole.encode_special_tokens = plain
+        want = [one.ids for one in whole.encode_batch(texts, add_special_tokens=False)]
+        ids, offsets = WordTokenizer(WORD_TOKENIZER, plain).encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+        assert (SPECIAL_END_ID in ids) != plain

@@ -78,7 +78,7 @@ class WordTokenizer:
             ord(c): written(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()
         }
         self._code = "H" if self.dtype == np.uint16 else "I"
-        self._kept: dict[str, bytes] = worker_memory().setdefault(("words", path), {})
+        self._kept: dict[str, bytes] = worker_memory().setdefault(("words", path, plain_specials), {})
 
     def _encode_plain(self, core: str) -> bytes:
         """Ids of a lower-case word of plain letters, which is one unit for the model."""
