@@ -310,6 +310,22 @@ def test_extraction_of_odd_pages(spark):
     assert extract(table.filter("false")).count() == 0
 
 
+def test_extraction_keeps_text_in_spite_of_words():
+    from vecweave.llm.html_text import main_text
+
+    body = " ".join("A first paragraph, long enough to be one, with commas. ".split()) + " "
+    text = (body * 3).strip()
+    nav = "<ul class='menu'><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    titled = f"<h1>T</h1><p>{text}<h2 id='how-to-share-files'>How to share</h2><p>{text}<section id='social-impact'><h2>Impact</h2><p>{text}</section><section id='discussion'><p>{text}</section>"
+    want = f"T {text} How to share {text} Impact {text} {text}"
+    share = "<div class='share'><a href=x>Share this</a></div>"
+    for tag in ("article", "div"):
+        assert main_text(f"<body>{nav}<{tag}>{titled}{share}</{tag}><div class='comments'><p>{text}</div>") == want
+    assert main_text(f"<body>{nav}<div class='content sidebar-right'><p>{text}<p>{text}</div>") == f"{text} {text}"
+    assert main_text(f"<body>{nav}<div class='social'><p>{text}<p>{text}</div>") == f"{text} {text}"
+    assert main_text(f"<body><div><article><p>{text}</article><article><p>{text}</article><article class='teaser'><p>{text}</article></div>") == f"{text} {text}"
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     left = dedup_lines(odd)
     assert left.columns == odd.columns

@@ -3,7 +3,9 @@
 A block with running text is a paragraph. It earns points for its length and its commas and passes them to the elements
 around it: all to its parent, half to the next, less to those beyond. An element's points are discounted by the share of
 its text that is in links. The best element is the article; elements beside it are kept if they score well or read like
-running text. Elements that are something else by their tag, class, id or role never count.
+running text. Elements that are something else by their tag, role or style never count. A word of a class or id only
+casts doubt: what is in doubt has a share of its points, and hands none on. Inside the article it stays if it reads like
+running text.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ OTHER_WORDS = frozenset(
 ARTICLES = frozenset(("article", "main"))
 # What an article element may be instead of the article.
 OTHER_ARTICLES = frozenset("comment comments related replies reply promo sponsored teaser".split())
+# Words by which a class of its own says that an element holds the article.
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = frozenset("p pre td li blockquote dd".split())
 # Points.
 MIN_PARAGRAPH_CHARS = 25
 CHARS_PER_POINT = 100
@@ -51,6 +57,7 @@ SIBLING_SHARE = 0.2
 MIN_SIBLING_POINTS = 10
 MIN_SIBLING_CHARS = 80
 MAX_SIBLING_LINKS = 0.25
+DOUBT_SHARE = 0.2
 
 _WORD = r"[a-z]+"
 # A page "with a sidebar" is not one.
@@ -59,25 +66,40 @@ _HIDDEN = r"display\s*:\s*none|visibility\s*:\s*hidden"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "other", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "other", "doubt", "doubted", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: _Node | None, other: bool):
+    def __init__(self, tag: str, parent: _Node | None, other: bool, doubt: str = ""):
         self.tag, self.parent, self.other = tag, parent, other
+        # The attribute that casts doubt on the element, and whether it or an element around it is in doubt.
+        self.doubt = doubt
+        self.doubted = bool(doubt) and tag not in INLINE or parent is not None and parent.doubted
         self.parts: list[_Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
+    def links(self) -> float:
+        return self.linked / self.chars if self.chars else 0.0
+
     def score(self) -> float:
-        return self.points * (1 - self.linked / self.chars) if self.chars else self.points
+        return self.points * (1 - self.links())
+
+    def reads(self, needed: float) -> bool:
+        """Whether an element inside the article belongs to it, in spite of the words of its class or id."""
+        if not self.doubt:
+            return True
+        if self.links() >= MAX_SIBLING_LINKS:
+            return False
+        if self.tag in INLINE:
+            return True
+        return self.points > 0 if self.doubt == "id" or self.tag in RUNNING else self.score() >= needed
 
 
 def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element is not part of an article, by its tag and attributes."""
+    """Whether an element is not part of an article, by its tag, role or style."""
     if tag in NOT_TEXT:
         return True
     if tag in ("html", "body"):
         return False
-    words = OTHER_ARTICLES if tag in ARTICLES else OTHER_WORDS
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -85,14 +107,32 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(_HIDDEN, value or "", re.I):
             return True
-        if name in ("class", "id") and value:
-            # Words are cut at case changes, too: "siteFooter".
-            split = re.sub(_ABOUT_OTHERS, " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if not words.isdisjoint(re.findall(_WORD, split)):
-                return True
     return False
 
 
+def _doubt(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """The attribute, class before id, whose words say that an element is something else; empty if none does."""
+    if tag in ("html", "body"):
+        return ""
+    words = OTHER_ARTICLES if tag in ARTICLES else OTHER_WORDS
+    found = ""
+    for name, value in attrs:
+        if name not in ("class", "id") or not value:
+            continue
+        if name == "id" and tag in HEADINGS:
+            continue  # made from the title
+        if name == "class" and any(one.lower() in CONTENT_WORDS for one in value.split()):
+            continue
+        # Words are cut at case changes, too: "siteFooter".
+        split = re.sub(_ABOUT_OTHERS, " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+        said = set(re.findall(_WORD, split))
+        if name == "id" and tag == "section" and not said <= words:
+            continue  # made from a title, too
+        if not words.isdisjoint(said):
+            found = "class" if "class" in (name, found) else "id"
+    return found
+
+
 class _Tree(HTMLParser):
     """Builds the tree as browsers do where it matters for text: open paragraphs end before a block, end tags without
     an open element do nothing, and what is open at the end of the page is closed."""
@@ -111,7 +151,7 @@ class _Tree(HTMLParser):
             self._end_open(("p",))
             if tag in ENDS:
                 self._end_open(ENDS[tag])
-        node = _Node(tag, self.here, self.here.other or _is_other(tag, attrs))
+        node = _Node(tag, self.here, self.here.other or _is_other(tag, attrs), _doubt(tag, attrs))
         self.here.parts.append(node)
         self.nodes.append(node)
         self.here = node
@@ -151,7 +191,7 @@ def _own_text(node: _Node) -> str:
         for part in todo[-1]:
             if isinstance(part, str):
                 found.append(part)
-            elif part.tag in INLINE and not part.other:
+            elif part.tag in INLINE and not part.other and part.reads(0):
                 todo.append(iter(part.parts))
                 break
         else:
@@ -159,15 +199,16 @@ def _own_text(node: _Node) -> str:
     return " ".join("".join(found).split())
 
 
-def _whole_text(nodes: list[_Node]) -> str:
-    """All text of elements in page order; blocks are apart by a space."""
+def _whole_text(nodes: list[_Node], needed: float) -> str:
+    """All text of elements in page order, but for elements in doubt inside them that do not read like running text of
+    the ``needed`` score; blocks are apart by a space."""
     found: list[str] = []
     todo: list[Iterator] = [iter(nodes)]
     while todo:
         for part in todo[-1]:
             if isinstance(part, str):
                 found.append(part)
-            elif not part.other:
+            elif not part.other and (len(todo) == 1 or part.reads(needed)):
                 todo.append(iter(part.parts))
                 if part.tag not in INLINE:
                     found.append(" ")
@@ -191,7 +232,7 @@ def main_text(html: str) -> str:
         node.chars += sum(len(part.strip()) for part in node.parts if isinstance(part, str))
         if node.tag == "a":
             node.linked = node.chars
-        if node.parent is not None:
+        if node.parent is not None and (not node.doubt or node.tag in INLINE):
             node.parent.chars += node.chars
             node.parent.linked += node.linked
 
@@ -203,31 +244,32 @@ def main_text(html: str) -> str:
             continue
         points = 1 + text.count(",") + min(len(text) // CHARS_PER_POINT, MAX_LENGTH_POINTS)
         up, level = (node.parent if node.tag == "p" or node.parent is not None else node), 0
-        if node.tag not in ("p", "pre", "td", "li", "blockquote", "dd"):
+        if node.tag not in RUNNING or node.doubt:
             node.points += points  # running text straight in a container
-        while up is not None:
+        below = node
+        while up is not None and (below is up or not below.doubt):
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
+            below, up, level = up, up.parent, level + 1
 
     for node in nodes:
         if node.tag in ARTICLES and node.chars:
             node.points += ARTICLE_POINTS
+    weight = lambda node: node.score() * (DOUBT_SHARE if node.doubted else 1)
     blocks = [node for node in nodes if node.tag not in INLINE]
-    best = max(blocks, key=_Node.score)
-    if best.points == 0:
-        return _whole_text([tree.root])
-    if best.tag in ARTICLES or best.parent is None:
-        return _whole_text([best])
+    best = max(blocks, key=weight)
     needed = max(MIN_SIBLING_POINTS, SIBLING_SHARE * best.score())
+    if best.points == 0:
+        return _whole_text([tree.root], needed) or _whole_text([tree.root], 0)
+    if best.parent is None:
+        return _whole_text([best], needed)
     kept = []
     for node in best.parent.parts:
         if isinstance(node, str) or node.other or node.tag in INLINE:
             continue
-        links = node.linked / node.chars if node.chars else 0
-        reads = node.tag == "p" and links < MAX_SIBLING_LINKS and node.chars >= MIN_SIBLING_CHARS
-        if node is best or node.score() >= needed or reads:
+        reads = node.tag == "p" and node.links() < MAX_SIBLING_LINKS and node.chars >= MIN_SIBLING_CHARS
+        if node is best or not node.doubt and (node.score() >= needed or reads):
             kept.append(node)
-    return _whole_text(kept)
+    return _whole_text(kept, needed)
 
 
 @F.arrow_udf(StringType())
