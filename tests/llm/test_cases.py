@@ -289,6 +289,26 @@ def test_phrases_are_longest_matches():
             assert list(row) == [parsed(plain, samples[name][0]) for name in ("x", "y")]
 
 
+def test_every_letter_of_a_sample_is_known(monkeypatch):
+    """More letters than a byte holds, and a script of its own with few rows."""
+    import vecweave.llm.language as module
+
+    random = np.random.default_rng(4)
+    script = lambda first, n, size: " ".join("".join(chr(first + x) for x in random.integers(0, n, 4)) for _ in range(size))
+    samples = {"a": [script(0x4E00, 900, 1500)], "b": [script(0x5800, 900, 1500)], "c": [script(0x10D0, 30, 6)], "d": [script(0x61, 26, 50)]}
+    model = module.LanguageModel.of(samples)
+    assert set("".join(s[0] for s in samples.values())) - {" "} <= set(model.letters)
+    texts = [s[0][-200:] for s in samples.values()] + ["abc " + samples["a"][0][:50] + " 1 x"]
+    found, _ = model.phrases(texts)
+    for text, row in zip(texts, found):
+        plain = " ".join("".join(c if c.isalpha() else " " for c in text).split())
+        assert list(row) == [parsed(plain, samples[name][0]) for name in samples]
+    assert model.predict(texts[:4])[0] == ["a", "b", "c", "d"]
+    # Tables and sorted edges find the same.
+    monkeypatch.setattr(module, "TABLE_LETTERS", 2000)
+    assert (model.phrases(texts)[0] == found).all()
+
+
 def test_extraction_of_odd_pages(spark):
     body = "A first paragraph, long enough to be one, with commas. " * 3
     pages = [

@@ -26,6 +26,8 @@ SAMPLE_ROWS = 200
 SAMPLE_CHARS = 300
 ROW = 512
 SLICE_BYTES = 2 << 20
+# A language with more letters has its edges sorted, which takes longer to look up than a table but has no empty places.
+TABLE_LETTERS = 250
 UNDECIDED = "und"
 # The least remainder of a document's hash that is not learned from, and what it is a remainder of.
 HELD_OUT, FOLDS = 2, 4
@@ -61,7 +63,7 @@ def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.nda
         last = new
     sizes = np.fromiter(map(len, ways), np.int64, len(ways))
     start = np.repeat(np.arange(len(ways), dtype=np.int32), sizes)
-    symbol = np.fromiter((s for way in ways for s in way), np.uint8, len(start))
+    symbol = np.fromiter((s for way in ways for s in way), np.int32, len(start))
     to = np.fromiter((t for way in ways for t in way.values()), np.int32, len(start))
     return start, symbol, to, len(ways)
 
@@ -91,8 +93,7 @@ class LanguageModel:
         for text in texts.values():
             for letter in filter(str.isalpha, text):
                 count[letter] = count.get(letter, 0) + 1
-        # A symbol is a byte; letters beyond that are the rarest and count as any other letter.
-        letters = "".join(sorted(count, key=lambda c: (-count[c], c))[:250])
+        letters = "".join(sorted(count, key=lambda c: (-count[c], c)))
         place = {letter: i + 1 for i, letter in enumerate(letters)}
         automata = []
         for text in texts.values():
@@ -101,25 +102,67 @@ class LanguageModel:
             automata.append(suffix_automaton(symbols))
         return cls(tuple(texts), letters, tuple(automata))
 
-    def _table(self, automaton) -> np.ndarray:
+    def _own(self, automaton) -> tuple[np.ndarray, int]:
+        """Symbols of a language by those of all languages, and its symbol for no letter at all. The one before that
+        is for letters that its sample lacks."""
+        known = np.unique(automaton[1])
+        known = known[known > 0]
+        own = np.full(self.nothing + 1, len(known) + 1, np.int32)
+        own[0] = 0
+        own[known] = np.arange(1, len(known) + 1)
+        own[self.nothing] = len(known) + 2
+        return own, len(known) + 2
+
+    def _table(self, automaton, own: np.ndarray, nothing: int) -> np.ndarray:
         """Moves by (state, symbol), as twice the place of the next state's row, plus one if a phrase ends. Where there
         is no way on, a new phrase begins with the symbol; a symbol that the sample lacks is a phrase by itself."""
         start, symbol, to, states = automaton
-        width = self.nothing + 1
+        width = nothing + 1
         alone = states * 2 * width  # the row after the automaton's: no way leads on
         table = np.full((states + 1, width), -1, np.int32)
-        table[start, symbol] = to * (2 * width)
+        table[start, own[symbol]] = to * (2 * width)
         begin = np.where(table[0] < 0, alone, table[0])
         table = np.where(table < 0, begin + 1, table).astype(np.int32)
         table[0] = begin  # at the start of a text no phrase ends
-        table[:, self.nothing] = 0
+        table[:, nothing] = 0
         return table.ravel()
 
+    def _ends_by_table(self, automaton, own: np.ndarray, nothing: int, steps: np.ndarray) -> np.ndarray:
+        """Phrases of each row of letters; ``steps`` are its columns."""
+        table = self._table(automaton, own, nothing)
+        state, ends = np.zeros(steps.shape[1], np.int32), np.ones(steps.shape[1], np.int32)
+        for step in steps:
+            move = table[state + own[step]]
+            ends += move & 1
+            state = move >> 1
+        return ends
+
+    def _ends_by_edges(self, automaton, own: np.ndarray, nothing: int, steps: np.ndarray) -> np.ndarray:
+        """The same, by looking for the edge among all of the automaton."""
+        start, symbol, to, states = automaton
+        width = nothing + 1
+        keys = start.astype(np.int64) * width + own[symbol]
+        order = np.argsort(keys)
+        keys, to = keys[order], to[order]
+        begin = np.full(width, states, np.int64)  # the state after the automaton's: no way leads on
+        first = start == 0
+        begin[own[symbol[first]]] = automaton[2][first]
+        state, ends = np.zeros(steps.shape[1], np.int64), np.ones(steps.shape[1], np.int32)
+        for step in steps:
+            letter = own[step]
+            wanted = state * width + letter
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            way = keys[place] == wanted
+            none = letter == nothing
+            ends += ~way & (state > 0) & ~none
+            state = np.where(none, 0, np.where(way, to[place], begin[letter]))
+        return ends
+
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, with one 0 between words, how many each has, and how many of these are letters."""
         lower = [text.lower() for text in texts]
         points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-        table = np.zeros(0x110000, np.uint8)
+        table = np.zeros(0x110000, np.int32)
         seen = np.zeros(0x110000, bool)
         seen[points] = True
         place = {ord(letter): i + 1 for i, letter in enumerate(self.letters)}
@@ -142,19 +185,16 @@ class LanguageModel:
         symbols, lengths, letters = self._symbols(texts)
         rows = -(-lengths // ROW)
         first_row = np.cumsum(rows) - rows
-        laid = np.full((int(rows.sum()), ROW), self.nothing, np.uint8)
+        laid = np.full((int(rows.sum()), ROW), self.nothing, np.uint16 if self.nothing < 1 << 16 else np.int32)
         begin = np.cumsum(lengths) - lengths
         laid.ravel()[np.repeat(first_row * ROW - begin, lengths) + np.arange(len(symbols))] = symbols
         steps = np.ascontiguousarray(laid.T)
         found = np.zeros((len(texts), len(self.languages)), np.int64)
         owner = np.repeat(np.arange(len(texts)), rows)
         for i, automaton in enumerate(self.automata):
-            table = self._table(automaton)
-            state, ends = np.zeros(len(laid), np.int32), np.ones(len(laid), np.int32)
-            for step in steps:
-                move = table[state + step]
-                ends += move & 1
-                state = move >> 1
+            own, nothing = self._own(automaton)
+            count = self._ends_by_table if nothing <= TABLE_LETTERS + 2 else self._ends_by_edges
+            ends = count(automaton, own, nothing, steps)
             found[:, i] = np.bincount(owner, ends, len(texts))
         return found, letters
 
