@@ -237,6 +237,33 @@ def test_packing_of_odd_rows(odd, none):
     assert pack(none, WORD_TOKENIZER, END_ID).count() == 0
 
 
+def test_packing_asks_with_all_tokens():
+    """A long document whose rarest tokens are its own; and every search against all scores."""
+    from vecweave.llm.packing import B, K1, ShardIndex
+
+    shared = np.arange(100, 400)
+    documents = [np.concatenate([np.repeat(np.arange(20), 3), shared]), np.array([500, 501]), shared[::-1]]
+    weights = np.full(600, 1.0)
+    weights[:20] = 9.0
+    used = np.array([True, False, False])
+    assert ShardIndex(documents, weights, 250.0).neighbour(0, used) == 2
+
+    random = np.random.default_rng(6)
+    documents = [random.integers(0, 300, n) for n in random.integers(1, 120, 60)]
+    weights = random.random(300) + 0.1
+    mean = float(np.mean([len(d) for d in documents]))
+    counts = np.array([np.bincount(d, minlength=300) for d in documents])
+    norm = K1 * (1 - B + B * counts.sum(axis=1, keepdims=True) / mean)
+    scores = (counts > 0) @ (weights * counts * (K1 + 1) / (counts + norm)).T
+    index, used, at = ShardIndex(documents, weights, mean), np.zeros(60, bool), 0
+    while at is not None:
+        used[at] = True
+        want = np.where(used, 0, scores[at])
+        at = index.neighbour(at, used)
+        assert want[at] >= want.max() - 1e-4 if at is not None else want.max() == 0
+    assert used.sum() > 50
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     weights = spark.createDataFrame([("a", 0.0), ("b", 3.0), ("z", 1.0)], "source string, weight double")
     got = mix(odd, weights, epochs=0.01)

@@ -25,9 +25,8 @@ from vecweave.sources.storage import materialize
 WINDOW = 2048
 # A shard is complete with the document that takes it beyond this many tokens; a task packs its shards one by one.
 SHARD_TOKENS = 1 << 20
-# BM25, and the number of a document's most telling tokens that are asked for.
+# BM25.
 K1, B = 1.2, 0.75
-QUERY_TOKENS = 16
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
 _SHARD_IDS = 1 << 40
@@ -108,17 +107,25 @@ class ShardIndex:
         self.score = (weights[token] * n * (K1 + 1) / (n + norm[self.doc])).astype(np.float32)
         self.first = np.searchsorted(token, np.arange(len(weights) + 1))
         self.count = len(documents)
-        # The most telling tokens of each document are asked for: those that add most to its own score.
-        order = np.lexsort((token, -self.score, self.doc))
-        rank = np.arange(len(order)) - np.searchsorted(self.doc[order], np.arange(self.count))[self.doc[order]]
-        top = order[rank < QUERY_TOKENS]
-        self.asked = token[top]
-        self.asked_first = np.searchsorted(self.doc[top], np.arange(self.count + 1))
+        self.left = self.count
+        # Every token of a document is asked for.
+        order = np.argsort(self.doc, kind="stable")
+        self.asked = token[order]
+        self.asked_first = np.searchsorted(self.doc[order], np.arange(self.count + 1))
+
+    def forget(self, used: np.ndarray) -> None:
+        """Leave used documents out from now on; they are never an answer."""
+        keep = ~used[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
+        self.doc, self.score = self.doc[keep], self.score[keep]
+        self.left = self.count - int(used.sum())
 
     def neighbour(self, of: int, used: np.ndarray) -> int | None:
-        """The best unused document that shares a token asked for; the first of equal ones."""
+        """The best unused document that shares a token; the first of equal ones."""
+        if self.count - np.count_nonzero(used) < 0.8 * self.left:
+            self.forget(used)
         asked = self.asked[self.asked_first[of] : self.asked_first[of + 1]]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in asked.tolist()]
+        spans = [slice(a, b) for a, b in zip(self.first[asked].tolist(), self.first[asked + 1].tolist()) if a < b]
         if not spans:
             return None
         docs = np.concatenate([self.doc[s] for s in spans])
