@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vecweave.llm.html_text import op9_html_text
+from vecweave.llm.importance import op12_importance
 from vecweave.llm.language import op8_language_id
 from vecweave.llm.line_dedup import LINE_DEDUP_SQL, op10_line_dedup
 from vecweave.llm.mixing import MIXING_SQL, op7_mixing
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
+    "op12_importance": op12_importance,
 }
 ORACLES: dict[str, str] = {"op7_mixing": MIXING_SQL, "op10_line_dedup": LINE_DEDUP_SQL}
