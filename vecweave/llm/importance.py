@@ -206,3 +206,52 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return draw(score_documents(docs, target)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 byte by byte, with the table that its polynomial gives.
+IMPORTANCE_SQL = f"""
+WITH crc_table AS MATERIALIZED (
+    SELECT list(list_reduce(range(8), lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS steps
+    FROM range(256) t(n)
+),
+texts AS (
+    SELECT 'd' AS side, row_number() OVER (ORDER BY doc_id) AS n, doc_id, text FROM documents
+    UNION ALL SELECT 't', row_number() OVER (ORDER BY item_id), NULL, text FROM benchmark
+),
+words AS MATERIALIZED (
+    SELECT side, n, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM texts
+),
+windows AS MATERIALIZED (
+    SELECT side, n, array_to_string(w[i : i + k], ' ') AS feature
+    FROM (SELECT side, n, w, unnest(range(1, len(w) + 1)) AS i FROM words), range({MOST_WORDS}) r(k) WHERE i + k <= len(w)
+),
+codes AS MATERIALIZED (
+    SELECT feature, xor(list_reduce(
+        list_transform(range(1, octet_length(encode(feature)) + 1), lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i - 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295) % {BUCKETS} AS bucket
+    FROM (SELECT DISTINCT feature FROM windows), crc_table
+),
+features AS MATERIALIZED (SELECT side, n, bucket FROM windows JOIN codes USING (feature)),
+counts AS (
+    SELECT bucket, CAST(count(*) FILTER (side = 'd') AS DOUBLE) AS s, CAST(count(*) FILTER (side = 't') AS DOUBLE) AS t
+    FROM features GROUP BY bucket
+),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + {BUCKETS})
+        / ((s + 1) * ((SELECT sum(t) FROM counts) + {BUCKETS})))) AS BIGINT) AS gain FROM counts
+),
+weighed AS (SELECT n, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM features JOIN gains USING (bucket) WHERE side = 'd' GROUP BY n),
+scored AS (
+    SELECT n, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+               CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM words LEFT JOIN weighed USING (n) WHERE side = 'd'
+),
+ranked AS (
+    SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM scored WHERE n_words >= {LEAST_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {PERCENT} * eligible // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (n)
+"""
