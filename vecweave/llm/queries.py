@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vecweave.llm.collisions import op11_collisions
 from vecweave.llm.html_text import op9_html_text
 from vecweave.llm.importance import IMPORTANCE_SQL, op12_importance
 from vecweave.llm.language import op8_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collisions": op11_collisions,
     "op12_importance": op12_importance,
     "op13_vector_codes": op13_vector_codes,
 }
