@@ -1,5 +1,8 @@
 """Model calls: retry, order, failure scope. Fakes count on the driver; the same code runs in tasks."""
 
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from vecweave.operators.embedders import (
     ModelCallError,
     call_with_retry,
     from_function,
+    in_windows,
     is_retryable,
     vectors_in_order,
 )
@@ -176,11 +180,68 @@ def test_partitions_follow_the_data(spark, partitions):
     assert embed_rows(texts, embedder).rdd.getNumPartitions() == partitions
 
 
-def test_parallel_calls_are_capped_by_task_slots(spark):
-    texts = table(spark, ["a"])
-    with pytest.raises(ValueError, match="runs 8 tasks at a time and m allows 7 calls"):
-        embed_rows(texts, CallableEmbedder("m", 2, call=from_function(lengths), max_parallel=7))
-    assert embed_rows(texts, CallableEmbedder("m", 2, call=from_function(lengths), max_parallel=8)).count() == 1
+class Gauge:
+    """A model that notes how many of its calls are open, and how long the work as a whole takes."""
+
+    def __init__(self, seconds=0.02):
+        self.seconds, self.lock, self.open, self.most = seconds, threading.Lock(), 0, 0
+
+    def __call__(self, texts):
+        with self.lock:
+            self.open += 1
+            self.most = max(self.most, self.open)
+        # The first ones take longest.
+        time.sleep(self.seconds * (3 if texts[0].endswith("0") else 1))
+        with self.lock:
+            self.open -= 1
+        return [[float(len(text)), float(self.most)] for text in texts]
+
+
+@pytest.mark.parametrize(("in_flight", "limit", "window"), [(1, 16, 1), (2, None, 2), (5, 16, 5), (8, 3, 3)])
+def test_calls_in_flight_are_capped(in_flight, limit, window):
+    gauge = Gauge()
+    embedder = CallableEmbedder("m", 2, call=from_function(gauge), in_flight=in_flight, max_parallel=limit)
+    texts = [f"{'x' * i}{i % 4}" for i in range(24)]
+    work = ((n, 6, embedder._calls(embedder.call, texts[n : n + 6], 2, "row")) for n in range(0, 24, 6))
+    got = list(in_windows(work, embedder.window))
+    assert [n for n, _ in got] == [0, 6, 12, 18]
+    assert [vector[0] for _, found in got for vector, _, _ in found] == [len(text) for text in texts]
+    assert gauge.most == window == embedder.window
+
+
+def test_calls_in_flight_take_less_time():
+    def seconds(in_flight):
+        embedder = CallableEmbedder("m", 2, call=from_function(Gauge(0.05)), in_flight=in_flight)
+        started = time.perf_counter()
+        list(in_windows([(0, 16, embedder._calls(embedder.call, ["x"] * 16, 1, "row"))], embedder.window))
+        return time.perf_counter() - started
+
+    assert seconds(4) < 0.5 * seconds(1)
+
+
+def test_errors_of_calls_in_flight_are_in_place():
+    def picky(texts):
+        time.sleep(0.01 * len(texts[0]))
+        if "bad" in texts:
+            raise ModelCallError(400, "refused")
+        return [[float(len(text))] for text in texts]
+
+    embedder = CallableEmbedder("m", 1, call=from_function(picky), in_flight=4)
+    texts = ["aaaa", "b", None, "bad", "cc", "", "bad", "d"]
+    ((_, found),) = in_windows([(0, 8, embedder._calls(embedder.call, texts, 2, "batch"))], 4)
+    # Calls are of (aaaa, b), (bad, cc), ("", bad) and (d).
+    refused = ["model returned 400: refused"]
+    assert [error for _, error, _ in found] == [None, None, "text is null", *refused * 4, None]
+    assert [None if vector is None else vector[0] for vector, _, _ in found] == [4, 1, *[None] * 5, 1]
+    with pytest.raises(ModelCallError):
+        list(in_windows([(0, 2, embedder._calls(embedder.call, ["bad", "x"], 1, "fail"))], 2))
+    with pytest.raises(ValueError):
+        CallableEmbedder("m", call=embedder.call, in_flight=0)
+
+
+def test_no_session_is_refused(spark):
+    embedder = CallableEmbedder("m", 2, call=from_function(lengths), max_parallel=1)
+    assert embedded(embed_rows(table(spark, ["a", "bb"]), embedder)).count() == 2
 
 
 def test_an_outage_is_not_multiplied(spark, tmp_path):

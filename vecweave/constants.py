@@ -5,6 +5,7 @@ MAX_INPUT_BYTES = 7500
 DECLARED_DIMENSION = 1024
 DEFAULT_BATCH_SIZE = 32
 MAX_PARALLEL_CALLS = 16
+BATCHES_IN_FLIGHT = 2
 CALL_ATTEMPTS = 3
 CALL_FIRST_WAIT_SECONDS = 1.5
 TOO_MANY_REQUESTS = 429

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
@@ -13,23 +13,6 @@ from vecweave.functions.text import column, quoted, truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
 
-def check_parallel_calls(spark: SparkSession, embedder: Embedder) -> None:
-    """Tasks call the model one text batch at a time, so an executor makes as many calls at once as it has task slots.
-
-    The limit of a model is kept by the slots of the session, never by moving rows into few partitions: partitions follow
-    the data, and a lost task repeats little.
-    """
-    master = spark.sparkContext.master
-    # Of a local session, and of a cluster that does not say how many cores an executor has, the default is the best guess.
-    cores = spark.sparkContext.defaultParallelism if master.startswith("local[") else int(spark.conf.get("spark.executor.cores", "1"))
-    slots = max(1, cores // int(spark.conf.get("spark.task.cpus", "1")))
-    if embedder.max_parallel is not None and slots > embedder.max_parallel:
-        raise ValueError(
-            f"an executor runs {slots} tasks at a time and {embedder.name} allows {embedder.max_parallel} calls: set "
-            "spark.executor.cores or spark.task.cpus, or raise max_parallel"
-        )
-
-
 def with_outcomes(
     df: DataFrame,
     texts: str,
@@ -40,7 +23,6 @@ def with_outcomes(
 ) -> DataFrame:
     """Add an array of outcomes for an array of texts (a SQL expression). Every row stays whole and in place, so
     regrouping is free."""
-    check_parallel_calls(df.sparkSession, embedder)
     cut = truncate_all(texts, embedder.max_bytes)
     return df.withColumn(name, embedder.outcomes(cut, batch_size, on_error))
 
@@ -76,14 +58,17 @@ def failures(rows: DataFrame) -> DataFrame:
 
 
 def check_positions(df: DataFrame, position: str) -> None:
-    """Positions must be 0, 1, 2, ... without gaps or repeats; one pass over that column."""
-    found = df.agg(
-        F.count("*").alias("rows"),
-        F.min(position).alias("least"),
-        F.max(position).alias("most"),
-        F.count_distinct(position).alias("different"),
-    ).first()
-    if found["rows"] and (found["least"], found["most"] + 1, found["different"]) != (0, found["rows"], found["rows"]):
+    """Positions must be 0, 1, 2, ... without gaps or repeats; one pass over that column, and nothing is shuffled.
+
+    As many positions as rows that hash to what 0 to the last one hash to are all of these: one that is missing, or there
+    twice, would change what is left of the exclusive or of all hashes.
+    """
+    digest = F.bit_xor(F.xxhash64(F.col(position).cast("bigint"))).alias("digest")
+    found = df.agg(F.count("*").alias("rows"), F.min(position).alias("least"), F.max(position).alias("most"), digest).first()
+    if not found["rows"]:
+        return
+    want = df.sparkSession.range(found["rows"]).select(F.bit_xor(F.xxhash64("id"))).first()[0]
+    if (found["least"], found["most"], found["digest"]) != (0, found["rows"] - 1, want):
         raise ValueError(f"{position} must number the rows from 0 without gaps or repeats: {found.asDict()}")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vecweave.constants import DEFAULT_BATCH_SIZE
 from vecweave.functions.text import column, quoted, truncate_all
-from vecweave.operators.embed import check_parallel_calls
 from vecweave.operators.embedders import CallableEmbedder, Embedder, outcomes_by_name
 
 
@@ -78,7 +77,6 @@ def embed_requests(
     # No row moves. Callables share one Python stage; other embedders see their own requests, the others as empty lists.
     answers, called = {}, [e for e in embedders if isinstance(e, CallableEmbedder)]
     for embedder in embedders:
-        check_parallel_calls(requests.sparkSession, embedder)
         if embedder not in called:
             mine = truncate_all(f"filter(_texts, text -> _serving = {quoted(embedder.name)})", embedder.max_bytes)
             answers[f"_outcomes_{len(answers)}"] = embedder.outcomes(mine, "greatest(_size, 1)", "batch")
