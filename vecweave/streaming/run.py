@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import time
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +18,7 @@ from vecweave.operators.embedders import Embedder
 from vecweave.operators.metrics import run_metrics
 from vecweave.plans.embedding import REJECTED, process_decoded
 from vecweave.sources.messages import dead_letters, write_messages
+from vecweave.sources.publish import Publisher, publish
 
 
 def drop_repeats(decoded: DataFrame, window: str, received: str, salt: str | None = None) -> DataFrame:
@@ -49,14 +52,15 @@ def send(
     attempts: int = PUBLISH_ATTEMPTS,
     first_wait: float = PUBLISH_FIRST_WAIT_MS / 1000,
 ) -> bool:
-    """Send ``key`` and ``value``, at most ``attempts`` times with waits that double. What cannot be sent is written as
-    dead letters to the folder ``unsent``, and the caller goes on."""
+    """Send ``key`` and ``value`` through a format of Spark, all together, at most ``attempts`` times with waits that
+    double. What cannot be sent is written as dead letters to the folder ``unsent``, and the caller goes on. Only errors of
+    the write count; rows that cannot be read cannot be written as letters either, so that is an error here."""
     error = None
     for attempt in range(attempts):
         try:
             write_messages(rows, fmt, options)
             return True
-        except Exception as failure:  # whatever the sink raises: the stream must not end by it
+        except (PySparkException, Py4JError) as failure:
             error = " ".join(str(failure).split())[:500] or type(failure).__name__
             time.sleep(first_wait * 2**attempt)
     letters = dead_letters(rows, topic, quoted(error))
@@ -73,7 +77,7 @@ def run_stream(
     received: str = "received",
     salt: str | None = None,
     trigger: dict | None = None,
-    send_to: dict[str, tuple[str, dict[str, str]]] | None = None,
+    send_to: dict[str, tuple[str, dict[str, str]] | Publisher] | None = None,
     send_wait: float = PUBLISH_FIRST_WAIT_MS / 1000,
     **options,
 ) -> StreamingQuery:
@@ -82,9 +86,11 @@ def run_stream(
     overwrites its own folder, so a restart adds nothing twice; another checkpoint has another query id and overwrites
     nothing. Counts per source are in ``sink_path/metrics``. The checkpoint keeps the position.
 
-    ``send_to`` also passes ``key`` and ``value`` of an outcome on to another sink, as {outcome: (format, options)}, for
-    example published events and dead letters to their topics. A batch that is tried again is sent again; one that cannot
-    be sent is in ``sink_path/unsent`` as dead letters, and the stream goes on.
+    ``send_to`` also passes ``key`` and ``value`` of an outcome on to another sink, for example published events and dead
+    letters to their topics. As {outcome: Publisher} every message is sent by itself, and only those that are refused are
+    letters, in the folder of the publisher. As {outcome: (format, options)} a micro-batch is sent as a whole; one that
+    cannot be sent is in ``sink_path/unsent`` as dead letters. Either way the stream goes on, and a batch that is tried
+    again is sent again.
     """
     value = options.get("value", "value")
     decoded = decode_events(stream, value)
@@ -102,8 +108,12 @@ def run_stream(
         written = spark.read.schema(processed.schema).parquet(target)
         counted = run_metrics(written.filter(F.col("outcome") != REJECTED))
         counted.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{sink_path}/metrics/{place}")
-        for outcome, (fmt, sink_options) in (send_to or {}).items():
+        for outcome, sink in (send_to or {}).items():
             chosen = written.filter(F.col("outcome") == outcome).select("key", "value")
+            if isinstance(sink, Publisher):
+                publish(chosen, sink, f"{query_id(spark, checkpoint)}-{batch_id}-{outcome}")
+                continue
+            fmt, sink_options = sink
             send(chosen, fmt, sink_options, f"{sink_path}/unsent/{place}/sink={outcome}", first_wait=send_wait)
 
     writer = decoded.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
