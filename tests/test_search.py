@@ -5,7 +5,8 @@ import pytest
 
 from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, from_function
 from vecweave.operators.embed import embed_rows, embedded
-from vecweave.operators.search import text_search, unusable_vectors, vector_topk
+import vecweave.operators.search as search
+from vecweave.operators.search import SearchReport, text_search, unusable_vectors, vector_topk
 
 
 def brute_force(queries, vectors, k):
@@ -36,7 +37,7 @@ def data(seed, copies=0):
     return queries + [(20, [1.0, 2.0, 3.0, 0.0, 0.0, 1.0])], vectors
 
 
-WAYS = {"one block": {}, "blocks": {"max_broadcast_bytes": 800}}
+WAYS = {"one block": {}, "blocks": {"query_bytes": 800}}
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -113,3 +114,39 @@ def test_text_search_uses_one_model(spark):
 def test_k_must_be_positive(spark):
     with pytest.raises(ValueError):
         vector_topk(*frames(spark, *data(1)), 0)
+
+
+def groups(seed, size=4000):
+    """Vectors in narrow groups, a third of them in one, with copies and zero vectors."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    group = np.where(np.arange(size) % 3 == 0, 0, rng.integers(1, 12, size))
+    rows = (centres[group] + rng.normal(size=(size, 16)) * 0.05).round(3)
+    rows[5:9] = 0
+    rows[20:26] = rows[20]
+    return [(i, v) for i, v in enumerate(rows.tolist())]
+
+
+@pytest.mark.parametrize("query_bytes", [1 << 20, 2000])
+def test_rings_are_passed_over_and_nothing_is_lost(spark, monkeypatch, query_bytes):
+    monkeypatch.setattr(search, "RING", 64)
+    vectors = groups(3)
+    queries = [(i, v) for i, v in vectors[:60:2]] + [(100_001, [0.0] * 16), (100_002, [-x for x in vectors[3][1]])]
+    report = SearchReport.of(spark)
+    asked, stored = frames(spark, queries, vectors)
+    found = vector_topk(asked, stored, 5, query_bytes=query_bytes, report=report).collect()
+    assert {tuple(r) for r in found} == brute_force(queries, vectors, 5)
+    assert report.pairs.value == len(queries) * len(vectors)
+    assert report.passed_over > 0.4
+    # A wrong bound is noticed: without room for the width of a ring, vectors are missed.
+    monkeypatch.setattr(search, "_ANGLE_SLACK", -0.6)
+    assert {tuple(r) for r in vector_topk(asked, stored, 5).collect()} != brute_force(queries, vectors, 5)
+
+
+def test_queries_do_not_go_through_the_driver(spark, monkeypatch):
+    kind = type(spark.range(1))
+    collect, collected = kind.collect, []
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(self.columns) or collect(self))
+    monkeypatch.setattr(kind, "toArrow", lambda self: pytest.fail("rows on the driver"))
+    found = vector_topk(*frames(spark, *data(2)), 3, query_bytes=800)
+    assert collected == [["path", "bytes"]] and found.count() == 63

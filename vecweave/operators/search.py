@@ -1,30 +1,45 @@
 """Exact search for the most similar vectors.
 
 Scores are cosines, rounded to nine places before ranking so that the order of floating-point additions cannot
-change a rank; ties go to the smaller id. Tasks multiply whole blocks and pass on only the best ``k`` per query and
-block, never all pairs.
+change a rank; ties go to the smaller id.
+
+Neither side goes through the driver. Queries are written to files, and a task takes a slice of them of bounded size
+through its own vectors, which stay where they are. Each task sorts its vectors by the pivot they are nearest to and by
+their angle to it, and cuts them into blocks, which are rings around a pivot. A vector in a ring cannot be nearer to a query
+than the difference of the query's angle to the pivot and those of the ring, so a query passes over every ring that this
+puts behind the ``k`` best it has. Some vectors, chosen by a hash, come first and are compared with every query: so there
+is a good bound from the start. Tasks pass on only their best ``k`` per query, never all pairs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Accumulator, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecweave.operators.embed import embed_rows, embedded
 from vecweave.operators.embedders import Embedder
-from vecweave.sources.storage import materialize
+from vecweave.sources.files import NewFile, read_all
+from vecweave.sources.storage import materialize, new_path
 
 SCORE_DIGITS = 9
-# Query vectors given to every task at a time, with what their ids take.
-MAX_BROADCAST_BYTES = 64 << 20
+# Bytes of queries that a task holds at a time, with what their ids take.
+QUERY_BYTES = 32 << 20
+# Vectors in a ring, pivots, and the share of vectors that come first: one of so many.
+RING = 2048
+PIVOTS = 32
+FIRST_ONE_OF = 16
 _SCORE_CELLS = 4_000_000
 _SLACK = 1e-8
+# What an angle that is found from a cosine may be off by.
+_ANGLE_SLACK = 1e-7
 
 
 def _unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -55,119 +70,228 @@ def unusable_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.filter(f"NOT coalesce({vector} IS NOT NULL AND {finite}, false)")
 
 
-def _best(candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    ranked = candidates.sort_values(["query", "score", "id"], ascending=[True, False, True])
-    return ranked.groupby("query", sort=False).head(k)
-
-
-def _block_topk(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` of ``vectors`` for each query: columns query (row number), id, score."""
-    rows = max(1, _SCORE_CELLS // max(len(vectors), 1))
-    found = []
-    for start in range(0, len(queries), rows):
-        part = queries[start : start + rows]
-        scores = part @ vectors.T
-        if len(ids) > k:
-            floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            query, vector = np.nonzero(scores >= floor[:, None] - _SLACK)
-        else:
-            query, vector = (axis.ravel() for axis in np.indices(scores.shape))
-        # Scored again pair by pair: equal vectors then get equal scores wherever they stand in a block.
-        exact = np.empty(len(query))
-        pairs = max(1, _SCORE_CELLS // queries.shape[1])
-        for at in range(0, len(query), pairs):
-            chosen = slice(at, at + pairs)
-            exact[chosen] = (part[query[chosen]] * vectors[vector[chosen]]).sum(axis=1)
-        found.append(
-            _best(
-                pd.DataFrame(
-                    {"query": query + start, "id": ids[vector], "score": np.round(exact, SCORE_DIGITS)}
-                ),
-                k,
-            )
-        )
-    return pd.concat(found)
+@dataclass
+class SearchReport:
+    """How much a search has compared, once it has run: pairs of a query and a vector, and all that there are. Of tasks
+    that were tried again, each attempt that succeeded counts."""
 
+    compared: Accumulator
+    pairs: Accumulator
 
-def _id_values(ids: pa.Array) -> np.ndarray:
-    return ids.to_numpy(zero_copy_only=False)
+    @classmethod
+    def of(cls, spark: SparkSession) -> SearchReport:
+        return cls(spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
 
+    @property
+    def passed_over(self) -> float:
+        """The share of all pairs that no one had to look at."""
+        return 1 - self.compared.value / self.pairs.value if self.pairs.value else 0.0
 
-def _result_schema(queries: DataFrame, vectors: DataFrame) -> str:
-    query_type = queries.schema[0].dataType.simpleString()
-    vector_type = vectors.schema[0].dataType.simpleString()
-    return f"query_id {query_type}, vec_id {vector_type}, score double"
 
+def _order_of(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ids."""
+    return ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1]
 
-def _scan(queries: DataFrame, head: pa.Table, vectors: DataFrame, k: int) -> DataFrame:
-    """Every task goes over its own vectors once, with all queries at hand. Vectors are not shuffled."""
-    schema = _result_schema(queries, vectors)
-    head = head.combine_chunks()
-    query_ids = head.column(0).to_pylist()
-    points = _unit_rows(head.column(1).chunk(0)) if query_ids else np.zeros((0, 1))
-    id_type = head.schema.field(0).type
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        vector_type = None
+class _Best:
+    """The best ``k`` vectors of each query so far."""
+
+    def __init__(self, queries: np.ndarray, pivots: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.zero = ~queries.any(axis=1)
+        self.angles = np.arccos(np.clip(queries @ pivots.T, -1, 1))
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.zeros((len(queries), k), object)
+
+    def within_reach(self, cell: int, least: float, most: float) -> np.ndarray:
+        """Queries to which a vector of the ring may be nearer than the last of their best."""
+        if cell < 0:
+            return np.arange(len(self.queries))
+        angle = self.angles[:, cell]
+        gap = np.maximum(np.maximum(angle - most, least - angle) - _ANGLE_SLACK, 0)
+        # A zero vector has no angle to anything.
+        return np.flatnonzero(self.zero | (np.cos(gap) >= self.scores[:, -1] - _SLACK))
+
+    def compare(self, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, _SCORE_CELLS // max(len(vectors), 1))
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            scores = self.queries[some] @ vectors.T
+            floor = self.scores[some, -1]
+            if len(ids) > self.k:
+                floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            query, place = np.nonzero(scores >= floor[:, None] - _SLACK)
+            query = some[query]
+            # Scored again pair by pair: equal vectors then get equal scores wherever they stand in a block.
+            exact = np.empty(len(query))
+            pairs = max(1, _SCORE_CELLS // vectors.shape[1])
+            for first in range(0, len(query), pairs):
+                chosen = slice(first, first + pairs)
+                exact[chosen] = (self.queries[query[chosen]] * vectors[place[chosen]]).sum(axis=1)
+            self._add(query, ids[place], np.round(exact, SCORE_DIGITS))
+
+    def _add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        near = scores >= self.scores[query, -1]
+        query, ids, scores = query[near], ids[near], scores[near]
+        of = np.unique(query)
+        if not len(of):
+            return
+        row, place = np.nonzero(self.scores[of] > -np.inf)
+        query = np.concatenate([of[row], query])
+        scores = np.concatenate([self.scores[of[row], place], scores])
+        held = self.ids[of[row], place]
+        ids = np.concatenate([held.astype(ids.dtype) if ids.dtype.kind in "iu" else held, ids])
+        order = np.lexsort((_order_of(ids), -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < self.k
+        self.scores[query[kept], place[kept]] = scores[kept]
+        self.ids[query[kept], place[kept]] = ids[kept]
+
+
+def _write_queries(queries: DataFrame, most: int) -> list[list[str]]:
+    """Write queries to files and put these into slices of about ``most`` bytes. The driver gets their names."""
+    folder = new_path(queries.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, out = TaskContext.get().partitionId(), []
         for batch in batches:
-            if not query_ids or len(batch) == 0:
+            step = max(1, int(batch.num_rows * most // max(1, 2 * batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(at, step)]).combine_chunks()
+                file = NewFile(f"{folder}/{task}-{uuid.uuid4()}.arrow")
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_table(part)
+                file.write(sink.getvalue())
+                file.close()
+                # Components are doubles in memory.
+                out.append((file.uri, 2 * part.nbytes))
+        yield pa.RecordBatch.from_pydict({"path": [p for p, _ in out], "bytes": [b for _, b in out]}, pa.schema([("path", pa.string()), ("bytes", pa.int64())]))
+
+    slices: list[list[str]] = []
+    held = 0
+    for path, bytes_ in materialize(queries.mapInArrow(write, "path string, bytes long")).orderBy("path").collect():
+        if not slices or held + bytes_ > most:
+            slices.append([])
+            held = 0
+        slices[-1].append(path)
+        held += bytes_
+    return slices
+
+
+def _read_queries(paths: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of a slice."""
+    table = pa.concat_tables(pa.ipc.open_stream(read_all(path)).read_all() for path in paths).combine_chunks()
+    return table.column(0).chunk(0), _unit_rows(table.column(1).chunk(0))
+
+
+def _pivots(path: str) -> np.ndarray:
+    """Some of the queries of a file: rings around them tell near from far where it matters."""
+    _, vectors = _read_queries([path])
+    vectors = vectors[vectors.any(axis=1)]
+    return vectors[np.unique(np.linspace(0, len(vectors) - 1, min(PIVOTS, len(vectors))).astype(int))]
+
+
+def _rings(vectors: DataFrame, path: str) -> DataFrame:
+    """Vectors in the order of rings, each task its own: vec_id, embedding, cell, angle. The cell -1 is that of vectors
+    which are compared with every query."""
+    id_type = vectors.schema[0].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            vector_type = batch.column(0).type
-            part = _block_topk(
-                points, _unit_rows(batch.column(1)), _id_values(batch.column(0)), k
-            )
-            best = part if best is None else _best(pd.concat([best, part]), k)
+            pivots = _pivots(path) if pivots is None else pivots
+            rows = _unit_rows(batch["embedding"])
+            cell, angle = np.full(len(rows), -1, np.int32), np.zeros(len(rows))
+            if len(pivots):
+                near = rows @ pivots.T
+                nearest = near.argmax(axis=1)
+                rest = rows.any(axis=1) & ~batch["first"].to_numpy(zero_copy_only=False)
+                cell[rest] = nearest[rest]
+                angle[rest] = np.arccos(np.clip(near[np.arange(len(rows)), nearest], -1, 1))[rest]
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(cell), pa.array(angle)], ["vec_id", "embedding", "cell", "angle"])
+
+    first = (F.pmod(F.xxhash64("vec_id"), F.lit(FIRST_ONE_OF)) == 0).alias("first")
+    type_ = vectors.schema["embedding"].dataType.simpleString()
+    placed = vectors.select("vec_id", "embedding", first).mapInArrow(place, f"vec_id {id_type}, embedding {type_}, cell int, angle double")
+    return placed.sortWithinPartitions("cell", "angle")
+
+
+def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, schema: str, report: SearchReport | None) -> DataFrame:
+    """The best ``k`` that each task finds among its own vectors, for the queries of a slice."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = query_ids = id_type = None
+        held: list[pa.RecordBatch] = []
+        at, size = None, 0
+
+        def ring() -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            angle = table["angle"].to_numpy()
+            asked = best.within_reach(at, angle.min(), angle.max())
+            if report is not None:
+                report.compared.add(len(asked) * len(angle))
+                report.pairs.add(len(query_ids) * len(angle))
+            if len(asked):
+                best.compare(asked, _unit_rows(table["embedding"].chunk(0)), table["vec_id"].to_numpy())
+
+        for batch in batches:
+            cells = batch["cell"].to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                if best is None:
+                    query_ids, queries = _read_queries(paths)
+                    pivots, id_type = _pivots(pivots_of), batch["vec_id"].type
+                    best = _Best(queries, pivots.reshape(-1, queries.shape[1]), k)
+                if held and (cells[start] != at or size == RING):
+                    ring()
+                    held, size = [], 0
+                at = int(cells[start])
+                other = cells[start:] != at
+                take = min(int(other.argmax()) if other.any() else len(other), RING - size)
+                held.append(batch.slice(start, take))
+                start, size = start + take, size + take
+        if held:
+            ring()
         if best is not None:
+            query, place = np.nonzero(best.scores > -np.inf)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([query_ids[q] for q in best["query"]], id_type),
-                    pa.array(list(best["id"]), vector_type),
-                    pa.array(best["score"]),
-                ],
-                names=["query_id", "vec_id", "score"],
+                [query_ids.take(pa.array(query)), pa.array(best.ids[query, place].tolist(), id_type), pa.array(best.scores[query, place])],
+                ["query_id", "vec_id", "score"],
             )
 
-    return vectors.mapInArrow(scan, schema)
+    return rings.mapInArrow(scan, schema)
 
 
-def vector_topk(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 10,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, report: SearchReport | None = None) -> DataFrame:
     """The ``k`` vectors most similar to each query: query_id, vec_id, score, rank.
 
     ``queries`` has columns query_id, embedding; ``vectors`` has vec_id, embedding; ids are unique. Vectors and queries
-    that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`.
+    that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`. A zero vector scores zero.
 
-    Queries are written down once and counted in the written table. A block of them, of ``max_broadcast_bytes`` at most,
-    goes to every task, and the vectors are scanned once for each block, where they are: neither side is copied. Every
-    task passes on its best ``k`` per query, which are thinned out once more before the last ranking.
+    Queries are taken in slices of about ``query_bytes``, and the vectors are scanned once for each slice. ``report`` is
+    told how much was compared.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = materialize(usable_vectors(queries.select("query_id", "embedding")))
+    slices = _write_queries(usable_vectors(queries.select("query_id", "embedding")), query_bytes)
     vectors = usable_vectors(vectors.select("vec_id", "embedding"))
-    id_bytes = F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)) + 64
-    size = queries.agg(F.sum(F.size("embedding") * 8 + id_bytes)).first()[0] or 0
-    blocks = -(-size // max(1, max_broadcast_bytes)) or 1
-    if blocks == 1:
-        best = _scan(queries, queries.toArrow(), vectors, k)
-    else:
-        # The driver holds blocks of MAX_BROADCAST_BYTES at a time; what they find is written before the next. Twice as
-        # many blocks as the size asks for leave room for blocks of uneven size.
-        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        at_once = max(1, MAX_BROADCAST_BYTES // max(1, max_broadcast_bytes))
-        found = []
-        for first in range(0, 2 * blocks, at_once):
-            numbers = range(first, min(first + at_once, 2 * blocks))
-            scans = [_scan(queries, queries.filter(block == n).toArrow(), vectors, k) for n in numbers]
-            found.append(materialize(reduce(DataFrame.union, scans)))
-        best = reduce(DataFrame.union, found)
+    id_types = [df.schema[0].dataType.simpleString() for df in (queries.select("query_id"), vectors)]
+    schema = f"query_id {id_types[0]}, vec_id {id_types[1]}, score double"
+    if not slices:
+        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    pivots_of = slices[0][0]
+    rings = _rings(vectors, pivots_of)
+    if len(slices) > 1:
+        rings = materialize(rings)
+    found = [_scan(rings, paths, pivots_of, k, schema, report) for paths in slices]
+    if len(slices) > 1:
+        found = [materialize(one) for one in found]
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def text_search(
@@ -175,11 +299,11 @@ def text_search(
     vectors: DataFrame,
     embedder: Embedder,
     k: int = 10,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """Search by text: ``texts`` has query_id, text. If ``vectors`` has a model column, only the embedder's rows count.
     Each text is sent to the model once: the queries are written down before they are used."""
     if "model" in vectors.columns:
         vectors = vectors.filter(F.col("model") == embedder.name)
     asked = embedded(embed_rows(texts.select("query_id", "text"), embedder))
-    return vector_topk(asked, vectors, k, max_broadcast_bytes)
+    return vector_topk(asked, vectors, k, query_bytes)
