@@ -124,3 +124,64 @@ def test_intermediate_tables_can_be_removed(spark):
     assert materialize(spark.range(3)).count() == 3
     assert Path(run_folder(spark)).is_dir()
     assert remove_intermediate(spark) and not Path(run_folder(spark)).exists()
+
+
+def entries(ids):
+    return [(f"key{i}", "m", [float(i)]) for i in ids]
+
+
+def test_table_of_entries_is_read_where_it_is(spark, tmp_path):
+    from vecweave.sources.cache_table import CacheTable
+
+    table = CacheTable(spark, f"{tmp_path}/it's a cache", buckets=16)
+    schema = "key string, model string, embedding array<float>"
+    table.append(spark.createDataFrame(entries(range(400)), schema))
+    table.append(spark.createDataFrame(entries(range(400, 500)), schema))
+    assert sorted(map(tuple, table.read().collect())) == sorted(entries(range(500)))
+    few = spark.createDataFrame([("key3",), ("key450",), ("none",), ("key3",)], "key string")
+    assert sorted(r["embedding"][0] for r in table.lookup(few).collect()) == [3.0, 450.0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = spark.range(1000).selectExpr("concat('key', id * 2) AS key")
+        for found in (table.lookup(many), cache_misses(count_keys(many.withColumn("id", F.lit(1)), "id"), table.read())):
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            final = plan.split("Initial Plan")[0]
+            scan = final[: final.index(table.name)].splitlines()
+            # Between the join and the scan of the table nothing is exchanged.
+            join = max(i for i, line in enumerate(scan) if "Join" in line)
+            side = [line for line in scan[join + 1 :]]
+            last_side = side[max((i for i, line in enumerate(side) if line.lstrip(" :").startswith("+-")), default=0) :]
+            assert not any("Exchange" in line for line in last_side), plan
+        assert table.lookup(many).count() == 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    table.forget()
+    # Another session finds the same files.
+    again = CacheTable(spark, f"{tmp_path}/it's a cache", buckets=16)
+    assert again.read().count() == 500
+    # Few keys are looked up in their own buckets: those of others may be broken.
+    needed = {r[0] for r in few.select(F.pmod(F.hash("key"), F.lit(16))).collect()}
+    for path in (tmp_path / "it's a cache").glob("*.parquet"):
+        if int(path.name.split("_")[1].split(".")[0]) not in needed:
+            path.write_bytes(b"broken")
+            (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    spark.catalog.refreshTable(table.name)
+    assert again.lookup(few).count() == 2
+    with pytest.raises(Exception):
+        again.read().count()
+
+
+def test_table_grows_by_what_was_missing(spark, tmp_path):
+    from vecweave.operators.cache import embed_with_table
+    from vecweave.sources.cache_table import CacheTable
+
+    table, embedder = CacheTable(spark, f"{tmp_path}/cache", buckets=4), HashingEmbedder(8)
+    df = rows_with_copies(spark)
+    want, _ = embed_with_cache(df, no_cache(spark), embedder, "id")
+    first = embed_with_table(df.filter("id < 150"), table, embedder, "id", rows_per_split=7)
+    assert first.count() == 150
+    had = table.read().count()
+    got = embed_with_table(df, table, embedder, "id", rows_per_split=7)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert had < table.read().count() == table.read().select("key").distinct().count()

@@ -14,6 +14,7 @@ from vecweave.functions.text import text_key
 from vecweave.operators.embed import embed_rows
 from vecweave.operators.embedders import Embedder
 from vecweave.operators.joins import MAX_BROADCAST_BYTES, broadcast_if_small, size_in_bytes
+from vecweave.sources.cache_table import CacheTable
 from vecweave.sources.storage import materialize
 
 # A key with more rows than this is split. At most (all rows / this) keys can be, so their list is safe to broadcast:
@@ -72,6 +73,39 @@ def _rows_to_embed(rows: DataFrame, keyed: DataFrame, missing: DataFrame, row_id
     return rows.join(wanted, row_id, "left_semi")
 
 
+def _embed_missing(
+    rows: DataFrame, keyed: DataFrame, missing: DataFrame, embedder: Embedder, row_id: str, text: str, on_error: str, max_bytes: int
+) -> DataFrame:
+    """New entries for missing keys, written once, so that the model is called once for each."""
+    texts = _rows_to_embed(rows.select(row_id, text), keyed, missing, row_id, max_bytes).withColumn(
+        "key", F.expr(text_key(embedder.name, text, embedder.max_bytes))
+    )
+    found = embed_rows(texts, embedder, text, on_error=on_error)
+    return materialize(found.filter("error is null").select("key", "model", "embedding"))
+
+
+def embed_with_table(
+    rows: DataFrame,
+    table: CacheTable,
+    embedder: Embedder,
+    row_id: str,
+    text: str = "text",
+    on_error: str = "row",
+    rows_per_split: int = ROWS_PER_SPLIT,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """(row id, key, embedding) for every row; what was not known is in ``table`` afterwards.
+
+    Keys move to the buckets of the table, and what is found there moves to the rows; other entries stay where they are.
+    Row ids must be unique. Rows whose text failed have no embedding.
+    """
+    keyed = materialize(keyed_rows(rows, embedder, row_id, text))
+    counted = materialize(count_keys(keyed, row_id))
+    missing = materialize(cache_misses(counted, table.lookup(counted.select("key"))).select(row_id, "key"))
+    table.append(_embed_missing(rows, keyed, missing, embedder, row_id, text, on_error, max_broadcast_bytes))
+    return join_vectors(keyed, counted, table.lookup(counted.select("key")), row_id, rows_per_split)
+
+
 def embed_with_cache(
     rows: DataFrame,
     cache: DataFrame,
@@ -90,14 +124,7 @@ def embed_with_cache(
     keyed = materialize(keyed_rows(rows, embedder, row_id, text))
     counted = materialize(count_keys(keyed, row_id))
     missing = materialize(cache_misses(counted, cache).select(row_id, "key"))
-    texts = _rows_to_embed(rows.select(row_id, text), keyed, missing, row_id, max_broadcast_bytes).withColumn(
-        "key", F.expr(text_key(embedder.name, text, embedder.max_bytes))
-    )
-    fresh = materialize(
-        embed_rows(texts, embedder, text, on_error=on_error)
-        .filter("error is null")
-        .select("key", "model", "embedding")
-    )
+    fresh = _embed_missing(rows, keyed, missing, embedder, row_id, text, on_error, max_broadcast_bytes)
     # Of the cache, only vectors that are wanted take part in what follows.
     wanted = broadcast_if_small(materialize(counted.join(missing, "key", "left_anti").select("key")), max_broadcast_bytes)
     known = cache.select("key", "model", "embedding").join(wanted, "key", "left_semi").unionByName(fresh)
