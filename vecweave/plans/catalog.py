@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,7 @@ from vecweave.operators.cache import (
     cache_misses,
     count_keys,
     embed_with_cache,
+    embed_with_table,
     keyed_rows,
 )
 from vecweave.operators.chunks import assemble_events, embed_events, explode_chunks, publishable
@@ -53,11 +58,16 @@ from vecweave.plans.tables import (
     request_messages,
 )
 from vecweave.schemas import EMBEDDING_EVENT
+from vecweave.sources.cache_table import CacheTable
+from vecweave.sources.files import NewFile
 from vecweave.sources.messages import dead_letters, encode_events, split_oversize
+from vecweave.sources.publish import Publisher, publish, read_letters
 from vecweave.sources.storage import materialize, new_path
 from vecweave.sources.tables import read_table, spread
+from vecweave.sources.vector_store import VectorStore
 from vecweave.sources.vectors import append_vectors, latest_vectors, read_vectors
 from vecweave.streaming.run import run_stream
+from vecweave.streaming.state import filled_across, mark_repeats, rocksdb_state
 
 DIMENSION = 64
 EMBEDDER = HashingEmbedder(DIMENSION)
@@ -445,7 +455,7 @@ def vector_topk_grid(spark: SparkSession, folder: str) -> DataFrame:
         vectors.withColumnRenamed("vec_id", "query_id"),
         vectors,
         10,
-        max_broadcast_bytes=256 << 10,
+        query_bytes=256 << 10,
     )
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -479,6 +489,20 @@ def cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "key", F.expr(checksum("embedding")).alias("mark"))
 
 
+def cache_table_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents first, then all: the second run embeds only what the first has left out of the table."""
+    table = CacheTable(spark, new_path(spark), buckets=16)
+    documents = _texts(spark, folder)
+    labelled = _table(spark, folder, "labels").select("doc_id").distinct()
+    embed_with_table(documents.join(labelled, "doc_id", "left_semi"), table, EMBEDDER, "doc_id")
+    before = materialize(table.read().select("key", F.lit(True).alias("known_before")))
+    rows = embed_with_table(documents, table, EMBEDDER, "doc_id").join(before, "key", "left")
+    entries = table.read().groupBy("key").agg(F.count("*").alias("entries"))
+    return rows.join(entries, "key").select(
+        "doc_id", "key", F.expr(checksum("embedding")).alias("mark"), F.coalesce("known_before", F.lit(False)).alias("known_before"), "entries"
+    )
+
+
 def vector_table_latest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "conversations").select(
         F.col("role").alias("model"),
@@ -512,6 +536,85 @@ def retried_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _sizes_of_slow_calls():
+    """A model whose calls take the longer the earlier their texts end; it notes how many calls are open."""
+    lock, open_calls = threading.Lock(), [0]
+
+    def sizes(texts: list[str]) -> list[list[float]]:
+        with lock:
+            open_calls[0] += 1
+            now_open = open_calls[0]
+        time.sleep(0.002 * (len(texts[-1]) % 3))
+        with lock:
+            open_calls[0] -= 1
+        if any(text.startswith("a") for text in texts):
+            raise ModelCallError(400, "refused")
+        return [[float(len(text.encode())), float(now_open)] for text in texts]
+
+    return from_function(sizes)
+
+
+def calls_in_flight(spark: SparkSession, folder: str) -> DataFrame:
+    """Four calls of eight texts open at a time: vectors and errors are in place, whatever call ends first."""
+    model = CallableEmbedder("slow", 2, open_model=_sizes_of_slow_calls, in_flight=4, max_parallel=4)
+    rows = embed_rows(_texts(spark, folder), model, batch_size=8)
+    return rows.select(
+        "doc_id",
+        F.col("embedding")[0].cast("bigint").alias("n_bytes"),
+        (F.coalesce(F.col("embedding")[1], F.lit(1)) <= 4).alias("within_limit"),
+        "error",
+    )
+
+
+class _PickySink:
+    """A sink that writes lines to a file. It refuses messages with an address always, and every seventh by its length
+    whenever it comes for the first time."""
+
+    def __init__(self, folder: str):
+        self.file = NewFile(f"{folder}/{uuid.uuid4()}.json")
+        self.seen: set[str] = set()
+
+    def __call__(self, key: str, value: str) -> None:
+        if "@" in value:
+            raise ModelCallError(400, "address in message")
+        tries = 1 + (value in self.seen)
+        if len(value) % 7 == 0 and tries == 1:
+            self.seen.add(value)
+            raise ModelCallError(503, "busy")
+        self.file.write(json.dumps({"key": key, "value": value, "tries": tries}).encode() + b"\n")
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def publish_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as messages to a sink that refuses some: what arrived, and the letters of what did not."""
+    target = new_path(spark)
+    messages = _documents(spark, folder).select(
+        F.col("source").alias("key"), F.to_json(F.struct("doc_id", "text")).alias("value")
+    )
+    publisher = Publisher(lambda: _PickySink(f"{target}/sent"), f"{target}/letters", first_wait=0.0)
+    counts = publish(messages, publisher)
+    sent = spark.read.schema("key string, value string, tries bigint").json(f"{target}/sent")
+    letters = read_letters(spark, f"{target}/letters").select(
+        "key",
+        F.get_json_object("value", "$.event").alias("value"),
+        F.lit(None).cast("bigint").alias("tries"),
+        F.get_json_object("value", "$.error").alias("error"),
+        F.get_json_object("value", "$.failedTopic").alias("topic"),
+    )
+    both = sent.withColumns({"error": F.lit(None).cast("string"), "topic": F.lit(None).cast("string")}).unionByName(letters)
+    return both.select(
+        F.get_json_object("value", "$.doc_id").cast("bigint").alias("doc_id"),
+        "key",
+        F.md5(F.get_json_object("value", "$.text")).alias("digest"),
+        "error",
+        "topic",
+        F.lit(counts["sent"]).alias("n_sent"),
+        F.lit(counts["refused"]).alias("n_refused"),
+    )
+
+
 def empty_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Requests without texts, and requests with an empty text."""
     requests = _texts(spark, folder).selectExpr(
@@ -549,17 +652,21 @@ def stream_unbounded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _outcome_report(written: DataFrame) -> DataFrame:
+    return written.groupBy("outcome", "error").agg(
+        F.count("*").alias("messages"),
+        F.sum("vectors_out").alias("vectors_out"),
+        F.sum(F.when(F.col("outcome") == PUBLISHED, F.get_json_object("value", "$.chunks[0].id")).cast("bigint")).alias("sum_of_ids"),
+    )
+
+
 def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of documents as a stream, published to the shared folder and read back."""
     target = new_path(spark)
     stream = damaged_messages(_document_stream(spark, folder))
     run_stream(stream, EMBEDDER, f"{target}/out", f"{target}/checkpoint", now=NOW).awaitTermination()
     written = spark.read.parquet(f"{target}/out/messages")
-    return written.groupBy("outcome", "error").agg(
-        F.count("*").alias("messages"),
-        F.sum("vectors_out").alias("vectors_out"),
-        F.sum(F.when(F.col("outcome") == PUBLISHED, F.get_json_object("value", "$.chunks[0].id")).cast("bigint")).alias("sum_of_ids"),
-    )
+    return _outcome_report(written)
 
 
 def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -575,6 +682,105 @@ def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_topk(asked, stored, 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def vector_store_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors put into a store, replaced, taken out and put back, read before and after it is compacted."""
+    store = VectorStore(spark, new_path(spark))
+    vectors = _table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), F.concat(F.lit("m"), F.coalesce("label", F.lit(0)) % 2).alias("model"), "embedding"
+    )
+    store.upsert(vectors.withColumn("embedding", F.reverse("embedding")))
+    store.upsert(vectors.filter("id % 3 = 0"))
+    store.remove(vectors.filter("id % 5 = 0"))
+    store.upsert(vectors.filter("id % 10 = 0"))
+    before = store.manifest().version
+    store.compact()
+    store.remove(vectors.filter("id % 7 = 0"))
+    stages = {"before": store.read(version=before), "after": store.read(), "one model": store.read("m1")}
+    reports = [
+        rows.select(F.lit(stage).alias("stage"), "model", "id", F.expr(checksum("embedding")).alias("mark")) for stage, rows in stages.items()
+    ]
+    return reports[0].union(reports[1]).union(reports[2])
+
+
+# Times of documents in streams; a stream waits for rows that are up to ten years late, so the order of files is free.
+_TIMES = "timestamp_seconds(1704067200 + doc_id)"
+_LATE = "3650 days"
+
+
+def _write_files(rows: DataFrame, path: str, files: int) -> None:
+    """Rows as the files of a stream source."""
+    rows.repartition(files, "doc_id").write.mode("append").parquet(path)
+
+
+def _run_on(stream: DataFrame, target: str) -> None:
+    """Run a stream of the folder ``target`` as far as there is input, from where it was."""
+    writer = stream.writeStream.format("parquet").option("path", f"{target}/out")
+    writer.option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def _file_stream(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_filled_across(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches that are filled over the files of a stream and over a restart; the last ones are due when a row without an
+    id tells a later time."""
+    target, shards = new_path(spark), 3
+    rows = _documents(spark, folder, "doc_id", "text").selectExpr("doc_id", "text", f"{_TIMES} AS received")
+    model = _local_model("sizes", _text_sizes)
+
+    def run() -> DataFrame:
+        batches = filled_across(_file_stream(spark, f"{target}/in"), "text", "doc_id", "received", wait="1 hour", shards=shards, delay=_LATE)
+        done = embed_batches(batches, model)
+        with rocksdb_state(spark):
+            _run_on(done, target)
+        return spark.read.schema(done.schema).parquet(f"{target}/out")
+
+    _write_files(rows, f"{target}/in", 2)
+    run()
+    later = rows.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "timestamp_seconds(2504067200) AS received")
+    _write_files(later, f"{target}/in", 1)
+    batches = materialize(run())
+    short = batches.filter("size(ids) < 32").groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most_short"))
+    pairs = batches.select(F.size("ids").alias("size"), F.explode(F.arrays_zip("ids", "embeddings")).alias("x"))
+    return pairs.join(F.broadcast(short)).select(  # one row
+        F.col("x.ids").alias("doc_id"),
+        F.col("x.embeddings")[0].cast("bigint").alias("n_bytes"),
+        (F.col("size") <= 32).alias("within_limit"),
+        (F.col("most_short") <= 1).alias("few_short"),
+    )
+
+
+def event_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a stream, each twice: the ones that pass, and a record of those that are suppressed."""
+    target = new_path(spark)
+    rows = _documents(spark, folder, "doc_id", "text").selectExpr(
+        "doc_id", "md5(text) AS event_id", "explode(array(0, 1)) AS copy", f"{_TIMES} AS received"
+    )
+    _write_files(rows.withColumn("place", F.concat_ws("-", "doc_id", "copy")), f"{target}/in", 2)
+    marked = mark_repeats(_file_stream(spark, f"{target}/in"), "event_id", "place", "received", "1 day", _LATE)
+    with rocksdb_state(spark):
+        _run_on(marked, target)
+    return spark.read.schema(marked.schema).parquet(f"{target}/out").groupBy("event_id").agg(
+        F.count_if(F.col("repeat_no") == 0).alias("passed"),
+        F.count_if(F.col("repeat_no") > 0).alias("suppressed"),
+        F.max("repeat_no").alias("last_repeat"),
+        F.count_distinct("first_place").alias("first_places"),
+        F.count_distinct("place").alias("places"),
+    )
+
+
+def stream_restarted(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of documents that come in two parts, to a stream that is started three times on one checkpoint."""
+    target = new_path(spark)
+    messages = damaged_messages(_documents(spark, folder))
+    for part in (0, 1, None):
+        if part is not None:
+            _write_files(messages.filter(F.pmod("doc_id", F.lit(2)) == part), f"{target}/in", 2)
+        run_stream(_file_stream(spark, f"{target}/in"), EMBEDDER, f"{target}/out", f"{target}/checkpoint", now=NOW).awaitTermination()
+    return _outcome_report(spark.read.parquet(f"{target}/out/messages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_utf8": truncate_utf8_query,
     "explode_chunks": explode_chunks_query,
@@ -611,8 +817,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_reuse": cache_reuse,
     "vector_table_latest": vector_table_latest,
     "retried_calls": retried_calls,
+    "calls_in_flight": calls_in_flight,
+    "publish_outcomes": publish_outcomes,
     "empty_texts": empty_texts,
     "stream_unbounded": stream_unbounded,
     "stream_outcomes": stream_outcomes,
     "stored_vector_search": stored_vector_search,
+    "cache_table_reuse": cache_table_reuse,
+    "vector_store_versions": vector_store_versions,
+    "stream_filled_across": stream_filled_across,
+    "event_repeats": event_repeats,
+    "stream_restarted": stream_restarted,
 }

@@ -93,6 +93,13 @@ _FIRST_EVENTS = """
 
 _KEY = f"sha256('15' || chr(10) || 'feature-hashing' || chr(10) || {_cut('text', 7500)})"
 
+_OUTCOMES = f"""
+        WITH {_DAMAGE}
+        SELECT CASE WHEN reason IS NULL THEN 'published' ELSE 'rejected' END AS outcome, reason AS error,
+               count(*) AS messages, count(*) FILTER (reason IS NULL) AS vectors_out,
+               CAST(sum(doc_id) FILTER (reason IS NULL) AS BIGINT) AS sum_of_ids
+        FROM damage GROUP BY ALL"""
+
 ORACLES: dict[str, str] = {
     "truncate_utf8": f"""
         SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes, md5({_cut('text', 7500)}) AS digest,
@@ -247,17 +254,44 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes,
                CAST(length({_cut('text', 7500)}) AS BIGINT) AS n_chars
         FROM documents""",
+    "calls_in_flight": f"""
+        SELECT doc_id, CASE WHEN text NOT LIKE 'a%' THEN CAST(strlen({_cut('text', 7500)}) AS BIGINT) END AS n_bytes,
+               true AS within_limit, CASE WHEN text LIKE 'a%' THEN 'model returned 400: refused' END AS error
+        FROM documents""",
+    "publish_outcomes": """
+        SELECT doc_id, source AS key, md5(text) AS digest,
+               CASE WHEN text LIKE '%@%' THEN 'model returned 400: address in message' END AS error,
+               CASE WHEN text LIKE '%@%' THEN 'embedding.generated' END AS topic,
+               CAST(count(*) FILTER (text NOT LIKE '%@%') OVER () AS BIGINT) AS n_sent,
+               CAST(count(*) FILTER (text LIKE '%@%') OVER () AS BIGINT) AS n_refused
+        FROM documents""",
     "empty_texts": f"""
         SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS BIGINT) AS total_texts,
                CASE WHEN doc_id % 3 = 0 THEN '' ELSE '0,' || strlen({_cut('text', 7500)}) END AS n_bytes
         FROM documents""",
     "stream_unbounded": f"SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes FROM documents",
-    "stream_outcomes": f"""
-        WITH {_DAMAGE}
-        SELECT CASE WHEN reason IS NULL THEN 'published' ELSE 'rejected' END AS outcome, reason AS error,
-               count(*) AS messages, count(*) FILTER (reason IS NULL) AS vectors_out,
-               CAST(sum(doc_id) FILTER (reason IS NULL) AS BIGINT) AS sum_of_ids
-        FROM damage GROUP BY ALL""",
+    "stream_outcomes": _OUTCOMES,
+    "stream_restarted": _OUTCOMES,
+    "stream_filled_across": f"""
+        SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes, true AS within_limit, true AS few_short
+        FROM documents""",
+    "event_repeats": """
+        SELECT md5(text) AS event_id, CAST(1 AS BIGINT) AS passed, 2 * count(*) - 1 AS suppressed, 2 * count(*) - 1 AS last_repeat,
+               CAST(1 AS BIGINT) AS first_places, 2 * count(*) AS places
+        FROM documents GROUP BY 1""",
+    "cache_table_reuse": f"""
+        WITH {_HASHED_DOCUMENTS}, keyed AS (SELECT doc_id, {_KEY} AS key FROM documents)
+        SELECT doc_id, key, mark, key IN (SELECT key FROM keyed JOIN labels USING (doc_id)) AS known_before, CAST(1 AS BIGINT) AS entries
+        FROM keyed JOIN marks ON marks.id = doc_id""",
+    "vector_store_versions": """
+        WITH vectors AS (SELECT vec_id AS id, 'm' || (coalesce(label, 0) % 2) AS model, embedding FROM embeddings),
+        kept AS (SELECT *, CASE WHEN id % 3 = 0 OR id % 10 = 0 THEN embedding ELSE list_reverse(embedding) END AS v
+                 FROM vectors WHERE id % 5 > 0 OR id % 10 = 0),
+        marks AS (SELECT id, model, CAST(list_sum(list_transform(range(1, len(v) + 1),
+                         lambda i: CAST(round(CAST(v[i] AS DOUBLE) * 1000000) AS BIGINT) * i)) AS BIGINT) AS mark FROM kept)
+        SELECT 'before' AS stage, model, id, mark FROM marks
+        UNION ALL SELECT 'after', model, id, mark FROM marks WHERE id % 7 > 0
+        UNION ALL SELECT 'one model', model, id, mark FROM marks WHERE id % 7 > 0 AND model = 'm1'""",
     "stored_vector_search": """
         WITH vectors AS (SELECT vec_id, embedding, label FROM embeddings),
         asked AS (SELECT vec_id AS query_id, embedding, label FROM vectors WHERE vec_id % 20 = 0),
