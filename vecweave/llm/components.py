@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecweave.llm.frames import split_join
 from vecweave.sources.storage import materialize
 
 MAX_ROUNDS = 60
 
 
-def _nearest(edges: DataFrame) -> DataFrame:
-    """Every vertex ``u`` with its least neighbour ``m``, itself included."""
-    return edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the edges between a and b, few that join the same."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+        p, q = find(x), find(y)
+        if p != q:
+            root[p] = q
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
+
+
+def _to_least(ways: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) with the least neighbour m of u. A vertex with very many neighbours is split over tasks."""
+    return split_join(ways, least, "u", "n", how="inner", spread_by=F.xxhash64("v"))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,8 +42,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Rounds of two steps on the edges alone: every vertex hands its larger neighbours, then its smaller ones, to the least
     of them. The number of rounds follows the logarithm of the longest path. Each round is a written table, so a lost
-    executor costs one round at most. The edges of a vertex are counted with partial aggregation and never gathered; a
-    join on a vertex with very many edges is split by Spark at run time, as both sides are plain shuffles.
+    executor costs one round at most. The edges of a vertex are counted with partial aggregation and never gathered; those
+    of a vertex with very many are joined in several tasks.
     """
     def both(df: DataFrame) -> DataFrame:
         return df.union(df.select(F.col("v"), F.col("u"))).toDF("u", "v")
@@ -32,14 +54,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # Each vertex hands its larger neighbours to its least one.
         ways = both(current)
-        large = (
-            ways.filter("v > u").join(_nearest(ways), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        nearest = ways.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _to_least(ways.filter("v > u"), nearest).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Each vertex hands its smaller neighbours, and itself, to the least of them.
         large = materialize(large.filter("u > v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "u")
+            _to_least(large, least)
             .select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
             .filter("u > v")
             .distinct()
