@@ -1,10 +1,11 @@
 """Packing of documents into windows of tokens by lexical retrieval.
 
 Documents are dealt into shards of a bounded number of tokens, near ones together: the order is by the least hash of
-their tokens. Each shard has its own inverted index. Packing a shard walks through it: a seed document fills the window,
-BM25 finds the unused document most like the one just used, which goes on filling, and a document is cut where a window
-ends. Statistics for BM25 are those of all documents. Only the last window of a shard is not full; it is cut into
-sequences of powers of two, which need no padding.
+their tokens. Each shard has its own inverted index. Every window has a seed document: BM25 ranks the unused documents by
+how like the seed they are, and these fill the window one after the other, whole, until the last is cut where the window
+ends. What is left of that one opens the next window and is its seed; else that is the first unused document. Statistics
+for BM25 are those of all documents. Only the last window of a shard is not full; it is cut into sequences of powers of
+two, which need no padding.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.llm.frames import small_batches
-from vecweave.llm.words import WordTokenizer, give_back_memory, slices, with_end
+from vecweave.llm.words import WordTokenizer, gather, give_back_memory, slices, with_end
 from vecweave.sources.storage import materialize
 
 WINDOW = 2048
@@ -29,6 +30,8 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
+# Texts are encoded in slices of about this many bytes: the larger, the fewer words are looked up.
+SLICE_BYTES = 8 << 20
 _SHARD_IDS = 1 << 40
 
 
@@ -41,7 +44,7 @@ def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         row = TaskContext.get().partitionId() * _SHARD_IDS
         mix = (np.arange(1 << 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = with_end(*tokenizer.encode(texts), end_id)
                 pairs = ids[1:].astype(np.uint32) ^ (ids[:-1].astype(np.uint32) << np.uint32(1))
                 hashes = mix[pairs & np.uint32(len(mix) - 1)]
@@ -95,7 +98,7 @@ def token_statistics(parts: DataFrame, width: int) -> tuple[np.ndarray, float]:
 
 
 class ShardIndex:
-    """Inverted index of a shard, and the search for the unused document most like another one."""
+    """Inverted index of a shard, and the search for the unused documents most like another one."""
 
     def __init__(self, documents: list[np.ndarray], weights: np.ndarray, mean: float):
         lengths = np.array([len(d) for d in documents], np.float64)
@@ -120,19 +123,16 @@ class ShardIndex:
         self.doc, self.score = self.doc[keep], self.score[keep]
         self.left = self.count - int(used.sum())
 
-    def neighbour(self, of: int, used: np.ndarray) -> int | None:
-        """The best unused document that shares a token; the first of equal ones."""
+    def neighbours(self, of: int, used: np.ndarray) -> np.ndarray:
+        """The unused documents that share a token with one, most like it first, the first of equal ones before others."""
         if self.count - np.count_nonzero(used) < 0.8 * self.left:
             self.forget(used)
         asked = self.asked[self.asked_first[of] : self.asked_first[of + 1]]
-        spans = [slice(a, b) for a, b in zip(self.first[asked].tolist(), self.first[asked + 1].tolist()) if a < b]
-        if not spans:
-            return None
-        docs = np.concatenate([self.doc[s] for s in spans])
-        total = np.bincount(docs, np.concatenate([self.score[s] for s in spans]), self.count)
+        starts, lengths = self.first[asked], self.first[asked + 1] - self.first[asked]
+        total = np.bincount(gather(self.doc, starts, lengths), gather(self.score, starts, lengths), self.count)
         total[used] = 0
-        best = int(total.argmax())
-        return best if total[best] > 0 else None
+        found = np.flatnonzero(total)
+        return found[np.argsort(-total[found], kind="stable")]
 
 
 def pack_shard(documents: list[np.ndarray], weights: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -143,22 +143,40 @@ def pack_shard(documents: list[np.ndarray], weights: np.ndarray, mean: float, wi
     room_of = [window] * (total // window)
     room_of += [1 << bit for bit in reversed(range(window.bit_length())) if (total % window) >> bit & 1]
     used = np.zeros(len(documents), bool)
-    pieces, sequence, offset, seed, at = [], 0, 0, 0, None
-    for _ in documents:
-        at = index.neighbour(at, used) if at is not None else None
-        if at is None:  # nothing is alike: the first unused document is the next seed
-            while used[seed]:
-                seed += 1
-            at = seed
+    pieces, sequence, offset, first = [], 0, 0, 0
+
+    def put(at: int) -> bool:
+        """Use a document; true if the window it began in is full."""
+        nonlocal sequence, offset
         used[at] = True
-        start, length = 0, len(documents[at])
+        start, length, began = 0, len(documents[at]), sequence
         while start < length:
             size = min(length - start, room_of[sequence] - offset)
             pieces.append((at, start, size, sequence, offset))
             start, offset = start + size, offset + size
             if offset == room_of[sequence]:
                 sequence, offset = sequence + 1, 0
-    return pieces
+        return sequence > began
+
+    seed = None
+    while True:
+        if seed is None:
+            while first < len(documents) and used[first]:
+                first += 1
+            if first == len(documents):
+                return pieces
+            seed = first
+            put(seed)
+            if not offset:  # it ends with a window
+                seed = None
+                continue
+        for at in index.neighbours(seed, used).tolist():
+            if put(at):
+                # The rest of it opens the next window.
+                seed = at if offset else None
+                break
+        else:
+            seed = None  # no other is like it: the window goes on with another seed
 
 
 def pack(

@@ -40,6 +40,7 @@ from vecweave.operators.embedders import (
 )
 from vecweave.operators.metrics import run_metrics
 from vecweave.operators.models import list_models, models_table, route_models
+from vecweave.operators.redrive import letter_messages, redrive
 from vecweave.operators.requests import (
     batch_plan,
     embed_requests,
@@ -47,7 +48,7 @@ from vecweave.operators.requests import (
     request_totals,
 )
 from vecweave.operators.search import text_search, vector_topk
-from vecweave.plans.embedding import PUBLISHED, process_messages
+from vecweave.plans.embedding import DEAD_LETTER, PUBLISHED, process_messages
 from vecweave.plans.tables import (
     checksum,
     checksum_all,
@@ -682,6 +683,38 @@ def stored_vector_search(spark: SparkSession, folder: str) -> DataFrame:
     return vector_topk(asked, stored, 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _named_messages(documents: DataFrame) -> DataFrame:
+    """Sound messages whose names have up to 8,100 letters, some of which were tried before."""
+    return documents.selectExpr(
+        """concat('{"headers":{"event_id":"', doc_id, '","event_type":"t","timestamp":"now","source_service":"loader"},',
+            '"metadata":{"retry_count":', doc_id % 4, CASE WHEN doc_id % 4 > 0 THEN concat(',"original_event_id":"first-', doc_id, '"') ELSE '' END, '},',
+            '"source_id":"', source, '","repo_name":"', repeat('r', CAST(100 + doc_id % 5 * 2000 AS INT)), '",',
+            '"chunks":[{"id":"1","file_id":"f","chunk_type":"document","content":"short"}],"timestamp":"now"}') AS value"""
+    )
+
+
+def redriven_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Letters of events that were too large, tried again with a larger limit: what is published then, and what is final."""
+    messages = _named_messages(_documents(spark, folder, "doc_id", "source"))
+    first = materialize(process_messages(messages, EMBEDDER, NOW, max_bytes=4_000))
+    letters = first.filter(F.col("outcome") == DEAD_LETTER)
+    found = letter_messages(letters.select("key", "value"), first.select("message"))
+    published, final = redrive(found, lambda rows: process_messages(rows, EMBEDDER, NOW, max_bytes=6_000))
+
+    def report(rows: DataFrame, outcome: str) -> DataFrame:
+        said = rows.withColumn("event", F.from_json("value", EMBEDDING_EVENT))
+        return said.select(
+            F.col("event.headers.event_id").cast("bigint").alias("doc_id"),
+            F.lit(outcome).alias("outcome"),
+            F.col("event.metadata.retry_count").alias("retry_count"),
+            F.col("event.metadata.original_event_id").alias("original_event_id"),
+            F.length("event.repo_name").cast("bigint").alias("n_letters"),
+            "error",
+        )
+
+    return report(published, PUBLISHED).union(report(final, "final"))
+
+
 def vector_store_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors put into a store, replaced, taken out and put back, read before and after it is compacted."""
     store = VectorStore(spark, new_path(spark))
@@ -828,4 +861,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_filled_across": stream_filled_across,
     "event_repeats": event_repeats,
     "stream_restarted": stream_restarted,
+    "redriven_letters": redriven_letters,
 }

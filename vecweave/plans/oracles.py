@@ -272,6 +272,15 @@ ORACLES: dict[str, str] = {
     "stream_unbounded": f"SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes FROM documents",
     "stream_outcomes": _OUTCOMES,
     "stream_restarted": _OUTCOMES,
+    "redriven_letters": """
+        WITH letters AS (SELECT doc_id, doc_id % 4 AS tried, doc_id % 5 = 2 AND doc_id % 4 < 3 AS sent FROM documents WHERE doc_id % 5 > 1)
+        SELECT doc_id, CASE WHEN sent THEN 'published' ELSE 'final' END AS outcome,
+               CASE WHEN sent THEN tried + 1 ELSE 3 END AS retry_count,
+               CASE WHEN tried > 0 THEN 'first-' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS original_event_id,
+               100 + doc_id % 5 * 2000 AS n_letters,
+               CASE WHEN NOT sent THEN 'no further attempt: message of more than '
+                    || CASE WHEN tried < 3 THEN 6000 ELSE 4000 END || ' bytes' END AS error
+        FROM letters""",
     "stream_filled_across": f"""
         SELECT doc_id, CAST(strlen({_cut('text', 7500)}) AS BIGINT) AS n_bytes, true AS within_limit, true AS few_short
         FROM documents""",
