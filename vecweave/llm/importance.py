@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vecweave.llm.checksums import moved_over
 from vecweave.llm.frames import small_batches
-from vecweave.llm.words import gather, give_back_memory, slices
+from vecweave.llm.words import gather, give_back_memory, plain_strings, slices
 from vecweave.sources.storage import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +54,7 @@ class WordSplitter:
             part = pieces.slice(start, _PIECES)
             # One text of many pieces; a word belongs to the piece that its offset falls in.
             ends = np.cumsum(pc.utf8_length(part).to_numpy().astype(np.int64) + 1)
-            found = self._split("\n".join(part.to_pylist()))
+            found = self._split("\n".join(plain_strings(part)))
             words += [word for word, _ in found]
             offsets = np.fromiter((offset for _, (offset, _) in found), np.int64, len(found))
             counts.append(np.bincount(np.searchsorted(ends, offsets, side="right"), minlength=len(part)))
@@ -66,7 +66,7 @@ class WordSplitter:
         pieces = split.flatten().dictionary_encode()
         words, counts = self._words(pc.ascii_lower(pieces.dictionary))
         known = pa.array(words, pa.large_string()).dictionary_encode()
-        encoded = [word.encode() for word in known.dictionary.to_pylist()]
+        encoded = [word.encode() for word in plain_strings(known.dictionary)]
         own = np.fromiter(map(zlib.crc32, encoded), np.uint32, len(encoded))
         behind_space = np.fromiter((zlib.crc32(word, _SPACE) for word in encoded), np.uint32, len(encoded))
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))

@@ -28,38 +28,55 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 # BM25.
 K1, B = 1.2, 0.75
+# A token that one of so many documents of a shard has is looked up in a row of scores.
+DENSE_ONE_OF = 8
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
 # Texts are encoded in slices of about this many bytes: the larger, the fewer words are looked up.
 SLICE_BYTES = 8 << 20
 _SHARD_IDS = 1 << 40
+# What the rows of statistics have as number of the row, and as tokens for the numbers of parts and of tokens.
+_STATISTICS, _PARTS, _TOKENS = -1, -1, -2
+_FAR = np.uint64(1 << 62)
 
 
 def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", max_part: int = MAX_PART_TOKENS) -> DataFrame:
     """A row per part of a document: doc_id, row, start, doc_tokens, near and ids (little-endian), and the text's end id
-    last. ``row`` tells rows apart that share an id; ``near`` is alike for texts with like tokens. A null text is empty."""
+    last. ``row`` tells rows apart that share an id; ``near`` is alike for texts with like tokens. A null text is empty.
+    One more row per task, whose ``row`` is ``_STATISTICS``, has in how many of its parts each token is."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         row = TaskContext.get().partitionId() * _SHARD_IDS
         mix = (np.arange(1 << 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        found = np.zeros(1 << 8 * min(tokenizer.dtype.itemsize, 3), np.int64)
+        parts = tokens = 0
         for batch in batches:
             for first, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = with_end(*tokenizer.encode(texts), end_id)
                 pairs = ids[1:].astype(np.uint32) ^ (ids[:-1].astype(np.uint32) << np.uint32(1))
-                hashes = mix[pairs & np.uint32(len(mix) - 1)]
+                hashes = np.append(mix[pairs & np.uint32(len(mix) - 1)], _FAR)
+                hashes[offsets[1:] - 1] = _FAR  # a pair lies in one text
+                least = np.minimum.reduceat(hashes, offsets[:-1])
+                near = np.where(np.diff(offsets) > 1, least, 0).tolist()
                 out: dict[str, list] = {n: [] for n in ("doc_id", "row", "start", "doc_tokens", "near", "ids")}
+                bounds = offsets.tolist()
                 for i, doc in enumerate(batch.column(0).slice(first, len(texts)).to_pylist()):
-                    a, b = int(offsets[i]), int(offsets[i + 1])
-                    near = int(hashes[a : b - 1].min()) if b - a > 1 else 0
+                    a, b = bounds[i], bounds[i + 1]
                     for start in range(a, b, max_part):
                         part = ids[start : min(b, start + max_part)]
-                        for name, value in zip(out, (doc, row, start - a, b - a, near, part.tobytes())):
+                        found[np.unique(part)] += 1
+                        parts += 1
+                        for name, value in zip(out, (doc, row, start - a, b - a, near[i], part.tobytes())):
                             out[name].append(value)
                     row += 1
+                tokens += len(ids)
                 yield pa.RecordBatch.from_pydict(out, schema)
                 del ids, pairs, hashes, out
                 give_back_memory()
+        seen = np.flatnonzero(found)
+        told = np.stack([np.append(seen, [_PARTS, _TOKENS]), np.append(found[seen], [parts, tokens])]).astype("<i8")
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "row": [_STATISTICS], "start": [0], "doc_tokens": [0], "near": [0], "ids": [told.tobytes()]}, schema)
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("near", pa.int64()), ("ids", pa.binary())]
@@ -70,31 +87,24 @@ def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
     )
 
 
-def token_statistics(parts: DataFrame, width: int) -> tuple[np.ndarray, float]:
-    """In how many parts each token is, and the mean length of a part, over all of them. A task counts its own; the
-    driver gets one number per token of the vocabulary."""
+def token_statistics(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """The weight of each token by how many parts have it, and the mean length of a part, over all of them. Tasks have
+    counted their own; the driver gets one number per token of the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, parts, tokens = np.zeros(1 << 8 * min(width, 3), np.int64), 0, 0
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in batch.column(0):
-                values = np.frombuffer(ids.as_buffer(), f"<u{width}")
-                found[np.unique(values)] += 1
-                parts, tokens = parts + 1, tokens + len(values)
-        seen = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(seen, [-1, -2])), pa.array(np.append(found[seen], [parts, tokens]))], ["token", "n"]
-        )
-
-    summed = parts.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    table = {row["token"]: row["n"] for row in summed}
-    n_parts = max(1, table.pop(-1, 0))
-    mean = table.pop(-2, 0) / n_parts
+            for data in batch.column(0).to_pylist():
+                seen, found = np.frombuffer(data, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found)], ["token", "n"])
+
+    summed = parts.filter(f"row = {_STATISTICS}").select("ids").mapInArrow(told, "token long, n long")
+    table = {row["token"]: row["n"] for row in summed.groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    n_parts = max(1, table.pop(_PARTS, 0))
+    mean = table.pop(_TOKENS, 0) / n_parts
     found = np.zeros(max(table, default=0) + 1, np.int64)
     for token, n in table.items():
         found[token] = n
-    weights = np.log1p((n_parts - found + 0.5) / (found + 0.5))
-    return weights, mean
+    return np.log1p((n_parts - found + 0.5) / (found + 0.5)), mean
 
 
 class ShardIndex:
@@ -105,16 +115,24 @@ class ShardIndex:
         owner = np.repeat(np.arange(len(documents)), lengths.astype(np.int64))
         tokens = np.concatenate(documents).astype(np.int64)
         pair, n = np.unique(tokens * len(documents) + owner, return_counts=True)
-        token, self.doc = pair // len(documents), (pair % len(documents)).astype(np.int64)
+        token, doc = pair // len(documents), pair % len(documents)
         norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
-        self.score = (weights[token] * n * (K1 + 1) / (n + norm[self.doc])).astype(np.float32)
-        self.first = np.searchsorted(token, np.arange(len(weights) + 1))
+        score = weights[token] * n * (K1 + 1) / (n + norm[doc])
         self.count = len(documents)
         self.left = self.count
         # Every token of a document is asked for.
-        order = np.argsort(self.doc, kind="stable")
+        order = np.argsort(doc, kind="stable")
         self.asked = token[order]
-        self.asked_first = np.searchsorted(self.doc[order], np.arange(self.count + 1))
+        self.asked_first = np.searchsorted(doc[order], np.arange(self.count + 1))
+        # Tokens of many documents have a row of scores, the others a list of documents.
+        found = np.bincount(token, minlength=len(weights))
+        dense = found * DENSE_ONE_OF >= self.count
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.rows = np.zeros((int(dense.sum()), self.count))
+        many = dense[token]
+        self.rows[self.row[token[many]], doc[many]] = score[many]
+        self.doc, self.score = doc[~many], score[~many]
+        self.first = np.concatenate([[0], np.cumsum(np.where(dense, 0, found))])
 
     def forget(self, used: np.ndarray) -> None:
         """Leave used documents out from now on; they are never an answer."""
@@ -128,9 +146,15 @@ class ShardIndex:
         if self.count - np.count_nonzero(used) < 0.8 * self.left:
             self.forget(used)
         asked = self.asked[self.asked_first[of] : self.asked_first[of + 1]]
-        starts, lengths = self.first[asked], self.first[asked + 1] - self.first[asked]
-        total = np.bincount(gather(self.doc, starts, lengths), gather(self.score, starts, lengths), self.count)
+        row = self.row[asked]
+        chosen = np.zeros(len(self.rows))
+        chosen[row[row >= 0]] = 1
+        starts = self.first[asked]
+        places = gather(np.arange(len(self.doc)), starts, self.first[asked + 1] - starts)
+        total = np.bincount(self.doc[places], self.score[places], self.count) + chosen @ self.rows
         total[used] = 0
+        # Sums of the same numbers may differ in their last digits.
+        total = total.astype(np.float32)
         found = np.flatnonzero(total)
         return found[np.argsort(-total[found], kind="stable")]
 
@@ -200,7 +224,7 @@ def pack(
     width = WordTokenizer(tokenizer_path).dtype.itemsize
     with small_batches(docs.sparkSession):
         parts = materialize(encode_parts(docs, tokenizer_path, end_id, doc_id, text))
-        weights, mean = token_statistics(parts, width)
+        weights, mean = token_statistics(parts)
     shared = parts.sparkSession.sparkContext.broadcast((weights, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +263,7 @@ def pack(
         [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())]
     )
     order = ("near", "row", "start")
-    dealt = parts.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = parts.filter("row >= 0").repartitionByRange(*order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
