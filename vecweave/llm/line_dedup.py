@@ -3,20 +3,23 @@
 A line's key is the line without white space at its ends, in lower case (A-Z). Keys are dealt over shards by their
 hash. The state of an index is, in the shared folder,
 
-* the exact references: a row (shard, key, doc_id, lines) for each key of a document, written once per generation of
-  added documents, and
-* for each shard cuckoo filters of the keys it holds, which tell the keys of new documents that are surely new from
-  those that have to be looked up.
-
-A document that is deleted goes from the references by its id; keys that lose their last reference go from the filter.
-Counts come from the references by partial aggregation, so a line that a third of all documents has is a few numbers per
+* the exact references: a row (key, doc_id, lines) for each key of a document, written once per generation of added
+  documents,
+* the reference counts: a row (key, n_docs, last) for each key, with the number of documents that hold it and the largest
+  of them, and
+* for each shard cuckoo filters of the keys it holds.
+
+When documents are added, their own counts are asked of the filters: a key that these do not know is new, and its count is
+kept as it is. Only the others are looked up among the counts of earlier generations and added to them. A document that
+is deleted goes from the references by its id; its keys are counted again, and those that lose their last reference go
+from the filters. Counts are added up within tasks first, so a line that a third of all documents has is a few numbers per
 task, never a list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,18 @@ from pyspark.sql import functions as F
 
 from vecweave.llm.cuckoo import CuckooFilter
 from vecweave.llm.frames import WHITE_SPACE, fresh_names, split_join
+from vecweave.operators.joins import broadcast_if_small
 from vecweave.sources.storage import materialize
 
 MIN_KEY_CHARS = 20
 MIN_DOCUMENTS = 3
-# Keys in one filter; a shard with more has several (each 4 MB at most).
-FILTER_KEYS = 1 << 20
+# Keys of a shard in the first generation; so many keys are in one filter at most (256 KB). Later generations have filters
+# of their own.
+FILTER_KEYS = 1 << 16
+# In so many generations the query adds its documents.
+GENERATIONS = 2
+# A list of keys is sent to every task up to so many bytes.
+_MAX_KEY_BYTES = 16 << 20
 # A null id counts as the smallest of all.
 _NO_ID = "-9223372036854775808L"
 _LINES = r"split(coalesce({text}, ''), '\n', -1)"
@@ -50,10 +59,9 @@ def line_references(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    shards: int = 1,
     min_chars: int = MIN_KEY_CHARS,
 ) -> DataFrame:
-    """(shard, key, doc_id, lines): for each key of at least ``min_chars`` code points of a document, how many lines have
+    """(key, doc_id, lines): for each key of at least ``min_chars`` code points of a document, how many lines have
     it. Spark adds up within tasks before anything moves."""
     keys = f"transform({_LINES.format(text='text')}, line -> {_KEY})"
     rows = docs.select(
@@ -64,7 +72,7 @@ def line_references(
         .selectExpr("doc_id", f"{_hash('key')} AS key")
         .groupBy("key", "doc_id")
         .agg(F.count("*").alias("lines"))
-        .selectExpr(f"CAST(pmod(key.a, {shards}) AS INT) AS shard", "key", "doc_id", "lines")
+        .select("key", "doc_id", "lines")
     )
 
 
@@ -78,10 +86,10 @@ def _python_key(line: str) -> tuple[int, int]:
 def _stream(kept: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
     """Filters and keys of a shard in one partition, the filters first: keys then pass by, never held all at once."""
     both = kept.select("shard", "filter", F.lit(None).cast("bigint").alias("hash")).unionByName(
-        keys.select("shard", F.lit(None).cast("binary").alias("filter"), F.col("key.a").alias("hash"), *[c for c in keys.columns if c != "shard"]),
+        keys.select(F.expr(f"pmod(key.a, {shards}L) AS shard"), F.lit(None).cast("binary").alias("filter"), F.col("key.a").alias("hash"), *keys.columns),
         allowMissingColumns=True,
     )
-    return both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
+    return both.repartition("shard").sortWithinPartitions("shard", F.col("filter").isNull())
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +101,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, stop - start)
 
 
+_KEY_TYPE = "struct<a: bigint, b: bigint>"
+
+
+def _counted(references: DataFrame) -> DataFrame:
+    """(key, n_docs, last) of references."""
+    return references.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
+
+
 @dataclass(frozen=True)
 class LineIndex:
-    """An index of lines: exact references and the filters of the shards (both tables in the shared folder)."""
+    """An index of lines: exact references, reference counts and the filters of the shards (tables in the shared folder).
+    The number of shards follows from the keys that are added first; it is zero before."""
 
-    references: DataFrame  # shard, key, doc_id, lines
+    references: DataFrame  # key, doc_id, lines
+    counts: DataFrame  # key, n_docs, last
     filters: DataFrame  # shard, filter
     shards: int
     min_chars: int
 
     def screened(self, keys: DataFrame) -> DataFrame:
-        """(shard, key, known) of rows with shard and key; ``known`` is false if the key is surely not in the index."""
+        """Rows with a key, and ``known``: it is false if the key is surely not in the index."""
+        names = keys.columns
 
         def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, kept = None, []
@@ -117,24 +136,39 @@ class LineIndex:
                 known = np.zeros(len(hashes), bool)
                 for one in kept:
                     known |= one.find(hashes)
-                yield pa.RecordBatch.from_arrays([asked["shard"], asked["key"], pa.array(known)], ["shard", "key", "known"])
+                yield pa.RecordBatch.from_arrays([*(asked[name] for name in names), pa.array(known)], [*names, "known"])
 
-        schema = "shard int, key struct<a: bigint, b: bigint>, known boolean"
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", known boolean"
         return _stream(self.filters, keys, self.shards).mapInArrow(screen, schema)
 
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        """The index with the lines of more documents, whose ids must be new.
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", new_ids: bool = False) -> LineIndex:
+        """The index with the lines of more documents. Of a document that it holds already only lines count that it does
+        not hold for it, so adding one twice changes nothing; ``new_ids`` says that there are none and saves the look.
 
-        Keys that the filters do not know are new without a look at the references; only the others are looked up, so
-        that a filter holds each key once.
+        Keys that the filters do not know are new without a look at the counts; only the others are looked up, so that a
+        filter holds each key once and a key has one count.
         """
-        refs = materialize(line_references(docs, doc_id, text, self.shards, self.min_chars))
-        keys = materialize(self.screened(refs.select("shard", "key").distinct()))
-        held = self.references.select("key").distinct()
-        known = keys.filter("known").join(held, "key", "left_anti").select("shard", "key")
-        new = keys.filter("NOT known").select("shard", "key").unionByName(known)
-        filters = self.filters.unionByName(materialize(self._made(new)))
-        return LineIndex(self.references.unionByName(refs), filters, self.shards, self.min_chars)
+        refs = line_references(docs, doc_id, text, self.min_chars)
+        if not new_ids and self.shards:
+            refs = refs.join(self.references.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select(*self.references.columns)
+        refs = materialize(refs)
+        counted = materialize(_counted(refs))
+        if not self.shards:
+            first = replace(self, references=refs, counts=counted, shards=-(-counted.count() // FILTER_KEYS))
+            return replace(first, filters=materialize(first._made(counted.select("key")))) if first.shards else self
+        screened = materialize(self.screened(counted))
+        unknown = screened.filter("NOT known").drop("known")
+        before = self.counts.toDF("key", "n_before", "last_before")
+        asked = materialize(screened.filter("known").drop("known").join(before, "key", "left"))
+        grown = asked.select("key", (F.col("n_docs") + F.coalesce("n_before", F.lit(0))).alias("n_docs"), F.greatest("last", "last_before").alias("last"))
+        kept = self.counts.join(broadcast_if_small(asked.select("key"), _MAX_KEY_BYTES), "key", "left_anti").select(*self.counts.columns)
+        new = unknown.select("key").union(asked.filter("n_before IS NULL").select("key"))
+        return replace(
+            self,
+            references=self.references.unionByName(refs),
+            counts=materialize(kept.unionByName(unknown).unionByName(grown)),
+            filters=self.filters.unionByName(materialize(self._made(new))),
+        )
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose ids are in the one column of ``ids``."""
@@ -144,9 +178,11 @@ class LineIndex:
         left = materialize(
             self.references.join(gone_ids, "doc_id", "left_anti").select(*self.references.columns)
         )
-        touched = self.references.join(gone_ids, "doc_id", "left_semi").select("shard", "key").distinct()
-        gone = touched.join(left.select("key").distinct(), "key", "left_anti").select("shard", "key")
-        return LineIndex(left, materialize(self._without(gone)), self.shards, self.min_chars)
+        touched = materialize(self.references.join(gone_ids, "doc_id", "left_semi").select("key").distinct())
+        again = materialize(_counted(left.join(touched, "key", "left_semi").select("key", "doc_id")))
+        counts = self.counts.join(touched, "key", "left_anti").select(*self.counts.columns).unionByName(again)
+        gone = touched.join(again, "key", "left_anti")
+        return replace(self, references=left, counts=materialize(counts), filters=materialize(self._without(gone)))
 
     def _made(self, keys: DataFrame) -> DataFrame:
         """New filters of ``keys``, as many as a shard needs."""
@@ -156,7 +192,7 @@ class LineIndex:
 
             def made() -> pa.RecordBatch:
                 one = CuckooFilter.of(np.concatenate(held))
-                return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([one.to_bytes()])], ["shard", "filter"])
+                return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([one.to_bytes()])], ["shard", "filter"])
 
             for batch in _runs(batches):
                 shard = batch["shard"][0].as_py()
@@ -170,7 +206,7 @@ class LineIndex:
                 yield made()
 
         none = self.filters.filter("false")
-        return _stream(none, keys, self.shards).mapInArrow(make, "shard int, filter binary")
+        return _stream(none, keys, self.shards).mapInArrow(make, "shard long, filter binary")
 
     def _without(self, keys: DataFrame) -> DataFrame:
         """The filters with ``keys`` removed."""
@@ -180,7 +216,7 @@ class LineIndex:
 
             def rest() -> pa.RecordBatch:
                 data = pa.array([one.to_bytes() for one in kept], pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array([at] * len(kept), pa.int32()), data], ["shard", "filter"])
+                return pa.RecordBatch.from_arrays([pa.array([at] * len(kept), pa.int64()), data], ["shard", "filter"])
 
             for batch in _runs(batches):
                 shard = batch["shard"][0].as_py()
@@ -197,24 +233,19 @@ class LineIndex:
             if kept:
                 yield rest()
 
-        return _stream(self.filters, keys, self.shards).mapInArrow(remove, "shard int, filter binary")
+        return _stream(self.filters, keys, self.shards).mapInArrow(remove, "shard long, filter binary")
 
 
-def new_index(spark: SparkSession, shards: int | None = None, min_chars: int = MIN_KEY_CHARS) -> LineIndex:
-    """An empty index; without ``shards``, it has as many as the session has shuffle partitions."""
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = "struct<a: bigint, b: bigint>"
-    references = spark.createDataFrame([], f"shard int, key {key}, doc_id bigint, lines bigint")
-    return LineIndex(references, spark.createDataFrame([], "shard int, filter binary"), shards, min_chars)
+def new_index(spark: SparkSession, min_chars: int = MIN_KEY_CHARS) -> LineIndex:
+    """An empty index."""
+    references = spark.createDataFrame([], f"key {_KEY_TYPE}, doc_id bigint, lines bigint")
+    counts = spark.createDataFrame([], f"key {_KEY_TYPE}, n_docs bigint, last bigint")
+    return LineIndex(references, counts, spark.createDataFrame([], "shard bigint, filter binary"), 0, min_chars)
 
 
 def shared_keys(index: LineIndex, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(key, n_docs, last): keys in at least ``min_documents`` documents, and the largest id among these."""
-    return (
-        index.references.groupBy("key")
-        .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
-        .filter(F.col("n_docs") >= min_documents)
-    )
+    return index.counts.filter(F.col("n_docs") >= min_documents)
 
 
 def drop_shared_lines(
@@ -276,9 +307,11 @@ def drop_shared_lines(
     return touched.select(*columns)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
-    """Index the lines of ``docs`` and drop those they share."""
-    index = new_index(docs.sparkSession).add(docs, doc_id, text)
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None, generations: int = GENERATIONS) -> DataFrame:
+    """Index the lines of ``docs``, generation by generation, and drop those they share."""
+    index, number = new_index(docs.sparkSession), F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("bigint")), F.lit(generations))
+    for generation in range(generations):
+        index = index.add(docs.filter(number == generation), doc_id, text, new_ids=True)
     return drop_shared_lines(docs, index, doc_id, text, counts=counts)
 
 
