@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm.components import components
+from vecweave.llm.components import components, forest
 from vecweave.llm.frames import split_join
 from vecweave.sources.storage import materialize
 
@@ -338,26 +338,6 @@ def _visits(known: DataFrame, size: int) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the edges between a and b, few that join the same."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    kept: tuple[list[int], list[int]] = ([], [])
-    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
-        p, q = find(x), find(y)
-        if p != q:
-            root[p] = q
-            kept[0].append(x)
-            kept[1].append(y)
-    return kept
-
-
 def _compared(vectors: DataFrame, joined: DataFrame, dealt: DataFrame, size: int) -> DataFrame:
     """All links with an end in the cells of ``dealt`` (id, cell): rows (id, n) add up to the links of members, and to
     those that other vectors have with members; rows (a, b) are roots that links join."""
@@ -390,7 +370,7 @@ def _compared(vectors: DataFrame, joined: DataFrame, dealt: DataFrame, size: int
         near = rows[~owner] @ rows[owner].T >= THRESHOLD
         near &= ids[~owner][:, None] != ids[owner]
         x, y = np.nonzero(near & (root[~owner][:, None] != root[owner]))
-        a, b = _forest(root[~owner][x], root[owner][y])
+        a, b = forest(root[~owner][x], root[owner][y])
         n = np.concatenate([near.T @ copies[~owner], near[counted] @ copies[owner]])
         of = np.concatenate([ids[owner], ids[~owner][counted]])
         return pa.table(
@@ -406,24 +386,27 @@ def _compared(vectors: DataFrame, joined: DataFrame, dealt: DataFrame, size: int
 def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) of every row: links have a cosine of at least 0.95 in double precision.
 
-    Vectors that are null or zero, hold a null or a number that is not finite, or are of another length than most, link
-    with nothing and are components of their own. Equal vectors link with each other and have the same links. Rows that
-    share an id or lack one are rows of their own. An empty table gives no rows; other columns do not matter.
+    Vectors that are null, empty or zero, or hold a null or a number that is not finite, link with nothing and are
+    components of their own. Vectors of unlike lengths do not link; those of one length are compared among themselves, one
+    length after another. Equal vectors link with each other and have the same links. Rows that share an id or lack one
+    are rows of their own. An empty table gives no rows; other columns do not matter.
     """
     rows = table.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     fine = "coalesce(forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')), false) AND exists(vector, x -> x != 0)"
-    lengths = rows.filter(fine).groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if lengths is None:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    size = lengths["size"]
-    usable = f"({fine}) AND size(vector) = {size}"
+    lengths = rows.filter(fine).groupBy(F.size("vector").alias("size")).count().filter("count > 1").orderBy(F.desc("count"), "size").collect()
+    compared = [row["size"] for row in lengths]
+    usable = f"({fine}) AND size(vector) IN ({', '.join(map(str, compared)) or 'NULL'})"
     given = materialize(rows.withColumn("vector", F.expr(f"CASE WHEN {usable} THEN transform(vector, x -> x + 0.0D) END")))
+    alone = given.filter("vector IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return reduce(DataFrame.union, [_linked(given.filter(F.size("vector") == size), size) for size in compared], alone)
+
 
+def _linked(given: DataFrame, size: int) -> DataFrame:
+    """(vec_id, n_links, component_id) of rows of a written table that have a vector of ``size`` numbers."""
     # Two hashes stand for a vector: equal ones meet by them.
     halves = ["xxhash64(vector) AS key_a", "xxhash64(reverse(vector)) AS key_b"]
     different = (
-        given.filter("vector IS NOT NULL")
-        .selectExpr("vec_id", "vector", *halves)
+        given.selectExpr("vec_id", "vector", *halves)
         .groupBy("key_a", "key_b")
         .agg(F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
         .withColumn("id", F.monotonically_increasing_id())
@@ -493,10 +476,9 @@ def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     key = F.struct("key_a", "key_b").alias("key")
     named = rooted.join(smallest, "root").select(key, "copies", "n_links", "component_id")
-    keyed = given.selectExpr("vec_id", "vector IS NULL AS odd", *halves).select("vec_id", "odd", key)
-    linked = split_join(keyed.filter("NOT odd"), named, "key", "copies", spread_by=F.xxhash64("vec_id"))
-    alone = keyed.filter("odd").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.select("vec_id", "n_links", "component_id").union(alone)
+    keyed = given.selectExpr("vec_id", *halves).select("vec_id", key)
+    linked = split_join(keyed, named, "key", "copies", spread_by=F.xxhash64("vec_id"))
+    return linked.select("vec_id", "n_links", "component_id")
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
