@@ -5,7 +5,8 @@ each is the longest match that begins there with any place in the sample. The mo
 its matches and the fewer its phrases; the language that needs the fewest per letter wins.
 
 Many texts are parsed in step: they are laid out in rows, and one look-up in the table of the automaton moves all rows
-on by a letter. A phrase ends where a row of ``ROW`` letters does, for every language alike.
+on by a letter. A row goes on where the one before ended: rows are parsed as if a text began with them, and then again
+from the true state, until both ways are in the same state; from there on they agree.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from vecweave.llm.frames import fresh_names
 from vecweave.llm.words import give_back_memory, slices
 
-# Bounds of the sample that is learned from: rows per language, and code points of a row. A language's automaton is made
-# of at most their product.
+# Bounds of the sample that is learned from, per language: rows, and code points after which no further row is taken.
+# Rows are taken whole. An automaton has at most twice as many states as its sample has letters.
 SAMPLE_ROWS = 200
-SAMPLE_CHARS = 300
-ROW = 512
+SAMPLE_CHARS = 60_000
+ROW, CHECK = 512, 64
 SLICE_BYTES = 2 << 20
 # A language with more letters has its edges sorted, which takes longer to look up than a table but has no empty places.
 TABLE_LETTERS = 250
@@ -127,17 +128,17 @@ class LanguageModel:
         table[:, nothing] = 0
         return table.ravel()
 
-    def _ends_by_table(self, automaton, own: np.ndarray, nothing: int, steps: np.ndarray) -> np.ndarray:
-        """Phrases of each row of letters; ``steps`` are its columns."""
+    def _moves_by_table(self, automaton, own: np.ndarray, nothing: int):
+        """The function from states and letters to the next states, and whether a phrase ends."""
         table = self._table(automaton, own, nothing)
-        state, ends = np.zeros(steps.shape[1], np.int32), np.ones(steps.shape[1], np.int32)
-        for step in steps:
-            move = table[state + own[step]]
-            ends += move & 1
-            state = move >> 1
-        return ends
-
-    def _ends_by_edges(self, automaton, own: np.ndarray, nothing: int, steps: np.ndarray) -> np.ndarray:
+
+        def move(state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            found = table[state + own[letters]]
+            return found >> 1, found & 1
+
+        return move
+
+    def _moves_by_edges(self, automaton, own: np.ndarray, nothing: int):
         """The same, by looking for the edge among all of the automaton."""
         start, symbol, to, states = automaton
         width = nothing + 1
@@ -147,16 +148,49 @@ class LanguageModel:
         begin = np.full(width, states, np.int64)  # the state after the automaton's: no way leads on
         first = start == 0
         begin[own[symbol[first]]] = automaton[2][first]
-        state, ends = np.zeros(steps.shape[1], np.int64), np.ones(steps.shape[1], np.int32)
-        for step in steps:
-            letter = own[step]
-            wanted = state * width + letter
+
+        def move(state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            letter = own[letters]
+            wanted = state.astype(np.int64) * width + letter
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             way = keys[place] == wanted
             none = letter == nothing
-            ends += ~way & (state > 0) & ~none
-            state = np.where(none, 0, np.where(way, to[place], begin[letter]))
-        return ends
+            ended = ~way & (state > 0) & ~none
+            return np.where(none, 0, np.where(way, to[place], begin[letter])).astype(np.int32), ended
+
+        return move
+
+    @staticmethod
+    def _ends(move, steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """How many phrases end in each row, and one more in the ``first`` row of a text; ``steps`` are the columns of
+        the rows."""
+        checks = len(steps) // CHECK
+        states, counts = np.zeros((checks, len(first)), np.int32), np.zeros((checks, len(first)), np.int32)
+        state, count = np.zeros(len(first), np.int32), first.astype(np.int32)
+        for i, step in enumerate(steps):
+            state, ended = move(state, step)
+            count += ended
+            if (i + 1) % CHECK == 0:
+                states[i // CHECK], counts[i // CHECK] = state, count
+        begun = np.zeros(len(first), np.int32)
+        while True:
+            true = np.where(first, 0, np.concatenate([[0], states[-1, :-1]]).astype(np.int32))
+            todo = np.flatnonzero(true != begun)
+            if not len(todo):
+                return counts[-1]
+            begun[todo] = true[todo]
+            state, count = true[todo], np.zeros(len(todo), np.int32)
+            for check in range(checks):
+                for step in steps[check * CHECK : (check + 1) * CHECK]:
+                    state, ended = move(state, step[todo])
+                    count += ended
+                other = state != states[check, todo]
+                agreed = todo[~other]
+                counts[check:, agreed] += count[~other] - counts[check, agreed]
+                todo, state, count = todo[other], state[other], count[other]
+                if not len(todo):
+                    break
+                states[check, todo], counts[check, todo] = state, count
 
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts, with one 0 between words, how many each has, and how many of these are letters."""
@@ -191,11 +225,11 @@ class LanguageModel:
         steps = np.ascontiguousarray(laid.T)
         found = np.zeros((len(texts), len(self.languages)), np.int64)
         owner = np.repeat(np.arange(len(texts)), rows)
+        first = np.diff(owner, prepend=-1) > 0
         for i, automaton in enumerate(self.automata):
             own, nothing = self._own(automaton)
-            count = self._ends_by_table if nothing <= TABLE_LETTERS + 2 else self._ends_by_edges
-            ends = count(automaton, own, nothing, steps)
-            found[:, i] = np.bincount(owner, ends, len(texts))
+            moves = self._moves_by_table if nothing <= TABLE_LETTERS + 2 else self._moves_by_edges
+            found[:, i] = np.bincount(owner, self._ends(moves(automaton, own, nothing), steps, first), len(texts))
         return found, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -224,27 +258,33 @@ def learn_languages(
     rows: int = SAMPLE_ROWS,
     chars: int = SAMPLE_CHARS,
 ) -> LanguageModel:
-    """Learn every label of ``lang`` from at most ``rows`` documents, ``chars`` code points of each.
+    """Learn every label of ``lang`` from whole documents: at most ``rows``, and no more once they have ``chars`` code
+    points together.
 
-    Documents are chosen by a hash of their id, and so is the place in the text. Null labels, null texts, null ids and
-    held-out documents are not learned from. No labelled document: a model that leaves every text undecided.
+    Documents are chosen by a hash of their id; one with more than ``chars`` code points comes after all others of its
+    language. So a sample is longer than twice that only if a language has nothing but such documents. Null labels, null
+    texts, null ids and held-out documents are not learned from. No labelled document: a model that leaves every text
+    undecided.
     """
-    number = F.xxhash64(F.col(f"`{doc_id}`"), F.lit("sample"))
     labelled = docs.filter(
         F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}") & (held_out(doc_id) == F.lit(False))
     ).select(
         F.col(f"`{lang}`").alias("lang"),
-        number.alias("number"),
+        F.xxhash64(F.col(f"`{doc_id}`"), F.lit("sample")).alias("number"),
+        F.xxhash64(F.col(f"`{text}`")).alias("digest"),
+        F.char_length(F.col(f"`{text}`")).cast("bigint").alias("size"),
         F.col(f"`{text}`").alias("text"),
     )
-    place = F.pmod("number", F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
-    parts = labelled.select("lang", "number", F.substring("text", place.cast("int"), F.lit(chars)).alias("part"))
-    ranked = parts.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("number", "part"))
-    ).filter(F.col("rank") <= rows)
+    order = Window.partitionBy("lang").orderBy(F.col("size") > chars, "number", "digest")
+    # Spark thins the rows of a language out in each task before they meet.
+    ranked = labelled.drop("text").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = ranked.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < chars)
+    key = ["lang", "number", "digest"]
+    least = F.broadcast(chosen.groupBy(*key).agg(F.min("rank").alias("rank")))  # at most ``rows`` a language
     samples: dict[str, list[str]] = {}
-    for row in ranked.select("lang", "rank", "part").collect():  # at most ``rows`` a language
-        samples.setdefault(row["lang"], []).append((row["rank"], row["part"]))
+    for row in labelled.join(least, key).dropDuplicates(key).select("lang", "rank", "text").collect():
+        samples.setdefault(row["lang"], []).append((row["rank"], row["text"]))
     return LanguageModel.of({name: [part for _, part in sorted(parts)] for name, parts in samples.items()})
 
 
@@ -267,13 +307,15 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
     return identify(text)
 
 
-def drop_undecided(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose text has no language: null texts and texts without a letter. Repeated rows and
-    other columns stay as they are; an empty table stays empty."""
+def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose text has no language, which are null texts and texts without a letter, and with the
+    predicted language in ``lang`` wherever that is null. Labels that are given stay. Repeated rows and other columns stay
+    as they are; an empty table stays empty. Without a single label every row goes."""
     model = learn_languages(docs, doc_id, text, lang)
     (found,) = fresh_names(docs)
     decided = docs.withColumn(found, language_of(docs.sparkSession, model, F.col(f"`{text}`")))
-    return decided.filter(F.col(f"{found}.lang") != UNDECIDED).drop(found)
+    decided = decided.filter(F.col(f"{found}.lang") != UNDECIDED)
+    return decided.withColumn(lang, F.coalesce(F.col(f"`{lang}`"), F.col(f"{found}.lang"))).drop(found)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
