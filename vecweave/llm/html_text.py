@@ -5,12 +5,13 @@ around it: all to its parent, half to the next, less to those beyond. An element
 its text that is in links. The best element is the article; elements beside it are kept if they score well or read like
 running text. Elements that are something else by their tag, role or style never count. A word of a class or id only
 casts doubt: what is in doubt has a share of its points, and hands none on. Inside the article it stays if it reads like
-running text.
+running text, unless its class says nothing but that it is something else.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,10 +24,12 @@ from pyspark.sql.types import StringType
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 NOT_TEXT = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noframes "
+    "annotation annotation-xml aside audio button canvas datalist dialog embed footer form head header iframe input map menu nav noframes "
     "noscript object optgroup option progress script select style svg template textarea title video".split()
 )
 # Elements that end an open paragraph of the same kind.
@@ -41,6 +44,11 @@ OTHER_WORDS = frozenset(
     "reply respond rss share sharing shoutbox sidebar sidebars signup skyscraper social sponsor sponsored subscribe "
     "subscription tagcloud toolbar topbar".split()
 )
+# Words that say where an element is or what it is for its layout, and nothing about its text.
+FRAME_WORDS = frozenset(
+    "area bar block body bottom box button buttons column container content group inner item items left link links list "
+    "outer panel post posts right row section text thread title top widget widgets wrap wrapper".split()
+)
 ARTICLES = frozenset(("article", "main"))
 # What an article element may be instead of the article.
 OTHER_ARTICLES = frozenset("comment comments related replies reply promo sponsored teaser".split())
@@ -55,8 +63,10 @@ MAX_LENGTH_POINTS = 3
 ARTICLE_POINTS = 25
 SIBLING_SHARE = 0.2
 MIN_SIBLING_POINTS = 10
-MIN_SIBLING_CHARS = 80
 MAX_SIBLING_LINKS = 0.25
+# Of what stands between two kept siblings.
+MAX_INNER_LINKS = 0.5
+SENTENCE_ENDS = tuple(".!?…。！？:;\"'”’»)")
 DOUBT_SHARE = 0.2
 
 _WORD = r"[a-z]+"
@@ -66,10 +76,11 @@ _HIDDEN = r"display\s*:\s*none|visibility\s*:\s*hidden"
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "other", "doubt", "doubted", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "block", "parts", "other", "doubt", "doubted", "points", "chars", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, other: bool, doubt: str = ""):
         self.tag, self.parent, self.other = tag, parent, other
+        self.block: _Node = parent.block if tag in INLINE and parent is not None else self
         # The attribute that casts doubt on the element, and whether it or an element around it is in doubt.
         self.doubt = doubt
         self.doubted = bool(doubt) and tag not in INLINE or parent is not None and parent.doubted
@@ -83,15 +94,13 @@ class _Node:
     def score(self) -> float:
         return self.points * (1 - self.links())
 
-    def reads(self, needed: float) -> bool:
+    def reads(self) -> bool:
         """Whether an element inside the article belongs to it, in spite of the words of its class or id."""
         if not self.doubt:
             return True
         if self.links() >= MAX_SIBLING_LINKS:
             return False
-        if self.tag in INLINE:
-            return True
-        return self.points > 0 if self.doubt == "id" or self.tag in RUNNING else self.score() >= needed
+        return self.tag in INLINE or self.doubt != "sure" and self.points > 0
 
 
 def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -110,8 +119,14 @@ def _is_other(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _words(value: str) -> set[str]:
+    """Words of a class or id, which are cut at case changes, too: "siteFooter"."""
+    return set(re.findall(_WORD, re.sub(_ABOUT_OTHERS, " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())))
+
+
 def _doubt(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-    """The attribute, class before id, whose words say that an element is something else; empty if none does."""
+    """The attribute, class before id, whose words say that an element is something else; "sure" if one of its classes
+    says only that; empty if none does."""
     if tag in ("html", "body"):
         return ""
     words = OTHER_ARTICLES if tag in ARTICLES else OTHER_WORDS
@@ -123,13 +138,17 @@ def _doubt(tag: str, attrs: list[tuple[str, str | None]]) -> str:
             continue  # made from the title
         if name == "class" and any(one.lower() in CONTENT_WORDS for one in value.split()):
             continue
-        # Words are cut at case changes, too: "siteFooter".
-        split = re.sub(_ABOUT_OTHERS, " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        said = set(re.findall(_WORD, split))
+        said = _words(value)
         if name == "id" and tag == "section" and not said <= words:
             continue  # made from a title, too
-        if not words.isdisjoint(said):
-            found = "class" if "class" in (name, found) else "id"
+        if words.isdisjoint(said):
+            continue
+        if name == "id":
+            found = found or "id"
+        elif any(one and not words.isdisjoint(one) and one <= words | FRAME_WORDS for one in map(_words, value.split())):
+            found = "sure"
+        elif found != "sure":
+            found = "class"
     return found
 
 
@@ -141,6 +160,21 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.here = _Node("html", None, False)
         self.nodes = [self.root]
+        # How many elements of each kind are open; inline ones by the block they are in.
+        self.open: Counter = Counter()
+
+    def parse_marked_section(self, i, report=1):
+        """What browsers take for a comment, whatever word it begins with."""
+        return self.parse_bogus_comment(i, 0)
+
+    def _key(self, node: _Node):
+        return (node.tag, id(node.block)) if node.tag in INLINE else node.tag
+
+    def _close(self, node: _Node) -> None:
+        """Close an open element and all that is open inside it."""
+        while self.here is not node.parent:
+            self.open[self._key(self.here)] -= 1
+            self.here = self.here.parent
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
@@ -155,29 +189,32 @@ class _Tree(HTMLParser):
         self.here.parts.append(node)
         self.nodes.append(node)
         self.here = node
+        self.open[self._key(node)] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in INLINE and self.here.tag == tag and tag not in SCOPES and tag != "p":
-            self.here = self.here.parent
+            self._close(self.here)
 
     def _end_open(self, tags: tuple[str, ...]) -> None:
+        if not any(self.open[tag] > 0 for tag in tags):
+            return
         node = self.here
         while node is not None and node.tag not in tags:
             if node.tag in SCOPES and node.tag not in tags:
                 return
             node = node.parent
-        if node is not None:
-            self.here = node.parent
+        if node is not None and node.parent is not None:
+            self._close(node)
 
     def handle_endtag(self, tag):
+        # An inline end tag does not close blocks, and one without its element does nothing.
+        if self.open[(tag, id(self.here.block)) if tag in INLINE else tag] <= 0:
+            return
         node = self.here
-        while node is not None and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return  # an inline end tag does not close blocks
+        while node.tag != tag:
             node = node.parent
-        if node is not None and node.parent is not None:
-            self.here = node.parent
+        self._close(node)
 
     def handle_data(self, data):
         if not self.here.other:
@@ -191,7 +228,7 @@ def _own_text(node: _Node) -> str:
         for part in todo[-1]:
             if isinstance(part, str):
                 found.append(part)
-            elif part.tag in INLINE and not part.other and part.reads(0):
+            elif part.tag in INLINE and not part.other and part.reads():
                 todo.append(iter(part.parts))
                 break
         else:
@@ -199,16 +236,16 @@ def _own_text(node: _Node) -> str:
     return " ".join("".join(found).split())
 
 
-def _whole_text(nodes: list[_Node], needed: float) -> str:
-    """All text of elements in page order, but for elements in doubt inside them that do not read like running text of
-    the ``needed`` score; blocks are apart by a space."""
+def _whole_text(parts: list[_Node | str], doubts: bool = True) -> str:
+    """All text of what is given, in page order; blocks are apart by a space. With ``doubts``, elements in doubt inside
+    them count only if they read like running text."""
     found: list[str] = []
-    todo: list[Iterator] = [iter(nodes)]
+    todo: list[Iterator] = [iter(parts)]
     while todo:
         for part in todo[-1]:
             if isinstance(part, str):
                 found.append(part)
-            elif not part.other and (len(todo) == 1 or part.reads(needed)):
+            elif not part.other and (len(todo) == 1 or not doubts or part.reads()):
                 todo.append(iter(part.parts))
                 if part.tag not in INLINE:
                     found.append(" ")
@@ -220,8 +257,37 @@ def _whole_text(nodes: list[_Node], needed: float) -> str:
     return " ".join("".join(found).split())
 
 
+def _with_siblings(best: _Node, needed: float) -> list[_Node | str]:
+    """The best container and what belongs to it of that beside it: what scores well or reads like sentences, all
+    unmarked between these, and the headings right before."""
+
+    def belongs(node: _Node | str) -> bool:
+        if isinstance(node, str) or node.other or node.tag in INLINE or node.doubt or node.links() >= MAX_SIBLING_LINKS:
+            return False
+        return node.score() >= needed or node.chars >= MIN_PARAGRAPH_CHARS and _whole_text([node]).endswith(SENTENCE_ENDS)
+
+    beside = best.parent.parts
+    kept = [i for i, node in enumerate(beside) if node is best or belongs(node)]
+    first, last = kept[0], kept[-1]
+    inside = [
+        node for node in beside[first : last + 1]
+        if isinstance(node, str) or node is best or not node.other and not node.doubt and node.links() < MAX_INNER_LINKS
+    ]
+    headings: list[_Node | str] = []
+    for node in reversed(beside[:first]):
+        if isinstance(node, str):
+            if node.strip():
+                break
+        elif node.tag in HEADINGS and not node.other and not node.doubt:
+            headings.insert(0, node)
+        elif not node.other and not node.doubt:
+            break
+    return headings + inside
+
+
 def main_text(html: str) -> str:
-    """The article of a page as one line of text; empty if there is none."""
+    """The article of a page as one line of text; empty if there is none. Whatever the markup, there is a tree: what
+    browsers take for a comment is one, end tags without their element do nothing."""
     tree = _Tree()
     tree.feed(html)
     tree.close()
@@ -257,19 +323,11 @@ def main_text(html: str) -> str:
     weight = lambda node: node.score() * (DOUBT_SHARE if node.doubted else 1)
     blocks = [node for node in nodes if node.tag not in INLINE]
     best = max(blocks, key=weight)
-    needed = max(MIN_SIBLING_POINTS, SIBLING_SHARE * best.score())
     if best.points == 0:
-        return _whole_text([tree.root], needed) or _whole_text([tree.root], 0)
+        return _whole_text([tree.root]) or _whole_text([tree.root], doubts=False)
     if best.parent is None:
-        return _whole_text([best], needed)
-    kept = []
-    for node in best.parent.parts:
-        if isinstance(node, str) or node.other or node.tag in INLINE:
-            continue
-        reads = node.tag == "p" and node.links() < MAX_SIBLING_LINKS and node.chars >= MIN_SIBLING_CHARS
-        if node is best or not node.doubt and (node.score() >= needed or reads):
-            kept.append(node)
-    return _whole_text(kept, needed)
+        return _whole_text([best])
+    return _whole_text(_with_siblings(best, max(MIN_SIBLING_POINTS, SIBLING_SHARE * best.score())))
 
 
 @F.arrow_udf(StringType())
