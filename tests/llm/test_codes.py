@@ -23,6 +23,9 @@ def test_elias_fano(values, shift):
     for i in {0, len(values) // 2, len(values) - 1, 255, 256, 257}:
         if 0 <= i < len(values):
             assert read[i] == values[i]
+    for start, stop in ((0, len(values)), (1, 257), (255, 600), (300, 300), (len(values) // 3, len(values) // 2)):
+        if start <= stop <= len(values):
+            assert read.run(start, stop).tolist() == values[start:stop]
 
 
 def test_elias_fano_is_small():
@@ -72,3 +75,29 @@ def test_words_are_kept_apart_by_the_meaning_of_special_names():
         ids, offsets = WordTokenizer(WORD_TOKENIZER, plain).encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
         assert (SPECIAL_END_ID in ids) != plain
+
+
+def test_shards_are_read_by_select(spark, tmp_path, monkeypatch):
+    """Blocks of boundaries come from the select structure alone: without it documents are others."""
+    import vecweave.llm.token_files as module
+
+    monkeypatch.setattr(module, "READ_DOCS", 300)
+    random = np.random.default_rng(8)
+    lengths = random.integers(1, 40, 1000)
+    ids = random.integers(0, 1000, lengths.sum())
+    writer = module.ShardWriter(f"{tmp_path}/shard", np.dtype(np.uint16))
+    writer.add(ids, lengths, pa.array([None] * 310 + sorted(random.integers(0, 10**9, 690).tolist()), pa.int64()))
+    writer.close()
+    shard = module.ShardReader(f"{tmp_path}/shard")
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    for first, block in shard.blocks():
+        assert block.tolist() == edges[first : first + 301].tolist()
+        assert shard.doc_id_run(first, first + len(block) - 1).to_pylist() == [shard.doc_id(i) for i in range(first, first + len(block) - 1)]
+    assert shard.document(999).tolist() == ids[edges[999] :].tolist()
+    manifest = spark.createDataFrame([(0, 0, f"{tmp_path}/shard", 1000, len(ids))], module.MANIFEST)
+    monkeypatch.setattr(EliasFano, "decode", lambda self: pytest.fail("a table of a whole shard"))
+    got = module.read_token_files(manifest).collect()
+    assert [r.n_tokens for r in got] == lengths.tolist() and [r.start for r in got] == edges[:-1].tolist()
+    shard.ends._places = np.zeros_like(shard.ends._places)
+    with pytest.raises(ValueError):
+        list(shard.blocks())

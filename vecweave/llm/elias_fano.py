@@ -79,13 +79,22 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self._bits, bitorder="little"))
         return self._join(ones[: self.count], self._low_parts(0, self.count), 0)
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """The numbers from ``start`` to before ``stop``: from the sample before the first one, only the words up to the
+        sample after the last one are looked at."""
+        if not 0 <= start <= stop <= self.count:
+            raise IndexError((start, stop))
+        if start == stop:
+            return np.zeros(0, np.int64)
+        sample, after = start // SAMPLE, (stop - 1) // SAMPLE + 1
+        begin = int(self._places[sample])
+        end = int(self._places[after]) if after < len(self._places) else 8 * len(self._bits)
+        bits = np.unpackbits(self._bits[begin // 8 : -(-end // 8)], bitorder="little")
+        ones = np.flatnonzero(bits[begin % 8 :])[start % SAMPLE :][: stop - start] + begin
+        return self._join(ones, self._low_parts(start, stop), start)
+
     def __getitem__(self, i: int) -> int:
-        """The i-th number: from the sample before it, only the words up to its own one are looked at."""
+        """The i-th number."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        sample = i // SAMPLE
-        start = int(self._places[sample])
-        stop = int(self._places[sample + 1]) if sample + 1 < len(self._places) else 8 * len(self._bits)
-        bits = np.unpackbits(self._bits[start // 8 : -(-stop // 8)], bitorder="little")
-        one = np.flatnonzero(bits[start % 8 :])[i % SAMPLE] + start
-        return int(self._join(np.array([one]), self._low_parts(i, i + 1), i)[0])
+        return int(self.run(i, i + 1)[0])

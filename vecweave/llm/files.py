@@ -1,47 +1,19 @@
-"""Binary files in the shared folder of the cluster, written and read inside tasks.
-
-The folder may be on any file system that ``pyarrow.fs`` knows by its address. A file appears under its own name only
-when it is whole, so a task that is tried again, or twice at a time, leaves no half-written file.
-"""
+"""Binary files of ids in the shared folder of the cluster, written and read inside tasks."""
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import urlparse
-
 import numpy as np
-from pyarrow import fs
 from pyspark.sql import SparkSession
 
-from vecweave.sources.storage import shared_folder
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A folder of one run, in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/vecweave-{uuid.uuid4()}"
-
-
-def located(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if urlparse(uri).scheme else f"file://{uri}")
+from vecweave.sources.files import NewFile, located, read_all
+from vecweave.sources.storage import new_path
 
+__all__ = ["NewFile", "little", "new_folder", "read_all", "read_range"]
 
-class NewFile:
-    """A file that appears when it is closed."""
 
-    def __init__(self, uri: str):
-        self.uri = uri
-        self._system, self._path = located(uri)
-        folder, _, name = self._path.rpartition("/")
-        self._system.create_dir(folder, recursive=True)
-        self._hidden = f"{folder}/.{name}.{uuid.uuid4()}"
-        self._stream = self._system.open_output_stream(self._hidden)
-
-    def write(self, data) -> None:
-        self._stream.write(data)
-
-    def close(self) -> None:
-        self._stream.close()
-        self._system.move(self._hidden, self._path)
+def new_folder(spark: SparkSession) -> str:
+    """A folder of one run, among what the application has written on the way."""
+    return new_path(spark)
 
 
 def read_range(uri: str, start: int, length: int) -> bytes:
@@ -51,12 +23,6 @@ def read_range(uri: str, start: int, length: int) -> bytes:
         return file.read(length)
 
 
-def read_all(uri: str) -> bytes:
-    system, path = located(uri)
-    with system.open_input_file(path) as file:
-        return file.read()
-
-
 def little(values: np.ndarray, kind: str) -> bytes:
     """Values as little-endian numbers."""
     return np.ascontiguousarray(values, dtype=np.dtype(kind).newbyteorder("<")).tobytes()

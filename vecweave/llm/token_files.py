@@ -28,7 +28,8 @@ MAGIC = b"VWTOKEN1"
 _HEADER = "<8sBQ"
 # A shard ends with the document that takes it beyond so many ids: at most 32 MB and one document.
 MAX_SHARD_TOKENS = 16 << 20
-# Ids read at a time: one block, or one document if that is longer.
+# Boundaries selected at a time, and ids read at a time: one block, or one document if that is longer.
+READ_DOCS = 4096
 READ_TOKENS = 2 << 20
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
@@ -86,6 +87,19 @@ class ShardReader:
         width = self.dtype.itemsize
         return np.frombuffer(read_range(f"{self.path}.ids", start * width, (stop - start) * width), self.dtype)
 
+    def doc_id_run(self, first: int, stop: int) -> pa.Array:
+        """The ids of some documents that follow each other."""
+        none = min(max(self.nulls - first, 0), stop - first)
+        known = self.doc_ids.run(first + none - self.nulls, stop - self.nulls) if first + none < stop else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known, pa.int64())])
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first document, boundaries) of blocks of documents, found by select. A block of n documents has n + 1
+        boundaries."""
+        for first in range(0, len(self), READ_DOCS):
+            ends = self.ends.run(first, min(first + READ_DOCS, len(self)))
+            yield first, np.concatenate([[self.bounds(first)[0]], ends])
+
     def document(self, i: int) -> np.ndarray:
         return self.ids(*self.bounds(i))
 
@@ -101,10 +115,10 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every text, append ``end_id``, and write the ids in ascending order of ``doc_id``: the manifest.
 
-    A null or empty text is its end id alone. Rows without an id come first; rows that share one are ordered by their
-    text, null first, and each is a document. An empty table gives an empty manifest. Other columns do not matter.
-    Texts are dealt out by ranges of ids, so a task holds the texts of one range, sorted by Spark, and writes them as
-    they come.
+    A null or empty text is its end id alone. Rows without an id come first; rows that share one are ordered by a hash of
+    their text, and each is a document. An empty table gives an empty manifest. Other columns do not matter.
+    Texts are dealt out by ranges of ids and these hashes, so a task holds the texts of one range, sorted by Spark, and
+    writes them as they come; an id with very many rows, or none, spreads over tasks.
     """
     folder = folder or new_folder(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -140,7 +154,8 @@ def write_token_files(
     schema = pa.schema(
         [("part", pa.int32()), ("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
     )
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     with small_batches(docs.sparkSession):
         return materialize(ordered.mapInArrow(write, MANIFEST))
 
@@ -153,7 +168,11 @@ def shard_tasks(manifest: DataFrame) -> DataFrame:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """A row per document from the written files: its id, where its ids start among those of all shards, how many
-    they are, and their CRC-32 as little-endian unsigned 32-bit numbers."""
+    they are, and their CRC-32 as little-endian unsigned 32-bit numbers.
+
+    Boundaries are selected block by block; no table of those of a shard is made. The window over the manifest has no
+    partitions: it has a row for each ``max_shard_tokens`` ids.
+    """
     before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -161,25 +180,23 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = ShardReader(path)
-                ends = shard.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]])
-                doc_ids = pa.concat_arrays([pa.nulls(shard.nulls, pa.int64()), pa.array(shard.doc_ids.decode(), pa.int64())])
-                first = 0
-                while first < len(ends):
-                    stop = max(first + 1, int(np.searchsorted(ends, starts[first] + READ_TOKENS, side="right")))
-                    ids = shard.ids(int(starts[first]), int(ends[stop - 1])).astype("<u4")
-                    cuts = np.append(starts[first:stop], ends[stop - 1]) - starts[first]
-                    crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            doc_ids.slice(first, stop - first),
-                            pa.array(starts[first:stop] + base),
-                            pa.array(np.diff(cuts)),
-                            pa.array(crcs, pa.int64()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    first = stop
+                for block, edges in shard.blocks():
+                    first, last = 0, len(edges) - 1
+                    while first < last:
+                        stop = max(first + 1, int(np.searchsorted(edges, edges[first] + READ_TOKENS, side="right")) - 1)
+                        ids = shard.ids(int(edges[first]), int(edges[stop])).astype("<u4")
+                        cuts = edges[first : stop + 1] - edges[first]
+                        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                shard.doc_id_run(block + first, block + stop),
+                                pa.array(edges[first:stop] + base),
+                                pa.array(np.diff(cuts)),
+                                pa.array(crcs, pa.int64()),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
+                        first = stop
 
     return shard_tasks(placed.select("path", "base")).mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long"
