@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecweave.llm.components import components
 from vecweave.llm.html_text import extract
-from vecweave.llm.language import drop_undecided, learn_languages
+from vecweave.llm.language import identify_languages, learn_languages
 from vecweave.llm.line_dedup import dedup_lines, drop_shared_lines, new_index, shared_keys
 from vecweave.llm.mixing import mix
 from vecweave.llm.neighbours import similar_vectors
@@ -15,7 +16,7 @@ from vecweave.llm.packing import pack
 from vecweave.llm.quality import quality_rules
 from vecweave.llm.separators import scan_separators, write_flat_files
 from vecweave.llm.settings import END_ID, SPECIAL_END_ID, WORD_TOKENIZER
-from vecweave.llm.simhash import one_of_each_group, simhash_components
+from vecweave.llm.simhash import near_fingerprints, one_of_each_group, simhash_components
 from vecweave.llm.token_files import ShardReader, read_token_files, write_token_files
 
 LINE = "this line is shared by many documents"
@@ -84,6 +85,43 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash_components(none).count() == 0 and one_of_each_group(none).count() == 0
 
 
+def test_a_group_of_fingerprints_is_joined_by_few_links(spark):
+    """2000 fingerprints within four bits of each other, and some apart: a forest, not all pairs."""
+    random = np.random.default_rng(5)
+    base = int(random.integers(1 << 62))
+    near = {base ^ sum(1 << int(b) for b in random.choice(64, 2, replace=False)) for _ in range(6000)}
+    near = {p - (1 << 64) if p >= 1 << 63 else p for p in sorted(near)[:1999]} | {base}
+    far = {int(p) for p in random.integers(-(1 << 62), 1 << 62, 500)}
+    table = spark.createDataFrame([(p,) for p in near | far], "fingerprint bigint")
+    links = near_fingerprints(table)
+    pairs = [tuple(r) for r in links.collect()]
+    assert len(pairs) < 10 * len(near)
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in pairs)
+    joined = {r.vertex: r.component for r in components(links, "a", "b").collect()}
+    assert set(joined) == near and len(set(joined.values())) == 1
+
+
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_links_join_what_brute_force_joins(spark, monkeypatch, rows):
+    import vecweave.llm.simhash as module
+
+    monkeypatch.setattr(module, "MEETING_ROWS", rows)
+    monkeypatch.setattr(module, "SMALL_GROUP", 4)
+    random = np.random.default_rng(6)
+    prints = []
+    for _ in range(25):
+        chain = int(random.integers(1 << 63))
+        for _ in range(int(random.integers(1, 30))):
+            prints.append(chain)
+            chain ^= sum(1 << int(b) for b in random.choice(63, int(random.integers(1, 8)), replace=False))
+    prints = sorted(set(prints))
+    pairs = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 4]
+    table = spark.createDataFrame([(p,) for p in prints], "fingerprint bigint")
+    got = {r.vertex: r.component for r in components(near_fingerprints(table), "a", "b").collect()}
+    assert got == {r.vertex: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), "a", "b").collect()}
+    assert len(got) > 100
+
+
 def test_token_files_of_odd_rows(spark, odd, none):
     manifest = write_token_files(odd, WORD_TOKENIZER, END_ID, max_shard_tokens=50_000)
     assert manifest.count() > 1
@@ -129,12 +167,12 @@ def test_vectors_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (5, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.01]), (3, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (6, [nan, 1.0]),
-        (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, -1.0]), (10, []), (11, [1.0]), (None, [0.0, -1.0]),
+        (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.0, -1.0]), (10, []), (11, [1.0]), (None, [0.0, -1.0]), (13, [1.0, 2.0, 3.0]), (12, [1.0, 2.0, 3.0]),
     ]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("n_links", F.lit("x"))
     got = as_counter(similar_vectors(table), "vec_id", "n_links", "component_id")
     assert got == Counter(
-        {(5, 3, 3): 1, (3, 3, 3): 2, (4, 3, 3): 1, (9, 1, 9): 1, (None, 1, 9): 1}
+        {(5, 3, 3): 1, (3, 3, 3): 2, (4, 3, 3): 1, (9, 1, 9): 1, (None, 1, 9): 1, (12, 1, 12): 1, (13, 1, 12): 1}
         | {(i, 0, i): 1 for i in (1, 2, 6, 7, 8, 10, 11)}
     )
     assert similar_vectors(table.filter("false")).count() == 0
@@ -184,7 +222,7 @@ def test_failed_audits_of_vectors_are_acted_on(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     rounds, audits = [], []
     plain_round, plain_audit = module._round, module._audit
-    monkeypatch.setattr(module, "_round", lambda *a: rounds.append(a[-1]) or plain_round(*a))
+    monkeypatch.setattr(module, "_round", lambda *a: rounds.append(a[3]) or plain_round(*a))
     monkeypatch.setattr(module, "_audit", lambda *a: audits.append(plain_audit(*a)) or audits[-1])
     got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(table).collect()}
     assert got == brute_force(rows) and len(audits) == 1 and len(rounds) < module.MAX_ROUNDS
@@ -246,7 +284,7 @@ def test_packing_asks_with_all_tokens():
     weights = np.full(600, 1.0)
     weights[:20] = 9.0
     used = np.array([True, False, False])
-    assert ShardIndex(documents, weights, 250.0).neighbour(0, used) == 2
+    assert ShardIndex(documents, weights, 250.0).neighbours(0, used).tolist() == [2]
 
     random = np.random.default_rng(6)
     documents = [random.integers(0, 300, n) for n in random.integers(1, 120, 60)]
@@ -259,11 +297,61 @@ def test_packing_asks_with_all_tokens():
     while at is not None:
         used[at] = True
         want = np.where(used, 0, scores[at])
-        at = index.neighbour(at, used)
-        assert want[at] >= want.max() - 1e-4 if at is not None else want.max() == 0
+        found = index.neighbours(at, used)
+        assert sorted(found) == np.flatnonzero(want > 0).tolist()
+        assert (np.diff(want[found]) < 1e-4).all()
+        at = int(found[0]) if len(found) else None
     assert used.sum() > 50
 
 
+@pytest.mark.parametrize("window", [16, 64, 256])
+def test_neighbours_of_a_seed_fill_its_window(window):
+    """The order of documents is that of a packer which scores all pairs."""
+    from vecweave.llm.packing import B, K1, pack_shard
+
+    random = np.random.default_rng(window)
+    documents = [random.integers(100 * (i % 3), 100 * (i % 3) + 120, n) for i, n in enumerate(random.integers(1, 90, 80))]
+    documents += [np.array([900]), np.array([901, 901])]  # like no other
+    weights, mean = random.random(1000) + 0.1, 30.0
+    lengths = [len(d) for d in documents]
+
+    def score(seed, other):
+        tokens = sorted(set(documents[seed].tolist()) & set(documents[other].tolist()))
+        norm = K1 * (1 - B + B * lengths[other] / mean)
+        found = [np.float32(weights[t] * (n := (documents[other] == t).sum()) * (K1 + 1) / (n + norm)) for t in tokens]
+        return sum(map(float, found))
+
+    total = sum(lengths)
+    ends = set(range(window, total + 1, window))
+    left = total // window * window
+    for bit in reversed(range(window.bit_length())):
+        if (total - total // window * window) >> bit & 1:
+            left += 1 << bit
+            ends.add(left)
+    order, at, seed = [], 0, None
+    while len(order) < len(documents):
+        unused = [d for d in range(len(documents)) if d not in order]
+        if seed is None:
+            ranked, seed = unused[:1], unused[0]
+        else:
+            ranked = sorted((d for d in unused if score(seed, d) > 0), key=lambda d: (-score(seed, d), d))
+            if not ranked:
+                seed = None
+        for d in ranked:
+            order.append(d)
+            before, at = at, at + lengths[d]
+            if any(before < end <= at for end in ends):
+                seed = None if at in ends else d
+                break
+        else:
+            # The first one is the seed that is asked for next; all others have been used up.
+            seed = seed if ranked == [seed] else None
+    pieces = pack_shard(documents, weights, mean, window)
+    got = list(dict.fromkeys(piece[0] for piece in pieces))
+    assert got == order
+    assert [sum(p[2] for p in pieces if p[0] == d) for d in range(len(documents))] == lengths
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     weights = spark.createDataFrame([("a", 0.0), ("b", 3.0), ("z", 1.0)], "source string, weight double")
     got = mix(odd, weights, epochs=0.01)
@@ -282,11 +370,26 @@ def test_mixing_of_odd_rows(spark, odd, none):
 
 
 def test_language_of_odd_rows(odd, none):
-    left = drop_undecided(odd)
+    left = identify_languages(odd)
     assert left.columns == odd.columns
     assert as_counter(left, "doc_id") == Counter({(4,): 1, (5,): 1, (6,): 1, (7,): 2, (8,): 1, (None,): 2})
-    assert drop_undecided(none).count() == 0
+    assert identify_languages(none).count() == 0
     assert learn_languages(none).languages == ()
+    # A missing label is filled in; a given one stays.
+    unknown = identify_languages(odd.withColumn("lang", F.when(F.col("doc_id") != 8, F.col("lang"))))
+    assert unknown.filter("lang IS NULL").count() == 0 and as_counter(unknown.filter("doc_id = 5"), "lang") == Counter({("en",): 1})
+
+
+def test_samples_are_whole_texts_up_to_a_bound(spark):
+    rows = [(i, "en", f"text{'abcdefghij'[i % 10]} " * 30 + "end") for i in range(60)] + [(100, "de", "wort " * 500 + "ende")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = learn_languages(docs, chars=1000)
+    assert model.languages in (("de", "en"), ("en",))
+    states = dict(zip(model.languages, (automaton[3] for automaton in model.automata)))
+    # Some 180 letters a row: six rows, all to their ends. The one German text is longer than the bound, and whole.
+    assert 1000 < states["en"] < 2 * 7 * 190
+    assert "de" not in states or states["de"] >= 2503
+    assert len(learn_languages(docs, rows=1).automata[-1][1]) < len(model.automata[-1][1])
 
 
 def parsed(text, sample):
@@ -306,14 +409,13 @@ def test_phrases_are_longest_matches():
     random = np.random.default_rng(0)
     word = lambda: "".join(random.choice(list("abcd"), random.integers(1, 6)))
     samples = {name: [" ".join(word() for _ in range(80))] for name in ("x", "y")}
-    texts = [" ".join(word() for _ in range(n)) for n in (1, 5, 60)] + ["abe 1 ébc", ""]
+    texts = [" ".join(word() for _ in range(n)) for n in (1, 5, 60, 700, 200)] + ["abe 1 ébc", "", "abcd" * 1500, "z" * 3000, "ab" * 256]
     found, letters = LanguageModel.of(samples).phrases(texts)
     for text, row, n in zip(texts, found, letters):
         plain = "".join(c if c.isalpha() else " " for c in text)
         plain = " ".join(plain.split()) + (" " if plain.endswith(" ") else "")
         assert n == sum(c.isalpha() for c in text)
-        if len(plain) <= 512:
-            assert list(row) == [parsed(plain, samples[name][0]) for name in ("x", "y")]
+        assert list(row) == [parsed(plain, samples[name][0]) for name in ("x", "y")]
 
 
 def test_every_letter_of_a_sample_is_known(monkeypatch):
@@ -382,20 +484,109 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert dedup_lines(none).count() == 0
 
 
-def test_line_index_is_reversible(spark, odd):
+def test_line_index_is_reversible(spark, odd, monkeypatch):
+    import vecweave.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "FILTER_KEYS", 2)
     docs = odd.select("doc_id", "text")
     early, late = docs.filter("doc_id < 6"), docs.filter("doc_id >= 6")
-    index = new_index(spark, shards=3).add(early).add(late)
+    index = new_index(spark).add(early).add(late)
     assert [tuple(r) for r in shared_keys(index).select("n_docs", "last").collect()] == [(3, 7)]
     less = index.delete(spark.createDataFrame([(7,)], "doc_id bigint"))
     assert shared_keys(less).count() == 0
     back = less.add(docs.filter("doc_id = 7"))
+    # Adding what is held already changes nothing.
+    twice = back.add(docs.filter("doc_id = 7")).add(docs.filter("doc_id IS NOT NULL"))
+    assert [tuple(r) for r in shared_keys(twice).select("n_docs", "last").collect()] == [(3, 7)]
+    assert twice.references.count() == index.references.count()
     rewritten = lambda i: sorted(r.text for r in drop_shared_lines(docs.filter("doc_id IS NOT NULL"), i).collect())
     assert rewritten(back) == rewritten(index) != rewritten(less)
     # Filters know every key that is held, and none of those that went.
-    keys = index.references.select("shard", "key").distinct()
+    keys = index.references.select("key").distinct()
     assert index.screened(keys).filter("NOT known").count() == 0
-    gone = keys.join(less.references.select("key").distinct(), "key", "left_anti").select("shard", "key")
+    gone = keys.join(less.references.select("key").distinct(), "key", "left_anti")
     assert less.screened(gone).filter("known").count() <= gone.count()
     nothing = less.delete(docs.select("doc_id"))
     assert nothing.references.count() == 0 and nothing.screened(keys).filter("known").count() == 0
+
+
+def test_line_counts_go_through_the_filters(spark, monkeypatch):
+    """Documents added, deleted and added again in several generations; keys that the filters do not know are not looked
+    up, so without the filters counts are wrong."""
+    import vecweave.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "FILTER_KEYS", 16)
+    random = np.random.default_rng(9)
+    lines = [f"a line of some length, number {i}" for i in range(60)]
+    texts = {i: [lines[k] for k in random.integers(0, 60, random.integers(1, 6))] for i in range(40)}
+    table = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    some = lambda ids: table.filter(F.col("doc_id").isin([int(i) for i in ids]))
+
+    def counts(index):
+        return Counter(tuple(r) for r in index.counts.select("n_docs", "last").collect())
+
+    def force(ids):
+        holders = {}
+        for i in ids:
+            for line in set(texts[i]):
+                holders.setdefault(line, []).append(i)
+        return Counter((len(h), max(h)) for h in holders.values())
+
+    def built():
+        return new_index(spark).add(some(range(20))).add(some(range(20, 33)))
+
+    index = built()
+    assert index.shards >= 3 and counts(index) == force(range(33))
+    index = index.delete(some(range(5, 25)).select("doc_id"))
+    assert counts(index) == force([*range(5), *range(25, 33)])
+    index = index.add(some([7, 8, 35, 36, 30]))
+    assert counts(index) == force([*range(5), 7, 8, *range(25, 33), 35, 36])
+    assert index.counts.count() == index.counts.select("key").distinct().count()
+    whole = dedup_lines(table, generations=4)
+    shared = {line for line in lines if sum(line in t for t in texts.values()) >= 3}
+    last = {line: max(i for i, t in texts.items() if line in t) for line in shared}
+    want = {i: "\n".join(x for x in t if x not in shared or last[x] == i) for i, t in texts.items()}
+    assert {r.doc_id: r.text for r in whole.collect()} == want
+    monkeypatch.setattr(module.LineIndex, "screened", lambda self, keys: keys.withColumn("known", F.lit(False)))
+    assert counts(built()) != force(range(33))
+
+
+
+TEXT = " ".join(("A paragraph, long enough to be one, with commas. " * 4).split())
+SHAPES = {
+    "no article": (f"<h1>Title</h1><div><p>{TEXT}<p>{TEXT}<p>{TEXT}</div>", f"Title {TEXT} {TEXT} {TEXT}"),
+    "heading behind a byline": (f"<ul><li><a>One</a></ul><h1>Title</h1><div class=share><a>x</a></div><div><p>{TEXT}<p>{TEXT}</div>", f"Title {TEXT} {TEXT}"),
+    "sections beside each other": (f"<div><section><p>{TEXT}<p>{TEXT}</section><h2>Next</h2><section><p>{TEXT}</section></div>", f"{TEXT} {TEXT} Next {TEXT}"),
+    "short last paragraph": (f"<div><div><p>{TEXT}<p>{TEXT}<p>{TEXT}</div><div><p>And a last one, of some fifty characters, here.</div></div>", f"{TEXT} {TEXT} {TEXT} And a last one, of some fifty characters, here."),
+    "links after the article": (f"<div><div><p>{TEXT}<p>{TEXT}</div><div><a>More of this.</a> <a>And of that, too, if you like it.</a></div></div>", f"{TEXT} {TEXT}"),
+    "comments inside": (f"<article><p>{TEXT}<p>{TEXT}<div class='comments'><p>{TEXT}</p></div></article>", f"{TEXT} {TEXT}"),
+    "nested comments": (f"<article><p>{TEXT}<div class='wrap'><div class=comment-list><div class='comment'><p>{TEXT}</p></div></div></div></article>", TEXT),
+    "words that only sound so": (f"<article><p>{TEXT}<div class='social-impact'><p>Short real text of the article here, kept please.</p></div><p>{TEXT}</article>", f"{TEXT} Short real text of the article here, kept please. {TEXT}"),
+    "notices inside": (f"<article><p>{TEXT}<p class='copyright'>All rights reserved by somebody.<div class='adBox'><p>Buy this, it is cheap, and that, too.</p></div><p>{TEXT}</article>", f"{TEXT} {TEXT}"),
+    "formulas": (f"<article><p>{TEXT} So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.<p>{TEXT}</article>", f"{TEXT} So x=2 holds. {TEXT}"),
+    "a marked section": (f"<![if !IE]><article><p>{TEXT}<![endif]> <![foo[ bar ]]>.<p>{TEXT}</article><![", f"{TEXT} . {TEXT}"),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_extraction_of_page_shapes(shape):
+    from vecweave.llm.html_text import main_text
+
+    page, want = SHAPES[shape]
+    nav = "<nav><a href=a>One</a></nav><ul class='menu'><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert main_text(f"<html><head><title>x</title></head><body>{nav}{page}<footer>Foot, of the page.</footer></body></html>") == want
+
+
+def test_extraction_of_any_markup():
+    import time
+
+    from vecweave.llm.html_text import main_text
+
+    random = np.random.default_rng(7)
+    pieces = ["<", ">", "</", "<!", "<![", "<!--", "--", "]]>", "<?", "&", "&#", "&amp", ";", "x", "'", '"', "=", " ", "/>", "p", "<p>", "<div class='", "<b>", "</b>", "<td>", "\x00", "[", "]", "<![CDATA[", "é", "<script>", "</script", "<a href="]
+    for _ in range(3000):
+        main_text("".join(random.choice(pieces, int(random.integers(1, 40)))))
+    for page in ("<div>" * 10_000 + "</p>" * 20_000, "<b><div>" + "<i>" * 10_000 + "</b>" * 20_000, "<center>" * 20_000, "<li><center>" * 10_000):
+        started = time.perf_counter()
+        main_text(page + TEXT)
+        assert time.perf_counter() - started < 2
