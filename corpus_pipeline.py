@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecweave.llm.language import drop_undecided
+from vecweave.llm.language import identify_languages
 from vecweave.llm.line_dedup import dedup_lines
 from vecweave.llm.mixing import mix
 from vecweave.llm.packing import pack
@@ -30,9 +30,9 @@ def _prepared(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; null texts and texts without a letter go."""
+    """Documents with a language, which is the predicted one where none is given; null texts and texts without a letter go."""
     _prepared(spark)
-    return drop_undecided(docs)
+    return identify_languages(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
