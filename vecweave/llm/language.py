@@ -11,7 +11,8 @@ from the true state, until both ways are in the same state; from there on they a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,8 @@ class LanguageModel:
     languages: tuple[str, ...]
     letters: str
     automata: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, int], ...]
+    # Made when they are first needed.
+    _made: dict = field(default_factory=dict, compare=False, repr=False)
 
     # Symbols: 0 for what stands between words, then the letters, one for any other letter, one for no letter at all.
     @property
@@ -160,6 +163,14 @@ class LanguageModel:
 
         return move
 
+    def _moves(self, i: int):
+        """How the automaton of a language moves."""
+        if (i, TABLE_LETTERS) not in self._made:
+            own, nothing = self._own(self.automata[i])
+            moves = self._moves_by_table if nothing <= TABLE_LETTERS + 2 else self._moves_by_edges
+            self._made[i, TABLE_LETTERS] = moves(self.automata[i], own, nothing)
+        return self._made[i, TABLE_LETTERS]
+
     @staticmethod
     def _ends(move, steps: np.ndarray, first: np.ndarray) -> np.ndarray:
         """How many phrases end in each row, and one more in the ``first`` row of a text; ``steps`` are the columns of
@@ -226,10 +237,8 @@ class LanguageModel:
         found = np.zeros((len(texts), len(self.languages)), np.int64)
         owner = np.repeat(np.arange(len(texts)), rows)
         first = np.diff(owner, prepend=-1) > 0
-        for i, automaton in enumerate(self.automata):
-            own, nothing = self._own(automaton)
-            moves = self._moves_by_table if nothing <= TABLE_LETTERS + 2 else self._moves_by_edges
-            found[:, i] = np.bincount(owner, self._ends(moves(automaton, own, nothing), steps, first), len(texts))
+        for i in range(len(self.automata)):
+            found[:, i] = np.bincount(owner, self._ends(self._moves(i), steps, first), len(texts))
         return found, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -294,15 +303,20 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
     shared = spark.sparkContext.broadcast((model.languages, model.letters, model.automata))
 
     @F.arrow_udf("struct<lang: string, score: double>")
-    def identify(texts: pa.Array) -> pa.Array:
-        names, scores, model = [], [], LanguageModel(*shared.value)
-        for _, part in slices(texts, SLICE_BYTES):
-            found, score = model.predict(part.to_pylist())
-            names += found
-            scores.append(score)
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = LanguageModel(*shared.value)
+        for texts in batches:
+            names, scores = [], []
+            for _, part in slices(texts, SLICE_BYTES):
+                found, score = model.predict(part.to_pylist())
+                names += found
+                scores.append(score)
+            give_back_memory()
+            scores = np.concatenate(scores) if scores else np.zeros(0)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
+        # The worker lives on, the tables need not.
+        del model
         give_back_memory()
-        scores = np.concatenate(scores) if scores else np.zeros(0)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang", "score"])
 
     return identify(text)
 
