@@ -33,7 +33,8 @@ DENSE_ONE_OF = 8
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
 # Texts are encoded in slices of about this many bytes: the larger, the fewer words are looked up.
-SLICE_BYTES = 8 << 20
+# A batch is about one, and there are several copies of it on the way.
+SLICE_BYTES, BATCH_BYTES = 8 << 20, "6m"
 _SHARD_IDS = 1 << 40
 # What the rows of statistics have as number of the row, and as tokens for the numbers of parts and of tokens.
 _STATISTICS, _PARTS, _TOKENS = -1, -1, -2
@@ -222,7 +223,7 @@ def pack(
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     width = WordTokenizer(tokenizer_path).dtype.itemsize
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_BYTES):
         parts = materialize(encode_parts(docs, tokenizer_path, end_id, doc_id, text))
         weights, mean = token_statistics(parts)
     shared = parts.sparkSession.sparkContext.broadcast((weights, mean))
