@@ -1,8 +1,11 @@
 """Top-k search against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
+from compare import differences
 
+import __spark_entry__ as spark_entry
 from vecweave.operators.embedders import CallableEmbedder, HashingEmbedder, from_function
 from vecweave.operators.embed import embed_rows, embedded
 import vecweave.operators.search as search
@@ -150,3 +153,25 @@ def test_queries_do_not_go_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kind, "toArrow", lambda self: pytest.fail("rows on the driver"))
     found = vector_topk(*frames(spark, *data(2)), 3, query_bytes=800)
     assert collected == [["path", "bytes"]] and found.count() == 63
+
+
+@pytest.mark.parametrize("name", ["text_search", "vector_topk", "vector_topk_grid"])
+def test_zero_vectors_stand_where_sql_has_them(spark, tmp_path, name):
+    # The words of the second text cancel: both fall into one dimension, with opposite signs.
+    texts = ["red apple", "w0 w4", "green pear", "a blue sky", "the apple tree", ""] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the red apple"), (1, "w4 w0")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    vectors = [(i, [1.0, i / 7, -2.0] if i % 5 else [0.0] * 3) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = connection.execute(spark_entry.oracle_sql()[name]).fetchdf()
+    got = spark_entry.queries()[name](spark, f"{tmp_path}").toPandas()
+    assert want["score"].isna().any() and differences(got, want) is None
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    # The cosine is 1001/1024, or 0.9775390625.
+    asked, stored = frames(spark, [(0, [1.0, 0.0, 0.0, 0.0, 0.0])], [(0, [1001.0, 215.0, 18.0, 1.0, 5.0])])
+    assert [r["score"] for r in vector_topk(asked, stored, 1).collect()] == [0.977539063]

@@ -1,7 +1,7 @@
 """Exact search for the most similar vectors.
 
-Scores are cosines, rounded to nine places before ranking so that the order of floating-point additions cannot
-change a rank; ties go to the smaller id.
+Scores are cosines as SQL has them: sums in the order of components, one root of the product of both squares, rounded to
+nine places, halves away from zero. Ties go to the smaller id.
 
 Neither side goes through the driver. Queries are written to files, and a task takes a slice of them of bounded size
 through its own vectors, which stay where they are. Each task sorts its vectors by the pivot they are nearest to and by
@@ -42,22 +42,36 @@ _SLACK = 1e-8
 _ANGLE_SLACK = 1e-7
 
 
-def _unit_rows(vectors: pa.Array) -> np.ndarray:
-    """Vectors as rows of length one; a zero vector stays zero."""
+def _rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors as rows of doubles, scaled by powers of two: no square overflows, and a cosine is the same to its last
+    bit."""
     count = len(vectors)
     lengths = np.unique(np.diff(vectors.offsets.to_numpy()))
     if len(lengths) > 1:
         raise ValueError("vectors of one search must have the same length")
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = values.reshape(count, -1)
-    # Large components would overflow when squared.
-    largest = np.abs(rows).max(axis=1, keepdims=True, initial=0)
-    rows = rows / np.where(largest > 0, largest, 1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))[1])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row stays zero."""
     norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     norms[norms == 0] = 1
     return rows / norms
 
 
+def _dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums of products row by row, one component after the other."""
+    return np.add.accumulate(left * right, axis=1)[:, -1]
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    scaled = scores * 10.0**SCORE_DIGITS
+    whole = np.trunc(scaled)
+    return (whole + np.sign(scaled) * (np.abs(scaled - whole) >= 0.5)) / 10.0**SCORE_DIGITS
+
+
 def usable_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows whose vector can be compared: not null, and every component a finite number."""
     finite = f"forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
@@ -96,12 +110,15 @@ def _order_of(ids: np.ndarray) -> np.ndarray:
 class _Best:
     """The best ``k`` vectors of each query so far."""
 
-    def __init__(self, queries: np.ndarray, pivots: np.ndarray, k: int):
-        self.queries, self.k = queries, k
-        self.zero = ~queries.any(axis=1)
-        self.angles = np.arccos(np.clip(queries @ pivots.T, -1, 1))
-        self.scores = np.full((len(queries), k), -np.inf)
-        self.ids = np.zeros((len(queries), k), object)
+    def __init__(self, rows: np.ndarray, pivots: np.ndarray, k: int, zero_score: float):
+        self.rows, self.queries, self.k = rows, _unit(rows), k
+        # What is not a number stands before all numbers.
+        self.zero_score = np.inf if np.isnan(zero_score) else zero_score
+        self.zero = ~rows.any(axis=1)
+        self.squares = _dot(rows, rows)
+        self.angles = np.arccos(np.clip(self.queries @ pivots.T, -1, 1))
+        self.scores = np.full((len(rows), k), -np.inf)
+        self.ids = np.zeros((len(rows), k), object)
 
     def within_reach(self, cell: int, least: float, most: float) -> np.ndarray:
         """Queries to which a vector of the ring may be nearer than the last of their best."""
@@ -112,11 +129,13 @@ class _Best:
         # A zero vector has no angle to anything.
         return np.flatnonzero(self.zero | (np.cos(gap) >= self.scores[:, -1] - _SLACK))
 
-    def compare(self, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+    def compare(self, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> None:
+        vectors, zero, squares = _unit(rows), ~rows.any(axis=1), _dot(rows, rows)
         step = max(1, _SCORE_CELLS // max(len(vectors), 1))
         for at in range(0, len(asked), step):
             some = asked[at : at + step]
             scores = self.queries[some] @ vectors.T
+            scores[:, zero] = scores[self.zero[some]] = self.zero_score
             floor = self.scores[some, -1]
             if len(ids) > self.k:
                 floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
@@ -127,8 +146,17 @@ class _Best:
             pairs = max(1, _SCORE_CELLS // vectors.shape[1])
             for first in range(0, len(query), pairs):
                 chosen = slice(first, first + pairs)
-                exact[chosen] = (self.queries[query[chosen]] * vectors[place[chosen]]).sum(axis=1)
-            self._add(query, ids[place], np.round(exact, SCORE_DIGITS))
+                one, other = query[chosen], place[chosen]
+                lengths = np.sqrt(self.squares[one] * squares[other])
+                cosine = np.clip(_dot(self.rows[one], rows[other]) / np.where(lengths > 0, lengths, 1), -1, 1)
+                exact[chosen] = np.where(lengths > 0, _rounded(cosine), self.zero_score)
+            self._add(query, ids[place], exact)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place in the order of ids, and score."""
+        query, place = np.nonzero(self.scores > -np.inf)
+        scores = self.scores[query, place]
+        return query, place, np.where(scores < np.inf, scores, np.nan)
 
     def _add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         near = scores >= self.scores[query, -1]
@@ -183,13 +211,13 @@ def _write_queries(queries: DataFrame, most: int) -> list[list[str]]:
 def _read_queries(paths: list[str]) -> tuple[pa.Array, np.ndarray]:
     """Ids and vectors of a slice."""
     table = pa.concat_tables(pa.ipc.open_stream(read_all(path)).read_all() for path in paths).combine_chunks()
-    return table.column(0).chunk(0), _unit_rows(table.column(1).chunk(0))
+    return table.column(0).chunk(0), _rows(table.column(1).chunk(0))
 
 
 def _pivots(path: str) -> np.ndarray:
     """Some of the queries of a file: rings around them tell near from far where it matters."""
     _, vectors = _read_queries([path])
-    vectors = vectors[vectors.any(axis=1)]
+    vectors = _unit(vectors[vectors.any(axis=1)])
     return vectors[np.unique(np.linspace(0, len(vectors) - 1, min(PIVOTS, len(vectors))).astype(int))]
 
 
@@ -204,7 +232,7 @@ def _rings(vectors: DataFrame, path: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             pivots = _pivots(path) if pivots is None else pivots
-            rows = _unit_rows(batch["embedding"])
+            rows = _unit(_rows(batch["embedding"]))
             cell, angle = np.full(len(rows), -1, np.int32), np.zeros(len(rows))
             if len(pivots):
                 near = rows @ pivots.T
@@ -220,7 +248,7 @@ def _rings(vectors: DataFrame, path: str) -> DataFrame:
     return placed.sortWithinPartitions("cell", "angle")
 
 
-def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, schema: str, report: SearchReport | None) -> DataFrame:
+def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, zero_score: float, schema: str, report: SearchReport | None) -> DataFrame:
     """The best ``k`` that each task finds among its own vectors, for the queries of a slice."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +264,7 @@ def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, schema: st
                 report.compared.add(len(asked) * len(angle))
                 report.pairs.add(len(query_ids) * len(angle))
             if len(asked):
-                best.compare(asked, _unit_rows(table["embedding"].chunk(0)), table["vec_id"].to_numpy())
+                best.compare(asked, _rows(table["embedding"].chunk(0)), table["vec_id"].to_numpy())
 
         for batch in batches:
             cells = batch["cell"].to_numpy()
@@ -245,7 +273,7 @@ def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, schema: st
                 if best is None:
                     query_ids, queries = _read_queries(paths)
                     pivots, id_type = _pivots(pivots_of), batch["vec_id"].type
-                    best = _Best(queries, pivots.reshape(-1, queries.shape[1]), k)
+                    best = _Best(queries, pivots.reshape(-1, queries.shape[1]), k, zero_score)
                 if held and (cells[start] != at or size == RING):
                     ring()
                     held, size = [], 0
@@ -257,20 +285,23 @@ def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, schema: st
         if held:
             ring()
         if best is not None:
-            query, place = np.nonzero(best.scores > -np.inf)
+            query, place, scores = best.found()
             yield pa.RecordBatch.from_arrays(
-                [query_ids.take(pa.array(query)), pa.array(best.ids[query, place].tolist(), id_type), pa.array(best.scores[query, place])],
+                [query_ids.take(pa.array(query)), pa.array(best.ids[query, place].tolist(), id_type), pa.array(scores)],
                 ["query_id", "vec_id", "score"],
             )
 
     return rings.mapInArrow(scan, schema)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, report: SearchReport | None = None) -> DataFrame:
+def vector_topk(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES, report: SearchReport | None = None, zero_score: float = 0.0
+) -> DataFrame:
     """The ``k`` vectors most similar to each query: query_id, vec_id, score, rank.
 
     ``queries`` has columns query_id, embedding; ``vectors`` has vec_id, embedding; ids are unique. Vectors and queries
-    that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`. A zero vector scores zero.
+    that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`. A zero vector has no cosine and scores ``zero_score`` with everything; as
+    NaN, which it is in SQL, it stands before all others.
 
     Queries are taken in slices of about ``query_bytes``, and the vectors are scanned once for each slice. ``report`` is
     told how much was compared.
@@ -287,7 +318,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, query_bytes
     rings = _rings(vectors, pivots_of)
     if len(slices) > 1:
         rings = materialize(rings)
-    found = [_scan(rings, paths, pivots_of, k, schema, report) for paths in slices]
+    found = [_scan(rings, paths, pivots_of, k, zero_score, schema, report) for paths in slices]
     if len(slices) > 1:
         found = [materialize(one) for one in found]
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
@@ -300,10 +331,11 @@ def text_search(
     embedder: Embedder,
     k: int = 10,
     query_bytes: int = QUERY_BYTES,
+    zero_score: float = 0.0,
 ) -> DataFrame:
     """Search by text: ``texts`` has query_id, text. If ``vectors`` has a model column, only the embedder's rows count.
     Each text is sent to the model once: the queries are written down before they are used."""
     if "model" in vectors.columns:
         vectors = vectors.filter(F.col("model") == embedder.name)
     asked = embedded(embed_rows(texts.select("query_id", "text"), embedder))
-    return vector_topk(asked, vectors, k, query_bytes)
+    return vector_topk(asked, vectors, k, query_bytes, zero_score=zero_score)
