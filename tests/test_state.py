@@ -74,3 +74,12 @@ def test_repeats_are_recorded_and_forgotten(spark, tmp_path):
     assert marked() == want | {"8": ("c", 1, "7")}
     add(spark, source, [("a", "9", 101), ("b", "10", 101)], schema)
     assert marked() == want | {"8": ("c", 1, "7"), "9": ("a", 0, "9"), "10": ("b", 0, "10")}
+
+
+def test_repeats_cost_calls_by_bucket_not_by_event(spark, tmp_path):
+    source, schema = f"{tmp_path}/in", "event string, place string, at bigint"
+    add(spark, source, [(f"e{i % 500}", str(i), i) for i in range(1500)], schema)
+    stream = spark.readStream.schema("event string, place string, received timestamp").parquet(source)
+    found = run(spark, mark_repeats(stream, "event", "place", "received", "1 day", buckets=2), tmp_path)
+    assert Counter((r.event_id, r.repeat_no) for r in found) == Counter((f"e{i % 500}", i // 500) for i in range(1500))
+    assert {(r.event_id, r.first_place) for r in found} == {(f"e{i}", str(i)) for i in range(500)}

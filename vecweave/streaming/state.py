@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +23,9 @@ from vecweave.operators.embedders import check_batch_size
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# In how many parts a record of repeats is kept.
+BUCKETS = 1024
+
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
@@ -131,53 +136,93 @@ def filled_across(
     )
 
 
+_KNOWN = pa.schema([("event_id", pa.string()), ("place", pa.string()), ("repeats", pa.int64()), ("due", pa.int64())])
+
+
 class _Suppressing(StatefulProcessor):
-    """What is known of a key: where it was first, and how often it came again."""
+    """What is known of the events of a bucket: where each was first, how often it came again, and when it is forgotten.
+
+    The state of a bucket is one table, so a bucket costs two calls of the state store however many events it has."""
 
     def __init__(self, window_ms: int):
         self.window_ms = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "place string, repeats bigint")
+        self.state = handle.getValueState("known", "events binary, timer bigint")
+
+    def _load(self) -> tuple[pd.DataFrame, int | None]:
+        held = self.state.get() if self.state.exists() else None
+        if held is None:
+            return _KNOWN.empty_table().to_pandas(), None
+        return pa.ipc.open_stream(bytes(held[0])).read_pandas(), held[1]
+
+    def _save(self, known: pd.DataFrame, timer: int | None) -> None:
+        """One timer a bucket, for the event that is forgotten first."""
+        due = int(known["due"].min()) if len(known) else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is None:
+            self.state.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _KNOWN) as writer:
+            writer.write_table(pa.Table.from_pandas(known, _KNOWN, preserve_index=False))
+        self.state.update((sink.getvalue().to_pybytes(), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.first.get()) if self.first.exists() else None
+        known, timer = self._load()
         for frame in rows:
             frame = frame.sort_values(["received", "place"], kind="stable").reset_index(drop=True)
-            passes = known is None
-            if passes:
-                known = (frame["place"].iloc[0], 0)
-                self.handle.registerTimer(int(_millis(frame["received"]).iloc[0]) + self.window_ms)
-            number = known[1] + 1 - passes
-            frame["repeat_no"] = range(number, number + len(frame))
-            frame["first_place"] = known[0]
-            known = (known[0], number + len(frame) - 1)
+            # Events are numbered, known ones first; a null id is an event, too.
+            number = pd.factorize(pd.concat([known["event_id"], frame["event_id"]], ignore_index=True), use_na_sentinel=False)[0][len(known) :]
+            new = ~pd.Series(number).duplicated() & (number >= len(known))
+            first = frame[new]
+            due = _millis(first["received"]) + self.window_ms
+            came = pd.DataFrame({"event_id": first["event_id"], "place": first["place"], "repeats": -1, "due": due})
+            known = pd.concat([known, came], ignore_index=True) if len(known) else came.reset_index(drop=True)
+            frame["repeat_no"] = known["repeats"].to_numpy()[number] + 1 + frame.groupby(number).cumcount()
+            frame["first_place"] = known["place"].to_numpy()[number]
+            known["repeats"] += np.bincount(number, minlength=len(known))
             yield frame[["event_id", "place", "received", "repeat_no", "first_place"]]
-        if known is not None:
-            self.first.update(known)
+        self._save(known, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.first.clear()
+        known, _ = self._load()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        self._save(known[known["due"] > passed], None)
         yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def mark_repeats(stream: DataFrame, event_id: str, place: str, received: str, window: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
+def mark_repeats(
+    stream: DataFrame, event_id: str, place: str, received: str, window: str = "1 hour", delay: str = "0 seconds", buckets: int = BUCKETS
+) -> DataFrame:
     """Every row of a stream with how often its event was there before: event_id, place, received, repeat_no, first_place.
 
     ``repeat_no`` is 0 for the row that passes and 1, 2, ... for those to suppress; ``first_place`` is the place of the one
     that passed. So what is suppressed is on record: how often, and in the rows themselves where it came from. An event is
     forgotten when the time of the stream is ``window`` beyond that of the row that passed. Rows that are later than the
-    time of the stream are dropped by Spark, so ``delay`` must cover how far rows are out of order. State is two values an
-    event, and only the id, the place and the time of a row are moved. A null id is an event, too.
+    time of the stream are dropped by Spark, so ``delay`` must cover how far rows are out of order. Only the id, the
+    place and the time of a row are moved. A null id is an event, too.
+
+    Events are dealt into ``buckets`` by a hash of their id, and the state of a bucket is one table: for each of its
+    events the id, the first place and two numbers. A micro-batch reads and writes the buckets that it has events of, so
+    there should be some hundred to some ten thousand events to a bucket; another number of buckets needs another
+    checkpoint.
     """
+    if buckets < 1:
+        raise ValueError("there must be a bucket at least")
     rows = stream.select(F.col(event_id).cast("string").alias("event_id"), F.col(place).cast("string").alias("place"), F.col(received).alias("received"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int"))
     return (
         rows.withWatermark("received", delay)
-        .groupBy("event_id")
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=_Suppressing(int(pd.Timedelta(window).total_seconds() * 1000)),
             outputStructType="event_id string, place string, received timestamp, repeat_no bigint, first_place string",
