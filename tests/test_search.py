@@ -175,3 +175,17 @@ def test_halves_are_rounded_as_in_sql(spark):
     # The cosine is 1001/1024, or 0.9775390625.
     asked, stored = frames(spark, [(0, [1.0, 0.0, 0.0, 0.0, 0.0])], [(0, [1001.0, 215.0, 18.0, 1.0, 5.0])])
     assert [r["score"] for r in vector_topk(asked, stored, 1).collect()] == [0.977539063]
+
+
+def test_slices_are_one_job(spark):
+    queries, vectors = data(4, copies=30)
+    asked, stored = frames(spark, queries, vectors)
+    jobs = []
+    for query_bytes in (700, 100):
+        spark.sparkContext.setJobGroup(f"slices of {query_bytes}", "")
+        found = vector_topk(asked, stored, 3, query_bytes=query_bytes)
+        assert {tuple(r) for r in found.collect()} == brute_force(queries, vectors, 3)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"slices of {query_bytes}")))
+    spark.sparkContext.setJobGroup("", "")
+    # With more slices there are no more jobs.
+    assert jobs[1] <= jobs[0]

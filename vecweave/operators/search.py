@@ -4,7 +4,9 @@ Scores are cosines as SQL has them: sums in the order of components, one root of
 nine places, halves away from zero. Ties go to the smaller id.
 
 Neither side goes through the driver. Queries are written to files, and a task takes a slice of them of bounded size
-through its own vectors, which stay where they are. Each task sorts its vectors by the pivot they are nearest to and by
+through its own vectors, which stay where they are. If there are several slices, vectors are written to files, too, as
+blocks, and the tasks of one job take slices through blocks: however many there are, the driver gets their names and what
+Spark tells of some hundred tasks. Each task sorts its vectors by the pivot they are nearest to and by
 their angle to it, and cuts them into blocks, which are rings around a pivot. A vector in a ring cannot be nearer to a query
 than the difference of the query's angle to the pivot and those of the ring, so a query passes over every ring that this
 puts behind the ``k`` best it has. Some vectors, chosen by a hash, come first and are compared with every query: so there
@@ -16,7 +18,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from vecweave.sources.storage import materialize, new_path
 SCORE_DIGITS = 9
 # Bytes of queries that a task holds at a time, with what their ids take.
 QUERY_BYTES = 32 << 20
+# Bytes of vectors in a block, as doubles, and how many blocks and groups of slices a core gets at most.
+BLOCK_BYTES = 64 << 20
+UNITS_PER_CORE = 16
 # Vectors in a ring, pivots, and the share of vectors that come first: one of so many.
 RING = 2048
 PIVOTS = 32
@@ -248,34 +252,36 @@ def _rings(vectors: DataFrame, path: str) -> DataFrame:
     return placed.sortWithinPartitions("cell", "angle")
 
 
-def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, zero_score: float, schema: str, report: SearchReport | None) -> DataFrame:
-    """The best ``k`` that each task finds among its own vectors, for the queries of a slice."""
+class _Scan:
+    """The best ``k`` of vectors that come in the order of rings, for the queries of a slice."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = query_ids = id_type = None
-        held: list[pa.RecordBatch] = []
-        at, size = None, 0
+    def __init__(self, paths: list[str], pivots_of: str, k: int, zero_score: float, report: SearchReport | None):
+        self.paths, self.pivots_of, self.k, self.zero_score, self.report = paths, pivots_of, k, zero_score, report
+        self.best = None
 
-        def ring() -> None:
-            table = pa.Table.from_batches(held).combine_chunks()
-            angle = table["angle"].to_numpy()
-            asked = best.within_reach(at, angle.min(), angle.max())
-            if report is not None:
-                report.compared.add(len(asked) * len(angle))
-                report.pairs.add(len(query_ids) * len(angle))
-            if len(asked):
-                best.compare(asked, _rows(table["embedding"].chunk(0)), table["vec_id"].to_numpy())
+    def ring(self, cell: int, held: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(held).combine_chunks()
+        angle = table["angle"].to_numpy()
+        asked = self.best.within_reach(cell, angle.min(), angle.max())
+        if self.report is not None:
+            self.report.compared.add(len(asked) * len(angle))
+            self.report.pairs.add(len(self.query_ids) * len(angle))
+        if len(asked):
+            self.best.compare(asked, _rows(table["embedding"].chunk(0)), table["vec_id"].to_numpy())
 
+    def run(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, size = None, 0
         for batch in batches:
             cells = batch["cell"].to_numpy()
             start = 0
             while start < batch.num_rows:
-                if best is None:
-                    query_ids, queries = _read_queries(paths)
-                    pivots, id_type = _pivots(pivots_of), batch["vec_id"].type
-                    best = _Best(queries, pivots.reshape(-1, queries.shape[1]), k, zero_score)
+                if self.best is None:
+                    self.query_ids, queries = _read_queries(self.paths)
+                    pivots, self.id_type = _pivots(self.pivots_of), batch["vec_id"].type
+                    self.best = _Best(queries, pivots.reshape(-1, queries.shape[1]), self.k, self.zero_score)
                 if held and (cells[start] != at or size == RING):
-                    ring()
+                    self.ring(at, held)
                     held, size = [], 0
                 at = int(cells[start])
                 other = cells[start:] != at
@@ -283,15 +289,67 @@ def _scan(rings: DataFrame, paths: list[str], pivots_of: str, k: int, zero_score
                 held.append(batch.slice(start, take))
                 start, size = start + take, size + take
         if held:
-            ring()
-        if best is not None:
-            query, place, scores = best.found()
+            self.ring(at, held)
+        if self.best is not None:
+            query, place, scores = self.best.found()
             yield pa.RecordBatch.from_arrays(
-                [query_ids.take(pa.array(query)), pa.array(best.ids[query, place].tolist(), id_type), pa.array(scores)],
+                [self.query_ids.take(pa.array(query)), pa.array(self.best.ids[query, place].tolist(), self.id_type), pa.array(scores)],
                 ["query_id", "vec_id", "score"],
             )
 
-    return rings.mapInArrow(scan, schema)
+
+def _write_blocks(rings: DataFrame) -> DataFrame:
+    """Rings of each task in files of about ``BLOCK_BYTES``, in their order: a row with the name of each."""
+    folder = new_path(rings.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            file = NewFile(f"{folder}/{uuid.uuid4()}.arrow")
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+                for one in held:
+                    writer.write_batch(one)
+            file.write(sink.getvalue())
+            file.close()
+            return pa.RecordBatch.from_pydict({"block": [file.uri]})
+
+        for batch in batches:
+            step = max(1, int(batch.num_rows * BLOCK_BYTES // max(1, 2 * batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                if held and size + 2 * part.nbytes > BLOCK_BYTES:
+                    yield block()
+                    held, size = [], 0
+                held.append(part)
+                size += 2 * part.nbytes
+        if held:
+            yield block()
+
+    return materialize(rings.mapInArrow(write, "block string"))
+
+
+def _scan_blocks(blocks: DataFrame, slices: list[list[str]], pivots_of: str, k: int, zero_score: float, schema: str, report: SearchReport | None) -> DataFrame:
+    """The best ``k`` in each block for the queries of every slice. A unit of work is a block and some of the slices; all
+    of them are one job."""
+    spark = blocks.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    count = max(1, blocks.count())
+    most = UNITS_PER_CORE * cores
+    groups = min(len(slices), -(-most // count))
+    shared = spark.sparkContext.broadcast(slices)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, group in zip(*(column.to_pylist() for column in batch.columns)):
+                block = pa.ipc.open_stream(read_all(path)).read_all().to_batches()
+                for paths in shared.value[group::groups]:
+                    yield from _Scan(paths, pivots_of, k, zero_score, report).run(block)
+
+    units = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    return units.repartition(min(count * groups, most)).mapInArrow(scan, schema)
 
 
 def vector_topk(
@@ -303,8 +361,8 @@ def vector_topk(
     that are null or hold a null, NaN or infinity are left out, see :func:`unusable_vectors`. A zero vector has no cosine and scores ``zero_score`` with everything; as
     NaN, which it is in SQL, it stands before all others.
 
-    Queries are taken in slices of about ``query_bytes``, and the vectors are scanned once for each slice. ``report`` is
-    told how much was compared.
+    Queries are taken in slices of about ``query_bytes``, and the vectors are scanned once for each slice, all in one
+    job. ``report`` is told how much was compared.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -317,12 +375,11 @@ def vector_topk(
     pivots_of = slices[0][0]
     rings = _rings(vectors, pivots_of)
     if len(slices) > 1:
-        rings = materialize(rings)
-    found = [_scan(rings, paths, pivots_of, k, zero_score, schema, report) for paths in slices]
-    if len(slices) > 1:
-        found = [materialize(one) for one in found]
+        found = materialize(_scan_blocks(_write_blocks(rings), slices, pivots_of, k, zero_score, schema, report))
+    else:
+        found = rings.mapInArrow(_Scan(slices[0], pivots_of, k, zero_score, report).run, schema)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def text_search(
