@@ -8,12 +8,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# What a text takes besides its bytes, as an object or as numbers about a token.
+_TEXT_BYTES = 48
+
 
 def lengths_of(lists: pa.Array) -> np.ndarray:
     """Length of every list; zero for a null one."""
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
 
 
+def nested_bytes(batch: pa.Array) -> np.ndarray:
+    """What the texts of every row of (lists of) lists of texts take: their bytes, and a fixed size for each."""
+    ends, values = batch.offsets.to_numpy(), batch.values
+    while len(values) and (pa.types.is_list(values.type) or pa.types.is_large_list(values.type)):
+        ends, values = values.offsets.to_numpy()[ends], values.values
+    if not len(values):
+        # The offsets of an empty array may be missing.
+        return np.zeros(len(batch), np.int64)
+    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    offsets = np.frombuffer(values.buffers()[1], kind)[values.offset :]
+    return np.diff(offsets[ends].astype(np.int64)) + _TEXT_BYTES * np.diff(ends.astype(np.int64))
+
+
 def lists(lengths: np.ndarray, values: pa.Array, missing: np.ndarray | None = None) -> pa.ListArray:
     """``values`` cut into lists of the given lengths; null where ``missing``."""
     ends = np.cumsum(lengths, dtype=np.int64)

@@ -17,12 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vecweave.functions.arrow import lengths_of, lists
+from vecweave.functions.arrow import lengths_of, lists, nested_bytes
 from vecweave.functions.text import tokens
 from vecweave.schemas import OUTCOME
 
-# Cells of one dense block; bounds the memory of a Python worker, not the result.
+# Cells of one dense block, and what its texts or tokens take; both bound the memory of a Python worker, not the result.
 _BLOCK_CELLS = 4_000_000
+_BLOCK_BYTES = 16 << 20
 
 
 def _signed_cells(words: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +62,25 @@ def _vectors(words: pa.Array, dimension: int) -> pa.Array:
     return lists(np.full(len(words), dimension), flat)
 
 
-def pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
-    """Cut a batch of text lists so that the vectors of one piece make about one dense block."""
-    lengths = np.cumsum(lengths_of(batch) * dimension)
+def _cuts(batch: pa.Array, cells: np.ndarray) -> Iterator[pa.Array]:
+    """Cut a batch of lists so that a piece has about one dense block of ``cells`` and its texts are bounded, too."""
+    if not len(batch):
+        return
+    totals = [(np.cumsum(cells), _BLOCK_CELLS), (np.cumsum(nested_bytes(batch)), _BLOCK_BYTES)]
     start = 0
     while start < len(batch):
-        done = lengths[start - 1] if start else 0
-        end = int(np.searchsorted(lengths, done + _BLOCK_CELLS, side="right"))
-        end = max(end, start + 1)
+        ends = [np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right") for total, most in totals]
+        end = max(int(min(ends)), start + 1)
         yield batch.slice(start, end - start)
         start = end
 
 
+def pieces(batch: pa.Array, dimension: int) -> Iterator[pa.Array]:
+    """Cut a batch of text lists so that neither the vectors of a piece nor its texts take more than a fixed size, one
+    row excepted."""
+    return _cuts(batch, lengths_of(batch) * dimension)
+
+
 def hashed_vectors(texts: str, dimension: int, refuse_null: bool = False) -> Column:
     """SQL of an array<string> -> array of outcomes, one per text. A null text has no vector, or, with ``refuse_null``,
     stops the job."""
@@ -105,10 +113,8 @@ def hashed_weights(text: str, dimension: int) -> Column:
 
     @F.arrow_udf("array<int>")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        step = max(1, _BLOCK_CELLS // dimension)
         for batch in batches:
-            for start in range(0, len(batch), step):
-                piece = batch.slice(start, step)
+            for piece in _cuts(batch, np.full(len(batch), dimension)):
                 sums = _weights(piece, dimension).astype(np.int32)
                 yield lists(np.full(len(piece), dimension), pa.array(sums.ravel()))
 
