@@ -291,3 +291,27 @@ def test_bad_arguments(spark):
         embed_rows(table(spark, ["a"]), local(from_function(lengths)), batch_size=0)
     with pytest.raises(ValueError):
         embed_rows(table(spark, ["a"]), HashingEmbedder(8), on_error="sometimes")
+
+
+def test_texts_and_tokens_of_a_piece_are_bounded():
+    import pyarrow as pa
+
+    from vecweave.functions.hashing import pieces
+
+    texts = pa.array([["x" * 4000, None], [], None, ["y" * 4000]] * 4000)
+    tokens = pa.array([[["word"] * 500], []] * 4000)
+    for batch in (texts, tokens, tokens.slice(1, 7000)):
+        found = list(pieces(batch, 3))
+        assert pa.concat_arrays(found).equals(batch)
+        assert len(found) > 1 and max(piece.nbytes for piece in found) <= 17 << 20
+
+
+def test_rows_are_filled_into_batches_part_by_part():
+    import pyarrow as pa
+
+    from vecweave.operators.embed import _parts
+
+    batch = pa.RecordBatch.from_pydict({"texts": ["x" * 4000] * 10_000})
+    parts = list(_parts(batch, 32))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert len(parts) > 1 and max(part.nbytes for part in parts) <= 9 << 20

@@ -12,6 +12,9 @@ from vecweave.constants import DEFAULT_BATCH_SIZE
 from vecweave.functions.text import column, quoted, truncate_all
 from vecweave.operators.embedders import Embedder, check_batch_size, check_scope
 
+# Rows are put together to batches so many bytes at a time.
+_PART_BYTES = 8 << 20
+
 
 def with_outcomes(
     df: DataFrame,
@@ -98,6 +101,13 @@ def embed_numbered(
     )
 
 
+def _parts(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``_PART_BYTES``, at least ``least`` rows each: parts are copied, the batch is not."""
+    step = max(least, int(batch.num_rows * _PART_BYTES // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def filled_batches(
     df: DataFrame, text: str, batch_size: int = DEFAULT_BATCH_SIZE, row_id: str | None = None
 ) -> DataFrame:
@@ -119,7 +129,7 @@ def filled_batches(
             columns = [pa.ListArray.from_arrays(offsets, column) for column in rows.columns]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, batch_size)):
             kept.append(batch)
             size = sum(one.num_rows for one in kept)
             if size < batch_size:
