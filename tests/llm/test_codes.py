@@ -77,6 +77,42 @@ def test_words_are_kept_apart_by_the_meaning_of_special_names():
         assert (SPECIAL_END_ID in ids) != plain
 
 
+def test_marks_after_a_word_are_one_unit():
+    """Only the marks themselves go through the whole tokenizer, and words end where the model's last units are."""
+    tokenizer = WordTokenizer(WORD_TOKENIZER)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    words = [f"{word}{mark}{more}" for word in ("Straße", "heat", "ÀÉÿ", "<s") for mark in marks for more in ("", "$$$", "'", "|>")]
+    given, encode = [], tokenizer._encode_whole
+    tokenizer._encode_whole = lambda texts: given.extend(texts.to_pylist()) or encode(texts)
+    ids, offsets = tokenizer.encode(pa.array(words))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [
+        tokenizer.whole.encode(word, add_special_tokens=False).ids for word in words
+    ]
+    assert not [word for word in given if any(c.isalpha() for c in word) and word[0] != "<"]
+
+
+def test_memory_of_many_words_is_bounded(monkeypatch):
+    """A hundred thousand different words, of which some are kept: no object for each word stays, nor are there many at a time."""
+    import tracemalloc
+
+    import vecweave.llm.words as module
+
+    monkeypatch.setattr(module, "MAX_KEPT_WORDS", 60_000)
+    monkeypatch.setattr(module, "worker_memory", lambda kept={}: kept)
+    random = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnoprstuvwyäéß"))
+    words = ["".join(letters[random.integers(0, len(letters), 9)]) for _ in range(100_000)]
+    tokenizer = module.WordTokenizer(WORD_TOKENIZER)
+    texts = [" ".join(words[:50_000]), " ".join(words[50_000:]), " ".join(words[::-1])]
+    tracemalloc.start()
+    got = [tokenizer.encode(pa.array([text]))[0] for text in texts]
+    peak = tracemalloc.get_traced_memory()[1] - sum(ids.nbytes for ids in got)
+    tracemalloc.stop()
+    assert peak < 24e6
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_shards_are_read_by_select(spark, tmp_path, monkeypatch):
     """Blocks of boundaries come from the select structure alone: without it documents are others."""
     import vecweave.llm.token_files as module

@@ -33,8 +33,8 @@ DENSE_ONE_OF = 8
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
 # Texts are encoded in slices of about this many bytes: the larger, the fewer words are looked up.
-# A batch is about one, and there are several copies of it on the way.
-SLICE_BYTES, BATCH_BYTES = 8 << 20, "6m"
+# A batch is one, and there are several copies of it on the way.
+SLICE_BYTES, BATCH_BYTES = 5 << 20, "4m"
 _SHARD_IDS = 1 << 40
 # What the rows of statistics have as number of the row, and as tokens for the numbers of parts and of tokens.
 _STATISTICS, _PARTS, _TOKENS = -1, -1, -2
@@ -51,33 +51,41 @@ def encode_parts(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str
         row = TaskContext.get().partitionId() * _SHARD_IDS
         mix = (np.arange(1 << 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
         found = np.zeros(1 << 8 * min(tokenizer.dtype.itemsize, 3), np.int64)
+        last = np.zeros(len(found), np.int32)  # where a part has each of its tokens for the last time
+        place = np.arange(max_part, dtype=np.int32)
         parts = tokens = 0
         for batch in batches:
             for first, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = with_end(*tokenizer.encode(texts), end_id)
                 pairs = ids[1:].astype(np.uint32) ^ (ids[:-1].astype(np.uint32) << np.uint32(1))
-                hashes = np.append(mix[pairs & np.uint32(len(mix) - 1)], _FAR)
+                pairs &= np.uint32(len(mix) - 1)
+                hashes = np.empty(len(ids), np.uint64)
+                np.take(mix, pairs, out=hashes[:-1], mode="clip")
                 hashes[offsets[1:] - 1] = _FAR  # a pair lies in one text
                 least = np.minimum.reduceat(hashes, offsets[:-1])
                 near = np.where(np.diff(offsets) > 1, least, 0).tolist()
+                del pairs, hashes
                 out: dict[str, list] = {n: [] for n in ("doc_id", "row", "start", "doc_tokens", "near", "ids")}
                 bounds = offsets.tolist()
                 for i, doc in enumerate(batch.column(0).slice(first, len(texts)).to_pylist()):
                     a, b = bounds[i], bounds[i + 1]
                     for start in range(a, b, max_part):
                         part = ids[start : min(b, start + max_part)]
-                        found[np.unique(part)] += 1
+                        last[part] = place[: len(part)]
+                        found[part[last[part] == place[: len(part)]]] += 1
                         parts += 1
                         for name, value in zip(out, (doc, row, start - a, b - a, near[i], part.tobytes())):
                             out[name].append(value)
                     row += 1
                 tokens += len(ids)
                 yield pa.RecordBatch.from_pydict(out, schema)
-                del ids, pairs, hashes, out
+                del ids, out
                 give_back_memory()
         seen = np.flatnonzero(found)
         told = np.stack([np.append(seen, [_PARTS, _TOKENS]), np.append(found[seen], [parts, tokens])]).astype("<i8")
         yield pa.RecordBatch.from_pydict({"doc_id": [None], "row": [_STATISTICS], "start": [0], "doc_tokens": [0], "near": [0], "ids": [told.tobytes()]}, schema)
+        del tokenizer, mix, found, last, place
+        give_back_memory()
 
     schema = pa.schema(
         [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("near", pa.int64()), ("ids", pa.binary())]
@@ -259,6 +267,8 @@ def pack(
                         held, size = [], 0
         if held:
             yield packed()
+        held = []
+        give_back_memory()
 
     schema = pa.schema(
         [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())]
