@@ -304,6 +304,23 @@ def test_packing_asks_with_all_tokens():
     assert used.sum() > 50
 
 
+def test_used_documents_leave_the_rows_of_scores(monkeypatch):
+    """Rows of frequent tokens become shorter, too, and the order made bit by bit is that of all scores."""
+    import vecweave.llm.packing as module
+
+    monkeypatch.setattr(module, "FIRST_RANKED", 3)
+    random = np.random.default_rng(5)
+    documents = [random.integers(0, 40, n) for n in random.integers(5, 60, 200)]
+    weights = random.random(40) + 0.1
+    index, used = module.ShardIndex(documents, weights, 30.0), np.zeros(200, bool)
+    assert index.rows.shape[1] == 200
+    for at in random.permutation(200)[:150].tolist():
+        used[at] = True
+        docs, scores = index.scores(at, used)
+        assert index.neighbours(at, used).tolist() == docs[np.argsort(-scores, kind="stable")].tolist()
+    assert index.rows.shape[1] < 80 and not used[docs].any()
+
+
 @pytest.mark.parametrize("window", [16, 64, 256])
 def test_neighbours_of_a_seed_fill_its_window(window):
     """The order of documents is that of a packer which scores all pairs."""

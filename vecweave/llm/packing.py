@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecweave.llm.frames import small_batches
-from vecweave.llm.words import WordTokenizer, gather, give_back_memory, slices, with_end
+from vecweave.llm.words import WordTokenizer, give_back_memory, places_of, slices, with_end
 from vecweave.sources.storage import materialize
 
 WINDOW = 2048
@@ -30,6 +30,8 @@ SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 # A token that one of so many documents of a shard has is looked up in a row of scores.
 DENSE_ONE_OF = 8
+# So many of the documents most like a seed are put in order at first; a window seldom takes more.
+FIRST_RANKED = 32
 # Parts of a document longer than this are full windows of their own, so no row is longer.
 MAX_PART_TOKENS = 256 * WINDOW
 # Texts are encoded in slices of about this many bytes: the larger, the fewer words are looked up.
@@ -128,7 +130,8 @@ class ShardIndex:
         norm = K1 * (1 - B + B * lengths / max(mean, 1.0))
         score = weights[token] * n * (K1 + 1) / (n + norm[doc])
         self.count = len(documents)
-        self.left = self.count
+        # The documents that are still in the index; places in it are places in this.
+        self.live = np.arange(self.count)
         # Every token of a document is asked for.
         order = np.argsort(doc, kind="stable")
         self.asked = token[order]
@@ -145,27 +148,45 @@ class ShardIndex:
 
     def forget(self, used: np.ndarray) -> None:
         """Leave used documents out from now on; they are never an answer."""
-        keep = ~used[self.doc]
+        stays = ~used[self.live]
+        keep = stays[self.doc]
         self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
-        self.doc, self.score = self.doc[keep], self.score[keep]
-        self.left = self.count - int(used.sum())
+        self.doc, self.score = (np.cumsum(stays) - 1)[self.doc[keep]], self.score[keep]
+        self.live, self.rows = self.live[stays], self.rows[:, stays]
 
-    def neighbours(self, of: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share a token with one, most like it first, the first of equal ones before others."""
-        if self.count - np.count_nonzero(used) < 0.8 * self.left:
+    def scores(self, of: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unused documents that share a token with one, and how like it they are."""
+        if self.count - np.count_nonzero(used) < 0.8 * len(self.live):
             self.forget(used)
         asked = self.asked[self.asked_first[of] : self.asked_first[of + 1]]
         row = self.row[asked]
         chosen = np.zeros(len(self.rows))
         chosen[row[row >= 0]] = 1
         starts = self.first[asked]
-        places = gather(np.arange(len(self.doc)), starts, self.first[asked + 1] - starts)
-        total = np.bincount(self.doc[places], self.score[places], self.count) + chosen @ self.rows
-        total[used] = 0
+        places = places_of(starts, self.first[asked + 1] - starts, len(self.doc))
+        total = np.bincount(self.doc[places], self.score[places], len(self.live)) + chosen @ self.rows
+        total[used[self.live]] = 0
         # Sums of the same numbers may differ in their last digits.
         total = total.astype(np.float32)
         found = np.flatnonzero(total)
-        return found[np.argsort(-total[found], kind="stable")]
+        return self.live[found], total[found]
+
+    def best_first(self, of: int, used: np.ndarray) -> Iterator[int]:
+        """The unused documents that share a token with one, most like it first, the first of equal ones before others.
+        All are ranked, but the order is made only as far as it is asked for."""
+        found, score = self.scores(of, used)
+        many = FIRST_RANKED
+        while len(found):
+            if len(found) > 2 * many:
+                best = score >= np.partition(score, -many)[-many]
+            else:
+                best = np.ones(len(found), bool)
+            yield from found[best][np.argsort(-score[best], kind="stable")].tolist()
+            found, score, many = found[~best], score[~best], 8 * many
+
+    def neighbours(self, of: int, used: np.ndarray) -> np.ndarray:
+        """All of ``best_first``."""
+        return np.array(list(self.best_first(of, used)), np.int64)
 
 
 def pack_shard(documents: list[np.ndarray], weights: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -203,7 +224,7 @@ def pack_shard(documents: list[np.ndarray], weights: np.ndarray, mean: float, wi
             if not offset:  # it ends with a window
                 seed = None
                 continue
-        for at in index.neighbours(seed, used).tolist():
+        for at in index.best_first(seed, used):
             if put(at):
                 # The rest of it opens the next window.
                 seed = at if offset else None
