@@ -22,7 +22,7 @@ from vecweave.sources.storage import materialize
 
 # Texts go to Python in batches of this size in the whole session: half a dozen copies of a batch are alive at a time, in
 # Spark's buffers and in Python, for every task of an executor, and Spark keeps its buffers from stage to stage.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def _prepared(spark: SparkSession) -> None:

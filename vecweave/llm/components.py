@@ -51,13 +51,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     )
+    rows = current.count()
     for _ in range(MAX_ROUNDS):
         # Each vertex hands its larger neighbours to its least one.
         ways = both(current)
         nearest = ways.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = _to_least(ways.filter("v > u"), nearest).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Each vertex hands its smaller neighbours, and itself, to the least of them.
-        large = materialize(large.filter("u > v"))
+        large = materialize(large.filter("u > v"), rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
             _to_least(large, least)
@@ -65,7 +66,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .filter("u > v")
             .distinct()
         )
-        after = materialize(small)
+        after = materialize(small, rows)
         changed = after.exceptAll(current).limit(1).count() or current.exceptAll(after).limit(1).count()
         current = after
         if not changed:

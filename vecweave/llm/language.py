@@ -318,7 +318,8 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
         del model
         give_back_memory()
 
-    return identify(text)
+    # Otherwise Spark runs it once for a filter on its result and again for the columns, in two workers of a task.
+    return identify.asNondeterministic()(text)
 
 
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -152,14 +152,15 @@ class LineIndex:
         if not new_ids and self.shards:
             refs = refs.join(self.references.select("key", "doc_id"), ["key", "doc_id"], "left_anti").select(*self.references.columns)
         refs = materialize(refs)
-        counted = materialize(_counted(refs))
+        n_refs = refs.count()
+        counted = materialize(_counted(refs), n_refs)
         if not self.shards:
             first = replace(self, references=refs, counts=counted, shards=-(-counted.count() // FILTER_KEYS))
             return replace(first, filters=materialize(first._made(counted.select("key")))) if first.shards else self
         screened = materialize(self.screened(counted))
         unknown = screened.filter("NOT known").drop("known")
         before = self.counts.toDF("key", "n_before", "last_before")
-        asked = materialize(screened.filter("known").drop("known").join(before, "key", "left"))
+        asked = materialize(screened.filter("known").drop("known").join(before, "key", "left"), n_refs)
         grown = asked.select("key", (F.col("n_docs") + F.coalesce("n_before", F.lit(0))).alias("n_docs"), F.greatest("last", "last_before").alias("last"))
         kept = self.counts.join(broadcast_if_small(asked.select("key"), _MAX_KEY_BYTES), "key", "left_anti").select(*self.counts.columns)
         new = unknown.select("key").union(asked.filter("n_before IS NULL").select("key"))

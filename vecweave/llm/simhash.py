@@ -40,6 +40,8 @@ MEETING_ROWS = 4096
 FOREST_EDGES = 1 << 18
 # Hashes of one text that are added up at a time.
 _HASHES = 1 << 16
+# Texts are digested one by one, so larger batches only take memory.
+BATCH_BYTES = "4m"
 
 
 def fingerprint_of(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -189,14 +191,16 @@ def near_fingerprints(prints: DataFrame, column: str = "fingerprint") -> DataFra
 
 def _with_components(rows: DataFrame) -> DataFrame:
     """Add ``component_id`` to written rows with doc_id and fingerprint."""
+    n_rows = rows.count()
     prints = materialize(
-        rows.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+        rows.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), n_rows
     )
     found = components(near_fingerprints(prints.select("fingerprint")), "a", "b")
     rooted = materialize(
         prints.join(found, prints.fingerprint == found.vertex, "left").select(
             "fingerprint", "copies", "least", F.coalesce("component", "fingerprint").alias("root")
-        )
+        ),
+        n_rows,
     )
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fingerprint", "copies", "root", "component_id")
@@ -219,7 +223,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     their rows, null only if none of them has one. Texts without words share the fingerprint zero. Rows that share an id
     are rows of their own. An empty table gives an empty result; other columns do not matter.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_BYTES):
         rows = materialize(_fingerprints(docs, doc_id, text).drop("digest"))
     return _with_components(rows).select("doc_id", "fingerprint", "component_id")
 
@@ -227,7 +231,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, where a null id comes last;
     of rows that share id and group, the one whose text has the smallest hash, and any of those that are equal."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH_BYTES):
         rows = materialize(_fingerprints(docs, doc_id, text))
     found = _with_components(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")

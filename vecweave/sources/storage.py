@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Of narrow rows, such as pairs of numbers, a file has so many before there are more files than cores: 1 to 4 MB.
+ROWS_PER_FILE = 1 << 17
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all executors and the driver must reach."""
@@ -25,10 +28,15 @@ def new_path(spark: SparkSession) -> str:
     return f"{run_folder(spark)}/{uuid.uuid4()}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once and go on from the written table: nothing is computed twice, and lost executors cost only
-    reading. The table stays until :func:`remove_intermediate`."""
+    reading. The table stays until :func:`remove_intermediate`.
+
+    ``rows`` is about how many narrow rows there are, if that is known. A small table is then not written as a file for
+    each partition of the shuffle, but by a task for each core; a large one by more."""
     path = new_path(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
